@@ -19,6 +19,7 @@ _STATS: dict[str, tuple] = {}
 
 def clear_memo() -> None:
     _STATS.clear()
+    _MODELS.clear()
 
 
 def plant(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,3 +43,63 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned(spark, sf).imputed
+
+
+# ------------------------------------------------------------- clusterings
+
+CONDITION_K, SHIFT_K, LLOYD_ITERS = 3, 2, 5
+CONDITION_LABEL, SHIFT_LABEL = "cluster_efficiency_machine", "shift_efficiency_cluster"
+_MODELS: dict[tuple, tuple] = {}
+
+
+def condition_z(spark: SparkSession, sf: str):
+    """The cleaned log with z-scores (suffix _z) of the 8 machine features."""
+    from plantlens.operators.cluster import standardize
+    from plantlens.schema import MACHINE_FEATURES8
+    key = ("condz", sf)
+    cl = clean(spark, sf)
+    if key not in _MODELS:
+        _MODELS[key] = standardize(cl, MACHINE_FEATURES8, suffix="_z")[1]
+    stats = _MODELS[key]
+    from pyspark.sql import functions as F
+    z = {f"{c}_z": ((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(0.0) for c, (m, s) in stats.items()}
+    return cl.withColumns(z), [f"{c}_z" for c in MACHINE_FEATURES8]
+
+
+def condition_labels(spark: SparkSession, sf: str):
+    """K8 on the machine features: the cleaned log with ``cluster_efficiency_machine``."""
+    from plantlens.operators.cluster import lloyd, nearest
+    zdf, zcols = condition_z(spark, sf)
+    key = ("condk8", sf)
+    if key not in _MODELS:
+        _MODELS[key] = lloyd(zdf, zcols, CONDITION_K, LLOYD_ITERS, init_col="error_rate").centers
+    return zdf.withColumn(CONDITION_LABEL, nearest(zcols, _MODELS[key])), zcols
+
+
+def shift_z(spark: SparkSession, sf: str):
+    """The shift-level table (G1-G4) with z-scored efficiency columns."""
+    from plantlens.operators.cluster import standardize
+    from plantlens.operators.shift import shift_efficiency_table
+    from plantlens.schema import EFF4
+    t = shift_efficiency_table(clean(spark, sf))
+    key = ("shiftz", sf)
+    if key not in _MODELS:
+        _MODELS[key] = standardize(t, EFF4, suffix="_z")[1]
+    stats = _MODELS[key]
+    from pyspark.sql import functions as F
+    z = {f"{c}_z": ((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(0.0) for c, (m, s) in stats.items()}
+    return t.withColumns(z), [f"{c}_z" for c in EFF4]
+
+
+def shift_labels(spark: SparkSession, sf: str):
+    """K8 on the shift table: shift rows with ``shift_efficiency_cluster``."""
+    from plantlens.operators.cluster import lloyd, nearest
+    zdf, zcols = shift_z(spark, sf)
+    key = ("shiftk8", sf)
+    if key not in _MODELS:
+        _MODELS[key] = lloyd(zdf, zcols, SHIFT_K, LLOYD_ITERS, init_col="units_produced").centers
+    return zdf.withColumn(SHIFT_LABEL, nearest(zcols, _MODELS[key])), zcols
+
+
+def clear_models() -> None:
+    _MODELS.clear()

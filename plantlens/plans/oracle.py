@@ -66,3 +66,49 @@ def on_clean(select: str, *extra: str) -> str:
 
 
 ALL_NUMERIC_COLS = ALL_NUMERIC
+
+
+def zscore_sql(src: str, cols, name: str, suffix: str = "_z") -> str:
+    """CTE ``{name}``: ``src`` plus population z-scores of ``cols``."""
+    st = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    zs = ", ".join(f"CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 0.0E0 ELSE ({c} - m_{c}) / s_{c} END AS {c}{suffix}"
+                   for c in cols)
+    return f""",
+{name}_st AS (SELECT {st} FROM {src}),
+{name} AS (SELECT {src}.*, {zs} FROM {src} CROSS JOIN {name}_st)"""
+
+
+def _dist(cols, cref: str, j: int) -> str:
+    return " + ".join(f"({c} - {cref}.c{j}_{i}) * ({c} - {cref}.c{j}_{i})" for i, c in enumerate(cols))
+
+
+def _argmin(k: int) -> str:
+    parts = []
+    for j in range(k - 1):
+        cond = " AND ".join(f"d{j} <= d{j2}" for j2 in range(j + 1, k))
+        parts.append(f"WHEN {cond} THEN {j}")
+    return "CASE " + " ".join(parts) + f" ELSE {k - 1} END"
+
+
+def lloyd_sql(src: str, cols, k: int, iters: int, init_col: str, name: str) -> str:
+    """CTEs for deterministic Lloyd K-Means; ``{name}`` = src + ``lbl``."""
+    out = [f""",
+{name}_b AS (SELECT min({init_col}) AS lo, max({init_col}) AS hi FROM {src}),
+{name}_i AS (SELECT {src}.*, CASE WHEN hi = lo THEN 0 ELSE
+  CAST(least(floor(({init_col} - lo) / (hi - lo) * {float(k)}E0), {k - 1}) AS INTEGER) END AS lbl
+  FROM {src} CROSS JOIN {name}_b)"""]
+    cen = ", ".join(f"avg({c}) FILTER (WHERE lbl = {j}) AS c{j}_{i}" for j in range(k) for i, c in enumerate(cols))
+    out.append(f",\n{name}_c0 AS (SELECT {cen} FROM {name}_i)")
+    for t in range(1, iters + 2):
+        dists = ", ".join(f"{_dist(cols, 'c', j)} AS d{j}" for j in range(k))
+        out.append(f""",
+{name}_a{t} AS (SELECT * EXCLUDE ({', '.join(f'd{j}' for j in range(k))}) FROM
+  (SELECT s.*, {_argmin(k).replace('d', 'd')} AS lbl FROM
+    (SELECT {src}.*, {dists} FROM {src} CROSS JOIN {name}_c{t - 1} AS c) AS s) AS q)""")
+        if t <= iters:
+            cen = ", ".join(
+                f"coalesce((SELECT avg({c}) FROM {name}_a{t} WHERE lbl = {j}), p.c{j}_{i}) AS c{j}_{i}"
+                for j in range(k) for i, c in enumerate(cols))
+            out.append(f",\n{name}_c{t} AS (SELECT {cen} FROM {name}_c{t - 1} AS p)")
+    out.append(f",\n{name} AS (SELECT * FROM {name}_a{iters + 1})")
+    return "".join(out)

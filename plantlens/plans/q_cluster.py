@@ -1 +1,205 @@
-"""(filled in below)"""
+"""Registered queries F1-F12, K8, Q8, B13 (machine-condition clustering)."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from plantlens.operators import cluster as K
+from plantlens.operators.profile import transpose_long
+from plantlens.plans import context as ctx
+from plantlens.plans.context import CONDITION_K, CONDITION_LABEL as LBL, LLOYD_ITERS
+from plantlens.plans.oracle import lloyd_sql, on_clean, zscore_sql
+from plantlens.plans.registry import query, rnd, union
+from plantlens.schema import MACHINE_FEATURES8 as F8
+
+Z8 = [f"{c}_z" for c in F8]
+_CZ = zscore_sql("clean", F8, "cz")
+_CK = _CZ + lloyd_sql("cz", Z8, CONDITION_K, LLOYD_ITERS, "error_rate", "ck")
+
+
+def on_ck(select: str, *extra: str) -> str:
+    return on_clean(select, _CK, *extra)
+
+
+@query("zscore", rnd(on_clean(f"SELECT {', '.join(Z8)} FROM cz", _CZ), *Z8))
+def zscore(spark, sf):
+    """F1/F2: population z-scores of the 8 machine features."""
+    zdf, zcols = ctx.condition_z(spark, sf)
+    return zdf.select(*zcols)
+
+
+@query("kmeans_lloyd5", rnd(on_ck(f"""SELECT lbl AS {LBL}, count(*) AS "rows", {', '.join(f'avg({z}) AS {z}' for z in Z8)}
+FROM ck GROUP BY lbl"""), *Z8))
+def kmeans_lloyd5(spark, sf):
+    """K8: deterministic Lloyd K-Means (k=3, 5 iterations) on the z-scores:
+    cluster sizes and centroids in z units."""
+    lab, zcols = ctx.condition_labels(spark, sf)
+    return K.centroid_profile(lab, LBL, zcols)
+
+
+@query("centroid_profile", rnd(on_ck(f"""SELECT lbl AS {LBL}, count(*) AS "rows", {', '.join(f'avg({c}) AS {c}' for c in F8)}
+FROM ck GROUP BY lbl"""), *F8))
+def centroid_profile(spark, sf):
+    """mean of the 8 features per condition cluster (original units)."""
+    lab, _ = ctx.condition_labels(spark, sf)
+    return K.centroid_profile(lab, LBL, F8)
+
+
+@query("cluster_sizes", on_ck(f'SELECT lbl AS {LBL}, count(*) AS "rows" FROM ck GROUP BY lbl'))
+def cluster_sizes(spark, sf):
+    """observations per condition cluster."""
+    lab, _ = ctx.condition_labels(spark, sf)
+    return K.cluster_sizes(lab, LBL)
+
+
+@query("cluster_slice", rnd(on_ck(f"""SELECT strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", machine_id,
+  lbl AS {LBL}, {', '.join(F8)} FROM ck WHERE lbl = 0"""), *F8))
+def cluster_slice(spark, sf):
+    """the observations of condition cluster 0."""
+    lab, _ = ctx.condition_labels(spark, sf)
+    return (lab.filter(F.col(LBL) == 0)
+            .select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "machine_id", LBL, *F8))
+
+
+_NAMES = f"""SELECT {LBL}, CASE WHEN {LBL} = (SELECT lbl FROM p ORDER BY e DESC, lbl ASC LIMIT 1) THEN 'Critical'
+  WHEN {LBL} = (SELECT lbl FROM p WHERE lbl <> (SELECT lbl FROM p ORDER BY e DESC, lbl ASC LIMIT 1)
+                ORDER BY o ASC, lbl ASC LIMIT 1) THEN 'Degrading' ELSE 'Healthy' END AS condition,
+  e AS error_rate_z, o AS oil_level_z
+FROM (SELECT lbl AS {LBL}, e, o FROM p) AS q"""
+_P = ",\np AS (SELECT lbl, avg(error_rate_z) AS e, avg(oil_level_z) AS o FROM ck GROUP BY lbl)"
+
+
+def _condition_names(spark, sf):
+    lab, zcols = ctx.condition_labels(spark, sf)
+    prof = K.centroid_profile(lab, LBL, ["error_rate_z", "oil_level_z"])
+    rows = {r[LBL]: {"error_rate": r["error_rate_z"], "oil_level": r["oil_level_z"]} for r in prof.collect()}
+    return prof, K.name_condition(rows)
+
+
+@query("condition_names", rnd(on_ck(_NAMES, _P), "error_rate_z", "oil_level_z"))
+def condition_names(spark, sf):
+    """canonical condition names by centroid rank (highest error ->
+    Critical; lower oil of the rest -> Degrading; else Healthy)."""
+    prof, names = _condition_names(spark, sf)
+    return K.names_frame(prof, LBL, names, "condition").select(LBL, "condition", "error_rate_z", "oil_level_z")
+
+
+@query("centroids_transposed", rnd(on_ck(union(*[
+    f"""SELECT '{c}' AS measure, {', '.join(f'avg({c}) FILTER (WHERE lbl = {j}) AS {LBL}_{j}'
+                                         for j in range(CONDITION_K))} FROM ck""" for c in F8])),
+    *[f"{LBL}_{j}" for j in range(CONDITION_K)]))
+def centroids_transposed(spark, sf):
+    """The centroid profile turned sideways (one row per feature)."""
+    lab, _ = ctx.condition_labels(spark, sf)
+    prof = K.centroid_profile(lab, LBL, F8).drop("rows")
+    return transpose_long(prof, LBL, F8)
+
+
+@query("defect_rate_by_condition", rnd(on_ck(f"""SELECT lbl AS {LBL}, avg(defect_count) AS avg_defect_count,
+  count(*) AS "rows" FROM ck GROUP BY lbl"""), "avg_defect_count"))
+def defect_rate_by_condition(spark, sf):
+    """Q8: mean defect count per condition cluster."""
+    lab, _ = ctx.condition_labels(spark, sf)
+    return lab.groupBy(LBL).agg(F.avg("defect_count").alias("avg_defect_count"), F.count(F.lit(1)).alias("rows"))
+
+
+def _silhouette_sql(src: str, zcols, k: int) -> str:
+    sq = " + ".join(f"{z} * {z}" for z in zcols)
+    stats = ", ".join(
+        f"count(*) FILTER (WHERE lbl = {j}) AS n{j}, sum({sq}) FILTER (WHERE lbl = {j}) AS y{j}, "
+        + ", ".join(f"sum({z}) FILTER (WHERE lbl = {j}) AS s{j}_{i}" for i, z in enumerate(zcols))
+        for j in range(k))
+    dists = ", ".join(
+        f"({sq}) + y{j} / n{j} - 2.0E0 * ({' + '.join(f'{z} * s{j}_{i}' for i, z in enumerate(zcols))}) / n{j} AS d{j}"
+        for j in range(k))
+    a = "CASE " + " ".join(f"WHEN lbl = {j} THEN d{j} * n{j} / (n{j} - 1)" for j in range(k)) + " END"
+    b = "CASE " + " ".join(
+        f"WHEN lbl = {j} THEN " + (f"least({', '.join(f'd{o}' for o in range(k) if o != j)})" if k > 2
+                                   else f"d{1 - j}") for j in range(k)) + " END"
+    own = "CASE " + " ".join(f"WHEN lbl = {j} THEN n{j}" for j in range(k)) + " END"
+    return f""",
+sil_st AS (SELECT {stats} FROM {src}),
+sil_d AS (SELECT lbl, {dists}, sil_st.* FROM {src} CROSS JOIN sil_st),
+sil_ab AS (SELECT {a} AS a, {b} AS b, {own} AS n_own FROM sil_d)"""
+
+
+_SIL = "SELECT avg(CASE WHEN n_own <= 1 THEN 0.0E0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM sil_ab"
+
+
+@query("silhouette_sq", rnd(on_ck(_SIL, _silhouette_sql("ck", Z8, CONDITION_K)), "silhouette"))
+def silhouette_sq(spark, sf):
+    """squared-Euclidean mean silhouette of the K8 condition clusters (O(n k))."""
+    lab, zcols = ctx.condition_labels(spark, sf)
+    return K.silhouette_sq(lab, zcols, LBL)
+
+
+def _db_sql(src: str, zcols, k: int) -> str:
+    cents = ", ".join(f"avg({z}) AS m{i}" for i, z in enumerate(zcols))
+    dist = " + ".join(f"({z} - c.m{i}) * ({z} - c.m{i})" for i, z in enumerate(zcols))
+    mdist = " + ".join(f"(a.m{i} - b.m{i}) * (a.m{i} - b.m{i})" for i in range(len(zcols)))
+    return f""",
+db_c AS (SELECT lbl, {cents} FROM {src} GROUP BY lbl),
+db_s AS (SELECT s.lbl, avg(sqrt({dist})) AS sp FROM {src} AS s JOIN db_c AS c ON c.lbl = s.lbl GROUP BY s.lbl),
+db_r AS (SELECT a.lbl, max((sa.sp + sb.sp) / sqrt({mdist})) AS r FROM db_c a JOIN db_c b ON a.lbl <> b.lbl
+         JOIN db_s sa ON sa.lbl = a.lbl JOIN db_s sb ON sb.lbl = b.lbl GROUP BY a.lbl)"""
+
+
+@query("davies_bouldin", rnd(on_ck("SELECT avg(r) AS davies_bouldin FROM db_r", _db_sql("ck", Z8, CONDITION_K)),
+                             "davies_bouldin"))
+def davies_bouldin(spark, sf):
+    """Davies-Bouldin index of the K8 condition clusters."""
+    lab, zcols = ctx.condition_labels(spark, sf)
+    return K.davies_bouldin(lab, zcols, LBL)
+
+
+# ------------------------------------------------ Spark ML (property checks)
+
+def _vectors(spark, sf):
+    zdf, zcols = ctx.condition_z(spark, sf)
+    return K.assemble(zdf.select(*zcols, *F8, "defect_count"), zcols), zcols
+
+
+@query("inertia_curve", kind="P")
+def inertia_curve(spark, sf):
+    """elbow curve, k = 1..10 (Spark ML K-Means, seed 42; k = 1 closed form)."""
+    vec, zcols = _vectors(spark, sf)
+    vec = vec.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = vec.count()
+        # z-scores have mean 0 and population variance 1 (or 0 if constant)
+        stats = ctx._MODELS[("condz", sf)]
+        total = float(n) * sum(1.0 for c, (_, s) in stats.items() if s)
+        curve = K.inertia_curve(vec, range(1, 11), seed=42, total_ss=total)
+    finally:
+        vec.unpersist()
+    return spark.createDataFrame([(int(k), float(v)) for k, v in curve], "k int, inertia double")
+
+
+@query("machine_condition", kind="P")
+def machine_condition(spark, sf):
+    """Spark ML K-Means k=3, best of 10 seeds (42..51), canonical names
+    and the cluster profile in original units."""
+    vec, zcols = _vectors(spark, sf)
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = K.kmeans_best(vec, CONDITION_K, range(42, 52))
+        lab = model.transform(vec).withColumnRenamed("prediction", LBL)
+        prof = K.centroid_profile(lab, LBL, F8 + zcols + ["defect_count"])
+        rows = {r[LBL]: {"error_rate": r["error_rate_z"], "oil_level": r["oil_level_z"]} for r in prof.collect()}
+        out = K.names_frame(prof, LBL, K.name_condition(rows), "condition")
+        out = out.select("condition", "rows", *F8, F.col("defect_count").alias("avg_defect_count"))
+    finally:
+        vec.unpersist()
+    return out
+
+
+@query("pca_scores", kind="P")
+def pca_scores(spark, sf):
+    """F8: first two principal components of the z-scores with the K8 label."""
+    lab, zcols = ctx.condition_labels(spark, sf)
+    vec = K.assemble(lab.select(*zcols, LBL), zcols)
+    model, signs = K.pca2(vec)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array(model.transform(vec)["_pca"])
+    return model.transform(vec).select((arr[0] * signs[0]).alias("PCA1"), (arr[1] * signs[1]).alias("PCA2"), LBL)
