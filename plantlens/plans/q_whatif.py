@@ -1 +1,135 @@
-"""(filled in below)"""
+"""Registered queries W1-W8 (driver model and what-if) on the cleaned log."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plantlens.operators import whatif as W
+from plantlens.plans import context as ctx
+from plantlens.plans.oracle import on_clean
+from plantlens.plans.registry import query, rnd, union
+from plantlens.schema import RF_FEATURES11 as FEATS
+
+TARGET = "units_produced"
+SCEN_KEYS = ["machine_id", "shift"]
+_MODEL: dict = {}
+
+
+def scenarios(df: DataFrame, keys=SCEN_KEYS) -> DataFrame:
+    """Scenario rows derived from the data: mean feature vector per
+    (machine, shift) and overall (the simulator's default sliders), one
+    grouping-sets pass."""
+    keys = list(keys)
+    g = df.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
+        F.grouping_id().alias("_gid"), *[F.avg(f).alias(f) for f in FEATS])
+    return g.select(F.when(F.col("_gid") == 0, F.concat_ws("|", *keys)).otherwise(F.lit("ALL")).alias("scenario"),
+                    *FEATS)
+
+
+def _levels(spark, sf):
+    lvl, edges = W.qcut(ctx.clean(spark, sf), TARGET, 3, "drop")
+    return lvl, edges
+
+
+def _model(spark, sf):
+    key = (sf, TARGET)
+    if key not in _MODEL:
+        lvl, _ = _levels(spark, sf)
+        data = lvl.select(*FEATS, "level").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _MODEL[key] = W.fit_driver(data, FEATS)
+        finally:
+            data.unpersist()
+    return _MODEL[key]
+
+
+_QCUT_CTE = f""",
+qe AS (SELECT min({TARGET}) AS e0, quantile_cont({TARGET}, 1.0E0 / 3.0E0) AS e1,
+              quantile_cont({TARGET}, 2.0E0 / 3.0E0) AS e2, max({TARGET}) AS e3 FROM clean),
+qu AS (SELECT DISTINCT e FROM (SELECT unnest([e0, e1, e2, e3]) AS e FROM qe) AS u),
+qi AS (SELECT list(e ORDER BY e) AS edges FROM qu)"""
+
+
+@query("qcut_units", on_clean(f"""SELECT {TARGET}, CAST(lvl AS INTEGER) AS level,
+  CASE lvl WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' END AS level_name, count(*) AS "rows"
+FROM (SELECT {TARGET}, (SELECT count(*) FROM (SELECT unnest(edges[2:len(edges) - 1]) AS e FROM qi) AS ie
+                       WHERE {TARGET} > ie.e) AS lvl FROM clean) AS l
+GROUP BY {TARGET}, lvl""", _QCUT_CTE))
+def qcut_units(spark, sf):
+    """Units produced cut into tertile levels (right-closed, repeated
+    edges dropped), with the level names."""
+    lvl, _ = _levels(spark, sf)
+    return lvl.groupBy(TARGET, "level").agg(F.count(F.lit(1)).alias("rows")).select(
+        TARGET, "level", W.level_name(F.col("level")).alias("level_name"), "rows")
+
+
+@query("feature_ranges", rnd(on_clean(union(*[
+    f"""SELECT '{c}' AS feature, CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max",
+  avg({c}) AS mean FROM clean""" for c in FEATS])), '"min"', '"max"', "mean"))
+def feature_ranges(spark, sf):
+    """Min, max and mean of the 11 model features."""
+    return W.feature_ranges(ctx.clean(spark, sf), FEATS)
+
+
+_SCEN_SQL = f""",
+scen AS (SELECT machine_id || '|' || shift AS scenario, {', '.join(f'avg({f}) AS {f}' for f in FEATS)}
+         FROM clean GROUP BY machine_id, shift
+         UNION ALL SELECT 'ALL', {', '.join(f'avg({f})' for f in FEATS)} FROM clean),
+vars AS (SELECT * FROM (VALUES {', '.join(f"('{f}')" for f in FEATS)}) AS v(variable))"""
+_PICK = "CASE variable " + " ".join(f"WHEN '{f}' THEN {f}" for f in FEATS) + " END"
+
+
+@query("scenario_bumps", rnd(on_clean(f"""SELECT scenario, variable, {_PICK} AS original,
+  ({_PICK}) * 1.1E0 AS bumped FROM scen CROSS JOIN vars""", _SCEN_SQL), "original", "bumped"))
+def scenario_bumps(spark, sf):
+    """W6 input: every scenario with each feature raised by 10 % alone."""
+    return W.bumps(scenarios(ctx.clean(spark, sf)), FEATS).select("scenario", "variable", "original", "bumped")
+
+
+@query("driver_model_metrics", kind="P")
+def driver_model_metrics(spark, sf):
+    """Held-out accuracy of the random forest (80/20 split, seed 42)."""
+    lvl, edges = _levels(spark, sf)
+    data = lvl.select(*FEATS, "level").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = data.randomSplit([0.8, 0.2], seed=42)
+        model = W.fit_driver(train, FEATS)
+        pred = model.transform(test)
+        r = pred.agg(F.count(F.lit(1)).alias("n"),
+                     F.avg((F.col("prediction").cast("int") == F.col("level")).cast("double")).alias("acc")).first()
+        n_train = train.count()
+    finally:
+        data.unpersist()
+    return spark.createDataFrame([(TARGET, len(edges) - 1, int(n_train), int(r["n"]), float(r["acc"] or 0.0))],
+                                 "target string, levels int, train_rows long, test_rows long, accuracy double")
+
+
+@query("driver_importance", kind="P")
+def driver_importance(spark, sf):
+    """Feature importances of the forest fitted on every row."""
+    return spark.createDataFrame(W.importance(_model(spark, sf), FEATS), "feature string, importance double")
+
+
+@query("scenario_scores", kind="P")
+def scenario_scores(spark, sf):
+    """Predicted level of every scenario row."""
+    return W.score(_model(spark, sf), scenarios(ctx.clean(spark, sf))).select(
+        "scenario", "predicted", "predicted_level")
+
+
+def _sens(spark, sf):
+    return W.sensitivity(_model(spark, sf), scenarios(ctx.clean(spark, sf)), FEATS)
+
+
+@query("sensitivity_10pct", kind="P")
+def sensitivity_10pct(spark, sf):
+    """Level before and after +10 % on each feature, per scenario."""
+    return _sens(spark, sf).select("scenario", "variable", "original_level", "after_level", "changed")
+
+
+@query("sensitivity_flip_rate", kind="P")
+def sensitivity_flip_rate(spark, sf):
+    """Per variable the share of scenarios whose level flips."""
+    return W.flip_rate(_sens(spark, sf))
