@@ -1 +1,103 @@
-"""(filled in below)"""
+"""Registered streaming queries S1-S6.
+
+Each one drains the plant stream with ``trigger(availableNow=True)`` into a
+parquet sink in the shared folder and returns the sink as a table.  The
+batch oracles keep only windows the final watermark has closed
+(``window_end <= max(ts) - 10 minutes``); open windows are not emitted in
+append mode.
+"""
+
+from __future__ import annotations
+
+from plantlens.plans import context as ctx
+from plantlens.plans.oracle import on_clean, on_plant
+from plantlens.plans.q_cluster import _CK
+from plantlens.plans.registry import query, rnd
+from plantlens.schema import MACHINE_FEATURES8
+from plantlens.streaming import stream as S
+
+FMT = "'%Y-%m-%d %H:%M:%S'"
+CLOSED = """(SELECT max("timestamp") FROM plant) - INTERVAL '10' MINUTE"""
+_KPI_SEL = f"""machine_id, strftime(ws, {FMT}) AS window_start, strftime(ws + INTERVAL '1' HOUR, {FMT}) AS window_end,
+  count(*) AS "rows", CAST(sum(units_produced) AS BIGINT) AS total_units,
+  CAST(sum(defect_count) AS BIGINT) AS total_defects, sum(downtime) AS total_downtime,
+  count(*) FILTER (WHERE downtime > 0) AS downtime_freq,
+  (count(*) - count(*) FILTER (WHERE downtime > 0)) / count(*) AS availability,
+  CAST(sum(units_produced) - sum(defect_count) AS DOUBLE) / nullif(sum(units_produced), 0) AS quality"""
+
+
+@query("stream_kpi", rnd(on_plant(f"""SELECT {_KPI_SEL}
+FROM (SELECT *, date_trunc('hour', "timestamp") AS ws FROM plant) AS p
+GROUP BY machine_id, ws HAVING ws + INTERVAL '1' HOUR <= {CLOSED}"""),
+    "total_downtime", "availability", "quality"), kind="S")
+def stream_kpi(spark, sf):
+    """Hourly KPIs per machine on the stream (watermark 10 minutes)."""
+    return S.run_to_table(spark, S.stream_kpi(S.plant_stream(spark, sf)), "kpi")
+
+
+_ALARM = on_plant(f"""SELECT machine_id, strftime(ws, {FMT}) AS window_start,
+  strftime(ws + INTERVAL '1' HOUR, {FMT}) AS window_end, count(*) AS "rows",
+  count(*) FILTER (WHERE downtime > 0) AS down_rows,
+  count(*) FILTER (WHERE downtime > 0) / count(*) AS down_share,
+  count(*) FILTER (WHERE downtime > 0) / count(*) > 0.4E0 AS alarm
+FROM (SELECT p.*, time_bucket(INTERVAL '15' MINUTE, "timestamp") - INTERVAL '15' MINUTE * k.k AS ws
+      FROM plant p CROSS JOIN range(4) AS k(k)) AS s
+GROUP BY machine_id, ws HAVING ws + INTERVAL '1' HOUR <= {CLOSED}""")
+
+
+@query("stream_alarm", rnd(_ALARM, "down_share"), kind="S")
+def stream_alarm(spark, sf):
+    """Sliding 1-hour downtime share per machine every 15 minutes, with alarm flag."""
+    return S.run_to_table(spark, S.stream_alarm(S.plant_stream(spark, sf)), "alarm")
+
+
+_EPIS = on_plant(f"""SELECT machine_id, strftime(min(t), {FMT}) AS episode_start,
+  strftime(max(t) + INTERVAL '10' MINUTE, {FMT}) AS episode_end, count(*) AS "rows", sum(downtime) AS total_downtime
+FROM (SELECT *, sum(nw) OVER (PARTITION BY machine_id ORDER BY t, nw DESC ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT *, CASE WHEN lag(t) OVER (PARTITION BY machine_id ORDER BY t) IS NULL
+                  OR t - lag(t) OVER (PARTITION BY machine_id ORDER BY t) > INTERVAL '10' MINUTE THEN 1 ELSE 0 END
+                  AS nw
+            FROM (SELECT machine_id, "timestamp" AS t, downtime FROM plant WHERE downtime > 0) AS d) AS g) AS s
+GROUP BY machine_id, sid
+HAVING max(t) + INTERVAL '10' MINUTE <= {CLOSED}""")
+
+
+@query("stream_episodes", rnd(_EPIS, "total_downtime"), kind="S")
+def stream_episodes(spark, sf):
+    """S3: downtime episodes per machine (session windows, gap 10 minutes)."""
+    return S.run_to_table(spark, S.stream_episodes(S.plant_stream(spark, sf)), "episodes")
+
+
+@query("stream_tag", on_clean(f"""SELECT strftime("timestamp", {FMT}) AS "timestamp", machine_id, line_id,
+  lbl AS cluster_efficiency_machine FROM ck""", _CK), kind="S")
+def stream_tag(spark, sf):
+    """Live clean + condition tag with the frozen batch statistics."""
+    cl = ctx.cleaned(spark, sf)
+    ctx.condition_labels(spark, sf)
+    zstats = ctx._MODELS[("condz", sf)]
+    centers = ctx._MODELS[("condk8", sf)]
+    tagged = S.stream_tag(S.plant_stream(spark, sf), cl.means, cl.bounds, zstats, centers, MACHINE_FEATURES8)
+    return S.run_to_table(spark, tagged, "tag")
+
+
+@query("stream_dedup", on_plant(f"""SELECT DISTINCT machine_id, strftime("timestamp", {FMT}) AS "timestamp"
+FROM plant"""), kind="S")
+def stream_dedup(spark, sf):
+    """Readings deduplicated on (machine, time) within the watermark."""
+    return S.run_to_table(spark, S.stream_dedup(S.plant_stream(spark, sf)), "dedup")
+
+
+_SHIFT_SEL = f"""shift_instance_id, machine_id, line_id, strftime(ws, {FMT}) AS window_start,
+  strftime(ws + INTERVAL '1' DAY, {FMT}) AS window_end, CAST(sum(units_produced) AS BIGINT) AS units_produced,
+  sum(downtime) AS downtime, avg(error_rate) AS error_rate, avg(cycle_time) AS cycle_time, count(*) AS "rows\""""
+
+
+@query("stream_shift", rnd(on_plant(f"""SELECT {_SHIFT_SEL}
+FROM (SELECT *, date_trunc('day', "timestamp") AS ws,
+        CAST(CAST("timestamp" AS DATE) AS VARCHAR) || '_' || shift AS shift_instance_id FROM plant) AS p
+GROUP BY shift_instance_id, machine_id, line_id, ws
+HAVING ws + INTERVAL '1' DAY <= {CLOSED}"""),
+    "downtime", "error_rate", "cycle_time"), kind="S")
+def stream_shift(spark, sf):
+    """Shift-instance totals per machine and line in daily windows."""
+    return S.run_to_table(spark, S.stream_shift(S.plant_stream(spark, sf)), "shift")
