@@ -201,5 +201,5 @@ def pca_scores(spark, sf):
     vec = K.assemble(lab.select(*zcols, LBL), zcols)
     model, signs = K.pca2(vec)
     from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(model.transform(vec)["_pca"])
+    arr = vector_to_array(F.col("_pca"))
     return model.transform(vec).select((arr[0] * signs[0]).alias("PCA1"), (arr[1] * signs[1]).alias("PCA2"), LBL)
