@@ -1,69 +1,119 @@
-"""Per-directory inputs of the registered queries: raw, imputed and cleaned log.
-
-Cleaning needs two scalar passes (column means, quartiles).  Their results
-are a few dozen numbers, kept per input directory like a fitted model, so a
-session running many reports pays for them once; the DataFrames themselves
-stay lazy and are rebuilt in the caller's session.
+"""Inputs of the registered queries: the raw, imputed and cleaned log.
+
+Layout (medallion style, all in the cluster's shared ``spark.checkpoint.dir``):
+
+* bronze: the raw plant log derived from the driver's tables, written once
+  as parquet (the three-way join runs once, not once per report);
+* silver: the cleaned log (means imputed, 14 sensors clipped to their IQR
+  fences), written once from bronze;
+* the scalars of the clean step (column means, quartile fences) and of the
+  model fits (z-score stats, K8 centres) are kept with the tables, like a
+  fitted model.
+
+Reports read these tables (column-pruned parquet scans) and stay lazy.  A
+written table also cuts lineage: a lost executor re-reads parquet instead of
+recomputing joins.  The memo is keyed by the input directory and the size
+and mtime of its files, so changed inputs are rebuilt.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plantlens.operators.clean import Cleaned, impute_mean, iqr_bounds, col_means, winsorize
+from plantlens.operators.clean import Cleaned, col_means, impute_mean, iqr_bounds, winsorize
 from plantlens.schema import ALL_NUMERIC, CLIP14
+from plantlens.session import scratch_path
 from plantlens.sources.plant import plant_log
 
-_STATS: dict[str, tuple] = {}
+_STATS: dict[tuple, dict] = {}
+_MODELS: dict[tuple, object] = {}
+
+CONDITION_K, SHIFT_K, LLOYD_ITERS = 3, 2, 5
+CONDITION_LABEL, SHIFT_LABEL = "cluster_efficiency_machine", "shift_efficiency_cluster"
+
+
+def clear_models() -> None:
+    """Forget fitted scalars (z stats, K8 centres); keep the written tables."""
+    _MODELS.clear()
 
 
 def clear_memo() -> None:
+    """Forget everything, including the bronze/silver tables."""
     _STATS.clear()
     _MODELS.clear()
 
 
+def _key(sf: str) -> tuple:
+    sig = []
+    for t in ("lineitem", "orders", "part"):
+        p = f"{sf}/{t}.parquet"
+        try:
+            st = os.stat(p)
+            sig.append((t, st.st_size, int(st.st_mtime)))
+        except OSError:  # remote storage: the path is the key
+            sig.append((t, None, None))
+    return (sf.rstrip("/"), tuple(sig))
+
+
+def build(spark: SparkSession, sf: str) -> dict:
+    """Write bronze and silver for ``sf`` and compute the clean scalars."""
+    bronze_path = scratch_path(spark, "bronze")
+    plant_log(spark, sf).write.mode("overwrite").parquet(bronze_path)
+    bronze = spark.read.parquet(bronze_path)
+    means = col_means(bronze, ALL_NUMERIC)
+    imputed = impute_mean(bronze, means=means)
+    bounds = iqr_bounds(imputed, CLIP14)
+    silver_path = scratch_path(spark, "silver")
+    winsorize(imputed, CLIP14, bounds).write.mode("overwrite").parquet(silver_path)
+    return {"bronze": bronze_path, "silver": silver_path, "means": means, "bounds": bounds}
+
+
+def _tables(spark: SparkSession, sf: str) -> dict:
+    k = _key(sf)
+    if k not in _STATS:
+        _STATS[k] = build(spark, sf)
+    return _STATS[k]
+
+
 def plant(spark: SparkSession, sf: str) -> DataFrame:
-    return plant_log(spark, sf)
+    """The raw log (bronze)."""
+    return spark.read.parquet(_tables(spark, sf)["bronze"])
 
 
 def cleaned(spark: SparkSession, sf: str) -> Cleaned:
-    raw = plant_log(spark, sf)
-    if sf not in _STATS:
-        means = col_means(raw, ALL_NUMERIC)
-        bounds = iqr_bounds(impute_mean(raw, means=means), CLIP14)
-        _STATS[sf] = (means, bounds)
-    means, bounds = _STATS[sf]
-    imputed = impute_mean(raw, means=means)
-    return Cleaned(winsorize(imputed, CLIP14, bounds), imputed, means, bounds)
+    t = _tables(spark, sf)
+    bronze = spark.read.parquet(t["bronze"])
+    return Cleaned(spark.read.parquet(t["silver"]), impute_mean(bronze, means=t["means"]), t["means"], t["bounds"])
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned log (silver)."""
     return cleaned(spark, sf).df
 
 
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw log with NULL sensors mean-filled (a projection of bronze)."""
     return cleaned(spark, sf).imputed
 
 
 # ------------------------------------------------------------- clusterings
 
-CONDITION_K, SHIFT_K, LLOYD_ITERS = 3, 2, 5
-CONDITION_LABEL, SHIFT_LABEL = "cluster_efficiency_machine", "shift_efficiency_cluster"
-_MODELS: dict[tuple, tuple] = {}
+def _z(df: DataFrame, stats: dict) -> dict:
+    return {f"{c}_z": ((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(0.0) for c, (m, s) in stats.items()}
 
 
 def condition_z(spark: SparkSession, sf: str):
     """The cleaned log with z-scores (suffix _z) of the 8 machine features."""
     from plantlens.operators.cluster import standardize
     from plantlens.schema import MACHINE_FEATURES8
-    key = ("condz", sf)
     cl = clean(spark, sf)
+    key = ("condz", sf)
     if key not in _MODELS:
         _MODELS[key] = standardize(cl, MACHINE_FEATURES8, suffix="_z")[1]
-    stats = _MODELS[key]
-    from pyspark.sql import functions as F
-    z = {f"{c}_z": ((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(0.0) for c, (m, s) in stats.items()}
-    return cl.withColumns(z), [f"{c}_z" for c in MACHINE_FEATURES8]
+    return cl.withColumns(_z(cl, _MODELS[key])), [f"{c}_z" for c in MACHINE_FEATURES8]
 
 
 def condition_labels(spark: SparkSession, sf: str):
@@ -85,10 +135,7 @@ def shift_z(spark: SparkSession, sf: str):
     key = ("shiftz", sf)
     if key not in _MODELS:
         _MODELS[key] = standardize(t, EFF4, suffix="_z")[1]
-    stats = _MODELS[key]
-    from pyspark.sql import functions as F
-    z = {f"{c}_z": ((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(0.0) for c, (m, s) in stats.items()}
-    return t.withColumns(z), [f"{c}_z" for c in EFF4]
+    return t.withColumns(_z(t, _MODELS[key])), [f"{c}_z" for c in EFF4]
 
 
 def shift_labels(spark: SparkSession, sf: str):
@@ -99,7 +146,3 @@ def shift_labels(spark: SparkSession, sf: str):
     if key not in _MODELS:
         _MODELS[key] = lloyd(zdf, zcols, SHIFT_K, LLOYD_ITERS, init_col="units_produced").centers
     return zdf.withColumn(SHIFT_LABEL, nearest(zcols, _MODELS[key])), zcols
-
-
-def clear_models() -> None:
-    _MODELS.clear()
