@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantlens.functions.stats import quantiles
+from plantlens.functions.stats import column_stats, quantiles
 from plantlens.operators.clean import numeric_columns
 
 
@@ -42,19 +42,17 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "ex
     one row per column (the dashboard's transposed form)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     qs = quantiles(df, cols, [0.25, 0.5, 0.75], method=method)
-    aggs = []
+    v = F.col("v")
+    st = column_stats(df, cols, {"n": F.count(v), "m": F.avg(v), "s": F.stddev_samp(v),
+                                 "lo": F.min(v), "hi": F.max(v)})
+    rows = []
     for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"),
-                 F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}")]
-
-    def dbl(v):
-        return F.lit(v).cast("double")
-    return _long(df.agg(*aggs), [F.struct(
-        F.lit(c).alias("column"), F.col(f"n_{c}").alias("count"), F.col(f"m_{c}").alias("mean"),
-        F.col(f"s_{c}").alias("std"), F.col(f"lo_{c}").alias("min"), dbl(qs[c][0]).alias("q25"),
-        dbl(qs[c][1]).alias("q50"), dbl(qs[c][2]).alias("q75"), F.col(f"hi_{c}").alias("max"))
-        for c in cols])
+        r = st.get(c)
+        rows.append((c, r["n"] if r else 0, r["m"] if r else None, r["s"] if r else None,
+                     r["lo"] if r else None, qs[c][0], qs[c][1], qs[c][2], r["hi"] if r else None))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, q25 double, q50 double, "
+              "q75 double, max double")
 
 
 def column_info(df: DataFrame, exact: bool = True) -> DataFrame:
