@@ -209,3 +209,18 @@ def defect_rate_by_dim(spark, sf):
     """Q4-Q7: mean defect count by machine type, machine, lubrication status
     and product type (one grouping-sets pass)."""
     return K.defect_rate_by(ctx.clean(spark, sf), _DEFECT_DIMS)
+
+
+@query("oee_minutes", rnd(on_clean("""SELECT *, availability * performance_ref * quality AS oee_ref,
+  availability * performance_norm * quality AS oee_norm FROM (
+  SELECT count(*) AS "rows", CAST(sum(units_produced) AS BIGINT) AS total_units,
+    CAST(sum(defect_count) AS BIGINT) AS total_defects,
+    count(*) * 60.0E0 - sum(downtime) AS run_time,
+    (count(*) * 60.0E0 - sum(downtime)) / nullif(count(*) * 60.0E0, 0) AS availability,
+    120.0E0 * sum(units_produced) / nullif(count(*) * 60.0E0 - sum(downtime), 0) AS performance_ref,
+    120.0E0 * sum(units_produced) / nullif(count(*) * 60.0E0 - sum(downtime), 0) / 60.0E0 AS performance_norm,
+    (sum(units_produced) - sum(defect_count)) / nullif(sum(units_produced), 0) AS quality
+  FROM clean) AS o"""), *OEE_DOUBLES))
+def oee_minutes(spark, sf):
+    """E2 (minutes mode): every row is one hour and ``downtime`` its lost minutes."""
+    return K.oee(ctx.clean(spark, sf), mode="minutes")

@@ -59,7 +59,8 @@ FROM (SELECT *, sum(nw) OVER (PARTITION BY machine_id ORDER BY t, nw DESC ROWS U
                   AS nw
             FROM (SELECT machine_id, "timestamp" AS t, downtime FROM plant WHERE downtime > 0) AS d) AS g) AS s
 GROUP BY machine_id, sid
-HAVING max(t) + INTERVAL '10' MINUTE <= {CLOSED}""")
+HAVING max(t) + INTERVAL '10' MINUTE <=
+  (SELECT max("timestamp") FROM plant WHERE downtime > 0) - INTERVAL '10' MINUTE""")
 
 
 @query("stream_episodes", rnd(_EPIS, "total_downtime"), kind="S")

@@ -93,8 +93,10 @@ def stream_episodes(sdf: DataFrame, gap: str = "10 minutes", watermark: str = "1
                     key: str = "machine_id") -> DataFrame:
     """S3: downtime episodes per machine: readings with downtime > 0 at most
     ``gap`` apart belong to one session window (a session [t, t + gap) merges
-    with a reading at its end); an episode ends ``gap`` after its last reading."""
-    s = sdf.withWatermark("event_time", watermark).filter(F.col("downtime") > 0)
+    with a reading at its end); an episode ends ``gap`` after its last reading.
+    The watermark tracks the downtime readings (Spark pushes the filter below
+    the watermark anyway, so it is written in that order)."""
+    s = sdf.filter(F.col("downtime") > 0).withWatermark("event_time", watermark)
     agg = s.groupBy(F.session_window("event_time", gap).alias("session"), key).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("downtime").alias("total_downtime"))
     return agg.select(key, instant_text(F.col("session.start")).alias("episode_start"),

@@ -23,10 +23,12 @@ def t(h, m=0):
 
 
 def test_late_reading_dropped(spark):
+    # Spark judges lateness against the previous batch's watermark, so the late
+    # reading arrives in the third micro-batch (one file per batch).
     src = scratch_path(spark, "late-src")
     _write(spark, src, [("M1", t(9, 5), 1, 0, 0.0), ("M1", t(10, 30), 1, 0, 2.0)])
-    _write(spark, src, [("M1", t(9, 10), 5, 0, 0.0),          # late: watermark is 10:20
-                        ("M1", t(12, 0), 1, 0, 0.0)])
+    _write(spark, src, [("M1", t(12, 0), 1, 0, 0.0)])
+    _write(spark, src, [("M1", t(9, 10), 5, 0, 0.0)])           # late: watermark is 10:20
     out = _drain(spark, src, S.stream_kpi)
     rows = {r["window_start"]: r for r in out.collect()}
     assert rows["2024-01-01 09:00:00"]["total_units"] == 1   # the 09:10 reading never counted
@@ -46,7 +48,7 @@ def test_dedup_across_batches(spark):
 def test_episode_gap_rule(spark):
     src = scratch_path(spark, "epi-src")
     _write(spark, src, [("M1", t(8, 0), 0, 0, 1.0), ("M1", t(8, 10), 0, 0, 1.0), ("M1", t(8, 21), 0, 0, 1.0),
-                        ("M1", t(8, 22), 0, 0, 0.0), ("M1", t(12, 0), 0, 0, 0.0)])
+                        ("M1", t(8, 22), 0, 0, 0.0), ("M1", t(12, 0), 0, 0, 3.0)])
     out = _drain(spark, src, S.stream_episodes)
     eps = sorted((r["episode_start"], r["rows"]) for r in out.collect())
     assert eps == [("2024-01-01 08:00:00", 2), ("2024-01-01 08:21:00", 1)]
