@@ -174,3 +174,40 @@ def clean_summary(cl: Cleaned, cols: Sequence[str] = CLIP14) -> DataFrame:
                              F.col(f"lo_{c}").cast("long").alias("n_clipped_low"),
                              F.col(f"hi_{c}").cast("long").alias("n_clipped_high")))
     return cl.imputed.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def box_stats_by(df: DataFrame, cols: Sequence[str], by: str, method: str = "exact") -> DataFrame:
+    """C5 grouped: box-plot statistics per (group, column) for a categorical
+    ``by`` with few values (a box plot per category).  Each (group, column)
+    becomes a virtual column ``CASE WHEN by = g THEN x END`` for the exact
+    bounded-memory quantiles (no group is ever collected into one task), then
+    one aggregation by group computes whiskers and fliers against the group's
+    fences (looked up from a literal map)."""
+    cols = list(cols)
+    groups = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect())
+    virt = {(g, c): f"__{i}_{j}" for i, g in enumerate(groups) for j, c in enumerate(cols)}
+    vdf = df.select(*[F.when(F.col(by) == F.lit(g), F.col(c)).alias(v) for (g, c), v in virt.items()])
+    qs = quantiles(vdf, list(virt.values()), [0.25, 0.5, 0.75], method=method)
+    key = F.col(by)
+    aggs, rows = [], []
+    for j, c in enumerate(cols):
+        lo = F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(Bounds(qs[virt[(g, c)]][0],
+                                                                             qs[virt[(g, c)]][2]).lower))])[key]
+        hi = F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(Bounds(qs[virt[(g, c)]][0],
+                                                                             qs[virt[(g, c)]][2]).upper))])[key]
+        x = F.col(c)
+        inside = (x >= lo) & (x <= hi)
+        aggs += [F.min(F.when(inside, x)).cast("double").alias(f"wl_{j}"),
+                 F.max(F.when(inside, x)).cast("double").alias(f"wh_{j}"),
+                 F.count_if(x.isNotNull() & ~inside).alias(f"nf_{j}")]
+    q_map = {(g, c): qs[virt[(g, c)]] for g in groups for c in cols}
+
+    def qlit(i):
+        return [F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(q_map[(g, c)][i]).cast("double"))])[key]
+                for c in cols]
+    q1s, q2s, q3s = qlit(0), qlit(1), qlit(2)
+    per_group = df.filter(key.isNotNull()).groupBy(by).agg(*aggs)
+    return per_group.select(key, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), q1s[j].alias("q1"), q2s[j].alias("median"), q3s[j].alias("q3"),
+                 F.col(f"wl_{j}").alias("whisker_lo"), F.col(f"wh_{j}").alias("whisker_hi"),
+                 F.col(f"nf_{j}").cast("long").alias("n_fliers")) for j, c in enumerate(cols)])))

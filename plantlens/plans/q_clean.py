@@ -99,3 +99,26 @@ def clean_summary(spark, sf):
     (and the fill value), the fences, rows clipped low and high."""
     cl = ctx.cleaned(spark, sf)
     return C.clean_summary(cl, CLIP14)
+
+
+_BOX_BY = ["temperature", "vibration_level", "power_consumption", "noise_level_db"]
+
+
+def _box_by_oracle(src_parts, src: str, cols, by: str) -> str:
+    q = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.5) AS q2_{c}, "
+                  f"quantile_cont({c}, 0.75) AS q3_{c}" for c in cols)
+    sel = [f"""SELECT s.{by}, '{c}' AS "column", CAST(q1_{c} AS DOUBLE) AS q1, CAST(q2_{c} AS DOUBLE) AS median,
+  CAST(q3_{c} AS DOUBLE) AS q3,
+  CAST(min({c}) FILTER (WHERE {c} >= {lower(c)} AND {c} <= {upper(c)}) AS DOUBLE) AS whisker_lo,
+  CAST(max({c}) FILTER (WHERE {c} >= {lower(c)} AND {c} <= {upper(c)}) AS DOUBLE) AS whisker_hi,
+  CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND NOT ({c} >= {lower(c)} AND {c} <= {upper(c)})) AS BIGINT)
+    AS n_fliers
+FROM {src} s JOIN gq ON gq.{by} = s.{by} GROUP BY s.{by}, q1_{c}, q2_{c}, q3_{c}""" for c in cols]
+    return rnd(with_plant(*src_parts, f",\ngq AS (SELECT {by}, {q} FROM {src} WHERE {by} IS NOT NULL GROUP BY {by})")
+               + "\n" + union(*sel), "q1", "median", "q3", "whisker_lo", "whisker_hi")
+
+
+@query("box_stats_by_machine_type", _box_by_oracle([imputed_sql()], "imputed", _BOX_BY, "machine_type"))
+def box_stats_by_machine_type(spark, sf):
+    """C5 grouped: box-plot statistics of four sensors per machine type (before clipping)."""
+    return C.box_stats_by(ctx.imputed(spark, sf), _BOX_BY, "machine_type")

@@ -45,24 +45,46 @@ def _model(spark, sf):
     return _MODEL[key]
 
 
-_QCUT_CTE = f""",
-qe AS (SELECT min({TARGET}) AS e0, quantile_cont({TARGET}, 1.0E0 / 3.0E0) AS e1,
-              quantile_cont({TARGET}, 2.0E0 / 3.0E0) AS e2, max({TARGET}) AS e3 FROM clean),
+def _qcut_cte(target: str) -> str:
+    return f""",
+qe AS (SELECT min({target}) AS e0, quantile_cont({target}, 1.0E0 / 3.0E0) AS e1,
+              quantile_cont({target}, 2.0E0 / 3.0E0) AS e2, max({target}) AS e3 FROM clean),
 qu AS (SELECT DISTINCT e FROM (SELECT unnest([e0, e1, e2, e3]) AS e FROM qe) AS u),
 qi AS (SELECT list(e ORDER BY e) AS edges FROM qu)"""
 
 
-@query("qcut_units", on_clean(f"""SELECT {TARGET}, CAST(lvl AS INTEGER) AS level,
+def _qcut_oracle(target: str) -> str:
+    return on_clean(f"""SELECT {target}, CAST(lvl AS INTEGER) AS level,
   CASE lvl WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' END AS level_name, count(*) AS "rows"
-FROM (SELECT {TARGET}, (SELECT count(*) FROM (SELECT unnest(edges[2:len(edges) - 1]) AS e FROM qi) AS ie
-                       WHERE {TARGET} > ie.e) AS lvl FROM clean) AS l
-GROUP BY {TARGET}, lvl""", _QCUT_CTE))
+FROM (SELECT {target}, (SELECT count(*) FROM (SELECT unnest(edges[2:len(edges) - 1]) AS e FROM qi) AS ie
+                       WHERE {target} > ie.e) AS lvl FROM clean) AS l
+GROUP BY {target}, lvl""", _qcut_cte(target))
+
+
+def _qcut_query(spark, sf, target):
+    lvl, _ = W.qcut(ctx.clean(spark, sf), target, 3, "drop")
+    return lvl.groupBy(target, "level").agg(F.count(F.lit(1)).alias("rows")).select(
+        target, "level", W.level_name(F.col("level")).alias("level_name"), "rows")
+
+
+@query("qcut_units", _qcut_oracle(TARGET))
 def qcut_units(spark, sf):
     """Units produced cut into tertile levels (right-closed, repeated
     edges dropped), with the level names."""
-    lvl, _ = _levels(spark, sf)
-    return lvl.groupBy(TARGET, "level").agg(F.count(F.lit(1)).alias("rows")).select(
-        TARGET, "level", W.level_name(F.col("level")).alias("level_name"), "rows")
+    return _qcut_query(spark, sf, TARGET)
+
+
+@query("qcut_downtime", rnd(_qcut_oracle("downtime"), "downtime"))
+def qcut_downtime(spark, sf):
+    """W1 on downtime (mostly zeros): the repeated lower edges are dropped,
+    leaving fewer levels (pandas' default would raise)."""
+    return _qcut_query(spark, sf, "downtime")
+
+
+@query("qcut_defects", _qcut_oracle("defect_count"))
+def qcut_defects(spark, sf):
+    """W1 on defect_count (0/1): repeated edges dropped."""
+    return _qcut_query(spark, sf, "defect_count")
 
 
 @query("feature_ranges", rnd(on_clean(union(*[
