@@ -61,3 +61,21 @@ def test_box_stats_whiskers(spark):
 def test_empty_frame(spark):
     df = spark.createDataFrame([], "x double")
     assert C.iqr_outliers(df, ["x"]).first()["n_outliers"] == 0
+
+
+def test_box_stats_by_group_matches_pandas(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(g, rnd.gauss(10 * (i + 1), 2) if rnd.random() > 0.02 else 200.0)
+            for i, g in enumerate(["a", "b", "c"]) for _ in range(120)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in C.box_stats_by(df, ["x"], "g").collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    for g, part in pdf.groupby("g"):
+        q1, q2, q3 = part.x.quantile([0.25, 0.5, 0.75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = part.x[(part.x >= lo) & (part.x <= hi)]
+        r = got[g]
+        assert (r["q1"], r["median"], r["q3"]) == pytest.approx((q1, q2, q3))
+        assert r["whisker_lo"] == inside.min() and r["whisker_hi"] == inside.max()
+        assert r["n_fliers"] == len(part) - len(inside)
