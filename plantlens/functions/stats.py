@@ -168,12 +168,14 @@ def _order_stats(df: DataFrame, targets: dict[tuple, tuple], buckets: int, fetch
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               method: str = "exact", buckets: int = 2048, fetch: int = 5000,
-              accuracy: int = 100000) -> dict[str, list[float | None]]:
+              accuracy: int = 100000, known: dict | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of each column (NULLs skipped).
 
     method: ``exact`` (bounded-memory refinement, default), ``percentile``
     (Spark's exact aggregate; fine for low-cardinality data), ``approx``
-    (``percentile_approx``: one pass, returns a datum)."""
+    (``percentile_approx``: one pass, returns a datum).  ``known`` maps a
+    column to its (non-NULL count, min, max) when a caller already has them,
+    which saves the first pass."""
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
@@ -188,11 +190,16 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if method != "exact":
         raise ValueError(method)
 
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n_{c}"), F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}")]
-    st = df.agg(*aggs).first()
+    if known is not None and all(c in known for c in cols):
+        st = {}
+        for c in cols:
+            st[f"n_{c}"], st[f"lo_{c}"], st[f"hi_{c}"] = known[c]
+    else:
+        aggs = []
+        for c in cols:
+            x = F.col(c).cast("double")
+            aggs += [F.count(x).alias(f"n_{c}"), F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}")]
+        st = df.agg(*aggs).first()
     targets, plan = {}, {}
     for c in cols:
         n, lo, hi = st[f"n_{c}"], st[f"lo_{c}"], st[f"hi_{c}"]

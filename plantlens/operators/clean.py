@@ -63,8 +63,8 @@ class Bounds:
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-               method: str = "exact") -> dict[str, Bounds]:
-    qs = quantiles(df, cols, [0.25, 0.75], method=method)
+               method: str = "exact", known: dict | None = None) -> dict[str, Bounds]:
+    qs = quantiles(df, cols, [0.25, 0.75], method=method, known=known)
     return {c: Bounds(qs[c][0], qs[c][1], k) for c in cols}
 
 

@@ -41,10 +41,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "ex
     """B2: count, mean, std (ddof 1), min, quartiles, max per numeric column;
     one row per column (the dashboard's transposed form)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], method=method)
     v = F.col("v")
     st = column_stats(df, cols, {"n": F.count(v), "m": F.avg(v), "s": F.stddev_samp(v),
                                  "lo": F.min(v), "hi": F.max(v)})
+    known = {c: ((st[c]["n"], st[c]["lo"], st[c]["hi"]) if c in st else (0, None, None)) for c in cols}
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], method=method, known=known)
     rows = []
     for c in cols:
         r = st.get(c)

@@ -23,7 +23,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.operators.clean import Cleaned, col_means, impute_mean, iqr_bounds, winsorize
+from plantlens.functions.stats import column_stats
+from plantlens.operators.clean import Cleaned, impute_mean, iqr_bounds, winsorize
 from plantlens.schema import ALL_NUMERIC, CLIP14
 from plantlens.session import scratch_path
 from plantlens.sources.plant import plant_log
@@ -63,9 +64,20 @@ def build(spark: SparkSession, sf: str) -> dict:
     bronze_path = scratch_path(spark, "bronze")
     plant_log(spark, sf).write.mode("overwrite").parquet(bronze_path)
     bronze = spark.read.parquet(bronze_path)
-    means = col_means(bronze, ALL_NUMERIC)
+    # one long-form pass: mean, NULL count, min, max of every numeric column
+    v = F.col("v")
+    st = column_stats(bronze, ALL_NUMERIC, {"m": F.avg(v), "z": F.count_if(v.isNull()), "n": F.count(v),
+                                            "lo": F.min(v), "hi": F.max(v)})
+    means = {c: (st[c]["m"], st[c]["z"]) for c in ALL_NUMERIC}
     imputed = impute_mean(bronze, means=means)
-    bounds = iqr_bounds(imputed, CLIP14)
+    # count / min / max of the imputed columns follow without another pass
+    known = {}
+    for c in CLIP14:
+        m, z, n, lo, hi = st[c]["m"], st[c]["z"], st[c]["n"], st[c]["lo"], st[c]["hi"]
+        if z and m is not None:
+            n, lo, hi = n + z, min(lo, m), max(hi, m)
+        known[c] = (n, lo, hi)
+    bounds = iqr_bounds(imputed, CLIP14, known=known)
     silver_path = scratch_path(spark, "silver")
     winsorize(imputed, CLIP14, bounds).write.mode("overwrite").parquet(silver_path)
     return {"bronze": bronze_path, "silver": silver_path, "means": means, "bounds": bounds}

@@ -203,3 +203,22 @@ def pca_scores(spark, sf):
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(F.col("_pca"))
     return model.transform(vec).select((arr[0] * signs[0]).alias("PCA1"), (arr[1] * signs[1]).alias("PCA2"), LBL)
+
+
+@query("condition_k_selection", kind="P")
+def condition_k_selection(spark, sf):
+    """For k = 2..9, Spark ML K-Means (seed 42) on the machine z-scores
+    with its inertia, squared-Euclidean silhouette and Davies-Bouldin index."""
+    from pyspark.ml.clustering import KMeans
+    vec, zcols = _vectors(spark, sf)
+    vec = vec.select(*zcols, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    try:
+        for k in range(2, 10):
+            m = KMeans(k=k, seed=42, featuresCol="features").fit(vec)
+            lab = m.transform(vec).select(*zcols, F.col("prediction").alias("lbl"))
+            rows.append((k, float(m.summary.trainingCost), K.silhouette_sq(lab, zcols, "lbl").first()[0],
+                         K.davies_bouldin(lab, zcols, "lbl").first()[0]))
+    finally:
+        vec.unpersist()
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")

@@ -9,21 +9,27 @@ from pyspark.sql import types as T
 from plantlens.schema import LOG_SCHEMA, TS
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_log(spark: SparkSession, path: str, fmt: str = "csv",
-             schema: T.StructType | None = None) -> DataFrame:
+             schema: T.StructType | None = None, keep_corrupt: bool = False) -> DataFrame:
     """Scan the log with an explicit schema (no inference pass over the data).
 
     CSV: header row, blank -> NULL, malformed rows kept with NULLs
-    (PERMISSIVE).  ``timestamp`` is read as text and parsed by ``parse_ts``
-    so a bad value is counted rather than silently dropped.
+    (PERMISSIVE); with ``keep_corrupt`` their raw text is kept in
+    ``_corrupt_record`` so they can be counted or quarantined.  ``timestamp``
+    is read as text and parsed by ``parse_ts`` so a bad value is counted
+    rather than failing the job.
     """
     schema = schema or LOG_SCHEMA
     if fmt == "csv":
-        text_schema = T.StructType([
-            T.StructField(f.name, T.StringType() if f.name == TS else f.dataType, True)
-            for f in schema.fields])
-        df = (spark.read.schema(text_schema).option("header", True)
-              .option("mode", "PERMISSIVE").csv(path))
+        fields = [T.StructField(f.name, T.StringType() if f.name == TS else f.dataType, True)
+                  for f in schema.fields]
+        if keep_corrupt:
+            fields.append(T.StructField(CORRUPT, T.StringType(), True))
+        df = (spark.read.schema(T.StructType(fields)).option("header", True)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
         return parse_ts(df, TS)
     return spark.read.schema(schema).format(fmt).load(path)
 

@@ -30,3 +30,19 @@ def test_parse_ts_rejects(spark):
     out = parse_ts(df)
     assert out.filter(F.col("timestamp").isNull()).count() == 2
     assert dict(out.dtypes)["timestamp"] == "timestamp_ntz"
+
+
+def test_csv_malformed_rows_kept(spark):
+    import os
+    path = scratch_path(spark, "badcsv").replace("file:", "")
+    os.makedirs(path, exist_ok=True)
+    header = ",".join(f.name for f in LOG_SCHEMA.fields)
+    good = ",".join(["2024-01-01 00:01:00", "M001", "CNC", "L1", "Shift_3_Malam", "OP001", "SMALL", "0", "0", "0"]
+                    + ["1.5"] * 10 + ["Good", "2", "0.0", "20.0", "50.0", "80.0", "0"])
+    bad = good.replace(",2,0.0,", ",two,0.0,")
+    with open(os.path.join(path, "log.csv"), "w") as f:
+        f.write("\n".join([header, good, bad]) + "\n")
+    df = read_log(spark, path, keep_corrupt=True)
+    rows = df.collect()
+    assert len(rows) == 2
+    assert sum(r["_corrupt_record"] is not None for r in rows) == 1
