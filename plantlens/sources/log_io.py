@@ -30,8 +30,16 @@ def read_log(spark: SparkSession, path: str, fmt: str = "csv",
             fields.append(T.StructField(CORRUPT, T.StringType(), True))
         df = (spark.read.schema(T.StructType(fields)).option("header", True)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-        return parse_ts(df, TS)
-    return spark.read.schema(schema).format(fmt).load(path)
+        return nan_to_null(parse_ts(df, TS))
+    return nan_to_null(spark.read.schema(schema).format(fmt).load(path))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN -> NULL in floating columns at ingest: pandas skips NaN in every
+    statistic, Spark aggregates only skip NULL (avg over a NaN is NaN)."""
+    fix = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
+           for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(fix) if fix else df
 
 
 def parse_ts(df: DataFrame, col: str = TS, fmt: str | None = None) -> DataFrame:

@@ -46,3 +46,19 @@ def test_csv_malformed_rows_kept(spark):
     rows = df.collect()
     assert len(rows) == 2
     assert sum(r["_corrupt_record"] is not None for r in rows) == 1
+
+
+def test_nan_normalised_to_null(spark):
+    import os
+    from plantlens.operators.clean import col_means
+    path = scratch_path(spark, "nancsv").replace("file:", "")
+    os.makedirs(path, exist_ok=True)
+    header = ",".join(f.name for f in LOG_SCHEMA.fields)
+    base = ["2024-01-01 00:01:00", "M001", "CNC", "L1", "Shift_3_Malam", "OP001", "SMALL", "0", "0", "0"]
+    tail = ["1.5"] * 9 + ["Good", "2", "0.0", "20.0", "50.0", "80.0", "0"]
+    lines = [header] + [",".join(base + [t] + tail) for t in ("70.0", "NaN", "", "80.0")]
+    with open(os.path.join(path, "log.csv"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    df = read_log(spark, path)
+    assert df.filter(F.col("temperature").isNull()).count() == 2
+    assert col_means(df, ["temperature"])["temperature"] == (75.0, 2)
