@@ -176,6 +176,9 @@ def clean_summary(cl: Cleaned, cols: Sequence[str] = CLIP14) -> DataFrame:
     return cl.imputed.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+MAX_CATEGORIES = 1000
+
+
 def box_stats_by(df: DataFrame, cols: Sequence[str], by: str, method: str = "exact") -> DataFrame:
     """C5 grouped: box-plot statistics per (group, column) for a categorical
     ``by`` with few values (a box plot per category).  Each (group, column)
@@ -184,7 +187,10 @@ def box_stats_by(df: DataFrame, cols: Sequence[str], by: str, method: str = "exa
     one aggregation by group computes whiskers and fliers against the group's
     fences (looked up from a literal map)."""
     cols = list(cols)
-    groups = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect())
+    groups = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct()
+                    .limit(MAX_CATEGORIES + 1).collect())
+    if len(groups) > MAX_CATEGORIES:
+        raise ValueError(f"box_stats_by is for categorical keys; {by} has more than {MAX_CATEGORIES} values")
     virt = {(g, c): f"__{i}_{j}" for i, g in enumerate(groups) for j, c in enumerate(cols)}
     vdf = df.select(*[F.when(F.col(by) == F.lit(g), F.col(c)).alias(v) for (g, c), v in virt.items()])
     qs = quantiles(vdf, list(virt.values()), [0.25, 0.5, 0.75], method=method)

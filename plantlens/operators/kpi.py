@@ -182,9 +182,11 @@ def defects_by(df: DataFrame, key: str = "product_type") -> DataFrame:
     """Q1-Q3: total defects per key, as % of all units and as share of all defects."""
     g = group_kpi(df, [key], {"total_defects": F.sum("defect_count").cast("long"),
                               "units": F.sum("units_produced").cast("long")})
-    whole = Window.partitionBy()  # over one row per key
-    all_units = F.sum("units").over(whole)
-    all_defects = F.sum("total_defects").over(whole)
+    # the denominators are two scalars (one global aggregate, inlined), not an
+    # unpartitioned window that would pull every group into one task
+    tot = df.filter(F.col(key).isNotNull()).agg(F.sum("units_produced").cast("long").alias("u"),
+                                                F.sum("defect_count").cast("long").alias("d")).first()
+    all_units, all_defects = F.lit(tot["u"]).cast("long"), F.lit(tot["d"]).cast("long")
     return g.select(key, "total_defects",
                     (safe_ratio(F.col("total_defects").cast("double"), all_units) * 100.0)
                     .alias("defect_pct_of_units"),

@@ -145,6 +145,8 @@ def transpose_long(df: DataFrame, key: str, value_cols: Sequence[str] | None = N
     key value (pivot values are read from the summary, which has few rows)."""
     value_cols = list(value_cols) if value_cols else [c for c in df.columns if c != key]
     long = df.unpivot([key], value_cols, "measure", "value")
-    keys = sorted(r[0] for r in df.select(key).distinct().collect())
+    keys = sorted(r[0] for r in df.select(key).distinct().limit(1001).collect())
+    if len(keys) > 1000:
+        raise ValueError("transpose_long is for small summaries (at most 1000 key values)")
     return (long.groupBy("measure").pivot(key, keys).agg(F.first("value"))
             .withColumnsRenamed({str(k): f"{key}_{k}" for k in keys}))
