@@ -1,6 +1,6 @@
 """Statistical building blocks shared by the operators.
 
-* ``safe_ratio`` / ``pearson``: ANSI-safe expressions (no DIVIDE_BY_ZERO).
+* ``safe_ratio``: ANSI-safe division (no DIVIDE_BY_ZERO).
 * ``quantiles``: exact linear-interpolation quantiles (pandas/DuckDB
   ``quantile_cont`` semantics) with bounded memory at any scale.
 * ``present``: presentation rounding of every double column.
@@ -25,18 +25,6 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, F.nullif(den, F.lit(0)))
 
 
-def pearson(x: str | Column, y: str | Column) -> Column:
-    """Pearson r over pairwise-complete rows; NULL for a constant column.
-
-    covar_pop / (stddev_pop(x) * stddev_pop(y)) with both sides nulled where
-    either is null, so the pair sets agree (pandas ``corr`` semantics)."""
-    x, y = col_(x), col_(y)
-    both = x.isNotNull() & y.isNotNull()
-    xx, yy = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(xx, yy),
-                        F.nullif(F.stddev_pop(xx) * F.stddev_pop(yy), F.lit(0.0)))
-
-
 def present(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every DOUBLE column to ``digits`` decimals (presentation only).
 

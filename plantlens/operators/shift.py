@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.schema import EFF4, SHIFT_KEYS
+from plantlens.schema import SHIFT_KEYS
 
 
 def with_shift_instance(df: DataFrame, ts: str = "timestamp", shift: str = "shift",
@@ -84,5 +84,3 @@ def shift_efficiency_table(df: DataFrame, keys: Sequence[str] = SHIFT_KEYS) -> D
     """G1-G4 in one: the shift-level table with raw metrics and efficiency scores."""
     return efficiency(shift_agg(with_shift_instance(df), keys))
 
-
-EFFICIENCY_COLS = EFF4

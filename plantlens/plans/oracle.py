@@ -8,7 +8,7 @@ operator's semantics written directly in SQL (``quantile_cont``, ``avg``,
 
 from __future__ import annotations
 
-from plantlens.schema import ALL_NUMERIC, CLIP14
+from plantlens.schema import CLIP14
 from plantlens.sources.plant import PLANT_SQL
 
 # plant columns that can be NULL (the only ones mean-imputation changes)
@@ -65,8 +65,6 @@ def on_clean(select: str, *extra: str) -> str:
     return with_plant(clean_sql(), *extra) + "\n" + select
 
 
-ALL_NUMERIC_COLS = ALL_NUMERIC
-
 
 def zscore_sql(src: str, cols, name: str, suffix: str = "_z") -> str:
     """CTE ``{name}``: ``src`` plus population z-scores of ``cols``."""

@@ -54,11 +54,6 @@ def parse_ts(df: DataFrame, col: str = TS, fmt: str | None = None) -> DataFrame:
     return df.withColumn(col, parsed.cast("timestamp_ntz"))
 
 
-def ts_text(c: Column) -> Column:
-    """Timestamp rendered as 'yyyy-MM-dd HH:mm:ss' text."""
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-
-
 def write_log(df: DataFrame, path: str, fmt: str = "parquet",
               partition_by: list[str] | None = None, mode: str = "overwrite",
               order_col: str | None = "timestamp", files: int | None = None) -> None:
