@@ -157,3 +157,18 @@ def shift_clusters(spark, sf):
     prof = K.centroid_profile(lab, LBL, METRICS)
     names = K.name_shift_clusters({r[LBL]: {"units_produced": r["units_produced"]} for r in prof.collect()})
     return K.names_frame(prof, LBL, names, "efficiency").select("efficiency", "rows", *METRICS)
+
+
+_SI_BIZ = """CAST(CAST("timestamp" - INTERVAL '6' HOUR AS DATE) AS VARCHAR) || '_' || shift"""
+
+
+@query("shift_instances_business_day", on_clean(f"""SELECT shift_instance_id, CAST(d AS VARCHAR) AS "date", shift,
+  count(*) AS "rows" FROM (SELECT CAST("timestamp" - INTERVAL '6' HOUR AS DATE) AS d, shift,
+                                 {_SI_BIZ} AS shift_instance_id FROM clean) AS s
+GROUP BY shift_instance_id, d, shift"""))
+def shift_instances_business_day(spark, sf):
+    """G1/G2 with ``business_day=True``: rows are dated by ts - 6 h, so a night
+    shift (22-06) is one instance instead of two split at midnight."""
+    s = G.with_shift_instance(ctx.clean(spark, sf), business_day=True)
+    return s.groupBy("shift_instance_id", F.col("date").cast("string").alias("date"), "shift").agg(
+        F.count(F.lit(1)).alias("rows"))
