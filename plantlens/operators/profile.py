@@ -80,8 +80,18 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def dup_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row over all columns (NULL equals NULL)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    """Rows that repeat an earlier row over all columns (NULL equals NULL).
+
+    Two steps so the full rows are not shuffled: (1) group by a 64-bit hash
+    of the row (8 bytes per row cross the network; partial aggregation folds
+    a hot group of copies per task) and keep hashes seen more than once;
+    (2) only rows whose hash is such a candidate (left-semi join) are grouped
+    by their exact values, so hash collisions cannot change the count."""
+    cols = df.columns
+    hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in cols]))
+    cand = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
+    sub = hashed.join(cand, "_h", "left_semi").drop("_h")
+    g = sub.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("dup_rows"))
 
 

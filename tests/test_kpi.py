@@ -46,3 +46,11 @@ def test_worst_ties_take_first_key(spark):
 def test_shares_sum_to_one(spark, sf):
     s = K.defects_by(ctx.clean(spark, sf)).agg(F.sum("defect_share")).first()[0]
     assert s == pytest.approx(1.0)
+
+
+def test_dup_rows_exact_with_nulls_and_hot_group(spark):
+    from plantlens.operators.profile import dup_rows
+    rows = [("a", None, 1.0)] * 30 + [(None, "a", 1.0)] * 2 + [("b", "c", 2.0), ("b", "c", 2.0), ("x", "y", 3.0)]
+    df = spark.createDataFrame(rows, "p string, q string, v double")
+    # 29 repeats of the hot group, 1 of the (NULL, a) pair, 1 of (b, c)
+    assert dup_rows(df).first()["dup_rows"] == 31
