@@ -151,10 +151,18 @@ def shift_z(spark: SparkSession, sf: str):
 
 
 def shift_labels(spark: SparkSession, sf: str):
-    """K8 on the shift table: shift rows with ``shift_efficiency_cluster``."""
+    """K8 on the shift table: shift rows with ``shift_efficiency_cluster``.
+
+    The labelled shift table (one row per shift instance x machine x line,
+    growing with days, not observations) is written once to the shared folder
+    after the fit, like any fitted output; every consumer (join-back, profile,
+    sizes, names, mix) then reads it instead of re-aggregating the log."""
     from plantlens.operators.cluster import lloyd, nearest
     zdf, zcols = shift_z(spark, sf)
     key = ("shiftk8", sf)
     if key not in _MODELS:
-        _MODELS[key] = lloyd(zdf, zcols, SHIFT_K, LLOYD_ITERS, init_col="units_produced").centers
-    return zdf.withColumn(SHIFT_LABEL, nearest(zcols, _MODELS[key])), zcols
+        centers = lloyd(zdf, zcols, SHIFT_K, LLOYD_ITERS, init_col="units_produced").centers
+        path = scratch_path(spark, "shift-labels")
+        zdf.withColumn(SHIFT_LABEL, nearest(zcols, centers)).write.mode("overwrite").parquet(path)
+        _MODELS[key] = (centers, path)
+    return spark.read.parquet(_MODELS[key][1]), zcols
