@@ -7,8 +7,15 @@ as Parquet and read again as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plantlens.llm import common, decontaminate, exact_dedup
+from plantlens.llm import bpe, common, decontaminate, exact_dedup, toxicity
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.fitted(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.predictions(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +28,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact), ("decontaminate", benchmark)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids' count and digest, and the digest of the decoded bytes."""
+    return bpe.decode(bpe.encode(docs), digests=True)
+
+
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("decontaminate", benchmark), ("byte_bpe", tokens)]
 
 #: Trained and hashed stages have no SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None

@@ -124,7 +124,7 @@ def emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 #: Modules that register a query.
-MODULES = ("exact_dedup", "decontaminate")
+MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity")
 
 
 def load_all() -> None:
