@@ -79,24 +79,16 @@ def clean_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text): uid names a row's content, so repeated rows share it and
-    rows with the same doc_id but other text do not."""
-    text = clean_text()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
-
-
 def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-         schema: str, per_task: int = 2000) -> DataFrame:
-    """Bring each leader's row together with its members' rows, in groups of bounded size.
-
-    ``rows``: (uid, text, ...) with unique uid; ``pairs``: distinct (member, leader) uids.
-    A leader of many members is dealt to several salted groups of about
-    ``per_task`` members, each with a copy of the leader's row, so no group is
-    large however many members one leader has.  ``fn`` gets the groups sorted:
-    the leader's row (role 0) first, then its members (role 1), with the columns
-    leader, salt, role and those of ``rows``.
+         schema: str, per_task: int = 1000) -> DataFrame:
+    """Bring each leader's rows together with its members' rows, in groups of bounded size.
+
+    ``rows``: (uid, ...); ``pairs``: distinct (member, leader) uids.  A leader of
+    many members is dealt to several salted groups of about ``per_task`` members,
+    each with a copy of the leader's row, so no group is large however many
+    members one leader has.  ``fn`` gets the groups sorted: the leader's rows
+    (role 0) first, then its members' (role 1), with the columns leader, salt,
+    role and those of ``rows``.
     """
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / per_task).cast("int").alias("n_salts"))
     members = pairs.join(sizes, "leader").select(
@@ -108,23 +100,30 @@ def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatc
     placed = rows.join(members.unionByName(leaders), "uid")
     return (placed.select("leader", "salt", "role", *rows.columns)
             .repartition("leader", "salt")
-            .sortWithinPartitions("leader", "salt", "role")
+            .sortWithinPartitions("leader", "salt", "role", "uid")
             .mapInArrow(fn, schema))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]):
-    """(key values, row dict) of sorted batches, row by row."""
+def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The batches' rows, one by one."""
     for batch in batches:
-        for row in batch.to_pylist():
-            yield tuple(row[k] for k in keys), row
+        yield from batch.to_pylist()
 
 
-def emit(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
+def rebatched(rows: Iterator[dict], schema: pa.Schema, size: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of ``size`` rows."""
+    part: list[dict] = []
+    for row in rows:
+        part.append(row)
+        if len(part) >= size:
+            yield pa.RecordBatch.from_pylist(part, schema=schema)
+            part = []
+    if part:
+        yield pa.RecordBatch.from_pylist(part, schema=schema)
 
 
 #: Modules that register a query.
-MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity")
+MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity", "substring_dedup")
 
 
 def load_all() -> None:

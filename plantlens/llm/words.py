@@ -166,3 +166,9 @@ def segmented(col: pa.Array, word_bytes: np.ndarray, lower: bool = False, limit:
     for lo, hi in chunks(bounds, limit):
         part = data[bounds[lo]:bounds[hi]]
         yield lo, hi, Words(LOWER[part] if lower else part, bounds[lo:hi + 1] - bounds[lo], word_bytes)
+
+
+def one_text(text: str, word_bytes: np.ndarray, lower: bool = False) -> Words:
+    """The words of a single text."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    return Words(LOWER[data] if lower else data, np.array([0, len(data)]), word_bytes)
