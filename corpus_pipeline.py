@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, common, decontaminate, exact_dedup, toxicity
+from plantlens.llm import bpe, common, decontaminate, exact_dedup, near_dedup, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.survivors(docs, keep="largest")
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return near_dedup.survivors(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; mostly covered documents go."""
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
@@ -33,7 +38,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(docs), digests=True)
 
 
-STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("decontaminate", benchmark), ("byte_bpe", tokens)]
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near),
+          ("decontaminate", benchmark), ("byte_bpe", tokens)]
 
 #: Trained and hashed stages have no SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None
