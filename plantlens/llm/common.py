@@ -123,7 +123,8 @@ def rebatched(rows: Iterator[dict], schema: pa.Schema, size: int = BATCH_ROWS) -
 
 
 #: Modules that register a query.
-MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity", "substring_dedup", "near_dedup")
+MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity", "substring_dedup", "near_dedup", "html_extract",
+           "url_rules", "token_rollup", "licenses")
 
 
 def load_all() -> None:

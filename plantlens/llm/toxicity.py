@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from plantlens.llm.common import clean_text, query, small_batches, table
 from plantlens.llm.words import ALNUM, Words, grams, mix, segmented
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 BUCKETS = 1 << 18
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 #: Training texts (copies count once) that must have a word before it gets an embedding.
@@ -84,7 +84,7 @@ def buckets(h: np.ndarray) -> np.ndarray:
     """The two embedding rows of each word, as one column pair."""
     a = h >> np.uint64(46)
     b = mix(h ^ np.uint64(0x51_7C_C1_B7_27_22_0A_95)) >> np.uint64(46)
-    return np.stack([a.astype(np.int64), b.astype(np.int64) + BUCKETS], axis=1)
+    return np.stack([a.astype(np.int32), b.astype(np.int32) + BUCKETS], axis=1)
 
 
 @dataclass
@@ -254,9 +254,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> Model | float:
         fold[:] = False
     model = train([t for t, f in zip(texts, fold) if not f], labels[~fold])
     held = fold if 0 < labels[fold].sum() < fold.sum() else ~fold
-    first = np.concatenate([[0], np.cumsum([len(t) for t, f in zip(texts, held) if f])])
-    h = np.concatenate([t for t, f in zip(texts, held) if f])
-    logits, y, lang = model.logits(h, first), labels[held], guess_language(h, first)
+    judged = [t for t, f in zip(texts, held) if f]
+    parts = []
+    for lo in range(0, len(judged), BATCH):  # few texts at once: filter values are 100 bytes a word
+        first = np.concatenate([[0], np.cumsum([len(t) for t in judged[lo:lo + BATCH]])])
+        h = np.concatenate(judged[lo:lo + BATCH])
+        parts.append((model.logits(h, first), guess_language(h, first)))
+    logits, lang, y = *(np.concatenate(p) for p in zip(*parts)), labels[held]
     whole = best_cut(logits, y)
     for k in range(len(model.cuts)):
         own = lang == k
