@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.llm.automaton import SuffixAutomaton
-from plantlens.llm.common import clean_text, query, small_batches, table
+from plantlens.llm.common import clean_text, fresh, query, small_batches, table
 from plantlens.llm.words import ALNUM, LOWER, Words, grams, mix, segmented
 
 #: Words of a window.
@@ -185,16 +185,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_b
     base = docs.drop("n_words", "spans", "items")
     front = base.select(clean_text(text_col).alias(text_col), *[c for c in base.columns if c != text_col])
     out = front
+    old = {c: fresh(base.columns, f"earlier_{c}") for c in ("n_words", "spans", "items")}
     for k, shard in enumerate(_shards(benchmark, shard_bytes)):
         automaton = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(shard, window))
-        before = out if k == 0 else out.withColumnsRenamed({"n_words": "_n", "spans": "_s", "items": "_i"})
+        before = out if k == 0 else out.withColumnsRenamed(old)
         kind = before.limit(0).selectExpr("*", "0L AS n_words", f"CAST(NULL AS {SPANS}) AS spans", "array('') AS items").schema
         for f in kind:
             f.nullable = True
         out = before.mapInArrow(_scan(automaton, to_arrow_schema(kind), len(before.columns)), kind)
         if k:
-            out = out.withColumn("spans", merged("_s", "spans")).withColumn(
-                "items", F.array_sort(F.array_union("_i", "items"))).drop("_n", "_s", "_i")
+            out = out.withColumn("spans", merged(old["spans"], "spans")).withColumn(
+                "items", F.array_sort(F.array_union(old["items"], "items"))).drop(*old.values())
     return out
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import clean_text, meet, query, rebatched, small_batches, table, table_rows, written
+from plantlens.llm.common import clean_text, fresh, meet, query, rebatched, small_batches, table, table_rows, written
 from plantlens.llm.words import ALNUM, Words, grams, mix, one_text, segmented, starts_inside
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -233,7 +233,7 @@ class Weighted:
     def similarity(self, other: Weighted, least: float = 0.0) -> float:
         """Weighted Jaccard similarity; 0 when the totals alone keep it below ``least``."""
         low, high = sorted((self.total, other.total))
-        if low < least * high or not high:
+        if low < least * high or not low:
             return 0.0
         at = np.minimum(np.searchsorted(other.e, self.e), len(other.e) - 1)
         common = float(self.w[other.e[at] == self.e].sum())
@@ -369,9 +369,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that are not kept in their class, all columns unchanged."""
-    gone = classes(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct()
+    ident, h = (fresh(docs.columns, c) for c in ("gone_id", "gone_h"))
+    gone = classes(docs, threshold).where("NOT kept").select(F.col("doc_id").alias(ident), F.col("h").alias(h)).distinct()
     gone = written(gone, "gone")
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_gone_h"])
+    same = docs["doc_id"].cast("long").eqNullSafe(gone[ident]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[h])
     return docs.join(gone, same, "left_anti")
 
 
