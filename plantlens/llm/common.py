@@ -87,7 +87,7 @@ def clean_text(col: str = "text"):
 
 
 def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-         schema: str, per_task: int = 1000) -> DataFrame:
+         schema: str, per_task: int = 250) -> DataFrame:
     """Bring each leader's rows together with its members' rows, in groups of bounded size.
 
     ``rows``: (uid, ...); ``pairs``: distinct (member, leader) uids.  A leader of
