@@ -343,7 +343,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = (bands.join(_sized(bands).select("band", "leader"), "band").where("uid <> leader")
              .select(F.col("uid").alias("member"), "leader").distinct())
     pairs = written(pairs, "candidates")
-    texts = rows.select(F.struct(F.col("doc_id").alias("id"), "h").alias("uid"), "text")
+    # the texts of candidates: the only time that texts are shuffled whole
+    wanted = pairs.select(F.col("member").alias("uid")).unionByName(pairs.select(F.col("leader").alias("uid"))).distinct()
+    texts = rows.select(F.struct(F.col("doc_id").alias("id"), "h").alias("uid"), "text").join(wanted, "uid", "left_semi")
+    texts = written(texts, "candidate-texts")
     links = written(meet(texts, pairs, _verify(idf, threshold), _LINK_KIND), "links")
     comps = components(links)
     # what members of different components of a bucket may still share
@@ -361,6 +364,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         comps = components(links.unionByName(more))
     named = nodes.join(comps, "uid", "left").select("t", F.coalesce("comp", "uid").alias("comp"), F.col("uid"))
     sizes = (sketches.groupBy("t").agg(F.count("*").alias("n")).join(named, "t").groupBy("comp").agg(F.sum("n").alias("class_rows")))
+    sizes = written(sizes, "class-rows")  # a table: Spark can then split a large class in the join below
     placed = sketches.select("doc_id", "h", "t").join(named, "t").join(sizes, "comp")
     return placed.select(
         F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), F.expr(f"nullif(comp.id, {NO_ID})").alias("class_id"), "class_rows",
