@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -32,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantlens.llm.common import clean_text, query, small_batches, table
+from plantlens.llm.common import clean_text, enter, query, small_batches, table
 
 #: Entries of one cache generation of a worker, and the longest match it keeps.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
 
 
@@ -159,14 +158,18 @@ class Decoder:
         return raw[raw != 0][:-1].tobytes()
 
 
-@lru_cache(maxsize=4)
 def _encoder(raw: bytes, pattern: str) -> Encoder:
-    return Encoder(raw, pattern)
+    held = enter("bpe")
+    if held.get("encoder for") != (raw, pattern):
+        held["encoder for"], held["encoder"] = (raw, pattern), Encoder(raw, pattern)
+    return held["encoder"]
 
 
-@lru_cache(maxsize=4)
 def _decoder(raw: bytes) -> Decoder:
-    return Decoder(raw)
+    held = enter("bpe")
+    if held.get("decoder for") != raw:
+        held["decoder for"], held["decoder"] = raw, Decoder(raw)
+    return held["decoder"]
 
 
 def _ranks(spark: SparkSession, path: str | None):

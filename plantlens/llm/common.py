@@ -4,7 +4,7 @@ written intermediate tables, and the salted meeting of groups with their leader.
 
 from __future__ import annotations
 
-import atexit
+import gc
 import importlib
 from collections.abc import Callable, Iterator
 
@@ -49,36 +49,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the cluster's shared folder, read again.
 
     Cuts lineage: a lost executor rereads files instead of recomputing, and
-    later joins know the table's size.  The tables of a session are removed by
-    ``release`` or when the driver ends.
+    later joins know the table's size.  The tables are removed by
+    ``plantlens.session.release`` or when the driver ends.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}")
+    path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Remove the written tables; results that still read them must be consumed before."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; its folder goes with it
-            continue
-
-
-atexit.register(release)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean_text(col: str = "text"):
@@ -129,6 +109,21 @@ def rebatched(rows: Iterator[dict], schema: pa.Schema, size: int = BATCH_ROWS) -
         yield pa.RecordBatch.from_pylist(part, schema=schema)
 
 
+_HELD: dict = {}
+
+
+def enter(operator: str) -> dict:
+    """The state that a worker process holds for an operator (caches, tables).  Workers are
+    reused by later stages: state of another operator is freed here, so that a worker never
+    holds more than one operator's."""
+    if _HELD.get("operator") != operator:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD["operator"] = operator
+    return _HELD
+
+
 #: Modules that register a query.
 MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity", "substring_dedup", "near_dedup", "html_extract",
            "url_rules", "token_rollup", "licenses")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.llm.automaton import SuffixAutomaton
-from plantlens.llm.common import clean_text, fresh, query, small_batches, table
+from plantlens.llm.common import clean_text, enter, fresh, query, small_batches, table
 from plantlens.llm.words import ALNUM, LOWER, Words, grams, mix, segmented
 
 #: Words of a window.
@@ -138,6 +138,7 @@ def _scan(automaton, schema: pa.Schema, others: int) -> Callable:
     """Texts in column 0: adds n_words, spans (word and byte positions) and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         own: ItemAutomaton = automaton.value
         for batch in batches:
             n_words: list = [0] * batch.num_rows
@@ -216,6 +217,7 @@ def covered(spans: str = "spans"):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("decontaminate")
     for batch in batches:
         texts = []
         for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

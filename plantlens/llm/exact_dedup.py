@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantlens.llm.common import clean_text, query, small_batches, table
+from plantlens.llm.common import clean_text, enter, fresh, query, small_batches, table
 
 #: Bytes of text a trie may hold before finished subtrees are emitted.
-SPILL_BYTES = 48 << 20
+SPILL_BYTES = 24 << 20
 
 
 class RadixTrie:
@@ -122,6 +122,7 @@ def _tries(schema: pa.Schema, largest: bool, is_owner: bool, limit: int) -> Call
         trie.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("exact_dedup")
         trie, previous = RadixTrie(), None
         for batch in batches:
             for n_bytes, key_hash, text, ident, n, rest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -160,8 +161,13 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The row that stays of each distinct text, with all its columns."""
-    own = owners(docs, id_col, text_col, keep, carry=tuple(docs.columns))
-    return own.select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])
+    # the text itself is the trie's key; of a kept row only whether it was null is carried
+    null = fresh(docs.columns, "text_is_null")
+    others = [c for c in docs.columns if c != text_col]
+    own = owners(docs.withColumn(null, F.col(text_col).isNull()), id_col, text_col, keep, carry=(*others, null))
+    rest = F.col("rest").getField
+    text = F.when(~rest(null), F.col("text").cast("string"))
+    return own.select(*[(text if c == text_col else rest(c)).alias(c) for c in docs.columns])
 
 
 def memberships(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

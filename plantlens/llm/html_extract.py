@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import query, small_batches, table, written
+from plantlens.llm.common import enter, query, small_batches, table, written
 from plantlens.llm.urls import host
 
 CONTAINERS = frozenset("article main section div td th body html".split())
@@ -191,6 +191,7 @@ class Page:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("html_extract")
     for batch in batches:
         hosts, paths, shares = [], [], []
         for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -214,6 +215,7 @@ def consensus(pages: DataFrame) -> DataFrame:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("html_extract")
     for batch in batches:
         texts = []
         for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import clean_text, query, small_batches, table
+from plantlens.llm.common import clean_text, enter, query, small_batches, table
 from plantlens.llm.words import ALNUM, LOWER, Words, grams, segmented
 
 SAMPLE_DOCS = 400
@@ -224,6 +224,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary of templates and sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("licenses")
         own = sent.value
         for batch in batches:
             out: list = [[] for _ in range(batch.num_rows)]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import clean_text, fresh, meet, query, rebatched, small_batches, table, table_rows, written
+from plantlens.llm.common import clean_text, enter, fresh, meet, query, rebatched, small_batches, table, table_rows, written
 from plantlens.llm.words import ALNUM, Words, grams, mix, one_text, segmented, starts_inside
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -101,6 +101,7 @@ def _bucket(g: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's documents by hashed shingle, as blocks of counts; block -1 counts texts."""
+    enter("near_dedup")
     counts, texts = np.zeros(DF_BUCKETS, np.int64), 0
     for batch in batches:
         for lo, hi, words in segmented(batch.column(0), ALNUM, lower=True):
@@ -117,6 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the blocks; rows come sorted by block."""
+    enter("near_dedup")
     def total(block: int, sums: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["block", "counts"])
 
@@ -205,6 +207,7 @@ def _sketch(idf) -> Callable:
     """Rows (doc_id, h, t, text): the band keys of the text instead of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         log_idf, sampler = log_weights(idf.value), Sampler()
         for batch in batches:
             bands: list = [[] for _ in range(batch.num_rows)]
@@ -262,6 +265,7 @@ def _verify(idf, threshold: float) -> Callable:
                 yield {"a": row["uid"], "b": row["leader"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         yield from rebatched(links(table_rows(batches)), _LINK)
 
     return run
@@ -300,6 +304,7 @@ def _verify_block(idf, threshold: float) -> Callable:
         yield from close(members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         yield from rebatched(links(table_rows(batches)), _LINK)
 
     return run

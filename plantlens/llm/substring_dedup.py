@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.llm.automaton import SuffixAutomaton
-from plantlens.llm.common import clean_text, meet, query, rebatched, small_batches, table, table_rows, written
+from plantlens.llm.common import clean_text, enter, meet, query, rebatched, small_batches, table, table_rows, written
 from plantlens.llm.words import NON_SPACE, Words, grams, one_text, segmented, sliding_min, starts_inside
 
 WINDOW = 50
@@ -55,6 +55,7 @@ def window_keys(h: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 def _anchors(window: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, _, words in segmented(batch.column(1), NON_SPACE):
@@ -173,6 +174,7 @@ def _match(window: int, gram: int, with_rest: bool, block: int = 64) -> Callable
             yield from one_block(ref, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         yield from rebatched(each(table_rows(batches)), _MATCHED_ARROW, 64)
 
     return run
@@ -182,6 +184,7 @@ def _merge(window: int) -> Callable:
     """Rows (.., text, spans): the spans of all references as disjoint ascending spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         for batch in batches:
             merged = []
             for spans in batch.column("spans").to_pylist():
@@ -221,6 +224,7 @@ def _kept(digests: bool, with_spans: bool) -> Callable:
     """Rows (doc_id, h, text[, spans]): the words that stay, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         for batch in batches:
             cut = batch.column(3).to_pylist() if with_spans else None
             n_words, n_removed, kept = [], [], []

@@ -27,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import _WRITTEN, clean_text, query, table, written
+from plantlens.llm.common import clean_text, query, table, written
 from plantlens.session import scratch_path
 
 #: Tokenizer versions: the pattern whose matches are the tokens (the same for Java and RE2).
@@ -147,7 +147,6 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     revisions = later.withColumnRenamed("counts", "revised").join(
         placed.where("doc_id = first_id").select("t", F.col("doc_id").alias("first_id"), "counts"), "t").where("doc_id = first_id")
     root = scratch_path(spark, "llm-rollup")
-    _WRITTEN.append((spark, root))
     rollup = Rollup(spark, root)
     for _ in range(2):
         rollup.commit(1, signed(now, 1))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantlens.llm.common import clean_text, query, small_batches, table
+from plantlens.llm.common import clean_text, enter, query, small_batches, table
 from plantlens.llm.words import ALNUM, Words, grams, mix, segmented
 
 TRAIN_ROWS = 8_000
@@ -272,6 +272,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> Model | float:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("toxicity")
     for batch in batches:
         out: list = [None] * batch.num_rows
         for lo, _, words in segmented(batch.column(1), ALNUM, lower=True):
@@ -313,6 +314,7 @@ def predictions(docs: DataFrame, model: Model | float, text_col: str = "text") -
                            T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         own = sent.value
         for batch in batches:
             score = np.full(batch.num_rows, own if isinstance(own, float) else 0.0)
