@@ -211,8 +211,10 @@ def fitted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The classifier, with negatives from a bounded sample of the documents (every third
     of their distinct paragraphs)."""
     text = clean_text()
-    sample = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).orderBy("h", "text").limit(sample_docs)
-    return train(sorted({p for r in sample.collect() for p in r.text.split("\n")})[::3])
+    # first only hashes are ranked, so that no task sends texts of its own to the driver
+    chosen = [r.h for r in docs.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(sample_docs).collect()]
+    sample = docs.where(F.xxhash64(text).isin(chosen)).select(text.alias("text")).distinct().collect()
+    return train(sorted({p for r in sample for p in r.text.split("\n")})[::3])
 
 
 NOTICE = "struct<paragraph:int,family:string,probability:double,resemblance:double>"
