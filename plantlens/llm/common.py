@@ -66,6 +66,26 @@ def clean_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Bits of the hashed membership map that is broadcast (as 2^19 words of 64).
+MAP_BITS = 25
+
+
+def probably_in(rows: DataFrame, wanted: DataFrame, key: str = "uid") -> DataFrame:
+    """The rows whose key may be among ``wanted`` (a column of that name), by a bitmap of
+    hashed keys: never loses one, and keeps few others while ``wanted`` is small against the
+    bitmap.  It goes before an exact join, so that long rows are shuffled only where they
+    are needed.  The broadcast has at most 2^19 rows of two longs, however large both are."""
+    word, bit, mask = (fresh(rows.columns, c) for c in ("map_word", "map_bit", "map_mask"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        h = F.shiftrightunsigned(F.xxhash64(key), 64 - MAP_BITS)
+        return df.withColumns({word: F.shiftright(h, 6), bit: h.bitwiseAND(F.lit(63)).cast("int")})
+
+    words = placed(wanted.select(key)).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(mask))
+    return (placed(rows).join(F.broadcast(words), word).where(F.getbit(mask, F.col(bit)) == 1)
+            .select(*rows.columns))
+
+
 def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
          schema: str, per_task: int = 250) -> DataFrame:
     """Bring each leader's rows together with its members' rows, in groups of bounded size.
@@ -84,7 +104,8 @@ def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatc
     leaders = sizes.select(
         F.col("leader").alias("uid"), "leader",
         F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    placed = rows.join(members.unionByName(leaders), "uid")
+    parties = written(members.unionByName(leaders), "parties")
+    placed = probably_in(rows, parties).join(parties, "uid")
     return (placed.select("leader", "salt", "role", *rows.columns)
             .repartition("leader", "salt")
             .sortWithinPartitions("leader", "salt", "role", "uid")

@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import clean_text, enter, fresh, meet, query, rebatched, small_batches, table, table_rows, written
+from plantlens.llm.common import (
+    clean_text, enter, fresh, meet, probably_in, query, rebatched, small_batches, table, table_rows, written)
 from plantlens.llm.words import ALNUM, Words, grams, mix, one_text, segmented, starts_inside
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -345,13 +346,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = sketches.groupBy("t").agg(F.min(F.struct(F.col("doc_id").alias("id"), "h")).alias("uid"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     bands = nodes.select("uid", F.explode("bands").alias("band"))
-    pairs = (bands.join(_sized(bands).select("band", "leader"), "band").where("uid <> leader")
-             .select(F.col("uid").alias("member"), "leader").distinct())
-    pairs = written(pairs, "candidates")
-    # the texts of candidates: the only time that texts are shuffled whole
-    wanted = pairs.select(F.col("member").alias("uid")).unionByName(pairs.select(F.col("leader").alias("uid"))).distinct()
-    texts = rows.select(F.struct(F.col("doc_id").alias("id"), "h").alias("uid"), "text").join(wanted, "uid", "left_semi")
-    texts = written(texts, "candidate-texts")
+    # members of buckets of two or more: all that the steps below look at
+    bands = written(bands.join(_sized(bands).select("band", "leader"), "band").select("band", "uid", "leader"), "buckets")
+    pairs = written(bands.where("uid <> leader").select(F.col("uid").alias("member"), "leader").distinct(), "candidates")
+    # the texts of candidates; the others are not shuffled
+    wanted = written(bands.select("uid").distinct(), "wanted")
+    texts = rows.select(F.struct(F.col("doc_id").alias("id"), "h").alias("uid"), "text")
+    texts = written(probably_in(texts, wanted).join(wanted, "uid", "left_semi"), "candidate-texts")
     links = written(meet(texts, pairs, _verify(idf, threshold), _LINK_KIND), "links")
     comps = components(links)
     # what members of different components of a bucket may still share
