@@ -352,7 +352,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # the texts of candidates; the others are not shuffled
     wanted = written(bands.select("uid").distinct(), "wanted")
     texts = rows.select(F.struct(F.col("doc_id").alias("id"), "h").alias("uid"), "text")
-    texts = written(probably_in(texts, wanted).join(wanted, "uid", "left_semi"), "candidate-texts")
+    # an inner join (wanted has every uid once): Spark would pull a semi join below the bitmap
+    texts = written(probably_in(texts, wanted).join(wanted, "uid"), "candidate-texts")
     links = written(meet(texts, pairs, _verify(idf, threshold), _LINK_KIND), "links")
     comps = components(links)
     # what members of different components of a bucket may still share
