@@ -2,7 +2,7 @@
 
 * ``safe_ratio``: ANSI-safe division (no DIVIDE_BY_ZERO).
 * ``quantiles``: exact linear-interpolation quantiles (pandas/DuckDB
-  ``quantile_cont`` semantics) with bounded memory at any scale.
+  ``quantile_cont`` semantics) in three passes, whatever the values.
 * ``present``: presentation rounding of every double column.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,183 +43,187 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Exact quantiles with bounded memory.
+# Exact quantiles.
 #
 # Spark's ``percentile`` is exact but keeps a value->count map of every
 # distinct value and merges it in one task per group; on continuous sensor
 # data at 100 TB that map is the whole column.  ``percentile_approx`` is
 # bounded but returns a datum, not the interpolated value.
 #
-# We find each needed order statistic by histogram refinement: one pass gets
-# count/min/max; every further pass counts the rows of the current value
-# window into ``buckets`` equal-width buckets (partial aggregation, so each
-# task ships at most ``buckets`` rows per target) and narrows the window to
-# the bucket holding the rank.  When a window holds at most ``fetch`` rows
-# (or one distinct value) its values are fetched and the rank read off.  Each
-# pass shrinks the window ~``buckets``-fold, so 1e12 rows need about four
-# passes.  All targets (columns x ranks) share each pass.
+# Three passes, however the values are spread (ranks, never widths, decide):
+#   1. one bounded sketch brackets every wanted rank between two data values;
+#   2. one aggregation counts the rows below, on, and strictly between the
+#      bracket values, which settles ranks that fall on a bracket value;
+#   3. the few values strictly between (a fixed small share of the ranks) are
+#      counted by value, sorted and ranked, distributed by column and bracket.
+# Infinities are values like others.  NaN counts as NULL.
 # ---------------------------------------------------------------------------
 
-CHUNK = 8  # windows per projection: larger generated methods stop being JIT-compiled
-
-
-def _explode_nonnull(df: DataFrame, entries: list[Column], fields: list[str]) -> DataFrame:
-    """One output row per non-NULL struct.  explode + filter stay in
-    whole-stage codegen (a higher-order ``filter`` would not); the entries are
-    split into chunks of ``CHUNK`` per projection and unioned, because one
-    projection over many windows generates a method too large to be
-    JIT-compiled (measured: 19 windows 14 s, 2 x 10 windows < 2 s)."""
-    parts = []
-    for i in range(0, len(entries), CHUNK):
-        parts.append(df.select(F.explode(F.array(*entries[i:i + CHUNK])).alias("_s"))
-                     .filter(F.col("_s").isNotNull())
-                     .select(*[F.col(f"_s.{f}").alias(f) for f in fields]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-def _order_stats(df: DataFrame, targets: dict[tuple, tuple], buckets: int, fetch: int,
-                 max_rounds: int = 12) -> dict[tuple, float]:
-    """targets: key -> (column, rank, lo, hi, below).  Returns key -> value."""
-    found: dict[tuple, float] = {}
-    live = dict(targets)
-    for _ in range(max_rounds):
-        if not live:
-            break
-        # targets sharing a window share one histogram
-        windows: dict[tuple, list] = {}
-        for key, (c, r, lo, hi, below) in live.items():
-            if lo == hi:
-                found[key] = lo
-                continue
-            windows.setdefault((c, lo, hi), []).append(key)
-        live = {k: v for k, v in live.items() if k not in found}
-        if not windows:
-            break
-        wins = list(windows.items())
-        entries = []
-        for wi, ((c, lo, hi), _keys) in enumerate(wins):
-            x = F.col(c)
-            b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))),
-                        F.lit(buckets - 1)).cast("int")
-            entries.append(F.when(x.between(F.lit(lo), F.lit(hi)),
-                                  F.struct(F.lit(wi).alias("w"), b.alias("b"), x.cast("double").alias("v"))))
-        cols = sorted({c for (c, _, _), _ in wins})
-        hist = (_explode_nonnull(df.select(*cols), entries, ["w", "b", "v"])
-                .groupBy("w", "b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .collect())
-        per_w: dict[int, list] = {}
-        for row in hist:
-            per_w.setdefault(row["w"], []).append((row["b"], row["n"], row["lo"], row["hi"]))
-        fetch_req = []
-        for wi, ((c, lo, hi), keys) in enumerate(wins):
-            bins = sorted(per_w.get(wi, []))
-            for key in keys:
-                _, r, _, _, below = live[key]
-                cum = below
-                for (_b, n, blo, bhi) in bins:
-                    if cum + n > r:
-                        if blo == bhi:
-                            found[key] = blo
-                        elif n <= fetch:
-                            fetch_req.append((key, c, blo, bhi, cum, r))
-                        else:
-                            live[key] = (c, r, blo, bhi, cum)
-                        break
-                    cum += n
-        for key, *_ in fetch_req:
-            live.pop(key, None)
-        for key in list(live):
-            if key in found:
-                live.pop(key)
-        if fetch_req:
-            # one pass fetches every small window (each at most `fetch` rows)
-            uniq = sorted({(c, blo, bhi) for _, c, blo, bhi, _, _ in fetch_req})
-            entries = [F.when(F.col(c).between(F.lit(blo), F.lit(bhi)),
-                              F.struct(F.lit(i).alias("w"), F.col(c).cast("double").alias("v")))
-                       for i, (c, blo, bhi) in enumerate(uniq)]
-            cols = sorted({c for c, _, _ in uniq})
-            rows = _explode_nonnull(df.select(*cols), entries, ["w", "v"]).collect()
-            vals: dict[int, list] = {}
-            for row in rows:
-                vals.setdefault(row["w"], []).append(row["v"])
-            for key, c, blo, bhi, cum, r in fetch_req:
-                v = sorted(vals[uniq.index((c, blo, bhi))])
-                found[key] = v[r - cum]
-    if live:
-        raise RuntimeError(f"quantile refinement did not converge for {sorted(live)}")
-    return found
+#: Rank error of the sketch is 1/ACCURACY of the rows; brackets take four times that on either side.
+ACCURACY = 20000
+
+
+def _target_ranks(n: int, p: float) -> tuple[int, int]:
+    """The 0-based ranks whose values a quantile interpolates between."""
+    k = int(math.floor((n - 1) * p))
+    return k, min(k + 1, n - 1)
+
+
+def _interpolated(n: int, p: float, lo: float, hi: float) -> float:
+    """lo*(1-d) + hi*d with one rounding of the first product, the same float
+    result as DuckDB's ``quantile_cont``."""
+    k, k1 = _target_ranks(n, p)
+    h = (n - 1) * p
+    if lo == hi or h == k or k1 == k:
+        return lo
+    return math.fma(lo, (k1 - h), hi * (h - k))
+
+
+def _brackets(long: DataFrame, keys: list[str], probs: list[float], margin: float) -> DataFrame:
+    """Per key: n, and the bracket values lo{j}, hi{j} of every probability."""
+    ps = [q for p in probs for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    agg = long.groupBy(*keys).agg(
+        F.count("v").alias("n"), F.min("v").alias("_least"), F.max("v").alias("_most"),
+        F.percentile_approx("v", F.array(*[F.lit(q) for q in ps]), ACCURACY).alias("_q"))
+    few = F.col("n") <= ACCURACY  # the sketch's rank error is below one row: the bracket is everything
+    out = []
+    for j, p in enumerate(probs):
+        out.append((F.col("_least") if p - margin <= 0 else F.when(few, F.col("_least")).otherwise(F.col("_q")[2 * j])).alias(f"lo{j}"))
+        out.append((F.col("_most") if p + margin >= 1 else F.when(few, F.col("_most")).otherwise(F.col("_q")[2 * j + 1])).alias(f"hi{j}"))
+    return agg.filter(F.col("n") > 0).select(*keys, "n", *out)
+
+
+def _with_brackets(long: DataFrame, keys: list[str], brackets: DataFrame | list, probs: list[float]) -> DataFrame:
+    """The long rows with their key's bracket values: looked up in literals when the brackets
+    were collected (one key, an index), else by a join with the written table."""
+    if isinstance(brackets, DataFrame):
+        return long.join(brackets, keys)
+    width = max(r[keys[0]] for r in brackets) + 1
+    cols = {}
+    for name in [f"{e}{j}" for j in range(len(probs)) for e in ("lo", "hi")]:
+        values = [None] * width
+        for r in brackets:
+            values[r[keys[0]]] = r[name]
+        cols[name] = F.array(*[F.lit(v).cast("double") for v in values])[F.col(keys[0])]
+    return long.withColumns(cols)
+
+
+def _counts(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Per key and probability j: rows below lo (b{j}), on lo (l{j}), strictly inside (i{j})."""
+    v, aggs = F.col("v"), []
+    for j in range(len(probs)):
+        lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
+        aggs += [F.count_if(v < lo).alias(f"b{j}"), F.count_if(v == lo).alias(f"l{j}"),
+                 F.count_if((v > lo) & (v < hi)).alias(f"i{j}")]
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def _inside(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """(keys, j, v, first, last): the distinct values strictly inside bracket j with the ranks
+    they hold there.  Only that small share of the rows is shuffled and sorted."""
+    v = F.col("v")
+    tags = F.array(*[F.when((v > F.col(f"lo{j}")) & (v < F.col(f"hi{j}")), F.lit(j)) for j in range(len(probs))])
+    hits = (rows.select(*keys, "v", F.explode(tags).alias("j")).filter(F.col("j").isNotNull())
+            .groupBy(*keys, "j", "v").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy(*keys, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("c").over(w)
+    return hits.select(*keys, "j", "v", (upto - F.col("c")).alias("first"), (upto - 1).alias("last"))
+
+
+def long_quantiles(long: DataFrame, key: str, probs: Sequence[float]) -> dict:
+    """Exact quantiles of rows (key, v) by an integer key with few values:
+    {key: (n, [quantiles])}; keys without values are missing."""
+    probs, margin = [float(p) for p in probs], 4.0 / ACCURACY
+    while True:
+        brackets = _brackets(long, [key], probs, margin).collect()
+        if not brackets:
+            return {}
+        rows = _with_brackets(long, [key], brackets, probs)
+        counts = {r[key]: r for r in _counts(rows, [key], probs).collect()}
+        wanted, found, missed = [], {}, False
+        for r in brackets:
+            c = counts[r[key]]
+            for j, p in enumerate(probs):
+                for rank in _target_ranks(r["n"], p):
+                    at = rank - c[f"b{j}"]
+                    if at < 0 or r[f"lo{j}"] == r[f"hi{j}"] and at >= c[f"l{j}"]:
+                        missed = True
+                    elif at < c[f"l{j}"]:
+                        found[r[key], j, rank] = r[f"lo{j}"]
+                    elif at >= c[f"l{j}"] + c[f"i{j}"]:
+                        found[r[key], j, rank] = r[f"hi{j}"]
+                    else:
+                        wanted.append((r[key], j, rank, at - c[f"l{j}"]))
+        if missed:  # a bracket that the sketch placed too tightly: widen (at 1/2 it is everything)
+            margin = min(1.0, margin * 8)
+            continue
+        if wanted:
+            one = F.lit(False)
+            for k, j, _, at in dict.fromkeys(wanted):
+                one = one | ((F.col(key) == k) & (F.col("j") == j) & (F.col("first") <= at) & (F.col("last") >= at))
+            inside = _inside(rows, [key], probs).filter(one).collect()
+            for k, j, rank, at in wanted:
+                found[k, j, rank] = next(r["v"] for r in inside if r[key] == k and r["j"] == j and r["first"] <= at <= r["last"])
+        out = {}
+        for r in brackets:
+            n = r["n"]
+            out[r[key]] = (n, [_interpolated(n, p, *(float(found[r[key], j, k]) for k in _target_ranks(n, p)))
+                               for j, p in enumerate(probs)])
+        return out
+
+
+def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], store) -> DataFrame:
+    """Exact quantiles of rows (keys, v) per key, for any number of keys: (keys, n, q0, q1, ...).
+    Nothing is collected; ``store`` writes a frame to the shared folder and reads it back, so
+    that the join with the brackets knows their size."""
+    keys, probs = list(keys), [float(p) for p in probs]
+    brackets = store(_brackets(long, keys, probs, 4.0 / ACCURACY))
+    rows = _with_brackets(long, keys, brackets, probs)
+    counts = store(_counts(rows, keys, probs).join(brackets, keys))
+    at, values = [], []
+    for j, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(p)
+        k = F.floor(h).cast("long")
+        for e, rank in (("a", k), ("z", F.least(k + 1, F.col("n") - 1))):
+            at.append((rank - F.col(f"b{j}") - F.col(f"l{j}")).alias(f"{e}{j}"))
+        at.append((h - k).alias(f"d{j}"))
+    plan = counts.select(*keys, "n", *[f"{e}{j}" for j in range(len(probs)) for e in ("lo", "hi", "i")], *at)
+    inside = _inside(rows, keys, probs).join(plan, keys)
+    for j in range(len(probs)):
+        for e in ("a", "z"):
+            hit = (F.col("j") == j) & (F.col("first") <= F.col(f"{e}{j}")) & (F.col("last") >= F.col(f"{e}{j}"))
+            values.append(F.max(F.when(hit, F.col("v"))).alias(f"v{e}{j}"))
+    inner = inside.groupBy(*keys).agg(*values)
+    out = plan.join(inner, keys, "left")
+    final = []
+    for j in range(len(probs)):
+        a, z = (F.when(F.col(f"{e}{j}") < 0, F.col(f"lo{j}")).when(F.col(f"{e}{j}") >= F.col(f"i{j}"), F.col(f"hi{j}"))
+                .otherwise(F.col(f"v{e}{j}")) for e in ("a", "z"))
+        d = F.col(f"d{j}")
+        final.append(F.when((a == z) | (d == 0), a).otherwise(a * (1 - d) + z * d).alias(f"q{j}"))
+    return out.select(*keys, "n", *final)
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              method: str = "exact", buckets: int = 2048, fetch: int = 5000,
-              accuracy: int = 100000, known: dict | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of each column (NULLs skipped).
+              method: str = "exact", accuracy: int = 100000) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles of each column (NULLs and NaN skipped).
 
-    method: ``exact`` (bounded-memory refinement, default), ``percentile``
+    method: ``exact`` (sketch bracket, then exact ranks; default), ``percentile``
     (Spark's exact aggregate; fine for low-cardinality data), ``approx``
-    (``percentile_approx``: one pass, returns a datum).  ``known`` maps a
-    column to its (non-NULL count, min, max) when a caller already has them,
-    which saves the first pass."""
+    (``percentile_approx``: one pass, returns a datum)."""
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
-    if method == "percentile":
-        row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(c)
-                       for c in cols]).first()
-        return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
-    if method == "approx":
-        row = df.agg(*[F.percentile_approx(F.col(c), F.array(*[F.lit(p) for p in probs]),
-                                           accuracy).alias(c) for c in cols]).first()
+    if method in ("percentile", "approx"):
+        ps = F.array(*[F.lit(p) for p in probs])
+        row = df.agg(*[(F.percentile(F.col(c), ps) if method == "percentile"
+                        else F.percentile_approx(F.col(c), ps, accuracy)).alias(c) for c in cols]).first()
         return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
     if method != "exact":
         raise ValueError(method)
-
-    if known is not None and all(c in known for c in cols):
-        st = {}
-        for c in cols:
-            st[f"n_{c}"], st[f"lo_{c}"], st[f"hi_{c}"] = known[c]
-    else:
-        aggs = []
-        for c in cols:
-            x = F.col(c).cast("double")
-            aggs += [F.count(x).alias(f"n_{c}"), F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}")]
-        st = df.agg(*aggs).first()
-    targets, plan = {}, {}
-    for c in cols:
-        n, lo, hi = st[f"n_{c}"], st[f"lo_{c}"], st[f"hi_{c}"]
-        for p in probs:
-            if not n:
-                plan[(c, p)] = None
-                continue
-            h = (n - 1) * p
-            k = int(math.floor(h))
-            d = h - k
-            ranks = [k] if (d == 0 or k + 1 >= n) else [k, k + 1]
-            plan[(c, p)] = (ranks, d)
-            for r in ranks:
-                targets[(c, r)] = (c, r, lo, hi, 0)
-    vals = _order_stats(df, targets, buckets, fetch)
-    out: dict[str, list] = {c: [] for c in cols}
-    for c in cols:
-        for p in probs:
-            pl = plan[(c, p)]
-            if pl is None:
-                out[c].append(None)
-                continue
-            ranks, d = pl
-            if len(ranks) == 1:
-                out[c].append(float(vals[(c, ranks[0])]))
-            else:
-                lo_v, hi_v = float(vals[(c, ranks[0])]), float(vals[(c, ranks[1])])
-                # lo*(1-d) + hi*d with one rounding of the first product, the
-                # same float result as DuckDB's quantile_cont
-                h = (st[f"n_{c}"] - 1) * p
-                out[c].append(math.fma(lo_v, (ranks[1] - h), hi_v * d))
-    return out
+    long = long_values(df, cols).withColumn("v", F.nanvl("v", F.lit(None).cast("double"))).filter(F.col("v").isNotNull())
+    got = long_quantiles(long, "col_idx", probs)
+    return {c: got[i][1] if i in got else [None] * len(probs) for i, c in enumerate(cols)}
 
 
 def long_values(df: DataFrame, cols: Sequence[str], idx: str = "col_idx", val: str = "v") -> DataFrame:

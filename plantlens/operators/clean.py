@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantlens.functions.stats import quantiles
+from plantlens.functions.stats import grouped_quantiles, quantiles
 from plantlens.schema import ALL_NUMERIC, CLIP14
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -63,8 +63,8 @@ class Bounds:
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-               method: str = "exact", known: dict | None = None) -> dict[str, Bounds]:
-    qs = quantiles(df, cols, [0.25, 0.75], method=method, known=known)
+               method: str = "exact") -> dict[str, Bounds]:
+    qs = quantiles(df, cols, [0.25, 0.75], method=method)
     return {c: Bounds(qs[c][0], qs[c][1], k) for c in cols}
 
 
@@ -92,6 +92,14 @@ def outlier_rows(df: DataFrame, col: str, bound: Bounds | None = None) -> DataFr
     return df.filter((F.col(col) < F.lit(b.lower)) | (F.col(col) > F.lit(b.upper)))
 
 
+def all_outlier_rows(df: DataFrame, bounds: dict[str, Bounds]) -> DataFrame:
+    """C3r for several columns in one scan: a row comes once for each column whose fences it
+    lies outside, with that column's name in front."""
+    out = [F.when((F.col(c) < F.lit(b.lower)) | (F.col(c) > F.lit(b.upper)), F.lit(c))
+           for c, b in bounds.items() if b.q1 is not None]
+    return df.select(F.explode(F.array_compact(F.array(*out))).alias("column"), *df.columns)
+
+
 def winsorize(df: DataFrame, cols: Sequence[str] = CLIP14,
               bounds: dict[str, Bounds] | None = None) -> DataFrame:
     """C4: clip each column to its IQR fences; NULL stays NULL."""
@@ -111,10 +119,16 @@ def winsorize(df: DataFrame, cols: Sequence[str] = CLIP14,
 def box_stats(df: DataFrame, cols: Sequence[str], bounds: dict[str, Bounds] | None = None,
               method: str = "exact") -> DataFrame:
     """Box-plot numbers: quartiles, median, whiskers (extreme data inside
-    the 1.5 IQR fences) and the count of fliers, one pass after the quartiles."""
+    the 1.5 IQR fences) and the count of fliers, one pass after the quartiles.
+    ``bounds`` of some columns, when a build has them, save finding those
+    columns' quartiles again."""
     cols = list(cols)
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], method=method)
-    bounds = {c: Bounds(qs[c][0], qs[c][2]) for c in cols}
+    bounds = dict(bounds or {})
+    known, new = [c for c in cols if c in bounds], [c for c in cols if c not in bounds]
+    qs = quantiles(df, new, [0.25, 0.5, 0.75], method=method)
+    medians = quantiles(df, known, [0.5], method=method)
+    qs.update({c: [bounds[c].q1, medians[c][0], bounds[c].q3] for c in known})
+    bounds.update({c: Bounds(qs[c][0], qs[c][2]) for c in new})
     aggs = []
     for c in cols:
         b, x = bounds[c], F.col(c)
@@ -176,44 +190,22 @@ def clean_summary(cl: Cleaned, cols: Sequence[str] = CLIP14) -> DataFrame:
     return cl.imputed.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-MAX_CATEGORIES = 1000
+def box_stats_by(df: DataFrame, cols: Sequence[str], by: str, store) -> DataFrame:
+    """C5 grouped: box-plot statistics per (group, column), for any number of groups.
 
-
-def box_stats_by(df: DataFrame, cols: Sequence[str], by: str, method: str = "exact") -> DataFrame:
-    """C5 grouped: box-plot statistics per (group, column) for a categorical
-    ``by`` with few values (a box plot per category).  Each (group, column)
-    becomes a virtual column ``CASE WHEN by = g THEN x END`` for the exact
-    bounded-memory quantiles (no group is ever collected into one task), then
-    one aggregation by group computes whiskers and fliers against the group's
-    fences (looked up from a literal map)."""
+    Long rows (group, column, value); exact quantiles per key (``grouped_quantiles``), then
+    one aggregation against each key's fences.  ``store`` writes a frame to the shared folder
+    and reads it back.  A (group, column) without values has no row."""
     cols = list(cols)
-    groups = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct()
-                    .limit(MAX_CATEGORIES + 1).collect())
-    if len(groups) > MAX_CATEGORIES:
-        raise ValueError(f"box_stats_by is for categorical keys; {by} has more than {MAX_CATEGORIES} values")
-    virt = {(g, c): f"__{i}_{j}" for i, g in enumerate(groups) for j, c in enumerate(cols)}
-    vdf = df.select(*[F.when(F.col(by) == F.lit(g), F.col(c)).alias(v) for (g, c), v in virt.items()])
-    qs = quantiles(vdf, list(virt.values()), [0.25, 0.5, 0.75], method=method)
-    key = F.col(by)
-    aggs, rows = [], []
-    for j, c in enumerate(cols):
-        lo = F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(Bounds(qs[virt[(g, c)]][0],
-                                                                             qs[virt[(g, c)]][2]).lower))])[key]
-        hi = F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(Bounds(qs[virt[(g, c)]][0],
-                                                                             qs[virt[(g, c)]][2]).upper))])[key]
-        x = F.col(c)
-        inside = (x >= lo) & (x <= hi)
-        aggs += [F.min(F.when(inside, x)).cast("double").alias(f"wl_{j}"),
-                 F.max(F.when(inside, x)).cast("double").alias(f"wh_{j}"),
-                 F.count_if(x.isNotNull() & ~inside).alias(f"nf_{j}")]
-    q_map = {(g, c): qs[virt[(g, c)]] for g in groups for c in cols}
-
-    def qlit(i):
-        return [F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(q_map[(g, c)][i]).cast("double"))])[key]
-                for c in cols]
-    q1s, q2s, q3s = qlit(0), qlit(1), qlit(2)
-    per_group = df.filter(key.isNotNull()).groupBy(by).agg(*aggs)
-    return per_group.select(key, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), q1s[j].alias("q1"), q2s[j].alias("median"), q3s[j].alias("q3"),
-                 F.col(f"wl_{j}").alias("whisker_lo"), F.col(f"wh_{j}").alias("whisker_hi"),
-                 F.col(f"nf_{j}").cast("long").alias("n_fliers")) for j, c in enumerate(cols)])))
+    rows = df.filter(F.col(by).isNotNull()).select(by, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("col_idx", "v"))
+    rows = rows.withColumn("v", F.nanvl("v", F.lit(None).cast("double"))).filter(F.col("v").isNotNull())
+    q = store(grouped_quantiles(rows, [by, "col_idx"], [0.25, 0.5, 0.75], store))
+    fence = 1.5 * (F.col("q2") - F.col("q0"))
+    inside = (F.col("v") >= F.col("q0") - fence) & (F.col("v") <= F.col("q2") + fence)
+    out = rows.join(q, [by, "col_idx"]).groupBy(by, "col_idx").agg(
+        F.first("q0").alias("q1"), F.first("q1").alias("median"), F.first("q2").alias("q3"),
+        F.min(F.when(inside, F.col("v"))).alias("whisker_lo"), F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
+        F.count_if(~inside).alias("n_fliers"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return out.select(by, names[F.col("col_idx")].alias("column"), "q1", "median", "q3", "whisker_lo", "whisker_hi",
+                      F.col("n_fliers").cast("long").alias("n_fliers"))

@@ -34,16 +34,21 @@ FROM imputed CROSS JOIN qa GROUP BY q1_{c}, q3_{c}""" for c in ALL_NUMERIC]
 def iqr_outliers(spark, sf):
     """Per numeric column the IQR fences and the rows strictly outside them
     (after imputation, before clipping)."""
-    return C.iqr_outliers(ctx.imputed(spark, sf), ALL_NUMERIC)
+    df, known = ctx.imputed(spark, sf), ctx.bounds(spark, sf)
+    return C.iqr_outliers(df, ALL_NUMERIC, {**known, **C.iqr_bounds(df, [c for c in ALL_NUMERIC if c not in known])})
 
 
-@query("outlier_rows", rnd(with_plant(imputed_sql(), quartiles_sql("imputed", ["vibration_level"], "qv"))
-                           + f"\nSELECT imputed.{LOG_COLS} FROM imputed CROSS JOIN qv "
-                             f"WHERE vibration_level < {lower('vibration_level')} "
-                             f"OR vibration_level > {upper('vibration_level')}", *NULLABLE))
+def _outlier_rows_oracle() -> str:
+    sel = [f"""SELECT '{c}' AS "column", imputed.{LOG_COLS} FROM imputed CROSS JOIN qa
+WHERE {c} < {lower(c)} OR {c} > {upper(c)}""" for c in ALL_NUMERIC]
+    return rnd(with_plant(imputed_sql(), quartiles_sql("imputed", ALL_NUMERIC, "qa")) + "\n" + union(*sel), *NULLABLE)
+
+
+@query("outlier_rows", _outlier_rows_oracle())
 def outlier_rows(spark, sf):
-    """C3r: the rows whose vibration lies outside its IQR fences."""
-    return C.outlier_rows(ctx.imputed(spark, sf), "vibration_level")
+    """C3r: for each of the numeric columns, the rows that lie outside its IQR fences."""
+    df, known = ctx.imputed(spark, sf), ctx.bounds(spark, sf)
+    return C.all_outlier_rows(df, {**known, **C.iqr_bounds(df, [c for c in ALL_NUMERIC if c not in known])})
 
 
 @query("winsorize", rnd(on_clean(f"SELECT {LOG_COLS} FROM clean"), *CLIP14))
@@ -69,7 +74,7 @@ FROM {src} CROSS JOIN bq GROUP BY q1_{c}, q2_{c}, q3_{c}""" for c in cols]
 @query("box_stats_raw", _box_oracle([imputed_sql()], "imputed", BOX15))
 def box_stats_raw(spark, sf):
     """Box-plot statistics of 15 columns before clipping."""
-    return C.box_stats(ctx.imputed(spark, sf), BOX15)
+    return C.box_stats(ctx.imputed(spark, sf), BOX15, ctx.bounds(spark, sf))
 
 
 @query("box_stats_clipped", _box_oracle([clean_sql()], "clean", NUMERIC16))
@@ -121,4 +126,6 @@ FROM {src} s JOIN gq ON gq.{by} = s.{by} GROUP BY s.{by}, q1_{c}, q2_{c}, q3_{c}
 @query("box_stats_by_machine_type", _box_by_oracle([imputed_sql()], "imputed", _BOX_BY, "machine_type"))
 def box_stats_by_machine_type(spark, sf):
     """C5 grouped: box-plot statistics of four sensors per machine type (before clipping)."""
-    return C.box_stats_by(ctx.imputed(spark, sf), _BOX_BY, "machine_type")
+    v = ctx.version(spark, sf)
+    stages = iter(range(100))
+    return C.box_stats_by(ctx.imputed(spark, sf), _BOX_BY, "machine_type", lambda df: v.table(f"box-by-{next(stages)}", lambda: df))

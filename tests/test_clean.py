@@ -69,7 +69,7 @@ def test_box_stats_by_group_matches_pandas(spark):
     rows = [(g, rnd.gauss(10 * (i + 1), 2) if rnd.random() > 0.02 else 200.0)
             for i, g in enumerate(["a", "b", "c"]) for _ in range(120)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r["g"]: r for r in C.box_stats_by(df, ["x"], "g").collect()}
+    got = {r["g"]: r for r in C.box_stats_by(df, ["x"], "g", lambda d: d).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "x"])
     for g, part in pdf.groupby("g"):
         q1, q2, q3 = part.x.quantile([0.25, 0.5, 0.75])

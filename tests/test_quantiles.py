@@ -1,4 +1,4 @@
-"""Exact bounded-memory quantiles against DuckDB quantile_cont and numpy."""
+"""Exact quantiles against DuckDB quantile_cont and numpy."""
 import math
 import random
 
@@ -8,7 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plantlens.functions.stats import quantiles
+from plantlens.functions import stats
+from plantlens.functions.stats import grouped_quantiles, quantiles
+
+PROBS = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.75, 0.9, 1.0]
 
 
 def duck_q(xs, p):
@@ -22,18 +25,56 @@ def frame(spark, xs):
     return spark.createDataFrame([(x,) for x in xs], "x double")
 
 
-@pytest.mark.parametrize("buckets,fetch", [(2048, 5000), (4, 3), (2, 1)])
-def test_matches_duckdb_bitwise(spark, buckets, fetch):
+@pytest.fixture(params=[None, 40])
+def accuracy(request, monkeypatch):
+    """The library's accuracy, and a coarse one, whose brackets leave rows inside."""
+    if request.param:
+        monkeypatch.setattr(stats, "ACCURACY", request.param)
+    return request.param
+
+
+def data(kind):
     rnd = random.Random(7)
-    xs = [rnd.random() * 100 for _ in range(500)] + [50.0] * 40 + [None] * 5
-    df = frame(spark, xs)
-    probs = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.75, 0.9, 1.0]
-    got = quantiles(df, ["x"], probs, buckets=buckets, fetch=fetch)["x"]
+    if kind == "ties":
+        return [rnd.random() * 100 for _ in range(500)] + [50.0] * 400 + [0.0] * 900 + [None] * 5
+    if kind == "decades":
+        return [rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-150, 150) for _ in range(1500)]
+    if kind == "infinite":
+        return [rnd.random() for _ in range(900)] + [math.inf] * 3 + [-math.inf]
+    if kind == "two values":
+        return [1.0] * 700 + [2.0] * 701
+    return [3.0] * 1000
+
+
+@pytest.mark.parametrize("kind", ["ties", "decades", "infinite", "two values", "constant"])
+def test_matches_duckdb_bitwise(spark, accuracy, kind):
+    xs = data(kind)
+    got = quantiles(frame(spark, xs), ["x"], PROBS)["x"]
     clean = [x for x in xs if x is not None]
-    for p, g in zip(probs, got):
+    for p, g in zip(PROBS, got):
         assert g == duck_q(clean, p)
 
 
+def test_several_columns_at_once(spark, accuracy):
+    rnd = random.Random(3)
+    rows = [(rnd.gauss(0, 1), float(rnd.randint(0, 3)), None if k % 3 else rnd.random()) for k in range(1200)]
+    got = quantiles(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], [0.25, 0.75])
+    for i, c in enumerate("abc"):
+        xs = [r[i] for r in rows if r[i] is not None]
+        assert got[c] == [duck_q(xs, 0.25), duck_q(xs, 0.75)]
+
+
+def test_grouped_matches_numpy(spark, accuracy):
+    rnd = random.Random(5)
+    rows = [(f"g{k % 30}" if k % 2 else "hot", k % 3, rnd.gauss(0, 1) * 10 ** (k % 5)) for k in range(6000)]
+    got = grouped_quantiles(spark.createDataFrame(rows, "g string, i int, v double"), ["g", "i"], [0.25, 0.5, 0.9], lambda d: d).collect()
+    assert len(got) == len({(g, i) for g, i, _ in rows})
+    for r in got:
+        xs = [v for g, i, v in rows if (g, i) == (r.g, r.i)]
+        assert [r.q0, r.q1, r.q2] == pytest.approx(list(np.quantile(xs, [0.25, 0.5, 0.9])), rel=1e-12)
+        assert r.n == len(xs)
+
+
 def test_percentile_and_approx_methods(spark):
     xs = [float(i % 17) for i in range(300)]
     df = frame(spark, xs)
@@ -51,11 +92,13 @@ def test_edge_frames(spark):
     assert quantiles(const, ["x"], [0.25, 0.75])["x"] == [3.0, 3.0]
     one = frame(spark, [1.5])
     assert quantiles(one, ["x"], [0.0, 0.5, 1.0])["x"] == [1.5, 1.5, 1.5]
+    nan = frame(spark, [1.0, math.nan, 2.0, None])
+    assert quantiles(nan, ["x"], [0.5])["x"] == [1.5]
 
 
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=60), st.floats(0, 1))
 def test_property_vs_numpy(spark, ints, p):
     xs = [float(i) for i in ints]
-    got = quantiles(frame(spark, xs), ["x"], [p], buckets=3, fetch=2)["x"][0]
+    got = quantiles(frame(spark, xs), ["x"], [p])["x"][0]
     assert math.isclose(got, float(np.quantile(np.array(xs), p)), rel_tol=1e-12, abs_tol=1e-9)
