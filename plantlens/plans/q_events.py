@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plantlens.operators import clean as C
 from plantlens.operators import eda as D
 from plantlens.operators import profile as B
+from plantlens.plans import context as ctx
 from plantlens.plans.registry import query, rnd
 from plantlens.streaming import stream as S
 
@@ -55,22 +56,20 @@ def events_value_hist(spark, sf):
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
-    return src.withColumn("event_time", S.ntz_to_instant(F.col("ts")))
+    return S.file_stream(spark, f"{sf}/events.parquet").withColumn("event_time", S.ntz_to_instant(F.col("ts")))
+
+
+def _event_parts(df: DataFrame) -> DataFrame:
+    return df.withColumn("start", S._aligned(3600)).groupBy("event_type", "start").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 @query("stream_event_counts", rnd(f"""SELECT event_type, strftime(ws, {FMT}) AS window_start,
   strftime(ws + INTERVAL '1' HOUR, {FMT}) AS window_end, count(*) AS "rows", sum(value) AS total_value
 FROM (SELECT *, date_trunc('hour', ts) AS ws FROM events) AS e
-GROUP BY event_type, ws
-HAVING ws + INTERVAL '1' HOUR <= (SELECT max(ts) FROM events) - INTERVAL '10' MINUTE""", "total_value"), kind="S")
+GROUP BY event_type, ws""", "total_value"), kind="S")
 def stream_event_counts(spark, sf):
-    """S1 shape on the events stream: hourly count and value per event type
-    (watermark 10 minutes, append mode)."""
-    agg = (event_stream(spark, sf).withWatermark("event_time", "10 minutes")
-           .groupBy(F.window("event_time", "1 hour"), "event_type")
-           .agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total_value")))
-    out = agg.select("event_type", S.instant_text(F.col("window.start")).alias("window_start"),
-                     S.instant_text(F.col("window.end")).alias("window_end"), "rows", "total_value")
-    return S.run_to_table(spark, out, "events")
+    """S1 shape on the events stream: hourly count and value per event type."""
+    base = ctx.version(spark, sf).path("stream-events", lambda path: S.drain(spark, event_stream(spark, sf), path, _event_parts))
+    m = S._merged(S.drain(spark, event_stream(spark, sf), base, _event_parts), ["event_type", "start"])
+    return m.select("event_type", *S._bounds("start", 3600), F.col("n").alias("rows"), F.col("total").alias("total_value"))

@@ -1,10 +1,9 @@
 """Registered streaming queries S1-S6.
 
-Each one drains the plant stream with ``trigger(availableNow=True)`` into a
-parquet sink in the shared folder and returns the sink as a table.  The
-batch oracles keep only windows the final watermark has closed
-(``window_end <= max(ts) - 10 minutes``); open windows are not emitted in
-append mode.
+Each one drains the plant stream with ``trigger(availableNow=True)``, folding
+every micro-batch into partial results in the shared folder, and merges them:
+all rows count and no window is withheld, so the oracles are the plain batch
+statements.  A stream is drained once per version of the input files.
 """
 
 from __future__ import annotations
@@ -16,8 +15,15 @@ from plantlens.plans.registry import query, rnd
 from plantlens.schema import MACHINE_FEATURES8
 from plantlens.streaming import stream as S
 
+
+
+def _drained(spark, sf, name, reduce):
+    """The partial results of the drained plant stream."""
+    path = ctx.version(spark, sf).path(f"stream-{name}", lambda base: S.drain(spark, S.plant_stream(spark, sf), base, reduce))
+    return S.drain(spark, S.plant_stream(spark, sf), path, reduce)
+
+
 FMT = "'%Y-%m-%d %H:%M:%S'"
-CLOSED = """(SELECT max("timestamp") FROM plant) - INTERVAL '10' MINUTE"""
 _KPI_SEL = f"""machine_id, strftime(ws, {FMT}) AS window_start, strftime(ws + INTERVAL '1' HOUR, {FMT}) AS window_end,
   count(*) AS "rows", CAST(sum(units_produced) AS BIGINT) AS total_units,
   CAST(sum(defect_count) AS BIGINT) AS total_defects, sum(downtime) AS total_downtime,
@@ -28,11 +34,11 @@ _KPI_SEL = f"""machine_id, strftime(ws, {FMT}) AS window_start, strftime(ws + IN
 
 @query("stream_kpi", rnd(on_plant(f"""SELECT {_KPI_SEL}
 FROM (SELECT *, date_trunc('hour', "timestamp") AS ws FROM plant) AS p
-GROUP BY machine_id, ws HAVING ws + INTERVAL '1' HOUR <= {CLOSED}"""),
+GROUP BY machine_id, ws"""),
     "total_downtime", "availability", "quality"), kind="S")
 def stream_kpi(spark, sf):
-    """Hourly KPIs per machine on the stream (watermark 10 minutes)."""
-    return S.run_to_table(spark, S.stream_kpi(S.plant_stream(spark, sf)), "kpi")
+    """Hourly KPIs per machine on the stream."""
+    return S.kpi_total(_drained(spark, sf, "kpi", S.kpi_parts))
 
 
 _ALARM = on_plant(f"""SELECT machine_id, strftime(ws, {FMT}) AS window_start,
@@ -42,13 +48,13 @@ _ALARM = on_plant(f"""SELECT machine_id, strftime(ws, {FMT}) AS window_start,
   count(*) FILTER (WHERE downtime > 0) / count(*) > 0.4E0 AS alarm
 FROM (SELECT p.*, time_bucket(INTERVAL '15' MINUTE, "timestamp") - INTERVAL '15' MINUTE * k.k AS ws
       FROM plant p CROSS JOIN range(4) AS k(k)) AS s
-GROUP BY machine_id, ws HAVING ws + INTERVAL '1' HOUR <= {CLOSED}""")
+GROUP BY machine_id, ws""")
 
 
 @query("stream_alarm", rnd(_ALARM, "down_share"), kind="S")
 def stream_alarm(spark, sf):
     """Sliding 1-hour downtime share per machine every 15 minutes, with alarm flag."""
-    return S.run_to_table(spark, S.stream_alarm(S.plant_stream(spark, sf)), "alarm")
+    return S.alarm_total(_drained(spark, sf, "alarm", S.alarm_parts))
 
 
 _EPIS = on_plant(f"""SELECT machine_id, strftime(min(t), {FMT}) AS episode_start,
@@ -58,34 +64,28 @@ FROM (SELECT *, sum(nw) OVER (PARTITION BY machine_id ORDER BY t, nw DESC ROWS U
                   OR t - lag(t) OVER (PARTITION BY machine_id ORDER BY t) > INTERVAL '10' MINUTE THEN 1 ELSE 0 END
                   AS nw
             FROM (SELECT machine_id, "timestamp" AS t, downtime FROM plant WHERE downtime > 0) AS d) AS g) AS s
-GROUP BY machine_id, sid
-HAVING max(t) + INTERVAL '10' MINUTE <=
-  (SELECT max("timestamp") FROM plant WHERE downtime > 0) - INTERVAL '10' MINUTE""")
+GROUP BY machine_id, sid""")
 
 
 @query("stream_episodes", rnd(_EPIS, "total_downtime"), kind="S")
 def stream_episodes(spark, sf):
-    """S3: downtime episodes per machine (session windows, gap 10 minutes)."""
-    return S.run_to_table(spark, S.stream_episodes(S.plant_stream(spark, sf)), "episodes")
+    """S3: downtime episodes per machine (gap 10 minutes)."""
+    return S.episodes_total(_drained(spark, sf, "episodes", S.episode_parts))
 
 
 @query("stream_tag", on_clean(f"""SELECT strftime("timestamp", {FMT}) AS "timestamp", machine_id, line_id,
   lbl AS cluster_efficiency_machine FROM ck""", _CK), kind="S")
 def stream_tag(spark, sf):
     """Live clean + condition tag with the frozen batch statistics."""
-    cl = ctx.cleaned(spark, sf)
-    ctx.condition_labels(spark, sf)
-    zstats = ctx._MODELS[("condz", sf)]
-    centers = ctx._MODELS[("condk8", sf)]
-    tagged = S.stream_tag(S.plant_stream(spark, sf), cl.means, cl.bounds, zstats, centers, MACHINE_FEATURES8)
-    return S.run_to_table(spark, tagged, "tag")
+    cl, stats, centers = ctx.cleaned(spark, sf), ctx.condition_stats(spark, sf), ctx.condition_centers(spark, sf)
+    return _drained(spark, sf, "tag", lambda df: S.stream_tag(df, cl.means, cl.bounds, stats, centers, MACHINE_FEATURES8))
 
 
 @query("stream_dedup", on_plant(f"""SELECT DISTINCT machine_id, strftime("timestamp", {FMT}) AS "timestamp"
 FROM plant"""), kind="S")
 def stream_dedup(spark, sf):
-    """Readings deduplicated on (machine, time) within the watermark."""
-    return S.run_to_table(spark, S.stream_dedup(S.plant_stream(spark, sf)), "dedup")
+    """Distinct readings by (machine, time)."""
+    return S.dedup_total(_drained(spark, sf, "dedup", S.dedup_parts))
 
 
 _SHIFT_SEL = f"""shift_instance_id, machine_id, line_id, strftime(ws, {FMT}) AS window_start,
@@ -96,9 +96,8 @@ _SHIFT_SEL = f"""shift_instance_id, machine_id, line_id, strftime(ws, {FMT}) AS
 @query("stream_shift", rnd(on_plant(f"""SELECT {_SHIFT_SEL}
 FROM (SELECT *, date_trunc('day', "timestamp") AS ws,
         CAST(CAST("timestamp" AS DATE) AS VARCHAR) || '_' || shift AS shift_instance_id FROM plant) AS p
-GROUP BY shift_instance_id, machine_id, line_id, ws
-HAVING ws + INTERVAL '1' DAY <= {CLOSED}"""),
+GROUP BY shift_instance_id, machine_id, line_id, ws"""),
     "downtime", "error_rate", "cycle_time"), kind="S")
 def stream_shift(spark, sf):
     """Shift-instance totals per machine and line in daily windows."""
-    return S.run_to_table(spark, S.stream_shift(S.plant_stream(spark, sf)), "shift")
+    return S.shift_total(_drained(spark, sf, "shift", S.shift_parts))
