@@ -5,8 +5,7 @@ All per-row work is Spark SQL expressions over literal per-cluster
 statistics (k x d numbers, bounded by k and d, never by rows): assignment is
 an argmin over k distance expressions, so no join and no pair of rows is
 ever formed.  Each Lloyd iteration is one scan with partial aggregation.
-Fits that iterate over the data persist the feature columns for their own
-duration only.
+Fits iterate until the labels rest; there is no iteration cap.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,29 +49,25 @@ def sq_dist(cols: Sequence[str], center: Sequence[float]) -> Column:
 
 def nearest(cols: Sequence[str], centers: Centroids) -> Column:
     """Index of the nearest centre (lowest index on ties); a missing (None)
-    centre is never chosen."""
-    live = [j for j, c in enumerate(centers) if c is not None]
-    dists = {j: sq_dist(cols, centers[j]) for j in live}
-    expr = None
-    for pos, j in enumerate(live):
-        cond = F.lit(True)
-        for j2 in live[pos + 1:]:
-            cond = cond & (dists[j] <= dists[j2])
-        for j2 in live[:pos]:
-            cond = cond & (dists[j] < dists[j2])
-        expr = F.when(cond, F.lit(j)) if expr is None else expr.when(cond, F.lit(j))
-    return expr.otherwise(F.lit(live[-1]))
-
-
-def _centroids(df: DataFrame, cols: Sequence[str], label: Column, k: int, prev: Centroids | None) -> Centroids:
-    rows = {r["_l"]: r for r in df.groupBy(label.alias("_l")).agg(*[F.avg(c).alias(c) for c in cols]).collect()}
+    centre is never chosen.  Every distance is computed once: the least
+    (distance, index) of an array of them."""
+    return F.array_min(F.array(*[
+        F.struct(sq_dist(cols, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centers) if c is not None]))["j"]
+
+
+def _centroids(df: DataFrame, cols: Sequence[str], label: Column, k: int, prev: Centroids | None) -> tuple[Centroids, dict]:
+    """Means per label (an empty cluster keeps its previous centre), and per label how many
+    rows it has and the sum of their hashes: equal exactly when no row changed its label."""
+    rows = {r["_l"]: r for r in df.groupBy(label.alias("_l")).agg(
+        *[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"),
+        F.bit_xor(F.xxhash64(*cols)).alias("_x"), F.sum(F.shiftright(F.xxhash64(*cols), 20)).alias("_h")).collect()}
     out = []
     for j in range(k):
         if j in rows:
             out.append([rows[j][c] for c in cols])
         else:
             out.append(prev[j] if prev else None)
-    return out
+    return out, {j: (r["_n"], r["_x"], r["_h"]) for j, r in rows.items()}
 
 
 def band_init(df: DataFrame, cols: Sequence[str], k: int, init_col: str) -> Centroids:
@@ -85,7 +79,7 @@ def band_init(df: DataFrame, cols: Sequence[str], k: int, init_col: str) -> Cent
     else:
         band = F.least(F.floor((F.col(init_col) - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(k))),
                        F.lit(k - 1)).cast("int")
-    return _centroids(df, cols, band, k, None)
+    return _centroids(df, cols, band, k, None)[0]
 
 
 @dataclass
@@ -101,26 +95,44 @@ class Lloyd:
         return df.withColumn(name, nearest(self.cols, self.centers))
 
 
-def lloyd(df: DataFrame, cols: Sequence[str], k: int, iters: int = 5, init_col: str | None = None,
-          persist: bool = True) -> Lloyd:
-    """K8: deterministic Lloyd K-Means: band initialisation, ``iters`` rounds
-    of (assign to nearest literal centre -> mean per cluster); an emptied
-    cluster keeps its previous centre.  Final labels use the last centres."""
+def lloyd(df: DataFrame, cols: Sequence[str], k: int, init_col: str | None = None) -> Lloyd:
+    """K8: deterministic Lloyd K-Means to rest: band initialisation, then rounds
+    of (assign to the nearest literal centre -> mean per cluster) until no row
+    changes its label.  An emptied cluster keeps its previous centre.  The
+    returned centres are the means of the labels they give.
+
+    Every round is one scan of ``df`` (a written table or cheap projection of
+    one: a lost executor rereads it) with k rows to the driver."""
     cols = list(cols)
     init_col = init_col or cols[0]
     data = df.select(*dict.fromkeys(cols + [init_col]))
-    if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        centers = band_init(data, cols, k, init_col)
-        hist = [centers]
-        for _ in range(iters):
-            centers = _centroids(data, cols, nearest(cols, centers), k, centers)
-            hist.append(centers)
-    finally:
-        if persist:
-            data.unpersist()
-    return Lloyd(cols, centers, hist)
+    centers = band_init(data, cols, k, init_col)
+    if all(c is None for c in centers):  # no rows
+        return Lloyd(cols, [[0.0] * len(cols)], [centers])
+    hist, before = [centers], None
+    while True:
+        new, members = _centroids(data, cols, nearest(cols, centers), k, centers)
+        if members == before:
+            return Lloyd(cols, centers, hist)
+        hist.append(new)
+        centers, before = new, members
+
+
+def lloyd_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], init_col: str) -> dict[int, Centroids]:
+    """Centres of K8 run to rest for several k."""
+    return {k: lloyd(df, cols, k, init_col).centers for k in ks}
+
+
+def k_selection(df: DataFrame, cols: Sequence[str], fits: dict[int, Centroids], indices: Sequence[int]) -> list[tuple]:
+    """(k, inertia, silhouette, Davies-Bouldin) of every fit; the indices only for k in ``indices``."""
+    out = []
+    for k, centers in sorted(fits.items()):
+        sil = db = None
+        if k in indices:
+            lab = df.select(*cols, nearest(cols, centers).alias("lbl"))
+            sil, db = silhouette_sq(lab, cols, "lbl").first()[0], davies_bouldin(lab, cols, "lbl").first()[0]
+        out.append((k, float(inertia(df, cols, centers)), sil, db))
+    return out
 
 
 # ---------------------------------------------------------- cluster stats
@@ -158,16 +170,12 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
         d[cid] = sq + F.lit(s["y"] / s["n"]) - F.lit(2.0) * dot / F.lit(float(s["n"]))
     lab = F.col(label)
     own_n = F.create_map(*[v for cid in ids for v in (F.lit(cid), F.lit(st[cid]["n"]))])[lab]
-    a = None
-    for cid in ids:
-        a = F.when(lab == cid, d[cid]) if a is None else a.when(lab == cid, d[cid])
-    a = a * own_n / (own_n - 1)
-    b = None
-    for cid in ids:
-        others = [d[o] for o in ids if o != cid]
-        m = others[0] if len(others) == 1 else F.least(*others)
-        b = F.when(lab == cid, m) if b is None else b.when(lab == cid, m)
-    s = F.when(own_n <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    # each distance stands once in a and once in b, however many clusters there are
+    a = F.coalesce(*[F.when(lab == cid, d[cid]) for cid in ids])
+    a = F.try_divide(a * own_n, own_n - 1)
+    b = F.array_min(F.array(*[F.when(lab != cid, d[cid]) for cid in ids]))
+    # coinciding points: both distances 0, silhouette 0
+    s = F.when(own_n <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
     return df.filter(lab.isNotNull()).agg(F.avg(s).alias("silhouette"))
 
 
@@ -247,33 +255,29 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
-def kmeans_best(vec: DataFrame, k: int, seeds: Sequence[int], features: str = "features",
-                max_iter: int = 20):
+#: Rounds a Spark ML fit may take; ``fit_kmeans`` raises when a fit still moves after them.
+MAX_ROUNDS = 10_000
+
+
+def fit_kmeans(vec: DataFrame, k: int, seed: int, features: str = "features"):
+    """Spark ML K-Means until its centres rest (Spark's own default stops after 20 rounds)."""
+    from pyspark.ml.clustering import KMeans
+    model = KMeans(k=k, seed=int(seed), featuresCol=features, maxIter=MAX_ROUNDS, tol=1e-9).fit(vec)
+    if model.summary.numIter >= MAX_ROUNDS:
+        raise RuntimeError(f"K-Means (k={k}, seed={seed}) had not converged after {MAX_ROUNDS} rounds")
+    return model
+
+
+def kmeans_best(vec: DataFrame, k: int, seeds: Sequence[int], features: str = "features"):
     """Spark ML K-Means restarted from several seeds (Spark has no
     n_init); the fit with the lowest training cost wins."""
-    from pyspark.ml.clustering import KMeans
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=int(s), featuresCol=features, maxIter=max_iter).fit(vec)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
-
-
-def inertia_curve(vec: DataFrame, ks: Sequence[int], seed: int = 42, features: str = "features",
-                  n_rows: int | None = None, dims: int | None = None,
-                  total_ss: float | None = None) -> list[tuple[int, float]]:
-    """within-cluster sum of squares per k.  k = 1 (invalid in Spark
-    KMeans) is the total sum of squares around the mean."""
-    from pyspark.ml.clustering import KMeans
-    out = []
-    for k in ks:
-        if k == 1:
-            out.append((1, total_ss))
-        else:
-            m = KMeans(k=k, seed=seed, featuresCol=features).fit(vec)
-            out.append((k, m.summary.trainingCost))
-    return out
+    return min((fit_kmeans(vec, k, s, features) for s in seeds), key=lambda m: m.summary.trainingCost)
+
+
+def inertia(df: DataFrame, cols: Sequence[str], centers: Centroids) -> float:
+    """within-cluster sum of squares of the nearest-centre assignment."""
+    least = F.array_min(F.array(*[sq_dist(cols, c) for c in centers if c is not None]))
+    return df.agg(F.coalesce(F.sum(least), F.lit(0.0)).alias("s")).first()["s"]
 
 
 def pca2(vec: DataFrame, features: str = "features", k: int = 2):

@@ -55,23 +55,15 @@ def efficiency(agg: DataFrame) -> DataFrame:
     })
 
 
-BROADCAST_MAX_ROWS = 2_000_000  # ~100 MB of (3 short keys, int label)
-
-
 def attach(df: DataFrame, labels: DataFrame, keys: Sequence[str] = SHIFT_KEYS,
-           label: str = "shift_efficiency_cluster", broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+           label: str = "shift_efficiency_cluster") -> DataFrame:
     """Left equi-join of labels back to the log (many-to-one; the row
     count of ``df`` is unchanged because ``labels`` is unique on ``keys``).
 
-    The label table has one row per (shift instance, machine, line), which
-    grows with calendar days, not with observations.  It is broadcast only
-    after its row count is checked against ``broadcast_max_rows``; above that
-    the join is a shuffle join, where AQE's skew-join handling splits the
-    partition of a hot key (one key may hold a third of the log)."""
-    lab = labels.select(*keys, label)
-    if lab.count() <= broadcast_max_rows:
-        lab = F.broadcast(lab)
-    return df.join(lab, list(keys), "left")
+    ``labels`` is a written table, so Spark knows its size and broadcasts it
+    only below its own threshold; else it is a shuffle join, in which AQE
+    splits the partition of a hot key."""
+    return df.join(labels.select(*keys, label), list(keys), "left")
 
 
 def label_mix(df: DataFrame, label: str, dim: str) -> DataFrame:

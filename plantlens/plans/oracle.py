@@ -15,11 +15,6 @@ from plantlens.sources.plant import PLANT_SQL
 NULLABLE = ["temperature", "vibration_level", "power_consumption"]
 
 
-def r6(expr: str, digits: int = 6) -> str:
-    """Presentation rounding, as ``present`` does on the Spark side."""
-    return f"(round({expr}, {digits}) + 0.0E0)"
-
-
 def imputed_sql() -> str:
     means = ", ".join(f"avg({c}) AS m_{c}" for c in NULLABLE)
     repl = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in NULLABLE)
@@ -50,7 +45,7 @@ clean AS (SELECT imputed.* REPLACE ({repl}) FROM imputed CROSS JOIN fences)""")
 
 
 def with_plant(*parts: str) -> str:
-    return "WITH " + PLANT_SQL.strip() + "".join(parts)
+    return "WITH RECURSIVE " + PLANT_SQL.strip() + "".join(parts)
 
 
 def on_plant(select: str) -> str:
@@ -81,6 +76,8 @@ def _dist(cols, cref: str, j: int) -> str:
 
 
 def _argmin(k: int) -> str:
+    if k == 1:
+        return "0"
     parts = []
     for j in range(k - 1):
         cond = " AND ".join(f"d{j} <= d{j2}" for j2 in range(j + 1, k))
@@ -88,25 +85,61 @@ def _argmin(k: int) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {k - 1} END"
 
 
-def lloyd_sql(src: str, cols, k: int, iters: int, init_col: str, name: str) -> str:
-    """CTEs for deterministic Lloyd K-Means; ``{name}`` = src + ``lbl``."""
-    out = [f""",
-{name}_b AS (SELECT min({init_col}) AS lo, max({init_col}) AS hi FROM {src}),
-{name}_i AS (SELECT {src}.*, CASE WHEN hi = lo THEN 0 ELSE
-  CAST(least(floor(({init_col} - lo) / (hi - lo) * {float(k)}E0), {k - 1}) AS INTEGER) END AS lbl
-  FROM {src} CROSS JOIN {name}_b)"""]
-    cen = ", ".join(f"avg({c}) FILTER (WHERE lbl = {j}) AS c{j}_{i}" for j in range(k) for i, c in enumerate(cols))
-    out.append(f",\n{name}_c0 AS (SELECT {cen} FROM {name}_i)")
-    for t in range(1, iters + 2):
-        dists = ", ".join(f"{_dist(cols, 'c', j)} AS d{j}" for j in range(k))
-        out.append(f""",
-{name}_a{t} AS (SELECT * EXCLUDE ({', '.join(f'd{j}' for j in range(k))}) FROM
-  (SELECT s.*, {_argmin(k).replace('d', 'd')} AS lbl FROM
-    (SELECT {src}.*, {dists} FROM {src} CROSS JOIN {name}_c{t - 1} AS c) AS s) AS q)""")
-        if t <= iters:
-            cen = ", ".join(
-                f"coalesce((SELECT avg({c}) FROM {name}_a{t} WHERE lbl = {j}), p.c{j}_{i}) AS c{j}_{i}"
-                for j in range(k) for i, c in enumerate(cols))
-            out.append(f",\n{name}_c{t} AS (SELECT {cen} FROM {name}_c{t - 1} AS p)")
-    out.append(f",\n{name} AS (SELECT * FROM {name}_a{iters + 1})")
-    return "".join(out)
+def lloyd_sql(src: str, cols, k: int, init_col: str, name: str, rounds: int = 60) -> str:
+    """CTEs for deterministic Lloyd K-Means run well past rest (at a fixed point further
+    rounds change nothing); ``{name}`` = src + ``lbl``.  The centres are one row per round
+    of a recursive CTE."""
+    cs = [f"c{j}_{i}" for j in range(k) for i in range(len(cols))]
+    band = (f"CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor(({init_col} - lo) / (hi - lo) * {float(k)}E0), {k - 1}) AS INTEGER) END")
+    first = ", ".join(f"avg({c}) FILTER (WHERE lbl = {j}) AS c{j}_{i}" for j in range(k) for i, c in enumerate(cols))
+    # a band without rows has no centre: its distance is infinite
+    far = "CAST('infinity' AS DOUBLE)"
+    dists = ", ".join(f"coalesce({_dist(cols, 'c', j)}, {far}) AS d{j}" for j in range(k))
+    step = ", ".join(f"coalesce(avg({c}) FILTER (WHERE lbl = {j}), any_value(c{j}_{i})) AS c{j}_{i}"
+                     for j in range(k) for i, c in enumerate(cols))
+    keep = ", ".join(dict.fromkeys([*cols, init_col]))
+    return f""",
+{name}_x AS MATERIALIZED (SELECT {keep} FROM {src}),
+{name}_b AS (SELECT min({init_col}) AS lo, max({init_col}) AS hi FROM {name}_x),
+{name}_r AS (
+  SELECT 0 AS t, {first} FROM (SELECT x.*, {band} AS lbl FROM {name}_x AS x CROSS JOIN {name}_b) AS q
+  UNION ALL
+  SELECT t + 1, {step} FROM (SELECT *, {_argmin(k)} AS lbl FROM
+    (SELECT x.*, c.*, {dists} FROM {name}_x AS x CROSS JOIN {name}_r AS c WHERE c.t < {rounds}) AS d) AS q
+  GROUP BY t),
+{name}_c AS MATERIALIZED (SELECT {', '.join(cs)} FROM {name}_r WHERE t = {rounds}),
+{name} AS (SELECT * EXCLUDE ({', '.join(f'd{j}' for j in range(k))}), {_argmin(k)} AS lbl
+  FROM (SELECT s.*, {dists} FROM {src} AS s CROSS JOIN {name}_c AS c) AS q)"""
+
+
+def inertia_sql(src: str, cols, k: int, cref: str) -> str:
+    """Scalar subquery: within-cluster sum of squares of ``src`` around the centres ``cref``."""
+    dists = [f"coalesce({_dist(cols, 'c', j)}, CAST('infinity' AS DOUBLE))" for j in range(k)]
+    least = dists[0] if k == 1 else f"least({', '.join(dists)})"
+    return f"(SELECT sum({least}) FROM {src} CROSS JOIN {cref} AS c)"
+
+
+def components_sql(src: str, cols, name: str, rounds: int = 3000) -> str:
+    """CTE ``{name}``: loadings a0.. and b0.. of the first two principal components of the
+    centred columns, by power iteration and deflation; each component's largest loading
+    (by magnitude, first on ties) is positive."""
+    d = range(len(cols))
+    m = ", ".join(f"avg({cols[i]} * {cols[j]}) AS m{i}_{j}" for i in d for j in d)
+
+    def power(out: str, mat: str, v: str) -> str:
+        w = ", ".join("(" + " + ".join(f"m{i}_{j} * {v}{j}" for j in d) + f") AS w{i}" for i in d)
+        norm = "sqrt(" + " + ".join(f"w{i} * w{i}" for i in d) + ")"
+        start = ", ".join(f"CAST({1 / (i + 1)} AS DOUBLE) AS {v}{i}" for i in d)
+        sign = f"(CASE WHEN list_max([{', '.join(f'{v}{i}' for i in d)}]) >= -list_min([{', '.join(f'{v}{i}' for i in d)}]) THEN 1 ELSE -1 END)"
+        return f""",
+{out}_r AS (SELECT 0 AS t, {start}
+  UNION ALL SELECT t + 1, {', '.join(f'w{i} / {norm} AS {v}{i}' for i in d)}
+  FROM (SELECT t, {w} FROM {out}_r CROSS JOIN {mat} WHERE t < {rounds}) AS q),
+{out} AS MATERIALIZED (SELECT {', '.join(f'{sign} * {v}{i} AS {v}{i}' for i in d)} FROM {out}_r WHERE t = {rounds})"""
+
+    lam = " + ".join(f"a{i} * m{i}_{j} * a{j}" for i in d for j in d)
+    deflated = ", ".join(f"m{i}_{j} - lam * a{i} * a{j} AS m{i}_{j}" for i in d for j in d)
+    return (f",\n{name}_m AS MATERIALIZED (SELECT {m} FROM {src})" + power(f"{name}_1", f"{name}_m", "a")
+            + f""",
+{name}_d AS MATERIALIZED (SELECT {deflated} FROM (SELECT *, {lam} AS lam FROM {name}_m CROSS JOIN {name}_1) AS q)"""
+            + power(f"{name}_2", f"{name}_d", "b") + f",\n{name} AS (SELECT * FROM {name}_1 CROSS JOIN {name}_2)")

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from plantlens.operators import cluster as K
 from plantlens.operators.profile import transpose_long
 from plantlens.plans import context as ctx
-from plantlens.plans.context import CONDITION_K, CONDITION_LABEL as LBL, LLOYD_ITERS
-from plantlens.plans.oracle import lloyd_sql, on_clean, zscore_sql
+from plantlens.plans.context import CONDITION_K, CONDITION_LABEL as LBL
+from plantlens.plans.oracle import components_sql, inertia_sql, lloyd_sql, on_clean, zscore_sql
 from plantlens.plans.registry import query, rnd, union
 from plantlens.schema import MACHINE_FEATURES8 as F8
 
 Z8 = [f"{c}_z" for c in F8]
 _CZ = zscore_sql("clean", F8, "cz")
-_CK = _CZ + lloyd_sql("cz", Z8, CONDITION_K, LLOYD_ITERS, "error_rate", "ck")
+_CK = _CZ + lloyd_sql("cz", Z8, CONDITION_K, "error_rate", "ck")
 
 
 def on_ck(select: str, *extra: str) -> str:
@@ -32,7 +31,7 @@ def zscore(spark, sf):
 @query("kmeans_lloyd5", rnd(on_ck(f"""SELECT lbl AS {LBL}, count(*) AS "rows", {', '.join(f'avg({z}) AS {z}' for z in Z8)}
 FROM ck GROUP BY lbl"""), *Z8))
 def kmeans_lloyd5(spark, sf):
-    """K8: deterministic Lloyd K-Means (k=3, 5 iterations) on the z-scores:
+    """K8: deterministic Lloyd K-Means (k=3, run to rest) on the z-scores:
     cluster sizes and centroids in z units."""
     lab, zcols = ctx.condition_labels(spark, sf)
     return K.centroid_profile(lab, LBL, zcols)
@@ -54,12 +53,11 @@ def cluster_sizes(spark, sf):
 
 
 @query("cluster_slice", rnd(on_ck(f"""SELECT strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", machine_id,
-  lbl AS {LBL}, {', '.join(F8)} FROM ck WHERE lbl = 0"""), *F8))
+  lbl AS {LBL}, {', '.join(F8)} FROM ck"""), *F8))
 def cluster_slice(spark, sf):
-    """the observations of condition cluster 0."""
+    """the observations of every condition cluster."""
     lab, _ = ctx.condition_labels(spark, sf)
-    return (lab.filter(F.col(LBL) == 0)
-            .select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "machine_id", LBL, *F8))
+    return (lab.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "machine_id", LBL, *F8))
 
 
 _NAMES = f"""SELECT {LBL}, CASE WHEN {LBL} = (SELECT lbl FROM p ORDER BY e DESC, lbl ASC LIMIT 1) THEN 'Critical'
@@ -97,34 +95,32 @@ def centroids_transposed(spark, sf):
 
 
 @query("defect_rate_by_condition", rnd(on_ck(f"""SELECT lbl AS {LBL}, avg(defect_count) AS avg_defect_count,
-  count(*) AS "rows" FROM ck GROUP BY lbl"""), "avg_defect_count"))
+  count(*) AS "rows" FROM ck WHERE lbl IS NOT NULL GROUP BY lbl"""), "avg_defect_count"))
 def defect_rate_by_condition(spark, sf):
     """Q8: mean defect count per condition cluster."""
     lab, _ = ctx.condition_labels(spark, sf)
-    return lab.groupBy(LBL).agg(F.avg("defect_count").alias("avg_defect_count"), F.count(F.lit(1)).alias("rows"))
+    return lab.filter(F.col(LBL).isNotNull()).groupBy(LBL).agg(F.avg("defect_count").alias("avg_defect_count"), F.count(F.lit(1)).alias("rows"))
 
 
-def _silhouette_sql(src: str, zcols, k: int) -> str:
+def _silhouette_sql(src: str, zcols, k: int, p: str = "sil") -> str:
     sq = " + ".join(f"{z} * {z}" for z in zcols)
     stats = ", ".join(
         f"count(*) FILTER (WHERE lbl = {j}) AS n{j}, sum({sq}) FILTER (WHERE lbl = {j}) AS y{j}, "
         + ", ".join(f"sum({z}) FILTER (WHERE lbl = {j}) AS s{j}_{i}" for i, z in enumerate(zcols))
         for j in range(k))
     dists = ", ".join(
-        f"({sq}) + y{j} / n{j} - 2.0E0 * ({' + '.join(f'{z} * s{j}_{i}' for i, z in enumerate(zcols))}) / n{j} AS d{j}"
+        f"({sq}) + y{j} / nullif(n{j}, 0) - 2.0E0 * ({' + '.join(f'{z} * s{j}_{i}' for i, z in enumerate(zcols))}) / nullif(n{j}, 0) AS d{j}"
         for j in range(k))
-    a = "CASE " + " ".join(f"WHEN lbl = {j} THEN d{j} * n{j} / (n{j} - 1)" for j in range(k)) + " END"
-    b = "CASE " + " ".join(
-        f"WHEN lbl = {j} THEN " + (f"least({', '.join(f'd{o}' for o in range(k) if o != j)})" if k > 2
-                                   else f"d{1 - j}") for j in range(k)) + " END"
+    a = "CASE " + " ".join(f"WHEN lbl = {j} THEN d{j} * n{j} / nullif(n{j} - 1, 0)" for j in range(k)) + " END"
+    b = "list_min([" + ", ".join(f"CASE WHEN lbl <> {j} THEN d{j} END" for j in range(k)) + "])"
     own = "CASE " + " ".join(f"WHEN lbl = {j} THEN n{j}" for j in range(k)) + " END"
     return f""",
-sil_st AS (SELECT {stats} FROM {src}),
-sil_d AS (SELECT lbl, {dists}, sil_st.* FROM {src} CROSS JOIN sil_st),
-sil_ab AS (SELECT {a} AS a, {b} AS b, {own} AS n_own FROM sil_d)"""
+{p}_st AS (SELECT {stats} FROM {src}),
+{p}_d AS (SELECT lbl, {dists}, {p}_st.* FROM {src} CROSS JOIN {p}_st),
+{p}_ab AS (SELECT {a} AS a, {b} AS b, {own} AS n_own FROM {p}_d)"""
 
 
-_SIL = "SELECT avg(CASE WHEN n_own <= 1 THEN 0.0E0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM sil_ab"
+_SIL = "SELECT avg(CASE WHEN n_own <= 1 OR greatest(a, b) = 0 THEN 0.0E0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM sil_ab"
 
 
 @query("silhouette_sq", rnd(on_ck(_SIL, _silhouette_sql("ck", Z8, CONDITION_K)), "silhouette"))
@@ -134,15 +130,30 @@ def silhouette_sq(spark, sf):
     return K.silhouette_sq(lab, zcols, LBL)
 
 
-def _db_sql(src: str, zcols, k: int) -> str:
+def _db_sql(src: str, zcols, k: int, p: str = "db") -> str:
     cents = ", ".join(f"avg({z}) AS m{i}" for i, z in enumerate(zcols))
     dist = " + ".join(f"({z} - c.m{i}) * ({z} - c.m{i})" for i, z in enumerate(zcols))
     mdist = " + ".join(f"(a.m{i} - b.m{i}) * (a.m{i} - b.m{i})" for i in range(len(zcols)))
     return f""",
-db_c AS (SELECT lbl, {cents} FROM {src} GROUP BY lbl),
-db_s AS (SELECT s.lbl, avg(sqrt({dist})) AS sp FROM {src} AS s JOIN db_c AS c ON c.lbl = s.lbl GROUP BY s.lbl),
-db_r AS (SELECT a.lbl, max((sa.sp + sb.sp) / sqrt({mdist})) AS r FROM db_c a JOIN db_c b ON a.lbl <> b.lbl
-         JOIN db_s sa ON sa.lbl = a.lbl JOIN db_s sb ON sb.lbl = b.lbl GROUP BY a.lbl)"""
+{p}_c AS (SELECT lbl, {cents} FROM {src} GROUP BY lbl),
+{p}_s AS (SELECT s.lbl, avg(sqrt({dist})) AS sp FROM {src} AS s JOIN {p}_c AS c ON c.lbl = s.lbl GROUP BY s.lbl),
+{p}_r AS (SELECT a.lbl, max((sa.sp + sb.sp) / sqrt({mdist})) AS r FROM {p}_c a JOIN {p}_c b ON a.lbl <> b.lbl
+         JOIN {p}_s sa ON sa.lbl = a.lbl JOIN {p}_s sb ON sb.lbl = b.lbl GROUP BY a.lbl)"""
+
+
+def k_selection_sql(src: str, zcols, ks, init_col: str, indices, rounds: int) -> tuple[str, str]:
+    """(CTEs, SELECT) of k, inertia, silhouette and Davies-Bouldin of the converged K8 fits."""
+    ctes, rows = "", []
+    for k in ks:
+        n = f"k{k}"
+        ctes += lloyd_sql(src, zcols, k, init_col, n, rounds)
+        sil = db = "CAST(NULL AS DOUBLE)"
+        if k in indices:
+            ctes += _silhouette_sql(n, zcols, k, f"{n}_sil") + _db_sql(n, zcols, k, f"{n}_db")
+            sil, db = f"({_SIL.replace('sil_ab', f'{n}_sil_ab')})", f"(SELECT avg(r) FROM {n}_db_r)"
+        rows.append(f"SELECT CAST({k} AS INTEGER) AS k, {inertia_sql(f'{src}', zcols, k, f'{n}_c')} AS inertia, "
+                    f"{sil} AS silhouette, {db} AS davies_bouldin")
+    return ctes, union(*rows)
 
 
 @query("davies_bouldin", rnd(on_ck("SELECT avg(r) AS davies_bouldin FROM db_r", _db_sql("ck", Z8, CONDITION_K)),
@@ -153,48 +164,25 @@ def davies_bouldin(spark, sf):
     return K.davies_bouldin(lab, zcols, LBL)
 
 
-# ------------------------------------------------ Spark ML (property checks)
+# ------------------------------------------------------ number of clusters
 
-def _vectors(spark, sf):
+@query("condition_inertia", rnd(on_ck(f"""SELECT CAST(1 AS INTEGER) AS k, sum({' + '.join(f'{z} * {z}' for z in Z8)}) AS inertia FROM cz
+UNION ALL SELECT CAST({CONDITION_K} AS INTEGER), {inertia_sql('cz', Z8, CONDITION_K, 'ck_c')}"""), "inertia"))
+def condition_inertia(spark, sf):
+    """within-cluster sum of squares of one cluster (around the mean, 0 in z units) and
+    of the K8 condition clusters."""
     zdf, zcols = ctx.condition_z(spark, sf)
-    return K.assemble(zdf.select(*zcols, *F8, "defect_count"), zcols), zcols
+    centers = ctx.condition_centers(spark, sf)
+    rows = [(1, K.inertia(zdf, zcols, [[0.0] * len(zcols)])), (CONDITION_K, K.inertia(zdf, zcols, centers))]
+    return spark.createDataFrame(rows, "k int, inertia double")
 
 
-@query("inertia_curve", kind="P")
-def inertia_curve(spark, sf):
-    """elbow curve, k = 1..10 (Spark ML K-Means, seed 42; k = 1 closed form)."""
-    vec, zcols = _vectors(spark, sf)
-    vec = vec.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = vec.count()
-        # z-scores have mean 0 and population variance 1 (or 0 if constant)
-        stats = ctx._MODELS[("condz", sf)]
-        total = float(n) * sum(1.0 for c, (_, s) in stats.items() if s)
-        curve = K.inertia_curve(vec, range(1, 11), seed=42, total_ss=total)
-    finally:
-        vec.unpersist()
-    return spark.createDataFrame([(int(k), float(v)) for k, v in curve], "k int, inertia double")
+_PCA = on_clean(f"""SELECT {' + '.join(f'{z} * a{i}' for i, z in enumerate(Z8))} AS PCA1,
+  {' + '.join(f'{z} * b{i}' for i, z in enumerate(Z8))} AS PCA2, lbl AS {LBL} FROM ck CROSS JOIN pc""",
+                _CK, components_sql("cz", Z8, "pc"))
 
 
-@query("machine_condition", kind="P")
-def machine_condition(spark, sf):
-    """Spark ML K-Means k=3, best of 10 seeds (42..51), canonical names
-    and the cluster profile in original units."""
-    vec, zcols = _vectors(spark, sf)
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = K.kmeans_best(vec, CONDITION_K, range(42, 52))
-        lab = model.transform(vec).withColumnRenamed("prediction", LBL)
-        prof = K.centroid_profile(lab, LBL, F8 + zcols + ["defect_count"])
-        rows = {r[LBL]: {"error_rate": r["error_rate_z"], "oil_level": r["oil_level_z"]} for r in prof.collect()}
-        out = K.names_frame(prof, LBL, K.name_condition(rows), "condition")
-        out = out.select("condition", "rows", *F8, F.col("defect_count").alias("avg_defect_count"))
-    finally:
-        vec.unpersist()
-    return out
-
-
-@query("pca_scores", kind="P")
+@query("pca_scores", rnd(_PCA, "PCA1", "PCA2"))
 def pca_scores(spark, sf):
     """F8: first two principal components of the z-scores with the K8 label."""
     lab, zcols = ctx.condition_labels(spark, sf)
@@ -205,20 +193,43 @@ def pca_scores(spark, sf):
     return model.transform(vec).select((arr[0] * signs[0]).alias("PCA1"), (arr[1] * signs[1]).alias("PCA2"), LBL)
 
 
+# ------------------------------------------------ Spark ML (property checks)
+
+@query("machine_condition", kind="P")
+def machine_condition(spark, sf):
+    """Spark ML K-Means k=3 run to rest, best of 10 seeds (42..51), canonical
+    names and the cluster profile in original units."""
+    zdf, zcols = ctx.condition_z(spark, sf)
+    vec = K.assemble(zdf.select(*zcols, *F8, "defect_count"), zcols)
+    model = ctx.version(spark, sf).fit("condition-kmeans", lambda: K.kmeans_best(vec.select("features"), CONDITION_K, range(42, 52)))
+    lab = model.transform(vec).withColumnRenamed("prediction", LBL)
+    prof = K.centroid_profile(lab, LBL, F8 + zcols + ["defect_count"])
+    rows = {r[LBL]: {"error_rate": r["error_rate_z"], "oil_level": r["oil_level_z"]} for r in prof.collect()}
+    out = K.names_frame(prof, LBL, K.name_condition(rows), "condition")
+    return out.select("condition", "rows", *F8, F.col("defect_count").alias("avg_defect_count"))
+
+
+def _fits(spark, sf, ks) -> dict:
+    """Spark ML fits (seed 42, run to rest) on the machine z-scores."""
+    zdf, zcols = ctx.condition_z(spark, sf)
+    vec = K.assemble(zdf.select(*zcols), zcols).select("features")
+    v = ctx.version(spark, sf)
+    return {k: v.fit(f"condition-kmeans-{k}", lambda k=k: [c.tolist() for c in K.fit_kmeans(vec, k, 42).clusterCenters()]) for k in ks}
+
+
+@query("inertia_curve", kind="P")
+def inertia_curve(spark, sf):
+    """elbow curve, k = 1..10 (Spark ML K-Means to rest, seed 42; k = 1 around the mean)."""
+    zdf, zcols = ctx.condition_z(spark, sf)
+    fits = {1: [[0.0] * len(zcols)], **_fits(spark, sf, range(2, 11))}
+    rows = K.k_selection(zdf, zcols, fits, ())
+    return spark.createDataFrame([r[:2] for r in rows], "k int, inertia double")
+
+
 @query("condition_k_selection", kind="P")
 def condition_k_selection(spark, sf):
-    """For k = 2..9, Spark ML K-Means (seed 42) on the machine z-scores
-    with its inertia, squared-Euclidean silhouette and Davies-Bouldin index."""
-    from pyspark.ml.clustering import KMeans
-    vec, zcols = _vectors(spark, sf)
-    vec = vec.select(*zcols, "features").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
-        for k in range(2, 10):
-            m = KMeans(k=k, seed=42, featuresCol="features").fit(vec)
-            lab = m.transform(vec).select(*zcols, F.col("prediction").alias("lbl"))
-            rows.append((k, float(m.summary.trainingCost), K.silhouette_sq(lab, zcols, "lbl").first()[0],
-                         K.davies_bouldin(lab, zcols, "lbl").first()[0]))
-    finally:
-        vec.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
+    """For k = 2..9, Spark ML K-Means (to rest, seed 42) on the machine z-scores with
+    its inertia, squared-Euclidean silhouette and Davies-Bouldin index."""
+    zdf, zcols = ctx.condition_z(spark, sf)
+    return spark.createDataFrame(K.k_selection(zdf, zcols, _fits(spark, sf, range(2, 10)), range(2, 10)),
+                                 "k int, inertia double, silhouette double, davies_bouldin double")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from plantlens.operators import cluster as K
 from plantlens.operators import shift as G
 from plantlens.plans import context as ctx
-from plantlens.plans.context import LLOYD_ITERS, SHIFT_K, SHIFT_LABEL as LBL
+from plantlens.plans.context import SHIFT_K, SHIFT_LABEL as LBL
 from plantlens.plans.oracle import lloyd_sql, on_clean, zscore_sql
+from plantlens.plans.q_cluster import k_selection_sql
 from plantlens.plans.registry import query, rnd
 from plantlens.schema import EFF4, SHIFT_KEYS
 
@@ -26,7 +26,7 @@ se AS (SELECT *, 1.0E0 - error_rate AS efficiency_error_rate, 1.0E0 / (1.0E0 + d
          1.0E0 / (1.0E0 + cycle_time) AS efficiency_cycle_time,
          CAST(units_produced AS DOUBLE) AS efficiency_units_produced FROM sa)"""
 _SZ = _SHIFT_CTE + zscore_sql("se", EFF4, "sz")
-_SK = _SZ + lloyd_sql("sz", Z4, SHIFT_K, LLOYD_ITERS, "units_produced", "sk")
+_SK = _SZ + lloyd_sql("sz", Z4, SHIFT_K, "units_produced", "sk")
 _LOGK = f""",
 logk AS (SELECT c.*, {_SI} AS shift_instance_id_, k.lbl AS {LBL}
          FROM clean c LEFT JOIN sk k ON k.shift_instance_id = ({_SI.replace('"timestamp"', 'c."timestamp"')})
@@ -50,7 +50,8 @@ def shift_agg(spark, sf):
     return G.shift_agg(G.with_shift_instance(ctx.clean(spark, sf)))
 
 
-@query("shift_efficiency", rnd(on_clean("SELECT * FROM se", _SHIFT_CTE), "downtime", "error_rate", "cycle_time", *EFF4))
+@query("shift_efficiency", rnd(on_clean("SELECT * FROM se", _SHIFT_CTE), "downtime", "error_rate", "cycle_time", *EFF4, digits=10),
+       digits=10)
 def shift_efficiency(spark, sf):
     """The shift table with the four efficiency scores."""
     return G.shift_efficiency_table(ctx.clean(spark, sf))
@@ -113,46 +114,35 @@ def shift_mix(spark, sf):
 
 
 @query("defect_rate_by_shift_cluster", rnd(on_clean(f"""SELECT {LBL}, avg(defect_count) AS avg_defect_count,
-  count(*) AS "rows" FROM logk GROUP BY {LBL}""", _SK, _LOGK), "avg_defect_count"))
+  count(*) AS "rows" FROM logk WHERE {LBL} IS NOT NULL GROUP BY {LBL}""", _SK, _LOGK), "avg_defect_count"))
 def defect_rate_by_shift_cluster(spark, sf):
     """Q9: mean defect count per shift cluster (labels joined back to the log)."""
-    return _attached(spark, sf).groupBy(LBL).agg(F.avg("defect_count").alias("avg_defect_count"),
+    return _attached(spark, sf).filter(F.col(LBL).isNotNull()).groupBy(LBL).agg(F.avg("defect_count").alias("avg_defect_count"),
                                                  F.count(F.lit(1)).alias("rows"))
 
 
-# ------------------------------------------------ Spark ML (property checks)
+_CURVE, _CURVE_ROWS = k_selection_sql("sz", Z4, range(1, 11), "units_produced", range(2, 10), 60)
+
 
-@query("shift_k_selection", kind="P")
+@query("shift_k_selection", rnd(on_clean(_CURVE_ROWS, _SZ, _CURVE), "inertia", "silhouette", "davies_bouldin"))
 def shift_k_selection(spark, sf):
-    """Inertia (k = 1..10), squared silhouette and Davies-Bouldin
-    (k = 2..9) of Spark ML K-Means (seed 42) on the shift table."""
+    """Inertia (k = 1..10), squared silhouette and Davies-Bouldin (k = 2..9) of K8 run
+    to rest on the shift table."""
     zdf, zcols = ctx.shift_z(spark, sf)
-    vec = K.assemble(zdf.select(*zcols), zcols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        from pyspark.ml.clustering import KMeans
-        n = vec.count()
-        stats = ctx._MODELS[("shiftz", sf)]
-        rows = [(1, float(n) * sum(1.0 for _, s in stats.values() if s), None, None)]
-        for k in range(2, 11):
-            m = KMeans(k=k, seed=42, featuresCol="features").fit(vec)
-            lab = m.transform(vec).select(*zcols, F.col("prediction").alias("lbl"))
-            sil = db = None
-            if k <= 9:
-                sil = K.silhouette_sq(lab, zcols, "lbl").first()[0]
-                db = K.davies_bouldin(lab, zcols, "lbl").first()[0]
-            rows.append((k, float(m.summary.trainingCost), sil, db))
-    finally:
-        vec.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
+    fits = ctx.version(spark, sf).fit("shift-curve", lambda: K.lloyd_curve(zdf, zcols, range(1, 11), "units_produced"))
+    return spark.createDataFrame(K.k_selection(zdf, zcols, fits, range(2, 10)),
+                                 "k int, inertia double, silhouette double, davies_bouldin double")
 
 
+# ------------------------------------------------ Spark ML (property checks)
+
 @query("shift_clusters", kind="P")
 def shift_clusters(spark, sf):
-    """Spark ML K-Means k=2 (seed 42) on the shift table, clusters named
-    by mean output, with their profile in original units."""
+    """Spark ML K-Means k=2 run to rest, best of 10 seeds (42..51), on the shift table,
+    clusters named by mean output, with their profile in original units."""
     zdf, zcols = ctx.shift_z(spark, sf)
     vec = K.assemble(zdf, zcols)
-    model = K.kmeans_best(vec, SHIFT_K, [42])
+    model = ctx.version(spark, sf).fit("shift-kmeans", lambda: K.kmeans_best(vec.select("features"), SHIFT_K, range(42, 52)))
     lab = model.transform(vec).withColumnRenamed("prediction", LBL)
     prof = K.centroid_profile(lab, LBL, METRICS)
     names = K.name_shift_clusters({r[LBL]: {"units_produced": r["units_produced"]} for r in prof.collect()})

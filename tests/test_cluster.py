@@ -26,7 +26,7 @@ def inertia(df, cols, centers):
 
 def test_lloyd_inertia_non_increasing(spark):
     df, _ = blobs(spark)
-    m = K.lloyd(df, ["x", "y"], 3, iters=6, init_col="s")
+    m = K.lloyd(df, ["x", "y"], 3, init_col="s")
     vals = [inertia(df, ["x", "y"], c) for c in m.history]
     assert all(b <= a + 1e-9 for a, b in zip(vals, vals[1:]))
 
@@ -75,3 +75,37 @@ def test_sizes_sum_to_rows(spark):
     df, pts = blobs(spark)
     lab = K.lloyd(df, ["x", "y"], 3, init_col="s").assign(df, "c")
     assert sum(r["rows"] for r in K.cluster_sizes(lab, "c").collect()) == len(pts)
+
+
+def test_lloyd_runs_to_rest(spark, sf):
+    """One more step changes no label, on the machine features of the cleaned log."""
+    from plantlens.plans import context as ctx
+    zdf, zcols = ctx.condition_z(spark, sf)
+    m = K.lloyd(zdf, zcols, 3, init_col="error_rate")
+    again = K._centroids(zdf, zcols, m.label(), 3, m.centers)[0]
+    moved = zdf.filter(K.nearest(zcols, again) != K.nearest(zcols, m.centers)).count()
+    assert moved == 0 and len(m.history) > 6
+    assert again == [[pytest.approx(v, abs=1e-12) for v in c] for c in m.centers]
+
+
+def test_nearest_prefers_the_lowest_index_and_skips_missing_centres(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "x double")
+    assert [r[0] for r in df.select(K.nearest(["x"], [[0.0], None, [2.0]])).collect()] == [0, 0, 2]
+
+
+def test_constant_data(spark):
+    df = spark.createDataFrame([(1.0, 2.0, i % 2) for i in range(6)], "x double, y double, c int")
+    assert K.silhouette_sq(df, ["x", "y"], "c").first()[0] == 0.0
+    m = K.lloyd(df, ["x", "y"], 3, init_col="x")
+    assert m.centers[0] == [1.0, 2.0] and K.inertia(df, ["x", "y"], m.centers) == 0.0
+    assert K.lloyd(df.limit(0), ["x", "y"], 2, init_col="x").assign(df.limit(0)).count() == 0
+
+
+def test_ml_fit_is_at_rest(spark):
+    df, _ = blobs(spark)
+    vec = K.assemble(df, ["x", "y"])
+    m = K.fit_kmeans(vec, 3, 42)
+    centers = [c.tolist() for c in m.clusterCenters()]
+    again = K._centroids(df, ["x", "y"], K.nearest(["x", "y"], centers), 3, centers)[0]
+    assert again == [[pytest.approx(v, abs=1e-9) for v in c] for c in centers]
+    assert m.summary.trainingCost == pytest.approx(K.inertia(df, ["x", "y"], centers))
