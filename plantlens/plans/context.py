@@ -5,164 +5,218 @@ Layout (medallion style, all in the cluster's shared ``spark.checkpoint.dir``):
 * bronze: the raw plant log derived from the driver's tables, written once
   as parquet (the three-way join runs once, not once per report);
 * silver: the cleaned log (means imputed, 14 sensors clipped to their IQR
-  fences), written once from bronze;
-* the scalars of the clean step (column means, quartile fences) and of the
-  model fits (z-score stats, K8 centres) are kept with the tables, like a
-  fitted model.
+  fences), written once from bronze, on first need;
+* the scalars of the clean step (column means, quartile fences), the model
+  fits (z-score stats, cluster centres, forests) and derived tables (labelled
+  shifts, the enriched log, drained streams).
+
+All of these belong to one ``Version`` of the input tables, keyed by what the
+input files are (path, size, modification time, on any file system).  When the
+files change, the next query drops the whole version, with its fits and its
+scratch tables, and builds anew; nothing of an old version can be mixed in.
 
 Reports read these tables (column-pruned parquet scans) and stay lazy.  A
 written table also cuts lineage: a lost executor re-reads parquet instead of
-recomputing joins.  The memo is keyed by the input directory and the size
-and mtime of its files, so changed inputs are rebuilt.
+recomputing joins.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions.stats import column_stats
 from plantlens.operators.clean import Cleaned, impute_mean, iqr_bounds, winsorize
-from plantlens.schema import ALL_NUMERIC, CLIP14
-from plantlens.session import scratch_path
+from plantlens.schema import ALL_NUMERIC, CLIP14, EFF4, MACHINE_FEATURES8
+from plantlens.session import drop_scratch, scratch_path
 from plantlens.sources.plant import plant_log
 
-_STATS: dict[tuple, dict] = {}
-_MODELS: dict[tuple, object] = {}
-
-CONDITION_K, SHIFT_K, LLOYD_ITERS = 3, 2, 5
+CONDITION_K, SHIFT_K = 3, 2
 CONDITION_LABEL, SHIFT_LABEL = "cluster_efficiency_machine", "shift_efficiency_cluster"
+#: The tables that queries of this library read.
+INPUTS = ("lineitem", "orders", "part", "events")
+
+
+@dataclass
+class Version:
+    """What was built from one state of the input files."""
+
+    spark: SparkSession
+    sf: str
+    signature: tuple
+    paths: dict[str, str] = field(default_factory=dict)
+    fits: dict[str, object] = field(default_factory=dict)
+
+    def fit(self, name: str, build: Callable[[], object]):
+        """A fitted value, computed once per version."""
+        if name not in self.fits:
+            self.fits[name] = build()
+        return self.fits[name]
+
+    def path(self, name: str, build: Callable[[str], None]) -> str:
+        """A scratch location that ``build(path)`` fills, once per version."""
+        if name not in self.paths:
+            path = scratch_path(self.spark, name)
+            build(path)
+            self.paths[name] = path
+        return self.paths[name]
+
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written once per version and read from the shared folder."""
+        return self.spark.read.parquet(self.path(name, lambda path: build().write.mode("overwrite").parquet(path)))
+
+    def drop(self, *keep: str) -> None:
+        """Forget the fits and remove the scratch tables, except the named ones."""
+        self.fits = {k: v for k, v in self.fits.items() if k in keep}
+        for name in [n for n in self.paths if n not in keep]:
+            drop_scratch(self.spark, self.paths.pop(name))
+
+
+_VERSIONS: dict[tuple, Version] = {}
+
+
+def signature(spark: SparkSession, sf: str) -> tuple:
+    """What the input files are now: one small listing job, on any file system."""
+    found = []
+    for t in INPUTS:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/{t}.parquet")
+        found.append(files.select(F.lit(t).alias("t"), F.xxhash64("path", "length", "modificationTime").alias("h")))
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionAll(f)
+    got = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h")).collect()
+    return tuple(sorted((r["t"], r["n"], r["h"]) for r in got))
+
+
+def refresh(spark: SparkSession, sf: str) -> Version:
+    """The version of the input files as they are now; an outdated one is removed."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    now = signature(spark, key[1])
+    old = _VERSIONS.get(key)
+    if old is None or old.signature != now:
+        if old is not None:
+            old.drop()
+        _VERSIONS[key] = Version(spark, key[1], now)
+    return _VERSIONS[key]
+
+
+def version(spark: SparkSession, sf: str) -> Version:
+    """The version a running query works on (``refresh`` at its start checks the files)."""
+    return _VERSIONS.get((spark.sparkContext.applicationId, sf.rstrip("/"))) or refresh(spark, sf)
+
+
+#: What ``clear_models`` keeps: the tables and the scalars of the clean step.
+_BUILD = ("bronze", "silver", "means", "bounds")
 
 
 def clear_models() -> None:
-    """Forget fitted scalars (z stats, K8 centres); keep the written tables."""
-    _MODELS.clear()
+    """Forget fits and derived tables; keep bronze and silver."""
+    for v in _VERSIONS.values():
+        v.drop(*_BUILD)
 
 
 def clear_memo() -> None:
-    """Forget everything, including the bronze/silver tables."""
-    _STATS.clear()
-    _MODELS.clear()
-
-
-def _key(sf: str) -> tuple:
-    sig = []
-    for t in ("lineitem", "orders", "part"):
-        p = f"{sf}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            sig.append((t, st.st_size, int(st.st_mtime)))
-        except OSError:  # remote storage: the path is the key
-            sig.append((t, None, None))
-    return (sf.rstrip("/"), tuple(sig))
-
-
-def build(spark: SparkSession, sf: str) -> dict:
-    """Write bronze and silver for ``sf`` and compute the clean scalars."""
-    bronze_path = scratch_path(spark, "bronze")
-    plant_log(spark, sf).write.mode("overwrite").parquet(bronze_path)
-    bronze = spark.read.parquet(bronze_path)
-    # one long-form pass: mean, NULL count, min, max of every numeric column
-    v = F.col("v")
-    st = column_stats(bronze, ALL_NUMERIC, {"m": F.avg(v), "z": F.count_if(v.isNull()), "n": F.count(v),
-                                            "lo": F.min(v), "hi": F.max(v)})
-    means = {c: (st[c]["m"], st[c]["z"]) for c in ALL_NUMERIC}
-    imputed = impute_mean(bronze, means=means)
-    # count / min / max of the imputed columns follow without another pass
-    known = {}
-    for c in CLIP14:
-        m, z, n, lo, hi = st[c]["m"], st[c]["z"], st[c]["n"], st[c]["lo"], st[c]["hi"]
-        if z and m is not None:
-            n, lo, hi = n + z, min(lo, m), max(hi, m)
-        known[c] = (n, lo, hi)
-    bounds = iqr_bounds(imputed, CLIP14, known=known)
-    silver_path = scratch_path(spark, "silver")
-    winsorize(imputed, CLIP14, bounds).write.mode("overwrite").parquet(silver_path)
-    return {"bronze": bronze_path, "silver": silver_path, "means": means, "bounds": bounds}
-
-
-def _tables(spark: SparkSession, sf: str) -> dict:
-    k = _key(sf)
-    if k not in _STATS:
-        _STATS[k] = build(spark, sf)
-    return _STATS[k]
+    """Forget everything, and remove the tables."""
+    for v in _VERSIONS.values():
+        v.drop()
+    _VERSIONS.clear()
 
 
 def plant(spark: SparkSession, sf: str) -> DataFrame:
     """The raw log (bronze)."""
-    return spark.read.parquet(_tables(spark, sf)["bronze"])
+    return version(spark, sf).table("bronze", lambda: plant_log(spark, sf))
 
 
-def cleaned(spark: SparkSession, sf: str) -> Cleaned:
-    t = _tables(spark, sf)
-    bronze = spark.read.parquet(t["bronze"])
-    return Cleaned(spark.read.parquet(t["silver"]), impute_mean(bronze, means=t["means"]), t["means"], t["bounds"])
+def means(spark: SparkSession, sf: str) -> dict:
+    """Mean and NULL count of every numeric column of the raw log."""
+    def build() -> dict:
+        v = F.col("v")
+        st = column_stats(plant(spark, sf), ALL_NUMERIC, {"m": F.avg(v), "z": F.count_if(v.isNull())})
+        return {c: (st[c]["m"], st[c]["z"]) if c in st else (None, 0) for c in ALL_NUMERIC}
+    return version(spark, sf).fit("means", build)
+
+
+def imputed(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw log with NULL sensors mean-filled (a projection of bronze)."""
+    return impute_mean(plant(spark, sf), means=means(spark, sf))
+
+
+def bounds(spark: SparkSession, sf: str) -> dict:
+    """The IQR fences of the clipped columns, after imputation."""
+    return version(spark, sf).fit("bounds", lambda: iqr_bounds(imputed(spark, sf), CLIP14))
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned log (silver)."""
-    return cleaned(spark, sf).df
+    return version(spark, sf).table("silver", lambda: winsorize(imputed(spark, sf), CLIP14, bounds(spark, sf)))
 
 
-def imputed(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw log with NULL sensors mean-filled (a projection of bronze)."""
-    return cleaned(spark, sf).imputed
+def cleaned(spark: SparkSession, sf: str) -> Cleaned:
+    return Cleaned(clean(spark, sf), imputed(spark, sf), means(spark, sf), bounds(spark, sf))
 
 
 # ------------------------------------------------------------- clusterings
 
-def _z(df: DataFrame, stats: dict) -> dict:
+def _z(stats: dict) -> dict:
     return {f"{c}_z": ((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(0.0) for c, (m, s) in stats.items()}
 
 
+def condition_stats(spark: SparkSession, sf: str) -> dict:
+    """Mean and population std of the 8 machine features."""
+    from plantlens.operators.cluster import standardize
+    return version(spark, sf).fit("condition-z", lambda: standardize(clean(spark, sf), MACHINE_FEATURES8)[1])
+
+
 def condition_z(spark: SparkSession, sf: str):
     """The cleaned log with z-scores (suffix _z) of the 8 machine features."""
-    from plantlens.operators.cluster import standardize
-    from plantlens.schema import MACHINE_FEATURES8
-    cl = clean(spark, sf)
-    key = ("condz", sf)
-    if key not in _MODELS:
-        _MODELS[key] = standardize(cl, MACHINE_FEATURES8, suffix="_z")[1]
-    return cl.withColumns(_z(cl, _MODELS[key])), [f"{c}_z" for c in MACHINE_FEATURES8]
+    stats = condition_stats(spark, sf)
+    return clean(spark, sf).withColumns(_z(stats)), [f"{c}_z" for c in MACHINE_FEATURES8]
+
+
+def condition_centers(spark: SparkSession, sf: str) -> list:
+    """Centres of K8, run to rest on the machine features."""
+    from plantlens.operators.cluster import lloyd
+
+    def build():
+        zdf, zcols = condition_z(spark, sf)
+        return lloyd(zdf, zcols, CONDITION_K, init_col="error_rate").centers
+    return version(spark, sf).fit("condition-centers", build)
 
 
 def condition_labels(spark: SparkSession, sf: str):
     """K8 on the machine features: the cleaned log with ``cluster_efficiency_machine``."""
-    from plantlens.operators.cluster import lloyd, nearest
+    from plantlens.operators.cluster import nearest
     zdf, zcols = condition_z(spark, sf)
-    key = ("condk8", sf)
-    if key not in _MODELS:
-        _MODELS[key] = lloyd(zdf, zcols, CONDITION_K, LLOYD_ITERS, init_col="error_rate").centers
-    return zdf.withColumn(CONDITION_LABEL, nearest(zcols, _MODELS[key])), zcols
+    return zdf.withColumn(CONDITION_LABEL, nearest(zcols, condition_centers(spark, sf))), zcols
 
 
-def shift_z(spark: SparkSession, sf: str):
-    """The shift-level table (G1-G4) with z-scored efficiency columns."""
-    from plantlens.operators.cluster import standardize
+def shift_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The shift-level table (G1-G4), written once: its size grows with days, not observations."""
     from plantlens.operators.shift import shift_efficiency_table
-    from plantlens.schema import EFF4
-    t = shift_efficiency_table(clean(spark, sf))
-    key = ("shiftz", sf)
-    if key not in _MODELS:
-        _MODELS[key] = standardize(t, EFF4, suffix="_z")[1]
-    return t.withColumns(_z(t, _MODELS[key])), [f"{c}_z" for c in EFF4]
+    return version(spark, sf).table("shifts", lambda: shift_efficiency_table(clean(spark, sf)))
+
+
+def shift_stats(spark: SparkSession, sf: str) -> dict:
+    from plantlens.operators.cluster import standardize
+    return version(spark, sf).fit("shift-z", lambda: standardize(shift_table(spark, sf), EFF4)[1])
+
+
+def shift_z(spark: SparkSession, sf: str):
+    """The shift-level table with z-scored efficiency columns."""
+    return shift_table(spark, sf).withColumns(_z(shift_stats(spark, sf))), [f"{c}_z" for c in EFF4]
 
 
 def shift_labels(spark: SparkSession, sf: str):
-    """K8 on the shift table: shift rows with ``shift_efficiency_cluster``.
+    """K8 on the shift table, run to rest: shift rows with ``shift_efficiency_cluster``.
 
-    The labelled shift table (one row per shift instance x machine x line,
-    growing with days, not observations) is written once to the shared folder
-    after the fit, like any fitted output; every consumer (join-back, profile,
-    sizes, names, mix) then reads it instead of re-aggregating the log."""
+    The labelled table is written once after the fit, like any fitted output;
+    every consumer (join-back, profile, sizes, names, mix) then reads it."""
     from plantlens.operators.cluster import lloyd, nearest
     zdf, zcols = shift_z(spark, sf)
-    key = ("shiftk8", sf)
-    if key not in _MODELS:
-        centers = lloyd(zdf, zcols, SHIFT_K, LLOYD_ITERS, init_col="units_produced").centers
-        path = scratch_path(spark, "shift-labels")
-        zdf.withColumn(SHIFT_LABEL, nearest(zcols, centers)).write.mode("overwrite").parquet(path)
-        _MODELS[key] = (centers, path)
-    return spark.read.parquet(_MODELS[key][1]), zcols
+
+    def build() -> DataFrame:
+        return zdf.withColumn(SHIFT_LABEL, nearest(zcols, lloyd(zdf, zcols, SHIFT_K, init_col="units_produced").centers))
+    return version(spark, sf).table("shift-labels", build), zcols

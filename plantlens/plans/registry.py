@@ -2,8 +2,10 @@
 and ``ORACLES[name]`` = the DuckDB SQL restating it independently.
 
 Query modules register themselves with ``@query(name, oracle_sql)``.  Every
-query ends in ``present`` (doubles rounded to 6 decimals; the oracle rounds
-the same columns with ``rnd``).
+query ends in ``present`` (doubles rounded to ``digits`` decimals, 6 unless a
+query's values are small; the oracle rounds the same columns with ``rnd``), so
+that sums in another order compare equal.  The operators themselves, and the
+tables they write, are not rounded.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plantlens.functions.stats import present
+from plantlens.plans.context import refresh
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -20,10 +23,11 @@ ORACLES: dict[str, str] = {}
 KIND: dict[str, str] = {}  # 'O' oracle-checked, 'P' property/rows-only, 'S' streaming
 
 
-def query(name: str, oracle: str | None = None, kind: str | None = None):
+def query(name: str, oracle: str | None = None, kind: str | None = None, digits: int = 6):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            return present(fn(spark, sf))
+            refresh(spark, sf)  # changed input files drop what was built from the old ones
+            return present(fn(spark, sf), digits)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         if name in QUERIES:
