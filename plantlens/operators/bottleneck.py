@@ -48,12 +48,16 @@ def rank_bottlenecks(df: DataFrame, dims: Sequence[str] = ("machine_id", "line_i
 
 
 def machine_shift_cube(df: DataFrame, dims: Sequence[str] = ("machine_id", "shift")) -> DataFrame:
-    """H7: machine x shift comparison with every subtotal (CUBE)."""
+    """H7: machine x shift comparison with every subtotal (CUBE).  A row whose key is
+    NULL is left out of the groupings over that key, and counted in the others."""
+    known = F.lit(True)
+    for d in dims:
+        known = known & ((F.col(f"_g_{d}") == 1) | F.col(d).isNotNull())
     return (df.cube(*dims).agg(
-        F.grouping_id().alias("grouping_id"),
+        F.grouping_id().alias("grouping_id"), *[F.grouping(d).alias(f"_g_{d}") for d in dims],
         F.count(F.lit(1)).alias("rows"),
         F.sum("units_produced").cast("long").alias("total_units"),
         F.sum("downtime").alias("total_downtime"),
         F.count_if(down_flag()).cast("long").alias("downtime_freq"),
         F.avg("error_rate").alias("avg_error_rate"),
-        F.avg("cycle_time").alias("avg_cycle_time")))
+        F.avg("cycle_time").alias("avg_cycle_time")).filter(known).drop(*[f"_g_{d}" for d in dims]))

@@ -19,62 +19,60 @@ from pyspark.sql import functions as F
 
 # ------------------------------------------------------------ correlations
 
-def _gram(df: DataFrame, cols: Sequence[str], shift: dict[str, float], complete: bool) -> dict:
-    """Shifted moment sums of every column pair, one pass.
-
-    Each row is exploded to (i, u_i) with the row's vector u attached and
-    grouped by i, so every group carries only ~d sums (a wide 1-row
-    aggregate of d^2 sums exceeds ``spark.sql.codegen.maxFields`` and falls
-    out of whole-stage codegen).  ``complete``: no NULLs, 2 sums per pair;
-    otherwise pairwise-complete sums (6 per pair)."""
-    d = len(cols)
-    u = F.array(*[F.col(c).cast("double") - F.lit(shift[c]) for c in cols])
-    ex = df.select(u.alias("u")).select(F.posexplode("u").alias("i", "ui"), "u").filter(F.col("ui").isNotNull())
-    ui = F.col("ui")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(ui).alias("s"), F.sum(ui * ui).alias("q")]
-    for j in range(d):
-        uj = F.col("u")[j]
-        aggs.append(F.sum(ui * uj).alias(f"p{j}"))
-        if not complete:
-            pair = uj.isNotNull()
-            aggs += [F.count(uj).alias(f"n{j}"), F.sum(F.when(pair, ui)).alias(f"si{j}"),
-                     F.sum(F.when(pair, ui * ui)).alias(f"qi{j}"), F.sum(uj).alias(f"sj{j}"),
-                     F.sum(uj * uj).alias(f"qj{j}")]
-    return {r["i"]: r for r in ex.groupBy("i").agg(*aggs).collect()}
+TILE = 4  # columns of a tile's side: 16 products stay in one compiled method
+
+
+def _pair_sums(df: DataFrame, pairs: list[tuple[int, int]], u: dict[int, Column], complete: bool) -> dict:
+    """Sums of every column pair: (n, sum a, sum b, sum aa, sum bb, sum ab).
+
+    Pairs are cut into tiles of a few columns by a few columns; a tile is one
+    narrow aggregate that stays in generated code (one aggregate over all d*d/2
+    products would not), reading only its own columns."""
+    side = TILE if complete else TILE // 2
+    tiles: dict[tuple[int, int], list] = {}
+    for a, b in pairs:
+        tiles.setdefault((a // side, b // side), []).append((a, b))
+    parts = []
+    for t, members in enumerate(tiles.values()):
+        sums = []
+        for a, b in members:
+            both = u[a].isNotNull() & u[b].isNotNull()
+            x, y = (u[a], u[b]) if complete else (F.when(both, u[a]), F.when(both, u[b]))
+            sums.append(F.array(F.count(x).cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)))
+        parts.append(df.agg(F.array(*sums).alias("s")).select(F.lit(t).alias("t"), "s"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionAll(p)
+    got = {r["t"]: r["s"] for r in rows.collect()}
+    return {pair: got[t][k] for t, members in enumerate(tiles.values()) for k, pair in enumerate(members)}
 
 
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r of column pairs from shifted moment sums (two passes).
+    """Pearson r of column pairs (each unordered pair is computed once).
 
-    Pass 1: per column min and NULL count; pass 2: the moment sums of
-    u = x - min(x) (exactly 0 for a constant column; no cancellation from
-    large means).  r is NULL when either side is constant (pandas: NaN).
-    The result is one row per pair, built from a d x d table of sums."""
+    Pass 1: per column mean, min, max and NULL count; pass 2: moment sums of
+    u = x - mean, so no digits are lost to a mean that is large against the
+    spread.  r is NULL when either side is constant (min = max; pandas: NaN),
+    also where the other side is NULL."""
     pairs = list(pairs)
     cols = sorted({c for p in pairs for c in p})
-    st = df.agg(*[F.min(F.col(c).cast("double")).alias(f"k_{i}") for i, c in enumerate(cols)],
-                *[F.count_if(F.col(c).isNull()).alias(f"z_{i}") for i, c in enumerate(cols)]).first()
+    x = [F.col(c).cast("double") for c in cols]
+    st = df.agg(*[e.alias(f"{n}_{i}") for i, c in enumerate(x) for n, e in (
+        ("m", F.avg(c)), ("lo", F.min(c)), ("hi", F.max(c)), ("z", F.count_if(c.isNull())))]).first()
     idx = {c: i for i, c in enumerate(cols)}
-    shift = {c: (st[f"k_{idx[c]}"] if st[f"k_{idx[c]}"] is not None else 0.0) for c in cols}
-    complete = all(st[f"z_{i}"] == 0 for i in range(len(cols)))
-    g = _gram(df, cols, shift, complete)
+    u = {i: c - F.lit(st[f"m_{i}"]) for i, c in enumerate(x) if st[f"m_{i}"] is not None}
+    constant = {i for i in idx.values() if st[f"lo_{i}"] == st[f"hi_{i}"]}
+    complete = all(st[f"z_{i}"] == 0 for i in idx.values())
+    wanted = sorted({tuple(sorted((idx[a], idx[b]))) for a, b in pairs if not {idx[a], idx[b]} & constant})
+    sums = _pair_sums(df, wanted, u, complete) if wanted else {}
     rows = []
     for a, b in pairs:
-        ia, ib = idx[a], idx[b]
-        ra = g.get(ia)
         r = None
-        if ra is not None:
-            if complete:
-                rb = g[ib]
-                n, sa, sb, qa, qb = ra["n"], ra["s"], rb["s"], ra["q"], rb["q"]
-            else:
-                n, sa, qa, sb, qb = (ra[f"n{ib}"], ra[f"si{ib}"], ra[f"qi{ib}"], ra[f"sj{ib}"], ra[f"qj{ib}"])
-            p = ra[f"p{ib}"]
-            if n:
-                ma, mb = sa / n, sb / n
-                va, vb = qa / n - ma * ma, qb / n - mb * mb
-                if va > 0 and vb > 0:
-                    r = (p / n - ma * mb) / math.sqrt(va * vb)
+        n, sa, sb, qa, qb, p = sums.get(tuple(sorted((idx[a], idx[b]))), (0,) * 6)
+        if n:
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            if va > 0 and vb > 0:
+                r = 1.0 if a == b else (p - sa * sb / n) / math.sqrt(va * vb)
         rows.append((a, b, r))
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
@@ -102,11 +100,8 @@ def strength(r: Column, strong: float = 0.5, moderate: float = 0.2) -> Column:
 def corr_pairs(df: DataFrame, cols: Sequence[str], strong: float = 0.5, moderate: float = 0.2) -> DataFrame:
     """D2r: every distinct pair with its band (strong / moderate / weak)."""
     cols = list(cols)
-    pos = {c: i for i, c in enumerate(cols)}
-    m = corr_matrix(df, cols)
-    order = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pos[c]))])
-    return (m.filter(order[F.col("x")] < order[F.col("y")])
-            .withColumn("strength", strength(F.col("r"), strong, moderate)))
+    m = pearson_pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]])
+    return m.withColumn("strength", strength(F.col("r"), strong, moderate))
 
 
 # --------------------------------------------------------------- binning
@@ -201,32 +196,29 @@ def best_bin(profile: DataFrame, metric: str = "total_units_produced") -> DataFr
 
 # ------------------------------------------------------------------- KDE
 
-def kde(df: DataFrame, col: str, gridsize: int = 200, cut_bw: float = 3.0,
-        prebin: int | None = None, exact_limit: int = 200000) -> DataFrame:
+#: Equal-width bins that a KDE's rows are first reduced to.
+KDE_BINS = 1 << 16
+
+
+def kde(df: DataFrame, col: str, gridsize: int = 200, cut_bw: float = 3.0, bins: int = KDE_BINS) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth (sd * n^-1/5) on ``gridsize``
     points from min - 3 bw to max + 3 bw.
 
-    Rows are first collapsed to (value, weight) by a group-by, then each
-    distinct value is spread over the grid (a constant ``gridsize`` fan-out)
-    and summed per grid point.  Continuous columns with more than
-    ``exact_limit`` distinct values are pre-binned to ``prebin`` (default
-    65536) bin centres first, an error far below the bandwidth."""
+    At every size, rows are first reduced to (mean, count) of ``bins`` bins over
+    the range (partial aggregation), and each bin that has rows is spread over
+    the grid.  Bins with one distinct value are exact; else the error is of the
+    order (bin width / bandwidth)^2, some 1e-8."""
     x = F.col(col).cast("double")
-    st = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"),
-                F.max(x).alias("hi"), F.approx_count_distinct(x).alias("nd")).first()
+    st = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     n, sd, lo, hi = st["n"], st["sd"], st["lo"], st["hi"]
     if not n or sd is None or sd == 0:
         return df.sparkSession.createDataFrame([], "i int, x double, density double")
     bw = sd * n ** (-1.0 / 5.0)
     g0, g1 = lo - cut_bw * bw, hi + cut_bw * bw
     step = (g1 - g0) / (gridsize - 1)
-    v = x
-    if prebin is None and st["nd"] > exact_limit:
-        prebin = 65536
-    if prebin:
-        w = (hi - lo) / prebin
-        v = F.lit(lo) + (F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(prebin - 1)) + 0.5) * F.lit(w)
-    vals = df.filter(x.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    b = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).alias("b")
+    vals = df.filter(x.isNotNull()).groupBy(b).agg(
+        F.count(F.lit(1)).alias("w"), F.when(F.min(x) == F.max(x), F.min(x)).otherwise(F.avg(x)).alias("v"))
     norm = 1.0 / (n * bw * math.sqrt(2.0 * math.pi))
     spread = vals.select("v", "w", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
     g = F.lit(g0) + F.col("i") * F.lit(step)

@@ -148,14 +148,28 @@ def worst(df: DataFrame, key: str, metric: str, agg: str = "mean") -> DataFrame:
             .orderBy(F.col("value").desc_nulls_last(), F.col(key).asc()).limit(1))
 
 
+def dense_ranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, rank): the distinct values ranked, largest first (NULL last), without one
+    task for all: values are range-partitioned, ranked inside their partition, and shifted
+    by the number of values in the partitions before (one small row per partition)."""
+    part, local = F.spark_partition_id(), F.row_number().over(Window.partitionBy("part").orderBy(F.col(value).desc_nulls_last()))
+    # NULL sorts apart: as one value after all others
+    keyed = df.select(value).distinct().repartitionByRange(F.col(value).desc_nulls_last()).withColumn("part", part)
+    numbered = keyed.withColumn("local", local)
+    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", before.alias("before"))
+    return numbered.join(offsets, "part").select(value, (F.col("before") + F.col("local")).cast("int").alias("rank"))
+
+
 def rank_by(df: DataFrame, key: str, metric: str, agg: str = "mean", digits: int | None = None) -> DataFrame:
-    """Every key ranked by the metric (dense rank, largest first).
-    The window runs over one row per key, never over raw rows."""
+    """Every key ranked by the metric (dense rank, largest first), over one row per key."""
     m = F.avg(metric) if agg == "mean" else F.sum(metric)
     g = group_kpi(df, [key], {"value": m})
     if digits is not None:
         g = g.withColumn("value", F.bround("value", digits))
-    return g.withColumn("rank", F.dense_rank().over(Window.orderBy(F.col("value").desc())))
+    ranks = dense_ranks(g, "value").withColumnRenamed("value", "ranked")
+    return g.join(ranks, F.col("value").eqNullSafe(F.col("ranked"))).drop("ranked")
 
 
 def defect_pct_by(df: DataFrame, key: str) -> DataFrame:
@@ -182,9 +196,9 @@ def defects_by(df: DataFrame, key: str = "product_type") -> DataFrame:
     """Q1-Q3: total defects per key, as % of all units and as share of all defects."""
     g = group_kpi(df, [key], {"total_defects": F.sum("defect_count").cast("long"),
                               "units": F.sum("units_produced").cast("long")})
-    # the denominators are two scalars (one global aggregate, inlined), not an
+    # the denominators, over all rows (also those without a key), are two scalars (one global aggregate, inlined), not an
     # unpartitioned window that would pull every group into one task
-    tot = df.filter(F.col(key).isNotNull()).agg(F.sum("units_produced").cast("long").alias("u"),
+    tot = df.agg(F.sum("units_produced").cast("long").alias("u"),
                                                 F.sum("defect_count").cast("long").alias("d")).first()
     all_units, all_defects = F.lit(tot["u"]).cast("long"), F.lit(tot["d"]).cast("long")
     return g.select(key, "total_defects",

@@ -44,8 +44,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "ex
     v = F.col("v")
     st = column_stats(df, cols, {"n": F.count(v), "m": F.avg(v), "s": F.stddev_samp(v),
                                  "lo": F.min(v), "hi": F.max(v)})
-    known = {c: ((st[c]["n"], st[c]["lo"], st[c]["hi"]) if c in st else (0, None, None)) for c in cols}
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], method=method, known=known)
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], method=method)
     rows = []
     for c in cols:
         r = st.get(c)
@@ -56,20 +55,30 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "ex
               "q75 double, max double")
 
 
-def column_info(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Column, SQL type, non-null, null and distinct counts, in one pass.
-    ``exact=False`` uses HyperLogLog++ (bounded memory) for the distinct count."""
+def column_info(df: DataFrame) -> DataFrame:
+    """Column, SQL type, non-null, null and distinct counts.
+
+    Long form: every row gives one (column number, value as text) pair per
+    column; pairs are counted by value (combined per task, two fields per row,
+    spread over all tasks by value), then by column.  Values print differently
+    exactly when they differ (-0.0 as 0.0)."""
     fields = df.schema.fields
-    aggs = []
+    texts = []
     for f in fields:
         x = F.col(f.name)
-        nd = F.countDistinct(x) if exact else F.approx_count_distinct(x)
-        aggs += [F.count(x).alias(f"nn_{f.name}"), F.count_if(x.isNull()).alias(f"nu_{f.name}"),
-                 nd.alias(f"nd_{f.name}")]
-    return _long(df.agg(*aggs), [F.struct(
-        F.lit(f.name).alias("column"), F.lit(sql_type(f.dataType)).alias("dtype"),
-        F.col(f"nn_{f.name}").cast("long").alias("non_null"), F.col(f"nu_{f.name}").cast("long").alias("null"),
-        F.col(f"nd_{f.name}").cast("long").alias("n_unique")) for f in fields])
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            x = x + F.lit(0.0)
+        texts.append(x.cast("string"))
+    pairs = df.select(F.posexplode(F.array(*texts)).alias("i", "v"))
+    values = pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("v").isNotNull()
+    per = values.groupBy("i").agg(
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null"), F.count("v").alias("n_unique"))
+    got = {r["i"]: r for r in per.collect()}  # one row per column
+    return df.sparkSession.createDataFrame(
+        [(f.name, sql_type(f.dataType), *((got[i]["non_null"], got[i]["null"], got[i]["n_unique"]) if i in got else (0, 0, 0)))
+         for i, f in enumerate(fields)], "column string, dtype string, non_null long, null long, n_unique long")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -152,11 +161,9 @@ def stringify(df: DataFrame) -> DataFrame:
 
 def transpose_long(df: DataFrame, key: str, value_cols: Sequence[str] | None = None) -> DataFrame:
     """A small summary turned sideways: one row per measure, one column per
-    key value (pivot values are read from the summary, which has few rows)."""
+    key value, however many the summary has."""
     value_cols = list(value_cols) if value_cols else [c for c in df.columns if c != key]
     long = df.unpivot([key], value_cols, "measure", "value")
-    keys = sorted(r[0] for r in df.select(key).distinct().limit(1001).collect())
-    if len(keys) > 1000:
-        raise ValueError("transpose_long is for small summaries (at most 1000 key values)")
+    keys = sorted(r[0] for r in df.select(key).distinct().collect())  # each becomes a column
     return (long.groupBy("measure").pivot(key, keys).agg(F.first("value"))
             .withColumnsRenamed({str(k): f"{key}_{k}" for k in keys}))

@@ -11,6 +11,7 @@ model pass scores every bump of every scenario.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,33 +74,60 @@ def feature_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  F.col(f"m_{c}").alias("mean")) for c in cols])))
 
 
+@dataclass
+class Driver:
+    """A fitted driver model, and the feature means that stand in for missing values."""
+
+    model: object
+    features: list[str]
+    means: dict[str, float]
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(self.means[f])) for f in self.features})
+
+
 def fit_driver(train: DataFrame, features: Sequence[str], label: str = "level", trees: int = 100,
-               depth: int = 12, seed: int = 42):
-    """Random forest on the feature columns -> level (Spark ML)."""
+               depth: int = 12, seed: int = 42) -> Driver:
+    """Random forest on the feature columns -> level (Spark ML).
+
+    ``depth`` is a model parameter (sklearn grows trees without a limit, Spark
+    to 30 at most).  A missing feature counts as the feature's mean, in
+    training and in scoring."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+    features = list(features)
+    known = train.filter(F.col(label).isNotNull())
+    row = known.agg(*[F.avg(f).alias(f) for f in features]).first()
+    driver = Driver(None, features, {f: 0.0 if row[f] is None else float(row[f]) for f in features})
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
+        VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
         RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
                                seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)])
-    return pipe.fit(train.filter(F.col(label).isNotNull()))
+    driver.model = pipe.fit(driver.filled(known))
+    return driver
 
 
-def importance(model, features: Sequence[str]) -> list[tuple[str, float]]:
+def importance(driver: Driver) -> list[tuple[str, float]]:
     """Feature importances, largest first."""
-    imp = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, (float(v) for v in imp)), key=lambda t: (-t[1], t[0]))
+    imp = driver.model.stages[-1].featureImportances.toArray()
+    return sorted(zip(driver.features, (float(v) for v in imp)), key=lambda t: (-t[1], t[0]))
 
 
-def score(model, scenarios: DataFrame, out: str = "predicted") -> DataFrame:
+def score(driver: Driver, scenarios: DataFrame, out: str = "predicted") -> DataFrame:
     """Predicted level (and its name) of every scenario row."""
-    s = model.transform(scenarios)
+    s = driver.model.transform(driver.filled(scenarios))
     return (s.withColumn(out, F.col("prediction").cast("int"))
             .withColumn(out + "_level", level_name(F.col(out)))
             .drop("features", "rawPrediction", "probability", "prediction"))
 
 
+def hash_split(df: DataFrame, cols: Sequence[str], train: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """A split by the rows' values: the same whatever the partitioning; equal rows stay together."""
+    inside = F.pmod(F.xxhash64(*cols), F.lit(1000)) < int(train * 1000)
+    return df.filter(inside), df.filter(~inside)
+
+
 def bumps(scenarios: DataFrame, features: Sequence[str], pct: float = 0.10, key: str = "scenario") -> DataFrame:
     """The bump table: every scenario x every feature, that feature x (1 + pct).
     Columns: key, variable, original, bumped, then the (bumped) features."""
@@ -113,13 +141,12 @@ def bumps(scenarios: DataFrame, features: Sequence[str], pct: float = 0.10, key:
                             for f in features})
 
 
-def sensitivity(model, scenarios: DataFrame, features: Sequence[str], pct: float = 0.10,
-                key: str = "scenario") -> DataFrame:
+def sensitivity(driver: Driver, scenarios: DataFrame, pct: float = 0.10, key: str = "scenario") -> DataFrame:
     """Level before and after raising each feature alone by ``pct``;
     two model passes (base, bumped) over scenarios and scenarios x features."""
-    base = score(model, scenarios).select(key, F.col("predicted").alias("original_level_id"),
+    base = score(driver, scenarios).select(key, F.col("predicted").alias("original_level_id"),
                                           F.col("predicted_level").alias("original_level"))
-    after = score(model, bumps(scenarios, features, pct, key)).select(
+    after = score(driver, bumps(driver.filled(scenarios), driver.features, pct, key)).select(
         key, "variable", F.col("predicted").alias("after_level_id"), F.col("predicted_level").alias("after_level"))
     return after.join(base, key).withColumn("changed", F.col("after_level_id") != F.col("original_level_id"))
 

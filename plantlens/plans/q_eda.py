@@ -69,24 +69,30 @@ def hist_cycle_time(spark, sf):
     return D.histogram(ctx.clean(spark, sf), "cycle_time", 30)
 
 
-_KDE = on_clean("""SELECT CAST(r.i AS INTEGER) AS i, g0 + r.i * step AS x,
+def _kde_sql(c: str) -> str:
+    return on_clean(f"""SELECT CAST(r.i AS INTEGER) AS i, g0 + r.i * step AS x,
   sum(w * exp(-0.5E0 * ((g0 + r.i * step - v) / bw) * ((g0 + r.i * step - v) / bw)))
     * (1.0E0 / (n * bw * sqrt(2.0E0 * pi()))) AS density
 FROM grid CROSS JOIN range(200) AS r(i) CROSS JOIN vals
-GROUP BY r.i, g0, step, n, bw""", """,
-st AS (SELECT count(cycle_time) AS n, stddev_samp(cycle_time) AS sd, min(cycle_time) AS lo, max(cycle_time) AS hi
-       FROM clean),
+GROUP BY r.i, g0, step, n, bw""", f""",
+st AS (SELECT count({c}) AS n, stddev_samp({c}) AS sd, min({c}) AS lo, max({c}) AS hi FROM clean),
 bwt AS (SELECT *, sd * pow(n, -0.2E0) AS bw FROM st),
 grid AS (SELECT *, lo - 3.0E0 * bw AS g0, ((hi + 3.0E0 * bw) - (lo - 3.0E0 * bw)) / 199.0E0 AS step FROM bwt),
-vals AS (SELECT cycle_time AS v, count(*) AS w FROM clean WHERE cycle_time IS NOT NULL GROUP BY cycle_time)""")
+vals AS (SELECT {c} AS v, count(*) AS w FROM clean WHERE {c} IS NOT NULL GROUP BY {c})""")
 
 
-@query("kde_cycle_time", rnd(_KDE, "x", "density"))
+@query("kde_cycle_time", rnd(_kde_sql("cycle_time"), "x", "density"))
 def kde_cycle_time(spark, sf):
     """Gaussian KDE (Scott bandwidth, 200 grid points) of cycle time."""
     return D.kde(ctx.clean(spark, sf), "cycle_time")
 
 
+@query("kde_ambient_temperature", rnd(_kde_sql("ambient_temperature"), "x", "density"))
+def kde_ambient_temperature(spark, sf):
+    """D4 of a continuous column, against the estimate over every single value."""
+    return D.kde(ctx.clean(spark, sf), "ambient_temperature")
+
+
 _CUT_CTE = """,
 cst AS (SELECT min(cycle_time) AS mn, max(cycle_time) AS mx, (max(cycle_time) - min(cycle_time)) / 5.0E0 AS step
         FROM clean),

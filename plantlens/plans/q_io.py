@@ -15,8 +15,7 @@ from plantlens.plans.q_eda import _CUT_CTE
 from plantlens.plans.q_shift import _SK
 from plantlens.plans.registry import query, rnd
 from plantlens.schema import CLIP14, LOG_SCHEMA, SHIFT_KEYS
-from plantlens.session import scratch_path
-from plantlens.sources.log_io import parse_ts, write_log
+from plantlens.sources.log_io import CORRUPT, parse_ts, read_log, write_log
 
 LOG = [f.name for f in LOG_SCHEMA.fields]
 
@@ -61,8 +60,38 @@ FROM ck LEFT JOIN sk ON sk.shift_instance_id = CAST(CAST(ck."timestamp" AS DATE)
 def enriched_log(spark, sf):
     """A3/A4: the enriched log written once as parquet (partitioned by date and
     line) in the shared folder and served from there."""
-    path = scratch_path(spark, "enriched")
-    write_log(enrich(spark, sf), path, partition_by=["date", "line_id"])
+    path = ctx.version(spark, sf).path(
+        "enriched", lambda p: write_log(enrich(spark, sf), p, partition_by=["date", "line_id"]))
     back = spark.read.option("basePath", path).parquet(path)
     return back.select(*LOG[:3], F.col("line_id").cast("string").alias("line_id"), *LOG[4:], "cycle_time_bin",
                        CONDITION_LABEL, F.col("date").cast("string").alias("date"), "shift_instance_id", SHIFT_LABEL)
+
+
+@query("csv_log", rnd(on_plant(f"SELECT * EXCLUDE (true_state) FROM plant"), *[f.name for f in LOG_SCHEMA.fields if f.dataType.typeName() == "double"]))
+def csv_log(spark, sf):
+    """A1/A3: the whole log written as CSV and scanned with the explicit schema."""
+    path = ctx.version(spark, sf).path("csv-log", lambda p: write_log(ctx.plant(spark, sf), p, fmt="csv"))
+    return read_log(spark, path)
+
+
+def _write_damaged(spark, sf, path: str) -> None:
+    """The log as CSV text with a word where hour 5's temperature belongs and no readable
+    time at hour 3."""
+    log = ctx.plant(spark, sf)
+    log.withColumns({
+        "temperature": F.when(F.col("hour") == 5, F.lit("n.a.")).otherwise(F.col("temperature").cast("string")),
+        "timestamp": F.when(F.col("hour") == 3, F.lit("not a time")).otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
+    }).write.mode("overwrite").option("header", True).csv(path)
+
+
+@query("csv_rejects", on_plant("""SELECT line_id, count(*) AS "rows", count(*) FILTER (WHERE hour = 5) AS malformed,
+  count(*) FILTER (WHERE hour = 3) AS bad_time, count(temperature) FILTER (WHERE hour <> 5) AS readings
+FROM plant GROUP BY line_id"""))
+def csv_rejects(spark, sf):
+    """A1: a damaged CSV scanned in full: malformed lines and unreadable times are counted
+    per line, not lost."""
+    path = ctx.version(spark, sf).path("csv-damaged", lambda p: _write_damaged(spark, sf, p))
+    df = read_log(spark, path, keep_corrupt=True)
+    return df.groupBy("line_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("malformed"),
+        F.count_if(F.col("timestamp").isNull()).alias("bad_time"), F.count("temperature").alias("readings"))

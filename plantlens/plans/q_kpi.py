@@ -183,7 +183,7 @@ def defects_by_product(spark, sf):
 
 
 @query("defect_pct_of_units", rnd(on_clean(f"""SELECT product_type,
-  CAST(total_defects AS DOUBLE) / nullif(sum(units) OVER (), 0) * 100.0E0 AS defect_pct_of_units
+  CAST(total_defects AS DOUBLE) / nullif((SELECT sum(units_produced) FROM clean), 0) * 100.0E0 AS defect_pct_of_units
 FROM ({_PRODUCT}) AS g"""), "defect_pct_of_units"))
 def defect_pct_of_units(spark, sf):
     """Q2: defects per product as a percentage of all units produced."""
@@ -191,7 +191,7 @@ def defect_pct_of_units(spark, sf):
 
 
 @query("defect_share", rnd(on_clean(f"""SELECT product_type,
-  CAST(total_defects AS DOUBLE) / nullif(sum(total_defects) OVER (), 0) AS defect_share
+  CAST(total_defects AS DOUBLE) / nullif((SELECT sum(defect_count) FROM clean), 0) AS defect_share
 FROM ({_PRODUCT}) AS g"""), "defect_share"))
 def defect_share(spark, sf):
     """Q3: each product's share of all defects (the pie chart)."""

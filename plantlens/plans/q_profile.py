@@ -23,11 +23,10 @@ def preview_top20(spark, sf):
 
 
 @query("stringify", rnd(on_plant(f"""SELECT * EXCLUDE (true_state) REPLACE
-  (strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp")
-FROM plant ORDER BY {ORDER} LIMIT 20"""), *NULLABLE))
+  (strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp") FROM plant"""), *NULLABLE))
 def stringify(spark, sf):
-    """The preview with the timestamp rendered as text."""
-    return B.stringify(B.preview(ctx.plant(spark, sf), 20))
+    """The whole log with the timestamp rendered as text."""
+    return B.stringify(ctx.plant(spark, sf))
 
 
 def _describe_oracle() -> str:

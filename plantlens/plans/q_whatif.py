@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,39 +9,46 @@ from plantlens.operators import whatif as W
 from plantlens.plans import context as ctx
 from plantlens.plans.oracle import on_clean
 from plantlens.plans.registry import query, rnd, union
-from plantlens.schema import RF_FEATURES11 as FEATS
+from plantlens.schema import RF_FEATURES11 as FEATS, RF_TARGETS3 as TARGETS
 
 TARGET = "units_produced"
 SCEN_KEYS = ["machine_id", "shift"]
-_MODEL: dict = {}
 
 
 def scenarios(df: DataFrame, keys=SCEN_KEYS) -> DataFrame:
     """Scenario rows derived from the data: mean feature vector per
     (machine, shift) and overall (the simulator's default sliders), one
-    grouping-sets pass."""
+    grouping-sets pass.  Rows without a key are in the overall scenario only."""
     keys = list(keys)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
     g = df.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
         F.grouping_id().alias("_gid"), *[F.avg(f).alias(f) for f in FEATS])
+    g = g.filter((F.col("_gid") != 0) | known)
     return g.select(F.when(F.col("_gid") == 0, F.concat_ws("|", *keys)).otherwise(F.lit("ALL")).alias("scenario"),
                     *FEATS)
 
 
-def _levels(spark, sf):
-    lvl, edges = W.qcut(ctx.clean(spark, sf), TARGET, 3, "drop")
-    return lvl, edges
+def _levels(spark, sf, target: str):
+    return W.qcut(ctx.clean(spark, sf), target, 3, "drop")
 
 
-def _model(spark, sf):
-    key = (sf, TARGET)
-    if key not in _MODEL:
-        lvl, _ = _levels(spark, sf)
-        data = lvl.select(*FEATS, "level").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            _MODEL[key] = W.fit_driver(data, FEATS)
-        finally:
-            data.unpersist()
-    return _MODEL[key]
+def _model(spark, sf, target: str) -> W.Driver:
+    """The forest of a target, fitted on every row, once per version of the tables."""
+    def build():
+        lvl, _ = _levels(spark, sf, target)
+        return W.fit_driver(lvl.select(*FEATS, "level"), FEATS)
+    return ctx.version(spark, sf).fit(f"driver-{target}", build)
+
+
+def _per_target(make) -> DataFrame:
+    """The union of ``make(target)`` over the three targets, with the target in front."""
+    parts = [make(t) for t in TARGETS]
+    out = parts[0].select(F.lit(TARGETS[0]).alias("target"), "*")
+    for t, p in zip(TARGETS[1:], parts[1:]):
+        out = out.unionByName(p.select(F.lit(t).alias("target"), "*"))
+    return out
 
 
 def _qcut_cte(target: str) -> str:
@@ -97,7 +103,7 @@ def feature_ranges(spark, sf):
 
 _SCEN_SQL = f""",
 scen AS (SELECT machine_id || '|' || shift AS scenario, {', '.join(f'avg({f}) AS {f}' for f in FEATS)}
-         FROM clean GROUP BY machine_id, shift
+         FROM clean WHERE machine_id IS NOT NULL AND shift IS NOT NULL GROUP BY machine_id, shift
          UNION ALL SELECT 'ALL', {', '.join(f'avg({f})' for f in FEATS)} FROM clean),
 vars AS (SELECT * FROM (VALUES {', '.join(f"('{f}')" for f in FEATS)}) AS v(variable))"""
 _PICK = "CASE variable " + " ".join(f"WHEN '{f}' THEN {f}" for f in FEATS) + " END"
@@ -112,46 +118,45 @@ def scenario_bumps(spark, sf):
 
 @query("driver_model_metrics", kind="P")
 def driver_model_metrics(spark, sf):
-    """Held-out accuracy of the random forest (80/20 split, seed 42)."""
-    lvl, edges = _levels(spark, sf)
-    data = lvl.select(*FEATS, "level").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        train, test = data.randomSplit([0.8, 0.2], seed=42)
+    """Held-out accuracy of the random forest per target (80/20 split by row hash), beside
+    the accuracy of always guessing the most frequent level."""
+    rows = []
+    for target in TARGETS:
+        lvl, edges = _levels(spark, sf, target)
+        train, test = W.hash_split(lvl.select(*FEATS, "level"), FEATS)
         model = W.fit_driver(train, FEATS)
-        pred = model.transform(test)
-        r = pred.agg(F.count(F.lit(1)).alias("n"),
-                     F.avg((F.col("prediction").cast("int") == F.col("level")).cast("double")).alias("acc")).first()
-        n_train = train.count()
-    finally:
-        data.unpersist()
-    return spark.createDataFrame([(TARGET, len(edges) - 1, int(n_train), int(r["n"]), float(r["acc"] or 0.0))],
-                                 "target string, levels int, train_rows long, test_rows long, accuracy double")
+        hits = W.score(model, test).groupBy("level").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("level")).alias("hit")).collect()
+        n = sum(r["n"] for r in hits)
+        rows.append((target, len(edges) - 1, train.count(), n, sum(r["hit"] for r in hits) / n if n else None,
+                     max(r["n"] for r in hits) / n if n else None))
+    return spark.createDataFrame(rows, "target string, levels int, train_rows long, test_rows long, accuracy double, majority double")
 
 
 @query("driver_importance", kind="P")
 def driver_importance(spark, sf):
-    """Feature importances of the forest fitted on every row."""
-    return spark.createDataFrame(W.importance(_model(spark, sf), FEATS), "feature string, importance double")
+    """Feature importances of the forests fitted on every row."""
+    return _per_target(lambda t: spark.createDataFrame(W.importance(_model(spark, sf, t)), "feature string, importance double"))
 
 
 @query("scenario_scores", kind="P")
 def scenario_scores(spark, sf):
-    """Predicted level of every scenario row."""
-    return W.score(_model(spark, sf), scenarios(ctx.clean(spark, sf))).select(
-        "scenario", "predicted", "predicted_level")
+    """Predicted level of every scenario row, per target."""
+    scen = scenarios(ctx.clean(spark, sf))
+    return _per_target(lambda t: W.score(_model(spark, sf, t), scen).select("scenario", "predicted", "predicted_level"))
 
 
-def _sens(spark, sf):
-    return W.sensitivity(_model(spark, sf), scenarios(ctx.clean(spark, sf)), FEATS)
+def _sens(spark, sf, target: str) -> DataFrame:
+    return W.sensitivity(_model(spark, sf, target), scenarios(ctx.clean(spark, sf)))
 
 
 @query("sensitivity_10pct", kind="P")
 def sensitivity_10pct(spark, sf):
-    """Level before and after +10 % on each feature, per scenario."""
-    return _sens(spark, sf).select("scenario", "variable", "original_level", "after_level", "changed")
+    """Level before and after +10 % on each feature, per target and scenario."""
+    return _per_target(lambda t: _sens(spark, sf, t).select("scenario", "variable", "original_level", "after_level", "changed"))
 
 
 @query("sensitivity_flip_rate", kind="P")
 def sensitivity_flip_rate(spark, sf):
-    """Per variable the share of scenarios whose level flips."""
-    return W.flip_rate(_sens(spark, sf))
+    """Per target and variable the share of scenarios whose level flips."""
+    return _per_target(lambda t: W.flip_rate(_sens(spark, sf, t)))

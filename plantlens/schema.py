@@ -49,12 +49,8 @@ CLIP14 = [c for c in NUMERIC16 if c not in ("units_produced", "defect_count")]
 BOX15 = [c for c in NUMERIC16 if c != "defect_count"]
 # every numeric column of the log (calendar ints included): imputation and IQR report
 ALL_NUMERIC = ["hour", "day_of_week", "is_weekend"] + NUMERIC16
-CATEGORICAL = ["machine_id", "machine_type", "line_id", "shift", "operator_id",
-               "product_type", "lubrication_status"]
-PROFILE8 = ["machine_id", "machine_type", "line_id", "shift", "operator_id",
-            "product_type", "lubrication_status", "defect_count"]
-APP_CATEG6 = ["machine_type", "line_id", "shift", "product_type", "machine_id",
-              "lubrication_status"]
+PROFILE8 = ["machine_type", "line_id", "shift", "operator_id", "product_type",
+            "machine_id", "lubrication_status", "defect_count"]
 MACHINE_FEATURES8 = ["temperature", "vibration_level", "power_consumption", "pressure",
                      "oil_level", "machine_age_hours", "error_rate", "noise_level_db"]
 SHIFT_KEYS = ["shift_instance_id", "machine_id", "line_id"]
@@ -95,8 +91,6 @@ SHIFTS = [("Shift_1_Pagi", 6, 14), ("Shift_2_Sore", 14, 22), ("Shift_3_Malam", 2
 # Lubrication bands on oil_level (Good >= 70, Low 40-70, Critical < 40).
 LUBRICATION_BANDS = [("Good", 70.0), ("Low", 40.0), ("Critical", None)]
 
-# OEE constants of the analysis (one week of minutes, rows with
-# downtime, ideal cycle seconds, world-class OEE target).
-PLANNED_MINUTES = 10080
+# OEE constants of the analysis (ideal cycle seconds, world-class OEE target).
 IDEAL_CYCLE_SEC = 120.0
 OEE_TARGET = 0.85

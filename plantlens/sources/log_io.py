@@ -55,21 +55,15 @@ def parse_ts(df: DataFrame, col: str = TS, fmt: str | None = None) -> DataFrame:
 
 
 def write_log(df: DataFrame, path: str, fmt: str = "parquet",
-              partition_by: list[str] | None = None, mode: str = "overwrite",
-              order_col: str | None = "timestamp", files: int | None = None) -> None:
+              partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Sink the (enriched) log; CSV keeps a header and every column (no index).
 
-    With ``partition_by`` the rows are first range-partitioned on the
-    partition columns (then ``order_col``): each task then holds a contiguous
-    slice and writes few directories, instead of every task writing a small
-    file into every directory; and because range bounds are sampled, a hot
-    partition value (a third of the rows on one day) is spread over several
-    tasks rather than landing on one, as hashing on the partition columns
-    would do."""
+    With ``partition_by`` the rows are rebalanced on the partition columns: one
+    shuffle that AQE sizes at run time, so that each task writes few
+    directories, small partition values share a task, and a hot one (a third of
+    the rows on one day) is split over several."""
     if partition_by:
-        keys = list(partition_by) + ([order_col] if order_col and order_col in df.columns else [])
-        n = files or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        df = df.repartitionByRange(int(n), *keys)
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     w = df.write.mode(mode)
     if fmt == "csv":
         w.option("header", True).csv(path)

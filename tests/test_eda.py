@@ -81,5 +81,5 @@ def test_kde_integrates_to_one(spark):
     step = k[1]["x"] - k[0]["x"]
     assert sum(r["density"] for r in k) * step == pytest.approx(1.0, abs=0.02)
     # pre-binned path agrees with the exact one
-    kb = sorted(D.kde(df, "x", prebin=4096).collect(), key=lambda r: r["i"])
+    kb = sorted(D.kde(df, "x", bins=4096).collect(), key=lambda r: r["i"])
     assert [r["density"] for r in kb] == pytest.approx([r["density"] for r in k], abs=5e-5)

@@ -14,8 +14,8 @@ from plantlens.plans import context as ctx
 def test_quantiles_partition_invariant(spark):
     rnd = random.Random(8)
     df = spark.createDataFrame([(rnd.random() * 10,) for _ in range(500)], "x double")
-    a = quantiles(df.repartition(1), ["x"], [0.1, 0.25, 0.5, 0.9], buckets=8, fetch=10)
-    b = quantiles(df.repartition(8), ["x"], [0.1, 0.25, 0.5, 0.9], buckets=8, fetch=10)
+    a = quantiles(df.repartition(1), ["x"], [0.1, 0.25, 0.5, 0.9])
+    b = quantiles(df.repartition(8), ["x"], [0.1, 0.25, 0.5, 0.9])
     assert a == b
 
 

@@ -3,11 +3,10 @@ match their DuckDB restatement (row count, columns, values)."""
 import pytest
 
 import __spark_entry__ as E
-from plantlens.plans.registry import KIND
-from plantlens.plans.verify import compare, duck
+from plantlens.plans.registry import KIND, ORACLES, QUERIES, load_all
+from verify import compare, duck
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
