@@ -87,7 +87,7 @@ def probably_in(rows: DataFrame, wanted: DataFrame, key: str = "uid") -> DataFra
 
 
 def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-         schema: str, per_task: int = 250) -> DataFrame:
+         schema: str, per_task: int = 100) -> DataFrame:
     """Bring each leader's rows together with its members' rows, in groups of bounded size.
 
     ``rows``: (uid, ...); ``pairs``: distinct (member, leader) uids.  A leader of
@@ -97,7 +97,8 @@ def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatc
     (role 0) first, then its members' (role 1), with the columns leader, salt,
     role and those of ``rows``.
     """
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / per_task).cast("int").alias("n_salts"))
+    # a table: Spark knows its size, broadcasts it if small, and else can split a hot leader
+    sizes = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / per_task).cast("int").alias("n_salts")), "sizes")
     members = pairs.join(sizes, "leader").select(
         F.col("member").alias("uid"), "leader",
         F.pmod(F.xxhash64("member"), F.col("n_salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
