@@ -8,11 +8,14 @@ from __future__ import annotations
 import os
 import sys
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SHOW = ["oee_by_machine", "oee_grouping_sets", "defect_rate_by_dim", "iqr_outliers", "winsorize",
         "hist_cycle_time", "temp_scenarios", "bottleneck_rank", "machine_shift_cube", "kmeans_lloyd5",
-        "attach_shift_cluster", "shift_mix", "corr_with_temperature"]
+        "attach_shift_cluster", "shift_mix", "silhouette_sq", "kde_cycle_time", "box_stats_by_machine_type",
+        "outlier_rows", "stream_episodes"]
 
 
 def main() -> None:
@@ -29,13 +32,16 @@ def main() -> None:
 
     def add(title, df):
         plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-        plan = plan.replace(ctx._tables(spark, sf)["silver"], "<silver>").replace(
-            ctx._tables(spark, sf)["bronze"], "<bronze>")
-        out.extend([f"## {title}", "", "```", plan.strip(), "```", ""])
+        for name, path in ctx.version(spark, sf).paths.items():
+            plan = plan.replace(path, f"<{name}>")
+        lines = [x if len(x) <= 240 else x[:240] + " ..." for x in plan.strip().split("\n")]
+        out.extend([f"## {title}", "", "```", *lines, "```", ""])
 
     add("bronze build: the plant log (lineitem ⋈ orders ⋈ part)", plant_log(spark, sf))
     for name in SHOW:
         add(name, QUERIES[name](spark, sf))
+    from plantlens.plans.q_io import enrich
+    add("enriched_log, as it is written", enrich(spark, sf).hint("rebalance", F.col("date"), F.col("line_id")))
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "docs", "PLANS.md")
     with open(path, "w") as f:
         f.write("\n".join(out))
