@@ -81,9 +81,15 @@ _VERSIONS: dict[tuple, Version] = {}
 def signature(spark: SparkSession, sf: str) -> tuple:
     """What the input files are now: one small listing job, on any file system."""
     found = []
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for t in INPUTS:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/{t}.parquet")
+        p = path(f"{sf}/{t}.parquet")
+        if not p.getFileSystem(conf).exists(p):
+            continue
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p.toString())
         found.append(files.select(F.lit(t).alias("t"), F.xxhash64("path", "length", "modificationTime").alias("h")))
+    if not found:
+        return ()
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionAll(f)
