@@ -35,7 +35,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids' count and digest, and the digest of the decoded bytes."""
-    return bpe.decode(bpe.encode(docs), digests=True)
+    return bpe.round_trip(docs)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near),

@@ -199,39 +199,57 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     return rows.mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "bytes",
-           digests: bool = False) -> DataFrame:
-    """The rows with the decoded bytes of their ids in place of the ids; with ``digests``
-    n_tokens, ids_sha256 and decoded_sha256 instead of the bytes."""
-    spark = rows.sparkSession
-    raw = _ranks(spark, path)
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [out]
-    others = [c for c in rows.columns if c not in (ids_col, *new)]
+def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
+    """The rows with the decoded bytes of their ids in place of the ids."""
+    raw = _ranks(rows.sparkSession, path)
+    others = [c for c in rows.columns if c not in (ids_col, out)]
     front = rows.select(*others, ids_col)
-    kinds = [T.LongType(), T.StringType(), T.StringType()] if digests else [T.BinaryType()]
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in front.schema.fields[:-1]],
-                           *[T.StructField(c, t, True) for c, t in zip(new, kinds)]])
+                           T.StructField(out, T.BinaryType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(raw.value)
         for batch in batches:
-            lists = batch.column(len(others)).fill_null([]) if batch.column(len(others)).null_count else batch.column(len(others))
-            bounds = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)
-            cols: list[list] = [[] for _ in new]
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                ids = values[lo:hi]
-                data = decoder.decode(ids)
-                row = (hi - lo, hashlib.sha256(decoder.decimals(ids)).hexdigest(), hashlib.sha256(data).hexdigest()) if digests else (data,)
-                for col, v in zip(cols, row):
-                    col.append(v)
-            kinds_ = [pa.int64(), pa.string(), pa.string()] if digests else [pa.binary()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, cols, kinds_)], names=[*others, *new])
+            lists = batch.column(len(others))
+            lists = lists.fill_null([]) if lists.null_count else lists
+            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            data = [decoder.decode(values[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], names=[*others, out])
 
     return front.mapInArrow(run, schema)
 
 
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
+               text_col: str = "text") -> DataFrame:
+    """The rows with n_tokens, ids_sha256 (of the decimal ids joined by one space) and
+    decoded_sha256 (of the bytes that the ids decode to).  Encoding and decoding follow one
+    another in one task, so that the ids do not travel and a task needs one worker."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    raw = _ranks(spark, path)
+    others = [c for c in docs.columns if c not in DIGESTS]
+    rows = docs.select(*others, clean_text(text_col).alias(DIGESTS[0]))
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in rows.schema.fields[:-1]],
+                           *[T.StructField(c, t, True) for c, t in zip(DIGESTS, (T.LongType(), T.StringType(), T.StringType()))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(raw.value, pattern), _decoder(raw.value)
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for text in batch.column(len(others)).to_pylist():
+                ids = np.frombuffer(encoder.encode(text), "<i4")
+                cols[0].append(len(ids))
+                cols[1].append(hashlib.sha256(decoder.decimals(ids)).hexdigest())
+                cols[2].append(hashlib.sha256(decoder.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *map(pa.array, cols, (pa.int64(), pa.string(), pa.string()))], names=[*others, *DIGESTS])
+
+    return rows.mapInArrow(run, schema)
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs).select("doc_id", "ids"), digests=True)
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -34,8 +34,9 @@ def test_encode_and_decode_as_the_library(documents, edge_rows, library):
 
 
 def test_digests(documents, library):
-    rows = [(1, "hello world 12"), (2, None)]
-    got = {r.doc_id: r for r in bpe.decode(bpe.encode(documents(rows)).select("doc_id", "ids"), digests=True).collect()}
+    rows = [(1, "hello world 12"), (2, None), (3, ""), (4, "ünï 日本語 🙂 " * 50)]
+    got = {r.doc_id: r for r in bpe.round_trip(documents(rows, clash=True)).collect()}
+    assert got[1].ids == "x"
     for i, x in rows:
         ids = library.encode_ordinary(x or "")
         assert got[i].n_tokens == len(ids)
@@ -80,3 +81,4 @@ def test_cache_generations(raw, monkeypatch, library):
 
 def test_empty_table(documents):
     assert bpe.decode(bpe.encode(documents([])).select("doc_id", "ids")).count() == 0
+    assert bpe.round_trip(documents([])).count() == 0
