@@ -23,8 +23,10 @@ rows give repeated results.  Only page_id, url and html are read.
 
 from __future__ import annotations
 
+import hashlib
 import html as charrefs
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,6 +57,9 @@ MAIN = frozenset("article content post entry main story text body prose".split()
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 
+#: Characters of a path beyond which its upper part is replaced by a digest.
+LONG_PATH = 2000
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)|<[!?][^>]*>?"
     r"|<(?P<end>/)?(?P<tag>[a-z][^\s/><]*)(?P<attr>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+[^<>]*+)>?", re.I | re.S)
@@ -69,6 +74,7 @@ class Page:
         self.parent, self.path, self.weight, self.depth = [-1], [""], [0.9], [0]
         self.blocks: list[tuple[int, str, int]] = []  # (container, text, characters in links)
         self._stack: list[tuple[str, int, int]] = []  # (tag, container, state); state: 0 text, 1 headings only, 2 nothing
+        self._opened: Counter = Counter()  # tags in the stack
         self._pieces: list[str] = []
         self._links = self._linked = 0
         at = 0
@@ -122,16 +128,22 @@ class Page:
             state = 0
         if tag in CONTAINERS and state < 2:
             self.parent.append(node)
-            self.path.append(f"{self.path[node]}/{tag}{names[0]}")
+            above = self.path[node]
+            if len(above) > LONG_PATH:  # of very deep pages, so that paths stay short
+                above = hashlib.md5(above.encode()).hexdigest()
+            self.path.append(f"{above}/{tag}{names[0]}")
             self.weight.append(1.5 if tag in ("article", "main") or names[1] & MAIN and tag in ("div", "section", "td") else 1.0)
             self.depth.append(self.depth[node] + 1)
             node = len(self.parent) - 1
         if tag == "a":
             self._links += 1
         self._stack.append((tag, node, state))
+        self._opened[tag] += 1
 
     def _drop(self, tags, until) -> None:
         """Pop an open element of ``tags``, with what is open in it, not beyond ``until``."""
+        if not any(self._opened[t] for t in tags):
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] in tags:
                 self._pop(k)
@@ -140,12 +152,16 @@ class Page:
                 return
 
     def _pop(self, k: int) -> None:
-        self._links -= sum(t == "a" for t, _, _ in self._stack[k:])
+        for tag, _, _ in self._stack[k:]:
+            self._links -= tag == "a"
+            self._opened[tag] -= 1
         del self._stack[k:]
 
     def _close(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
+        if not self._opened[tag]:
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == tag:
                 self._pop(k)
@@ -173,10 +189,9 @@ class Page:
         """Path and share of the page's text of the best container."""
         mass = [0.0] * len(self.parent)
         for node, text, linked in self.blocks:
-            n = len(text) - 0.9 * linked
-            while node >= 0:
-                mass[node] += n
-                node = self.parent[node]
+            mass[node] += len(text) - 0.9 * linked
+        for k in range(len(mass) - 1, 0, -1):  # children come after their parents
+            mass[self.parent[k]] += mass[k]
         if not mass[0]:
             return None
         top = max(range(len(mass)), key=lambda k: mass[k] * self.weight[k] * (1 + 0.01 * min(self.depth[k], 20)))

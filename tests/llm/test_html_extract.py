@@ -51,3 +51,14 @@ def test_edges(spark):
     assert len(got) == len(rows) and {r.text for r in got if r.page_id == 1} == {"a"}
     assert [r.text for r in got if r.page_id == 5] == [" ".join(["word"] * 100_000)]
     assert H.extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("source", [
+    "<div>" * 60_000 + "deep text", "<b>" * 60_000 + "</i>" * 60_000 + "deep text", "<a href='" * 30_000 + "x", "<!--" * 60_000,
+    "<article>" + "<p><b>" * 40_000 + "deep text", "<ul>" + "<li>" * 60_000 + "deep text", "<" * 200_000, "&" * 200_000])
+def test_work_is_linear_in_odd_pages(source):
+    import time
+    began = time.time()
+    page = H.Page(source)
+    page.text(page.best()[0]) if page.best() else ""
+    assert time.time() - began < 10
