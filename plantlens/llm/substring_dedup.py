@@ -139,7 +139,8 @@ _MATCHED_ARROW = pa.schema([
 
 
 def _match(window: int, gram: int, with_rest: bool, block: int = 64) -> Callable:
-    """Groups of a reference's rows, then its members': spans, and the rest's window hashes."""
+    """Groups of a reference's rows, then its members': spans (with the text they are of), and
+    the rest's window hashes."""
 
     def one_block(ref: Reference, rows: list[dict]) -> Iterator[dict]:
         words = [one_text(r["text"], NON_SPACE) for r in rows]
@@ -152,7 +153,7 @@ def _match(window: int, gram: int, with_rest: bool, block: int = 64) -> Callable
                 rest = grams(h, window)[open_].view(np.int64).tolist() if open_.any() else []
             spans = spans_of(covered_words(ends, window))
             if spans or rest:
-                yield {"uid": row["uid"], "h": row["h"], "text": row["text"], "spans": spans, "rest": rest}
+                yield {"uid": row["uid"], "h": row["h"], "text": row["text"] if spans else None, "spans": spans, "rest": rest}
 
     def each(rows: Iterator[dict]) -> Iterator[dict]:
         group, texts, ref, held = None, [], None, []
@@ -212,8 +213,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     found = written(meet(rows, pairs, _match(window, gram, True), _MATCHED), "matched")
     rest = found.select(F.col("uid").alias("doc_id"), F.explode("rest").alias("key")).distinct()
     more = written(_pairs(rest), "rest-pairs")
-    # the leaders of the rest are among the matched rows themselves
-    again = meet(found.select("uid", "h", "text").dropDuplicates(["uid", "h"]), more, _match(window, gram, False), _MATCHED)
+    again = meet(rows, more, _match(window, gram, False), _MATCHED)
     spans = found.where(F.size("spans") > 0).unionByName(again).groupBy("uid", "h").agg(
         F.first("text").alias("text"), F.flatten(F.collect_list("spans")).alias("spans"))
     kind = "doc_id long, h long, text string, spans array<struct<start:int,end:int>>"
