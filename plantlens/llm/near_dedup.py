@@ -5,7 +5,12 @@ and non-ASCII characters; a text of fewer words is one shingle).  A shingle's
 weight is its count in the text times its inverse document frequency, which is
 read from a table of ``DF_BUCKETS`` hashed counts over all documents: rare
 shingles share the table's floor, frequent ones stand out, and since it holds
-shares of the corpus it means the same at every size.
+shares of the corpus it means the same at every size.  ``FLAT`` is added to every idf:
+the wording of a large group of copies has an idf near 0, and would else weigh
+so little against a changed word that the group's near copies were lost.
+
+Two texts are near copies when their weighted Jaccard similarity or the plain
+one (every shingle weighs the same) is at least ``THRESHOLD``.
 
 ``SAMPLES`` consistent weighted samples per text (Ioffe's scheme: two texts
 have an equal sample with probability exactly their weighted Jaccard
@@ -15,7 +20,7 @@ bucket.  Equal texts are one node from the start, so copies cost no pairs.
 Linking, without pairs inside a bucket:
 
 1. every member of a bucket is compared with the bucket's smallest member by
-   exact weighted Jaccard similarity (``common.meet``: salted groups);
+   exact similarity (``common.meet``: salted groups);
    verified links give components;
 2. what a bucket's members of *different* components might still share is
    checked in blocks of ``BLOCK`` members: a block pair is one group, its tasks
@@ -50,6 +55,9 @@ SAMPLES = BANDS * ROWS_PER_BAND
 DF_BITS = 20
 DF_BUCKETS = 1 << DF_BITS
 DF_BLOCK = 1 << 13
+#: Added to every idf, about that of a rare shingle (ln(1 + DF_BUCKETS / 300) = 8.2): a rare
+#: shingle weighs about twice a frequent one, not twelve times.
+FLAT = 8.0
 BLOCK = 128
 SEED = 11
 #: A null doc_id inside keys.
@@ -192,7 +200,7 @@ class Sampler:
 
 def log_weights(idf: np.ndarray) -> np.ndarray:
     """ln of the weights, rounded so that every machine has the same bits."""
-    return (np.round(np.log(np.maximum(idf, 1e-6)) * 1024) / 1024).astype(np.float32)
+    return (np.round(np.log(idf + FLAT) * 1024) / 1024).astype(np.float32)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -231,17 +239,19 @@ class Weighted:
     def __init__(self, text: str, idf: np.ndarray) -> None:
         e, g, _, _ = elements(one_text(text, ALNUM, lower=True))
         order = np.argsort(e)
-        self.e, self.w = e[order], idf[_bucket(g)][order].astype(np.float64)
+        self.e, self.w = e[order], idf[_bucket(g)][order].astype(np.float64) + FLAT
         self.total = float(self.w.sum())
 
     def similarity(self, other: Weighted, least: float = 0.0) -> float:
-        """Weighted Jaccard similarity; 0 when the totals alone keep it below ``least``."""
+        """Weighted or plain Jaccard similarity, the larger; 0 when the totals alone keep both below ``least``."""
+        n, m = len(self.e), len(other.e)
         low, high = sorted((self.total, other.total))
-        if low < least * high or not low:
+        if not low or low < least * high and min(n, m) < least * max(n, m):
             return 0.0
-        at = np.minimum(np.searchsorted(other.e, self.e), len(other.e) - 1)
-        common = float(self.w[other.e[at] == self.e].sum())
-        return common / (self.total + other.total - common)
+        at = np.minimum(np.searchsorted(other.e, self.e), m - 1)
+        same = other.e[at] == self.e
+        shared, common = int(same.sum()), float(self.w[same].sum())
+        return max(common / (self.total + other.total - common), shared / (n + m - shared))
 
 
 _LINK = pa.schema([("a", pa.struct([("id", pa.int64()), ("h", pa.int64())])), ("b", pa.struct([("id", pa.int64()), ("h", pa.int64())]))])

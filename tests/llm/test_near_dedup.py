@@ -126,3 +126,45 @@ def test_idf_counts_documents(documents):
 
 def test_empty_table(documents):
     assert N.classes(documents([])).count() == 0
+
+
+def plain(a, b):
+    """Jaccard similarity of the sets of five consecutive words."""
+    a, b = ({tuple(x.split()[k:k + 5]) for k in range(len(x.split()) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def hot_group():
+    """3,000 rows: a third of them copies of one text, 240 of those with some words changed."""
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(204)]
+    rows = [(k, " ".join(base)) for k in range(760)]
+    for k in range(240):
+        own = list(base)
+        for at in rng.sample(range(204), 1 + k % 5):
+            own[at] = f"changed{k}"
+        rows.append((1000 + k, " ".join(own)))
+    return rows + [(5000 + k, " ".join(rng.choice(vocabulary) for _ in range(204))) for k in range(2000)]
+
+
+def test_recall_in_a_hot_group(documents):
+    """Near copies by plain Jaccard >= 0.8 in a group that holds a third of the rows."""
+    rows = hot_group()
+    docs = documents(rows)
+    got = {r.doc_id: r.class_id for r in N.classes(docs).collect()}
+    near = {i: plain(x, rows[0][1]) for i, x in rows if 1000 <= i < 5000}
+    near = {i: j for i, j in near.items() if j >= 0.8}
+    found = sum(got[i] == 0 for i in near) / len(near)
+    # pair by pair: every near copy against the group's text, without help of a third one
+    idf = N.idf_table(docs)
+    sampler, keys = N.Sampler(), {}
+    text = dict(rows)
+    for i in [0, *near]:
+        e, g, _, _ = N.elements(one_text(text[i], ALNUM, lower=True))
+        keys[i] = N.band_keys(sampler.samples(e, N.log_weights(idf)[N._bucket(g)], np.array([0])))[0]
+    base = N.Weighted(text[0], idf)
+    linked = sum((keys[i] == keys[0]).any() and N.Weighted(text[i], idf).similarity(base) >= N.THRESHOLD for i in near) / len(near)
+    print(f"{len(near)} near copies, recall {found:.4f}, by pairs {linked:.4f}")
+    assert len(near) > 150 and found >= 0.99 and linked >= 0.98
+    assert all(got[i] == i for i, _ in rows if i >= 5000)
