@@ -8,9 +8,14 @@ from the containers on that path (its own best container if it has none there).
 
 Boilerplate is what stands in navigation, header, footer, aside, form and
 similar elements, in elements whose class, id or role names such a part
-(advert, sidebar, notice, comments, ...), and in hidden elements.  A header
-inside an article keeps its headings.  Blocks are the texts between block-level
-tags; ``br`` is white space.
+(advert, sidebar, notice, comments, ...), and in hidden elements.  A name alone
+does not hide the main text: an element is kept in spite of its name when the
+page's largest article, main or so named container lies in it, or when it holds
+nearly all of the page's text (``MOST``) and no such container has any, or its
+name speaks for main text as well.  Words of a class that says what a layout has
+or lacks (has-sidebar, no-banner) name nothing.  A header inside an article, by tag
+or by name, keeps its headings.  Blocks are the texts between block-level tags;
+``br`` is white space.
 
 Pages are tokenised by one regular expression without nested quantifiers that
 could backtrack; tags are closed as browsers do for the cases that matter here
@@ -53,6 +58,11 @@ NOISE = frozenset(
     "replies respond widget toolbar pagination pager hidden complementary contentinfo".split())
 #: Words of a class or id that name the main text.
 MAIN = frozenset("article content post entry main story text body prose".split())
+#: First words of a class that says what the page has, not what the element is.
+LAYOUT = frozenset("has no not with without".split())
+#: Share of the page's text from which a name does not make an element boilerplate.
+MOST = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open element of the listed tags, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -73,10 +83,14 @@ class Page:
     def __init__(self, source: str) -> None:
         self.parent, self.path, self.weight, self.depth = [-1], [""], [0.9], [0]
         self.blocks: list[tuple[int, str, int]] = []  # (container, text, characters in links)
-        self._stack: list[tuple[str, int, int]] = []  # (tag, container, state); state: 0 text, 1 headings only, 2 nothing
+        # (tag, container, state, region); state: 0 text, 1 headings only, 2 nothing
+        self._stack: list[tuple[str, int, int, int]] = []
+        # regions: elements that are boilerplate by name, until _judge; 0 is the page
+        self._above, self._mixed, self._region = [0], [0], [0]  # of regions: region around, own container if main by name; of containers: region
+        self._block_region: list[int] = []
         self._opened: Counter = Counter()  # tags in the stack
-        self._pieces: list[str] = []
-        self._links = self._linked = 0
+        self._pieces: dict[int, list[str]] = {}  # by region
+        self._links, self._linked = 0, Counter()
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -88,24 +102,55 @@ class Page:
         if at < len(source):
             self._text(source[at:])
         self._flush()
+        self._judge()
 
-    def _top(self) -> tuple[int, int]:
-        return self._stack[-1][1:] if self._stack else (0, 0)
+    def _top(self) -> tuple[int, int, int]:
+        return self._stack[-1][1:] if self._stack else (0, 0, 0)
 
     def _text(self, raw: str) -> None:
-        if self._top()[1] == 0:
+        _, state, region = self._top()
+        if state == 0:
             text = charrefs.unescape(raw) if "&" in raw else raw
-            self._pieces.append(text)
+            self._pieces.setdefault(region, []).append(text)
             if self._links:
-                self._linked += len(text.strip())
+                self._linked[region] += len(text.strip())
 
     def _flush(self) -> None:
         if self._pieces:
-            text = " ".join("".join(self._pieces).split())
-            if text:
-                self.blocks.append((self._top()[0], text, min(self._linked, len(text))))
-            self._pieces = []
-        self._linked = 0
+            for region, pieces in self._pieces.items():
+                text = " ".join("".join(pieces).split())
+                if text:
+                    self.blocks.append((self._top()[0], text, min(self._linked[region], len(text))))
+                    self._block_region.append(region)
+            self._pieces = {}
+            self._linked.clear()
+
+    def _judge(self) -> None:
+        """Take the blocks out that are boilerplate by the name of an element around them."""
+        if len(self._above) == 1:
+            return
+        own, mass = [0.0] * len(self._above), [0.0] * len(self.parent)  # without the regions inside
+        for (node, text, linked), region in zip(self.blocks, self._block_region):
+            own[region] += len(text) - 0.9 * linked
+            if self._region[node] == region:
+                mass[node] += len(text) - 0.9 * linked
+        for k in range(len(mass) - 1, 0, -1):
+            if self._region[k] == self._region[self.parent[k]]:
+                mass[self.parent[k]] += mass[k]
+        main = max(range(len(mass)), key=lambda k: (mass[k] * (self.weight[k] > 1), self._region[k] == 0))
+        full = max(range(len(own)), key=own.__getitem__)
+        opened = 0
+        if own[full] > MOST * sum(own) and (self._mixed[full] or not mass[main] * (self.weight[main] > 1)):
+            opened = full
+        elif self.weight[main] > 1 and mass[main]:
+            opened = self._region[main]
+        kept = {0}
+        while opened:
+            kept.add(opened)
+            if self._mixed[opened]:
+                self.weight[self._mixed[opened]] = 1.5
+            opened = self._above[opened]
+        self.blocks = [b for b, region in zip(self.blocks, self._block_region) if region in kept]
 
     def _open(self, tag: str, attr: str) -> None:
         if tag in VOID:
@@ -118,13 +163,20 @@ class Page:
             self._flush()
             self._drop({"p", "h1", "h2", "h3", "h4", "h5", "h6"} if tag != "p" else {"p"}, CONTAINERS | {"li", "blockquote", "figure"})
             self._drop(CLOSES.get(tag, ()), {"ul", "ol", "dl", "table", "select"} | (CONTAINERS - {"td", "th"}))
-        node, state = self._top()
+        node, state, region = self._top()
         names = self._names(attr) if attr.strip() else ("", frozenset(), False)
-        if tag in SKIPPED or names[2] or (names[1] & NOISE and tag not in ("body", "html", "article", "main")):
+        noise = names[1] & NOISE if tag not in ("body", "html", "article", "main") else frozenset()
+        if tag in SKIPPED or names[2]:
             state = 2
+        elif self._opened["article"] and (tag == "header" or noise == {"header"}):
+            state = max(state, 1)
         elif tag == "header":
-            state = 1 if any(t == "article" for t, _, _ in self._stack) and state == 0 else 2
-        elif state == 1 and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            state = 2
+        elif noise and state < 2:
+            self._above.append(region)
+            self._mixed.append(0)
+            region = len(self._above) - 1
+        if state == 1 and tag in HEADINGS:
             state = 0
         if tag in CONTAINERS and state < 2:
             self.parent.append(node)
@@ -132,12 +184,15 @@ class Page:
             if len(above) > LONG_PATH:  # of very deep pages, so that paths stay short
                 above = hashlib.md5(above.encode()).hexdigest()
             self.path.append(f"{above}/{tag}{names[0]}")
-            self.weight.append(1.5 if tag in ("article", "main") or names[1] & MAIN and tag in ("div", "section", "td") else 1.0)
+            self.weight.append(1.5 if tag in ("article", "main") or names[1] & MAIN and not noise and tag in ("div", "section", "td") else 1.0)
+            self._region.append(region)
+            if noise and names[1] & MAIN and tag in ("div", "section", "td") and region:
+                self._mixed[region] = len(self.parent) - 1
             self.depth.append(self.depth[node] + 1)
             node = len(self.parent) - 1
         if tag == "a":
             self._links += 1
-        self._stack.append((tag, node, state))
+        self._stack.append((tag, node, state, region))
         self._opened[tag] += 1
 
     def _drop(self, tags, until) -> None:
@@ -152,7 +207,7 @@ class Page:
                 return
 
     def _pop(self, k: int) -> None:
-        for tag, _, _ in self._stack[k:]:
+        for tag, _, _, _ in self._stack[k:]:
             self._links -= tag == "a"
             self._opened[tag] -= 1
         del self._stack[k:]
@@ -180,7 +235,9 @@ class Page:
             if name == "class":
                 classes = "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c.lower()) for c in value.split()}))
             if name in ("class", "id", "role"):
-                words |= {w.lower() for w in _WORD.findall(value)}
+                for own in value.split():
+                    found = [w.lower() for w in _WORD.findall(own)]
+                    words |= set(found) if found and not LAYOUT & set(found) else set()
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or (
                 name == "style" and "display:none" in value.replace(" ", "").lower())
         return classes, frozenset(words), hidden

@@ -62,3 +62,26 @@ def test_work_is_linear_in_odd_pages(source):
     page = H.Page(source)
     page.text(page.best()[0]) if page.best() else ""
     assert time.time() - began < 10
+
+
+SHORT = "<p>A comment that is here.</p>"
+
+
+@pytest.mark.parametrize("page,text", [
+    # wrappers whose name holds a noise word
+    *[(f"<body><div class='layout {name}'><article>{BODY}</article><div class='sidebar'><p>Side</p></div></div></body>", STORY)
+      for name in ("has-sidebar", "content-sidebar", "no-banner", "page-with-comments", "sidebar-right")],
+    (f"<body><div class='story-form'>{BODY}</div><p>(c)</p></body>", STORY),
+    (f"<body><div class='page-sidebar'><div class='layout-banner'><main>{BODY}</main></div></div></body>", STORY),
+    (f"<body><div class='hasSidebar widget'><div class='entry'>{BODY}</div></div><article><p>Teaser.</p></article></body>", STORY),
+    # headers inside an article, by tag and by name
+    (f"<article><header class='entry-header'><h1>Head</h1><span>By me</span></header>{BODY}</article>", f"Head\n{STORY}"),
+    (f"<article><div class='post-header'><h1>Head</h1><span>By me</span></div>{BODY}</article>", f"Head\n{STORY}"),
+    # boilerplate by name stays out, articles in it and longer ones too
+    (f"<body><article>{BODY}</article><section class='comments'>{('<article>' + SHORT + '</article>') * 30}</section></body>", STORY),
+    (f"<body><article>{BODY}</article><div class='related'>{SHORT * 30}</div></body>", STORY),
+    (f"<body><article>{BODY}<p>a <span class='ad'>Buy</span> b</p></article></body>", f"{STORY}\na b"),
+    (f"<body><header class='site-header'><h1>Site</h1></header><div class='post'>{BODY}</div></body>", STORY),
+])
+def test_a_name_alone_does_not_hide_the_main_text(spark, page, text):
+    assert texts(spark, [(1, "http://a.example/x", page)]) == {1: text}
