@@ -13,11 +13,13 @@ family the least probability that keeps the false alarm rate on negatives below
 family stays below its threshold or is not confirmed, is class "unknown".
 
 Confirmation: the share of a template's word n-grams that the paragraph holds
-must reach ``CONFIRM`` for some template of the predicted family.
+must reach ``CONFIRM`` for some template of the predicted family, or the paragraph
+must be one of its short notices ("License: MIT").
 
 Scanning is one pass without a shuffle.  Word n-grams are hashed for a whole
-batch at once; paragraphs without any n-gram that speaks for a licence are done
-after a bitmap lookup.
+batch at once; a bitmap lookup finds those of the vocabulary.  Paragraphs with an
+n-gram (1 to 3 words) that weighs more for some family than for none are classified,
+all of a batch at once.
 
 Defined cases: null and empty texts have no paragraphs and no notices; an empty
 corpus trains on templates alone.  Repeated rows give repeated results.  Only
@@ -66,6 +68,17 @@ TEMPLATES = {
             "This is free and unencumbered software released into the public domain."),
     "reserved": ("All rights reserved.", "Copyright. All rights reserved.", "No part of this work may be reproduced without written permission of the publisher."),
 }
+#: Short names by licence family, as they stand in notices of the ``FORMS``.
+NAMES = {
+    "mit": ("MIT",), "apache": ("Apache-2.0", "Apache 2.0"),
+    "gpl": ("GPLv3", "GPLv2", "GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-only", "GPL-2.0-or-later", "GPL v3"),
+    "lgpl": ("LGPLv3", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later"), "agpl": ("AGPLv3", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "bsd": ("BSD-3-Clause", "BSD-2-Clause"), "mpl": ("MPL-2.0", "MPL 2.0"), "isc": ("ISC",), "cc-by": ("CC-BY-4.0",),
+    "cc-by-sa": ("CC-BY-SA-4.0",), "cc-by-nc": ("CC-BY-NC-4.0",), "cc0": ("CC0-1.0",),
+}
+FORMS = ("License: {}", "Licence: {}", "SPDX-License-Identifier: {}", "{} License")
+#: Names that are also words or names of other things: a paragraph of nothing else is no notice.
+AMBIGUOUS = ("MIT", "ISC")
 FAMILIES = tuple(TEMPLATES)
 NONE = len(FAMILIES)
 
@@ -88,7 +101,9 @@ class Model:
     temperature: float
     least: np.ndarray        # probability a family needs
     templates: list[tuple[int, np.ndarray]]
-    signs: np.ndarray        # bitmap of n-grams that occur in templates
+    short: dict[bytes, int]  # the n-grams of short notices, and their family
+    known: np.ndarray        # bitmap of the vocabulary
+    speaks: np.ndarray       # of the vocabulary: weighs more for some family than for none
 
     def probabilities(self, found: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, found), len(self.vocabulary) - 1)
@@ -100,6 +115,29 @@ class Model:
         """The largest share of a template's n-grams that the paragraph holds."""
         return max(float(np.isin(t, found, assume_unique=True).mean()) for f, t in self.templates if f == family)
 
+    def candidates(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The paragraphs (words edges[k] to edges[k + 1]) that may be notices: those with an
+        n-gram that speaks for a licence, and not more likely none; all paragraphs at once."""
+        owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        keys = []
+        for n in NGRAMS:
+            g = grams(h, n)
+            at = np.flatnonzero(self.known[g >> np.uint64(64 - _BITS)])
+            at = at[owner[at] == owner[at + n - 1]]
+            v = np.minimum(np.searchsorted(self.vocabulary, g[at]), len(self.vocabulary) - 1)
+            hit = self.vocabulary[v] == g[at]
+            keys.append(owner[at[hit]] * len(self.vocabulary) + v[hit])
+        k, v = np.divmod(np.concatenate(keys), len(self.vocabulary))
+        hot = np.zeros(len(edges) - 1, bool)
+        hot[k[self.speaks[v]]] = True
+        k, v = np.divmod(np.unique((k * len(self.vocabulary) + v)[hot[k]]), len(self.vocabulary))
+        if not len(k):
+            return k
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        z = (np.add.reduceat(self.weight[v], first, axis=0) + self.bias) / self.temperature
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return k[first][e[:, NONE] < 0.501 * e.sum(axis=1)]  # judge draws the line
+
     def judge(self, h: np.ndarray) -> tuple[str, float, float] | None:
         """(family or "unknown", probability, resemblance) of a paragraph, None if no notice."""
         found = features(h)
@@ -107,7 +145,7 @@ class Model:
         if p[NONE] >= 0.5:
             return None
         top = int(p[:NONE].argmax())
-        like = self.resemblance(found, top)
+        like = 1.0 if self.short.get(found.tobytes()) == top else self.resemblance(found, top)
         sure = p[top] >= self.least[top] and like >= CONFIRM
         return FAMILIES[top] if sure else "unknown", float(p[top]), like
 
@@ -156,18 +194,29 @@ def train(paragraphs: list[str]) -> Model:
             for v in _variants(_split(t), rng, plain):
                 rows.append(features(_hash_words(v)))
                 labels.append(k)
+    short = {}
+    for k, f in enumerate(FAMILIES):
+        for name in NAMES.get(f, ()):
+            for form in FORMS + (("{}",) if name not in AMBIGUOUS else ()):
+                words = _split(form.format(name))
+                short[features(_hash_words(words)).tobytes()] = k
+                for own in (words, ["copyright", str(rng.integers(1990, 2030)), *words]):
+                    rows.append(features(_hash_words(own)))
+                    labels.append(k)
+    shorts = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in short]))
     for words in [*plain, ["license"], ["the", "license", "plate"], ["public", "version"], ["all", "rights"], ["reserved"]]:
         rows.append(features(_hash_words(words)))
         labels.append(NONE)
     y = np.array(labels)
     held = rng.random(len(y)) < 0.25
     count = np.unique(np.concatenate([r for r, h in zip(rows, held) if not h]), return_counts=True)
-    vocabulary = np.union1d(known, count[0][count[1] >= 3])
+    vocabulary = np.union1d(np.union1d(known, shorts), count[0][count[1] >= 3])
     model = Model(vocabulary, np.zeros((len(vocabulary), NONE + 1), np.float32), np.zeros(NONE + 1, np.float32), 1.0,
-                  np.zeros(NONE), templates, np.zeros(1 << _BITS, bool))
-    model.signs[known >> np.uint64(64 - _BITS)] = True
+                  np.zeros(NONE), templates, short, np.zeros(1 << _BITS, bool), np.zeros(len(vocabulary), bool))
+    model.known[vocabulary >> np.uint64(64 - _BITS)] = True
     _descend(model, [r for r, h in zip(rows, held) if not h], y[~held])
     _calibrate(model, [r for r, h in zip(rows, held) if h], y[held])
+    model.speaks = model.weight[:, :NONE].max(axis=1) > model.weight[:, NONE]
     return model
 
 
@@ -234,10 +283,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 h = words.hashes()
                 breaks = np.flatnonzero(words.data == 10)
                 edges = np.union1d(np.searchsorted(words.start, breaks), words.first)  # first words of paragraphs
-                signs = np.concatenate([[0], np.cumsum(own.signs[grams(h, 2) >> np.uint64(64 - _BITS)])])
-                ends = np.maximum(edges[1:] - 1, edges[:-1])
-                hot = signs[np.minimum(ends, len(signs) - 1)] > signs[np.minimum(edges[:-1], len(signs) - 1)]
-                for k in np.flatnonzero(hot).tolist():
+                for k in own.candidates(h, edges).tolist():
                     a, b = int(edges[k]), int(edges[k + 1])
                     judged = own.judge(h[a:b])
                     if judged:

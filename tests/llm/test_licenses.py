@@ -58,3 +58,29 @@ def test_probabilities_are_calibrated(model):
     p = model.probabilities(L.features(L._words("Released under the MIT License.").hashes()))
     assert p.sum() == pytest.approx(1, abs=1e-5) and p[L.FAMILIES.index("mit")] > 0.9
     assert re.fullmatch(r"[a-z0-9-]+", L.FAMILIES[int(p.argmax())])
+
+
+def test_short_and_unfamiliar_notices(documents, model):
+    """Notices that share no word pair with a template, or are one word."""
+    texts = {"License: MIT": "mit", "SPDX-License-Identifier: MIT": "mit", "GPLv3": "gpl", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl",
+             "License: Apache-2.0": "apache", "// SPDX-License-Identifier: BSD-3-Clause": "bsd", "AGPLv3": "agpl"}
+    got = found(documents, model, list(enumerate(f"Some text.\n{x}\nMore text." for x in texts)))
+    assert [got[k] for k in range(len(texts))] == [[(1, f)] for f in texts.values()]
+    other = ["SPDX-License-Identifier: EUPL-1.2", "License: Artistic-2.0"]
+    got = found(documents, model, list(enumerate(other)))
+    assert [got[k] for k in range(len(other))] == [[(0, "unknown")]] * len(other)
+
+
+def test_candidates_are_what_judge_takes(spark, model):
+    """The batch's choice against every paragraph of the corpus, one by one."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").limit(200).collect()
+    for r in docs:
+        lines = [x for x in r.text.split("\n") if len(L._words(x))]
+        hashes = [L._words(x).hashes() for x in lines]
+        edges = L.np.cumsum([0, *map(len, hashes)])
+        taken = set(model.candidates(L.np.concatenate(hashes), edges).tolist()) if hashes else set()
+        for k, h in enumerate(hashes):
+            at = L.np.searchsorted(model.vocabulary, L.features(h))
+            at = at[at < len(model.vocabulary)]
+            speaks = model.speaks[at[L.np.isin(model.vocabulary[at], L.features(h))]].any()
+            assert k in taken or not speaks or model.judge(h) is None
