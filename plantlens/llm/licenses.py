@@ -1,6 +1,8 @@
 """Operator 1, licence scans: a trained paragraph classifier.
 
-A paragraph is a line of a text.  Sparse word n-grams (1 to 3 words) feed a
+A paragraph is a line of a text, or consecutive lines that a notice is wrapped
+over (``wrapped``): lines are joined when the words at the break are in a template
+too, or both hold three words of one; the first line's number stands for all.  Sparse word n-grams (1 to 3 words) feed a
 multinomial logistic regression over licence families and the class "none".
 It is trained in numpy on the driver: positives are the notice templates below,
 varied (cut, with neighbouring words, with copyright lines); negatives are
@@ -102,6 +104,9 @@ class Model:
     least: np.ndarray        # probability a family needs
     templates: list[tuple[int, np.ndarray]]
     short: dict[bytes, int]  # the n-grams of short notices, and their family
+    triples: np.ndarray      # the templates' three-word n-grams, ascending
+    pairs: np.ndarray        # and two-word ones
+    longest: int             # words of the longest template
     known: np.ndarray        # bitmap of the vocabulary
     speaks: np.ndarray       # of the vocabulary: weighs more for some family than for none
 
@@ -115,6 +120,13 @@ class Model:
         """The largest share of a template's n-grams that the paragraph holds."""
         return max(float(np.isin(t, found, assume_unique=True).mean()) for f, t in self.templates if f == family)
 
+    def matched(self, h: np.ndarray, family: str) -> int:
+        """The most n-grams that a paragraph shares with a template that confirms the family."""
+        found, k = features(h), FAMILIES.index(family)
+        shared = [int(np.isin(t, found, assume_unique=True).sum()) for f, t in self.templates if f == k]
+        sizes = [len(t) for f, t in self.templates if f == k]
+        return max([n for n, size in zip(shared, sizes) if n >= CONFIRM * size], default=len(found))
+
     def candidates(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The paragraphs (words edges[k] to edges[k + 1]) that may be notices: those with an
         n-gram that speaks for a licence, and not more likely none; all paragraphs at once."""
@@ -212,7 +224,9 @@ def train(paragraphs: list[str]) -> Model:
     count = np.unique(np.concatenate([r for r, h in zip(rows, held) if not h]), return_counts=True)
     vocabulary = np.union1d(np.union1d(known, shorts), count[0][count[1] >= 3])
     model = Model(vocabulary, np.zeros((len(vocabulary), NONE + 1), np.float32), np.zeros(NONE + 1, np.float32), 1.0,
-                  np.zeros(NONE), templates, short, np.zeros(1 << _BITS, bool), np.zeros(len(vocabulary), bool))
+                  np.zeros(NONE), templates, short, *(np.unique(np.concatenate(
+                      [grams(_words(t).hashes(), n) for f in FAMILIES for t in TEMPLATES[f]])) for n in (3, 2)),
+                  max(len(_words(t)) for f in FAMILIES for t in TEMPLATES[f]), np.zeros(1 << _BITS, bool), np.zeros(len(vocabulary), bool))
     model.known[vocabulary >> np.uint64(64 - _BITS)] = True
     _descend(model, [r for r, h in zip(rows, held) if not h], y[~held])
     _calibrate(model, [r for r, h in zip(rows, held) if h], y[held])
@@ -266,6 +280,55 @@ def fitted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return train(sorted({p for r in sample for p in r.text.split("\n")})[::3])
 
 
+def linked(model: Model, h: np.ndarray, edges: np.ndarray, number: np.ndarray, row: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Of every line but the last: may a notice go on in the next one?  Only without a line
+    between them that has no words; two lines that are notices themselves only by the words at the break."""
+    break_ = edges[1:-1]
+    near = (row[1:] == row[:-1]) & (number[1:] == number[:-1] + 1)
+    pair, triple = grams(h, 2), grams(h, 3)
+    over = np.zeros(len(break_), bool)
+    if len(pair):
+        over = np.isin(pair[break_ - 1], model.pairs)
+    owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    at = np.flatnonzero(np.isin(triple, model.triples)) if len(triple) else np.zeros(0, np.int64)
+    some = np.zeros(len(edges) - 1, bool)
+    some[owner[at[owner[at] == owner[at + 2]]]] = True
+    return near & (over | some[1:] & some[:-1] & ~(sure[1:] & sure[:-1]))
+
+
+def wrapped(model: Model, h: np.ndarray, edges: np.ndarray, links: np.ndarray, judged: dict[int, tuple]) -> dict[int, tuple]:
+    """The verdicts on lines, where linked lines are cut into pieces so that the pieces that
+    confirm a family match most of its templates in all; of equal cuts that of shorter pieces."""
+    out = dict(judged)
+    lines = np.flatnonzero(links)
+    for chain in np.split(lines, np.flatnonzero(np.diff(lines) > 1) + 1) if len(lines) else ():
+        first, last = int(chain[0]), int(chain[-1]) + 1
+        best, cut, verdict = [0.0], [first], [None]  # of the lines before first + k: matched, start of the last piece, its verdict
+        for j in range(first, last + 1):
+            top = (-1.0, j, None)
+            for i in range(j, first - 1, -1):
+                if i < j and edges[j] - edges[i + 1] > model.longest:  # words between the piece's first and last line
+                    break
+                own = judged.get(i) if i == j else model.judge(h[edges[i]:edges[j + 1]])
+                sure = own is not None and own[0] != "unknown"
+                if i < j and not sure:
+                    continue
+                total = best[i - first] + (model.matched(h[edges[i]:edges[j + 1]], own[0]) if sure else 0)
+                if total > top[0]:
+                    top = (total, i, own)
+            for part, value in zip((best, cut, verdict), top):
+                part.append(value)
+        j = last
+        while j >= first:
+            i, own = cut[j - first + 1], verdict[j - first + 1]
+            for k in range(i, j + 1):
+                out.pop(k, None)
+            if own:
+                out[i] = own
+            j = i - 1
+    return dict(sorted(out.items()))
+
+
 NOTICE = "struct<paragraph:int,family:string,probability:double,resemblance:double>"
 
 
@@ -283,13 +346,16 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 h = words.hashes()
                 breaks = np.flatnonzero(words.data == 10)
                 edges = np.union1d(np.searchsorted(words.start, breaks), words.first)  # first words of paragraphs
-                for k in own.candidates(h, edges).tolist():
-                    a, b = int(edges[k]), int(edges[k + 1])
-                    judged = own.judge(h[a:b])
-                    if judged:
-                        row = int(np.searchsorted(words.first, a, "right")) - 1
-                        number = int(np.searchsorted(breaks, words.start[a]) - np.searchsorted(breaks, words.bounds[row]))
-                        out[lo + row].append(dict(zip(("paragraph", "family", "probability", "resemblance"), (number, *judged))))
+                if len(edges) < 2:
+                    continue
+                rows = np.searchsorted(words.first, edges[:-1], "right") - 1
+                numbers = np.searchsorted(breaks, words.start[edges[:-1]]) - np.searchsorted(breaks, words.bounds[rows])
+                judged = {k: own.judge(h[edges[k]:edges[k + 1]]) for k in own.candidates(h, edges).tolist()}
+                judged = {k: v for k, v in judged.items() if v}
+                sure = np.zeros(len(rows), bool)
+                sure[[k for k, v in judged.items() if v[0] != "unknown"]] = True
+                for k, v in wrapped(own, h, edges, linked(own, h, edges, numbers, rows, sure), judged).items():
+                    out[lo + int(rows[k])].append(dict(zip(("paragraph", "family", "probability", "resemblance"), (int(numbers[k]), *v))))
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("resemblance", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "notices"])
 

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -84,3 +85,23 @@ def test_candidates_are_what_judge_takes(spark, model):
             at = at[at < len(model.vocabulary)]
             speaks = model.speaks[at[L.np.isin(model.vocabulary[at], L.features(h))]].any()
             assert k in taken or not speaks or model.judge(h) is None
+
+
+@pytest.mark.parametrize("width", [40, 60, 66, 72, 80])
+def test_wrapped_templates(documents, model, width):
+    """Templates broken at the usual widths, in a text and behind a copyright line."""
+    rows, expect = [], {}
+    for k, family in enumerate(L.FAMILIES):
+        for j, t in enumerate(L.TEMPLATES[family]):
+            rows.append((10 * k + j, "First line of text.\n\n" + "\n".join(textwrap.wrap(t, width)) + "\n\nLast line."))
+            expect[10 * k + j] = [(2, family)]
+    assert found(documents, model, rows) == expect
+
+
+def test_wrapped_isc(documents, model):
+    text = ("Permission to use, copy, modify, and/or distribute this software for any\n"
+            "purpose with or without fee is hereby granted, provided that the above\n"
+            "copyright notice and this permission notice appear in all copies.\n")
+    assert ("isc" in [f for _, f in found(documents, model, [(1, text)])[1]])
+    apart = text.replace("\n", "\n\n")
+    assert "isc" not in [f for _, f in found(documents, model, [(1, apart)])[1]]
