@@ -17,6 +17,8 @@ source with a third of all rows is one row per task and key.
 Defined cases: null text counts as empty (0 tokens); null source or language is
 a key of its own.  Groups whose documents were all deleted have no row.  An
 empty batch commits no rows.  Columns beyond source, lang and text are ignored.
+The query keeps one row of each text, that of the smallest doc_id (a null one
+counts as the largest), also of rows that are repeated as a whole.
 """
 
 from __future__ import annotations
@@ -142,14 +144,15 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("t", F.md5(F.col("text").cast("binary")))
     now = written(counted(rows, keep=("doc_id", "t")), "counts")
     later = counted(rows.where(F.col("text").rlike(JUNK)).withColumn("text", F.regexp_replace("text", JUNK, "")), keep=("doc_id", "t"))
-    first = now.groupBy("t").agg(F.min("doc_id").alias("first_id"))
-    placed = now.join(first, "t")
-    revisions = later.withColumnRenamed("counts", "revised").join(
-        placed.where("doc_id = first_id").select("t", F.col("doc_id").alias("first_id"), "counts"), "t").where("doc_id = first_id")
+    # one row of each text stays: of its smallest doc_id (null after all others, as SQL sorts)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source", "lang", "counts")
+    first = written(now.groupBy("t").agg(F.min(own).alias("f")).select("t", "f.source", "f.lang", "f.counts"), "first-rows")
+    revised_counts = later.groupBy("t").agg(F.min("counts").alias("revised"))  # the same in all rows of a text
+    revisions = written(first.join(revised_counts, "t"), "revisions")
     root = scratch_path(spark, "llm-rollup")
     rollup = Rollup(spark, root)
     for _ in range(2):
         rollup.commit(1, signed(now, 1))
-        rollup.commit(2, signed(placed.where("doc_id <> first_id"), -1))
+        rollup.commit(2, added(signed(now, -1), signed(first, 1)))  # a group's rows but its first
         rollup.commit(3, revised(revisions, revisions.drop("counts").withColumnRenamed("revised", "counts")))
     return rollup.totals()

@@ -67,3 +67,12 @@ def test_interrupted_batch_is_not_seen(spark, rollup):
 def test_empty_batch(spark, rollup):
     assert rollup.commit(1, R.signed(R.counted(spark.createDataFrame([], ROW)), 1))
     assert state(rollup) == {}
+
+
+def test_query_keeps_one_row_of_repeated_texts_and_null_ids(spark, tmp_path):
+    rows = [(1, "s", "en", "a ### b"), (1, "s", "en", "a ### b"), (1, "s", "en", "a ### b"), (2, "t", "en", "a ### b"),
+            (None, "n", "de", "c $$$ d e"), (None, "n", "de", "c $$$ d e"), (None, "o", "en", "f g"), (3, "p", "en", "f g"),
+            (None, "q", "fr", None), (None, "q", "fr", ""), (4, "s", "en", "plain"), (4, "s", "en", "plain")]
+    spark.createDataFrame(rows, ROW).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in R.op3_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == recount([(1, "s", "en", "a  b"), (None, "n", "de", "c  d e"), (3, "p", "en", "f g"), (None, "q", "fr", ""), (4, "s", "en", "plain")])
