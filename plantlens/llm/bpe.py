@@ -7,6 +7,10 @@ below it, so the root is the leftmost pair of minimum rank.  A merge joins a
 segment with its live right neighbour and updates the three pairs it touches,
 each in O(log n), so a match of n bytes costs O(n log n) however long it is.
 
+The new matches of a group of texts are merged together, a row of an array of
+trees each, with the pairs' ranks in a table by (left id, right id); a match of
+more than ``BATCHED`` bytes has a tree of its own.
+
 Workers keep the encodings of matches they have seen in a two-generation cache
 of bounded size.  Ranks are sent to the tasks as the bytes of the rank file
 (its path is a parameter); nothing is shuffled.
@@ -32,10 +36,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantlens.llm.common import clean_text, enter, query, small_batches, table
+from plantlens.llm.pairs import NONE, MatchCache, PairTable, groups, sliced
 
 #: Entries of one cache generation of a worker, and the longest match it keeps.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 64
+#: Bytes of a match whose tree is one of an array of trees, trees of an array, and
+#: characters of texts whose new matches are merged together.
+BATCHED = 64
+TREES = 4096
+GROUP_CHARS = 4_000_000
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -98,32 +108,97 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Trees:
+    """Encodes distinct short matches together.  Matches of one power-of-two size share an
+    array of trees (node by match); at each step every tree that still has a pair reads its
+    root, merges there, and updates the three leaves that the merge touches, level by level."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        if (self.byte < 0).any():
+            raise ValueError("the vocabulary lacks some single bytes")
+        cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
+                if t[:i] in ranks and t[i:] in ranks]
+        left, right, rank = np.array(cuts, np.int64).reshape(-1, 3).T
+        self.pairs = PairTable(left, right, rank)
+
+    def encode_many(self, matches: list[str]) -> list[bytes]:
+        """Ids of the matches, as little-endian int32 bytes."""
+        raw = [m.encode() for m in matches]
+        out: list[bytes] = [b""] * len(raw)
+        size = np.zeros(len(raw), np.int64)  # leaves of the match's tree
+        for k, r in enumerate(raw):
+            whole = self.ranks.get(r)
+            if whole is not None or len(r) > BATCHED:
+                out[k] = np.array([whole] if whole is not None else merge(r, self.ranks), "<i4").tobytes()
+            else:
+                size[k] = 1 << (len(r) - 1).bit_length()
+        for s in np.unique(size[size > 0]).tolist():
+            same = np.flatnonzero(size == s)
+            for lo in range(0, len(same), TREES):
+                part = same[lo:lo + TREES].tolist()
+                for k, ids in zip(part, self._merge([raw[k] for k in part], s)):
+                    out[k] = ids
+        return out
+
+    def _merge(self, raw: list[bytes], s: int) -> list[bytes]:
+        m, n = len(raw), np.array([len(r) for r in raw])
+        data = np.frombuffer(b"".join([r.ljust(s, b"\0") for r in raw]), np.uint8).reshape(m, s).T
+        place = np.arange(s)[:, None]
+        ids = self.byte[data]                                   # id of the live segment that starts here
+        live = place < n
+        after = np.broadcast_to(place + 1, (s, m)).copy()       # start of the next live segment
+        before = np.broadcast_to(np.arange(-1, s)[:, None], (s + 1, m)).copy()
+        tree = np.full((2 * s, m), NONE)
+        tree[s:2 * s - 1] = np.where(place[1:] < n, self.pairs.get(ids[:-1], ids[1:]) * s + place[:-1], NONE)
+        tree[s:] = np.minimum(tree[s:], NONE)
+        for k in range(s - 1, 0, -1):
+            np.minimum(tree[2 * k], tree[2 * k + 1], out=tree[k])
+        flat = tree.reshape(-1)
+        act = np.arange(m)
+        while True:
+            root = tree[1, act]
+            on = root < NONE
+            if not on.all():
+                act, root = act[on], root[on]
+            if not len(act):
+                break
+            i, rank = root % s, root // s
+            j = after[i, act]
+            end = after[j, act]
+            p = before[i, act]
+            after[i, act] = end
+            before[end, act] = i
+            ids[i, act] = rank
+            live[j, act] = False
+            right = self._keys(rank, ids[np.minimum(end, s - 1), act], i, s, end < n[act])
+            left = self._keys(ids[np.maximum(p, 0), act], rank, p, s, p >= 0)
+            node = np.concatenate([j, i, np.where(p >= 0, p, j)]) + s
+            col = np.concatenate([act, act, act])
+            flat[node * m + col] = np.concatenate([np.full(len(act), NONE), right, np.where(p >= 0, left, NONE)])
+            while node[0] > 1:
+                node >>= 1
+                child = 2 * node * m + col
+                flat[node * m + col] = np.minimum(flat[child], flat[child + m])
+        return sliced(ids.T[live.T], live.sum(axis=0))
+
+    def _keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, s: int, there: np.ndarray) -> np.ndarray:
+        rank = self.pairs.get(left, right)
+        return np.where(there & (rank < NONE), rank * s + at, NONE)
+
+
 class Encoder:
     """Encodes texts; the ids of short matches are kept, as little-endian int32 bytes."""
 
     def __init__(self, raw: bytes, pattern: str) -> None:
-        self.ranks = parse_ranks(raw)
         self.split = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _miss(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = np.array(merge(piece.encode(), self.ranks), "<i4").tobytes()
-            if len(piece) > CACHE_CHARS:
-                return ids
-        if len(self.young) >= CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        pieces = self.split(text)
-        parts = list(map(self.young.get, pieces))
-        if None in parts:
-            parts = [self._miss(p) if ids is None else ids for p, ids in zip(pieces, parts)]
-        return b"".join(parts)
+        self.cache = MatchCache(Trees(parse_ranks(raw)).encode_many, CACHE_ENTRIES, CACHE_CHARS)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; what a group of texts lacks is merged together."""
+        for part in groups(texts, GROUP_CHARS):
+            yield from self.cache.encode([self.split(t) for t in part])
 
 
 class Decoder:
@@ -191,7 +266,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(raw.value, pattern)
         for batch in batches:
-            coded = [encoder.encode(t) for t in batch.column(len(others)).to_pylist()]
+            coded = list(encoder.encode(batch.column(len(others)).to_pylist()))
             bounds = np.cumsum([0, *(len(c) // 4 for c in coded)])
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=batch.schema.names)
@@ -239,8 +314,8 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
         encoder, decoder = _encoder(raw.value, pattern), _decoder(raw.value)
         for batch in batches:
             cols: list[list] = [[], [], []]
-            for text in batch.column(len(others)).to_pylist():
-                ids = np.frombuffer(encoder.encode(text), "<i4")
+            for coded in encoder.encode(batch.column(len(others)).to_pylist()):
+                ids = np.frombuffer(coded, "<i4")
                 cols[0].append(len(ids))
                 cols[1].append(hashlib.sha256(decoder.decimals(ids)).hexdigest())
                 cols[2].append(hashlib.sha256(decoder.decode(ids)).hexdigest())

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -70,13 +71,22 @@ def test_merge_matches_quadratic(raw):
         assert bpe.merge(piece, ranks) == plain(piece)
 
 
+def test_trees_in_arrays_match_the_single_tree(raw):
+    ranks, rng = bpe.parse_ranks(raw), random.Random(6)
+    trees = bpe.Trees(ranks)
+    matches = ["".join(rng.choice("abcdehinorsté日 ") for _ in range(rng.randint(1, 90))) for _ in range(1500)]
+    matches += ["a" * n for n in range(1, 80)] + ["\0" * 9, "x\0y", "the" * 21]
+    got = [np.frombuffer(x, "<i4").tolist() for x in trees.encode_many(matches)]
+    assert got == [bpe.merge(m.encode(), ranks) for m in matches]
+    assert trees.encode_many([]) == []
+
+
 def test_cache_generations(raw, monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
     encoder = bpe.Encoder(raw, public_tokenizers.PATTERN)
-    import numpy as np
     for text in ["a b c d e f g h i j", "h i j a b zz yy", "a" * 300] * 3:
-        assert np.frombuffer(encoder.encode(text), "<i4").tolist() == library.encode_ordinary(text)
-        assert len(encoder.young) <= 5
+        assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode([text])] == [library.encode_ordinary(text)]
+        assert len(encoder.cache.young) <= 5
 
 
 def test_empty_table(documents):
