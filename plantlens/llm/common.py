@@ -148,7 +148,7 @@ def enter(operator: str) -> dict:
 
 #: Modules that register a query.
 MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity", "substring_dedup", "near_dedup", "html_extract",
-           "url_rules", "token_rollup", "licenses", "word_bpe")
+           "url_rules", "token_rollup", "licenses", "word_bpe", "prefix_trie")
 
 
 def load_all() -> None:
