@@ -113,6 +113,22 @@ def meet(rows: DataFrame, pairs: DataFrame, fn: Callable[[Iterator[pa.RecordBatc
             .mapInArrow(fn, schema))
 
 
+#: Keys that a lookup broadcasts at most.
+HOT_KEYS = 1000
+
+
+def lookup(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """``rows`` (a written table) with the columns of ``found`` (distinct keys), null where the
+    key is not there.  Keys that hold a ``HOT_KEYS``-th of the rows are at most so many and
+    are broadcast, found or not, so that no task gets all rows of a frequent key."""
+    hit = fresh([*rows.columns, *found.columns], "hit")
+    least = max(64, rows.count() // HOT_KEYS + 1)
+    frequent = rows.groupBy(key).count().where(F.col("count") >= least).select(key)
+    near = rows.join(F.broadcast(frequent.join(found, key, "left").withColumn(hit, F.lit(True))), key, "left")
+    return (near.where(F.col(hit)).drop(hit)
+            .unionByName(near.where(F.col(hit).isNull()).select(*rows.columns).join(found, key, "left")))
+
+
 def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The batches' rows, one by one."""
     for batch in batches:
@@ -148,7 +164,8 @@ def enter(operator: str) -> dict:
 
 #: Modules that register a query.
 MODULES = ("exact_dedup", "decontaminate", "bpe", "toxicity", "substring_dedup", "near_dedup", "html_extract",
-           "url_rules", "token_rollup", "licenses", "word_bpe", "prefix_trie")
+           "url_rules", "token_rollup", "licenses", "word_bpe", "prefix_trie",
+           "spelling")
 
 
 def load_all() -> None:
