@@ -118,23 +118,6 @@ def lloyd(df: DataFrame, cols: Sequence[str], k: int, init_col: str | None = Non
         centers, before = new, members
 
 
-def lloyd_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], init_col: str) -> dict[int, Centroids]:
-    """Centres of K8 run to rest for several k."""
-    return {k: lloyd(df, cols, k, init_col).centers for k in ks}
-
-
-def k_selection(df: DataFrame, cols: Sequence[str], fits: dict[int, Centroids], indices: Sequence[int]) -> list[tuple]:
-    """(k, inertia, silhouette, Davies-Bouldin) of every fit; the indices only for k in ``indices``."""
-    out = []
-    for k, centers in sorted(fits.items()):
-        sil = db = None
-        if k in indices:
-            lab = df.select(*cols, nearest(cols, centers).alias("lbl"))
-            sil, db = silhouette_sq(lab, cols, "lbl").first()[0], davies_bouldin(lab, cols, "lbl").first()[0]
-        out.append((k, float(inertia(df, cols, centers)), sil, db))
-    return out
-
-
 # ---------------------------------------------------------- cluster stats
 
 def cluster_stats(df: DataFrame, cols: Sequence[str], label: str) -> dict[int, dict]:
@@ -268,12 +251,6 @@ def fit_kmeans(vec: DataFrame, k: int, seed: int, features: str = "features"):
     return model
 
 
-def kmeans_best(vec: DataFrame, k: int, seeds: Sequence[int], features: str = "features"):
-    """Spark ML K-Means restarted from several seeds (Spark has no
-    n_init); the fit with the lowest training cost wins."""
-    return min((fit_kmeans(vec, k, s, features) for s in seeds), key=lambda m: m.summary.trainingCost)
-
-
 def inertia(df: DataFrame, cols: Sequence[str], centers: Centroids) -> float:
     """within-cluster sum of squares of the nearest-centre assignment."""
     least = F.array_min(F.array(*[sq_dist(cols, c) for c in centers if c is not None]))

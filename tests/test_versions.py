@@ -17,7 +17,7 @@ def own(sf):
     """A copy of the input tables that a test may change."""
     d = tempfile.mkdtemp(prefix="plantlens-in-")
     for t in ctx.INPUTS:
-        shutil.copy(f"{sf}/{t}.parquet", f"{d}/{t}.parquet")
+        shutil.copyfile(f"{sf}/{t}.parquet", f"{d}/{t}.parquet")
     return d
 
 
@@ -28,7 +28,7 @@ def _swap(spark, own):
     one = tempfile.mkdtemp(prefix="plantlens-new-")
     rows.coalesce(1).write.mode("overwrite").parquet(one)
     part = next(f for f in os.listdir(one) if f.endswith(".parquet"))
-    shutil.copy(f"{one}/{part}", f"{own}/lineitem.parquet")
+    shutil.copyfile(f"{one}/{part}", f"{own}/lineitem.parquet")
     return rows.count()
 
 
