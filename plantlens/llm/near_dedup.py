@@ -9,8 +9,7 @@ shares of the corpus it means the same at every size.  ``FLAT`` is added to ever
 the wording of a large group of copies has an idf near 0, and would else weigh
 so little against a changed word that the group's near copies were lost.
 
-Two texts are near copies when their weighted Jaccard similarity or the plain
-one (every shingle weighs the same) is at least ``THRESHOLD``.
+Two texts are near copies when their weighted Jaccard similarity is at least ``THRESHOLD``.
 
 ``SAMPLES`` consistent weighted samples per text (Ioffe's scheme: two texts
 have an equal sample with probability exactly their weighted Jaccard
@@ -23,8 +22,10 @@ Linking, without pairs inside a bucket:
    exact similarity (``common.meet``: salted groups);
    verified links give components;
 2. what a bucket's members of *different* components might still share is
-   checked in blocks of ``BLOCK`` members: a block pair is one group, its tasks
-   compare members of different components only, and emit verified links only.
+   checked in blocks of ``BLOCK`` members (``meetings``): the members of a bucket's
+   largest component meet those of the others, not one another, and texts meet only
+   if their total weights allow a link.  A task compares members of different
+   components only, and emits verified links only.
 
 Components are found by label propagation with pointer jumping over written
 tables.  Nothing is collected but the fixed-size count table.
@@ -38,15 +39,16 @@ than doc_id and text are not read by ``classes`` and are returned unchanged by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.llm.common import (
-    clean_text, enter, fresh, meet, probably_in, query, rebatched, small_batches, table, table_rows, written)
+    clean_text, consumed, enter, fresh, meet, probably_in, query, rebatched, small_batches, table, table_rows, written)
 from plantlens.llm.words import ALNUM, Words, grams, mix, one_text, segmented, starts_inside
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -55,9 +57,10 @@ SAMPLES = BANDS * ROWS_PER_BAND
 DF_BITS = 20
 DF_BUCKETS = 1 << DF_BITS
 DF_BLOCK = 1 << 13
-#: Added to every idf, about that of a rare shingle (ln(1 + DF_BUCKETS / 300) = 8.2): a rare
-#: shingle weighs about twice a frequent one, not twelve times.
-FLAT = 8.0
+#: Added to every idf (that of a rare shingle is about ln(1 + DF_BUCKETS / 300) = 8.2): a rare
+#: shingle weighs about a ninth more than a frequent one, not twelve times.  With less, texts of a large
+#: group of copies with a plain Jaccard similarity just above the threshold fall below it.
+FLAT = 72.0
 BLOCK = 128
 SEED = 11
 #: A null doc_id inside keys.
@@ -213,22 +216,25 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def _sketch(idf) -> Callable:
-    """Rows (doc_id, h, t, text): the band keys of the text instead of it."""
+    """Rows (doc_id, h, t, text): the band keys and the total weight of the text instead of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("near_dedup")
         log_idf, sampler = log_weights(idf.value), Sampler()
         for batch in batches:
             bands: list = [[] for _ in range(batch.num_rows)]
+            total = np.zeros(batch.num_rows)
             for lo, _, words in segmented(batch.column(3), ALNUM, lower=True, limit=1 << 17):
                 e, g, at, _ = elements(words)
                 if not len(e):
                     continue
                 texts, starts = np.unique(at, return_index=True)
                 keys = band_keys(sampler.samples(e, log_idf[_bucket(g)], starts)).view(np.int64)
+                total[lo + texts] = np.add.reduceat(idf.value[_bucket(g)].astype(np.float64) + FLAT, starts)
                 for i, row in zip(texts.tolist(), keys):
                     bands[lo + i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "t", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bands, pa.list_(pa.int64())), pa.array(total)],
+                                             names=["doc_id", "h", "t", "bands", "total"])
 
     return run
 
@@ -242,23 +248,25 @@ class Weighted:
         self.e, self.w = e[order], idf[_bucket(g)][order].astype(np.float64) + FLAT
         self.total = float(self.w.sum())
 
-    def similarity(self, other: Weighted, least: float = 0.0) -> float:
-        """Weighted or plain Jaccard similarity, the larger; 0 when the totals alone keep both below ``least``."""
+    def similarity(self, other: Weighted, least: float = 0.0, plain: bool = False) -> float:
+        """Weighted Jaccard similarity (if ``plain``, the plain one if that is larger); 0 when the
+        totals alone keep it below ``least``."""
         n, m = len(self.e), len(other.e)
         low, high = sorted((self.total, other.total))
-        if not low or low < least * high and min(n, m) < least * max(n, m):
+        if not low or low < least * high and not (plain and min(n, m) >= least * max(n, m)):
             return 0.0
-        at = np.minimum(np.searchsorted(other.e, self.e), m - 1)
-        same = other.e[at] == self.e
-        shared, common = int(same.sum()), float(self.w[same].sum())
-        return max(common / (self.total + other.total - common), shared / (n + m - shared))
+        same = other.e[np.minimum(np.searchsorted(other.e, self.e), m - 1)] == self.e
+        common = float(self.w[same].sum())
+        weighted = common / (self.total + other.total - common)
+        shared = int(same.sum())
+        return max(weighted, shared / (n + m - shared)) if plain else weighted
 
 
 _LINK = pa.schema([("a", pa.struct([("id", pa.int64()), ("h", pa.int64())])), ("b", pa.struct([("id", pa.int64()), ("h", pa.int64())]))])
 _LINK_KIND = "a struct<id:long,h:long>, b struct<id:long,h:long>"
 
 
-def _verify(idf, threshold: float) -> Callable:
+def _verify(idf, threshold: float, plain: bool) -> Callable:
     """Groups of a leader's row, then its members': the links of similarity >= threshold."""
 
     def links(rows: Iterator[dict]) -> Iterator[dict]:
@@ -272,7 +280,7 @@ def _verify(idf, threshold: float) -> Callable:
             last = row["uid"]
             if row["role"] == 0:
                 leader = Weighted(row["text"], idf.value)
-            elif Weighted(row["text"], idf.value).similarity(leader, threshold) >= threshold:
+            elif Weighted(row["text"], idf.value).similarity(leader, threshold, plain) >= threshold:
                 yield {"a": row["uid"], "b": row["leader"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +290,7 @@ def _verify(idf, threshold: float) -> Callable:
     return run
 
 
-def _verify_block(idf, threshold: float) -> Callable:
+def _verify_block(idf, threshold: float, plain: bool) -> Callable:
     """Groups (bucket, i, j) of the members of blocks i and j, with their components: links
     between members of different components, until those are joined."""
 
@@ -298,7 +306,7 @@ def _verify_block(idf, threshold: float) -> Callable:
         for m in members:
             c, w = tuple(m["comp"].values()), Weighted(m["text"], idf.value)
             for uid, other, v in known:
-                if top(c) != top(other) and w.similarity(v, threshold) >= threshold:
+                if top(c) != top(other) and w.similarity(v, threshold, plain) >= threshold:
                     parent[top(c)] = top(other)
                     yield {"a": m["uid"], "b": uid}
             known.append((m["uid"], c, w))
@@ -327,23 +335,66 @@ def components(links: DataFrame) -> DataFrame:
     both = written(both, "links")
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "uid"), "labels")
     while True:
-        near = (both.join(labels, F.col("b") == F.col("uid")).groupBy("a").agg(F.min("comp").alias("near")))
-        step = labels.join(near, F.col("uid") == F.col("a")).select(
+        near = (both.join(labels.select("uid", "comp"), F.col("b") == F.col("uid")).groupBy("a").agg(F.min("comp").alias("near")))
+        step = labels.select("uid", "comp").join(near, F.col("uid") == F.col("a")).select(
             "uid", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
         jump = labels.select(F.col("uid").alias("via"), F.col("comp").alias("far"))
         step = written(step.join(jump, F.col("next") == F.col("via")).select(
             "uid", F.least("next", "far").alias("comp"), "was"), "labels")
-        labels = step.select("uid", "comp")
+        consumed(labels)
+        labels = step
         if step.where("comp <> was").isEmpty():
-            return labels
+            consumed(both)
+            return labels.select("uid", "comp")
 
 
 def _sized(bands: DataFrame) -> DataFrame:
     return bands.groupBy("band").agg(F.min("uid").alias("leader"), F.max("uid").alias("last")).where("leader <> last")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, class_id (the smallest doc_id of the rows its text is linked with),
+def meetings(bands: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """(band, i, j, uid, comp): groups in which all members of different components of a bucket meet,
+    unless their total weights alone keep them below ``threshold``.
+
+    The members of a bucket's largest component meet those of the others, but not
+    one another.  Members are dealt to cells by the logarithm of their total: totals of
+    two similar texts are in the same cell or in neighbouring ones.  A cell has blocks
+    of about ``BLOCK`` members, and a group is a pair of blocks, so a large component
+    beside a few other texts makes about as many rows as it has members."""
+    step = -math.log(min(threshold, 0.999) * 0.9999) if threshold > 0 else math.inf  # one cell
+    named = (bands.where("total > 0").join(comps, "uid", "left")
+             .select("band", "uid", F.coalesce("comp", "uid").alias("comp"), F.floor(F.log("total") / F.lit(step)).alias("cell")))
+    sizes = named.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    # the largest component of each bucket of several, the smaller of equals
+    open_ = written(sizes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most"))
+                    .where("comps > 1 AND n > 2").select("band", F.col("most.comp").alias("large")), "open-buckets")
+    named = written(named.join(open_, "band").select("band", "uid", "comp", "cell", (F.col("comp") == F.col("large")).alias("large")), "open-members")
+    cells = named.groupBy("band", "large", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    few = cells.where("NOT large").select("band", F.col("cell").alias("cell_a"), F.col("blocks").alias("blocks_a"),
+                                          F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"))
+    # each pair of cells once: one without the largest component, and another, or itself
+    pairs = few.join(cells, ["band", "cell"]).where("large OR cell >= cell_a").select(
+        "band", "cell_a", "blocks_a", F.col("cell").alias("cell_b"), F.col("blocks").alias("blocks_b"), F.col("large").alias("large_b"))
+    pairs = written(pairs, "open-pairs")
+    same = (F.col("cell_a") == F.col("cell_b")) & ~F.col("large_b")
+
+    def side(cell: str, blocks: str, large: Column, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("uid", "band"), F.col(blocks)).cast("int")
+        rows = pairs.withColumnsRenamed({cell: "cell"}).withColumn("large", large).join(named, ["band", "cell", "large"])
+        rows = rows.withColumnRenamed("cell", cell)
+        return rows.select("band", "uid", "comp", "cell_a", "cell_b", "large_b", same.alias("same"), mine.alias("mine"),
+                           F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
+
+    first = side("cell_a", "blocks_a", F.lit(False), "blocks_b").withColumns({"x": F.col("mine"), "y": F.col("theirs")})
+    second = (side("cell_b", "blocks_b", F.col("large_b"), "blocks_a").where("NOT same")
+              .withColumns({"x": F.col("theirs"), "y": F.col("mine")}))
+    low, high = F.when(F.col("same"), F.least("x", "y")).otherwise(F.col("x")), F.when(F.col("same"), F.greatest("x", "y")).otherwise(F.col("y"))
+    return first.unionByName(second).select(
+        "band", F.xxhash64("cell_a", low).alias("i"), F.xxhash64("cell_b", "large_b", high).alias("j"), "uid", "comp").distinct()
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, plain: bool = False) -> DataFrame:
+    """Per row (``plain``: a plain Jaccard similarity of the threshold links as well): doc_id, class_id (the smallest doc_id of the rows its text is linked with),
     class_rows, kept (the row that stays for the class), and h = xxhash64(text)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -351,31 +402,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text = clean_text()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"),
                        F.unhex(F.md5(text.cast("binary"))).alias("t"), text.alias("text"))
-    sketches = written(rows.mapInArrow(_sketch(idf), "doc_id long, h long, t binary, bands array<long>"), "sketches")
+    sketches = written(rows.mapInArrow(_sketch(idf), "doc_id long, h long, t binary, bands array<long>, total double"), "sketches")
     # one node per text: the smallest row that has it
-    nodes = sketches.groupBy("t").agg(F.min(F.struct(F.col("doc_id").alias("id"), "h")).alias("uid"), F.first("bands").alias("bands"))
+    nodes = sketches.groupBy("t").agg(F.min(F.struct(F.col("doc_id").alias("id"), "h")).alias("uid"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     nodes = written(nodes, "nodes")
-    bands = nodes.select("uid", F.explode("bands").alias("band"))
+    bands = nodes.select("uid", "total", F.explode("bands").alias("band"))
     # members of buckets of two or more: all that the steps below look at
-    bands = written(bands.join(_sized(bands).select("band", "leader"), "band").select("band", "uid", "leader"), "buckets")
+    bands = written(bands.join(_sized(bands).select("band", "leader"), "band").select("band", "uid", "total", "leader"), "buckets")
     pairs = written(bands.where("uid <> leader").select(F.col("uid").alias("member"), "leader").distinct(), "candidates")
     # the texts of candidates; the others are not shuffled
     wanted = written(bands.select("uid").distinct(), "wanted")
     texts = rows.select(F.struct(F.col("doc_id").alias("id"), "h").alias("uid"), "text")
     # an inner join (wanted has every uid once): Spark would pull a semi join below the bitmap
     texts = written(probably_in(texts, wanted).join(wanted, "uid"), "candidate-texts")
-    links = written(meet(texts, pairs, _verify(idf, threshold), _LINK_KIND), "links")
+    links = written(meet(texts, pairs, _verify(idf, threshold, plain), _LINK_KIND), "links")
     comps = components(links)
     # what members of different components of a bucket may still share
-    named = bands.join(comps, "uid", "left").select("band", "uid", F.coalesce("comp", "uid").alias("comp"))
-    open_ = (named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-             .where("low <> high").where("n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    mine = F.pmod(F.xxhash64("uid", "band"), F.col("blocks")).cast("int")
-    spread = named.join(open_, "band").select("band", "uid", "comp", mine.alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    spread = spread.select("band", "uid", "comp", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")).distinct()
-    rest = texts.join(written(spread, "open"), "uid").select("band", "i", "j", "uid", "comp", "text")
+    met = written(meetings(bands, comps, 0.0 if plain else threshold), "open")
+    rest = texts.join(met, "uid").select("band", "i", "j", "uid", "comp", "text")
     more = (rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "uid")
-            .mapInArrow(_verify_block(idf, threshold), _LINK_KIND))
+            .mapInArrow(_verify_block(idf, threshold, plain), _LINK_KIND))
     more = written(more, "more-links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))

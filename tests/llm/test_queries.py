@@ -27,12 +27,12 @@ def test_query(spark, sf, con, name):
 def test_entry_offers_the_operators():
     queries, sql = E.queries(), E.oracle_sql()
     assert {"pipeline", *common.QUERIES} <= set(queries)
-    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 14)] == [1] * 13
     assert set(sql) <= set(queries)
 
 
 @pytest.mark.parametrize("name,table", [("op1_licenses", "documents"), ("op2_minhash_near_dedup", "documents"), ("op4_exact_dedup", "documents"),
                                         ("op5_html_extract", "pages"), ("op6_decontaminate", "documents"), ("op7_substring_dedup", "documents"),
-                                        ("op8_byte_bpe", "documents"), ("op9_toxicity", "documents"), ("op10_url_rules", "pages")])
+                                        ("op8_byte_bpe", "documents"), ("op13_word_bpe", "documents"), ("op9_toxicity", "documents"), ("op10_url_rules", "pages")])
 def test_one_row_per_row_of_the_table(spark, sf, name, table):
     assert common.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
