@@ -8,11 +8,13 @@ from the containers on that path (its own best container if it has none there).
 
 Boilerplate is what stands in navigation, header, footer, aside, form and
 similar elements, in elements whose class, id or role names such a part
-(advert, sidebar, notice, comments, ...), and in hidden elements.  A name alone
-does not hide the main text: an element is kept in spite of its name when the
-page's largest article, main or so named container lies in it, or when it holds
-nearly all of the page's text (``MOST``) and no such container has any, or its
-name speaks for main text as well.  Words of a class that says what a layout has
+(advert, sidebar, notice, comments, ...; an article only by words for comments), and in
+hidden elements.  A name alone does not hide the main text: an element is kept in spite of its
+name when the page's largest article, main or so named container lies in it, or when it
+holds nearly all of the page's text (``MOST``) and no such container has any, or its name
+speaks for main text as well.  Names of comments, notices, adverts and the like (``OTHER``) are kept
+so only on pages without an article, main or so named container outside that has
+text.  Labels and objects inside a paragraph are text.  Words of a class that says what a layout has
 or lacks (has-sidebar, no-banner) name nothing.  A header inside an article, by tag
 or by name, keeps its headings.  Blocks are the texts between block-level tags;
 ``br`` is white space.
@@ -56,6 +58,15 @@ NOISE = frozenset(
     "breadcrumb breadcrumbs sidebar aside footer header masthead notice notices cookie cookies consent popup modal overlay "
     "newsletter subscribe signup login form search share sharing social related recommended comment comments disqus reply "
     "replies respond widget toolbar pagination pager hidden complementary contentinfo".split())
+#: Those of an article that is a reader's comment.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Words for text that is not the page's own, whatever else the name says; the others of
+#: ``NOISE`` say where an element stands, and may name a wrapper of the main text.
+OTHER = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion notice notices cookie cookies consent "
+    "popup modal newsletter subscribe sharing social related recommended".split())
+#: Skipped elements that are text inside a paragraph (a form is skipped with all its paragraphs).
+IN_TEXT = frozenset("label object".split())
 #: Words of a class or id that name the main text.
 MAIN = frozenset("article content post entry main story text body prose".split())
 #: First words of a class that says what the page has, not what the element is.
@@ -87,6 +98,7 @@ class Page:
         self._stack: list[tuple[str, int, int, int]] = []
         # regions: elements that are boilerplate by name, until _judge; 0 is the page
         self._above, self._mixed, self._region = [0], [0], [0]  # of regions: region around, own container if main by name; of containers: region
+        self._other = [False]  # of regions: whether they are named as other text than the page's own
         self._block_region: list[int] = []
         self._opened: Counter = Counter()  # tags in the stack
         self._pieces: dict[int, list[str]] = {}  # by region
@@ -137,8 +149,11 @@ class Page:
         for k in range(len(mass) - 1, 0, -1):
             if self._region[k] == self._region[self.parent[k]]:
                 mass[self.parent[k]] += mass[k]
-        main = max(range(len(mass)), key=lambda k: (mass[k] * (self.weight[k] > 1), self._region[k] == 0))
-        full = max(range(len(own)), key=own.__getitem__)
+        # comments and notices compete only if no main text stands outside, however long they are
+        outside = any(m > 0 and w > 1 and not r for m, w, r in zip(mass, self.weight, self._region))
+        barred = [outside and other for other in self._other]
+        main = max(range(len(mass)), key=lambda k: (mass[k] * (self.weight[k] > 1 and not barred[self._region[k]]), self._region[k] == 0))
+        full = max(range(len(own)), key=lambda k: own[k] * (not barred[k]))
         opened = 0
         if own[full] > MOST * sum(own) and (self._mixed[full] or not mass[main] * (self.weight[main] > 1)):
             opened = full
@@ -165,14 +180,15 @@ class Page:
             self._drop(CLOSES.get(tag, ()), {"ul", "ol", "dl", "table", "select"} | (CONTAINERS - {"td", "th"}))
         node, state, region = self._top()
         names = self._names(attr) if attr.strip() else ("", frozenset(), False)
-        noise = names[1] & NOISE if tag not in ("body", "html", "article", "main") else frozenset()
-        if tag in SKIPPED or names[2]:
+        noise = names[1] & (COMMENTS if tag == "article" else NOISE if tag not in ("body", "html", "main") else frozenset())
+        if names[2] or tag in SKIPPED and not (tag in IN_TEXT and self._opened["p"]):
             state = 2
         elif self._opened["article"] and (tag == "header" or noise == {"header"}):
             state = max(state, 1)
         elif tag == "header":
             state = 2
         elif noise and state < 2:
+            self._other.append(self._other[region] or bool(noise & OTHER))
             self._above.append(region)
             self._mixed.append(0)
             region = len(self._above) - 1
@@ -184,7 +200,7 @@ class Page:
             if len(above) > LONG_PATH:  # of very deep pages, so that paths stay short
                 above = hashlib.md5(above.encode()).hexdigest()
             self.path.append(f"{above}/{tag}{names[0]}")
-            self.weight.append(1.5 if tag in ("article", "main") or names[1] & MAIN and not noise and tag in ("div", "section", "td") else 1.0)
+            self.weight.append(1.5 if tag == "main" or tag == "article" and not noise or names[1] & MAIN and not noise and tag in ("div", "section", "td") else 1.0)
             self._region.append(region)
             if noise and names[1] & MAIN and tag in ("div", "section", "td") and region:
                 self._mixed[region] = len(self.parent) - 1

@@ -74,6 +74,16 @@ SHORT = "<p>A comment that is here.</p>"
     (f"<body><div class='story-form'>{BODY}</div><p>(c)</p></body>", STORY),
     (f"<body><div class='page-sidebar'><div class='layout-banner'><main>{BODY}</main></div></div></body>", STORY),
     (f"<body><div class='hasSidebar widget'><div class='entry'>{BODY}</div></div><article><p>Teaser.</p></article></body>", STORY),
+    # reader comments and notices, however long, beside a short article
+    (f"<main><article class='post'><p>Short post.</p></article><div class='comments-area'><ol><li><article class='comment-body'>{SHORT * 30}"
+     "</article></li></ol></div></main>", "Short post."),
+    (f"<main><article class='post'><p>Short post.</p></article><article class='comment'>{SHORT * 30}</article></main>", "Short post."),
+    (f"<body><article><p>Short post.</p></article><div class='cookie-notice-content text'>{SHORT * 30}</div></body>", "Short post."),
+    (f"<body><div class='post'><p>Short post.</p></div><section id='newsletter-content'><div class='text'>{SHORT * 30}</div></section></body>", "Short post."),
+    (f"<body><div class='comments-area'><article class='comment-body'>{SHORT}</article></div></body>", "A comment that is here."),
+    # labels and objects in a paragraph; those of a form, and alone, are none
+    ("<article><p>Press <label>Start</label> and <object>see</object>.</p><label>Menu</label><form><p><label>Name</label></p></form></article>",
+     "Press Start and see."),
     # headers inside an article, by tag and by name
     (f"<article><header class='entry-header'><h1>Head</h1><span>By me</span></header>{BODY}</article>", f"Head\n{STORY}"),
     (f"<article><div class='post-header'><h1>Head</h1><span>By me</span></div>{BODY}</article>", f"Head\n{STORY}"),
