@@ -12,8 +12,10 @@ Layout (medallion style, all in the cluster's shared ``spark.checkpoint.dir``):
 
 All of these belong to one ``Version`` of the input tables, keyed by what the
 input files are (path, size, modification time, on any file system).  When the
-files change, the next query drops the whole version, with its fits and its
-scratch tables, and builds anew; nothing of an old version can be mixed in.
+files change, the next query drops the version, with its fits and its scratch
+tables; nothing of an old version can be mixed in.  Bronze outlives it where it can:
+it is kept by generations of lineitem files (``generations``), so that appended files
+alone are read and joined, and the column means come from merged statistics.
 
 Reports read these tables (column-pruned parquet scans) and stay lazy.  A
 written table also cuts lineage: a lost executor re-reads parquet instead of
@@ -28,11 +30,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.functions.stats import column_stats
 from plantlens.operators.clean import Cleaned, impute_mean, iqr_bounds, winsorize
-from plantlens.schema import ALL_NUMERIC, CLIP14, EFF4, MACHINE_FEATURES8
+from plantlens.plans.generations import Generations, files
+from plantlens.schema import CLIP14, EFF4, MACHINE_FEATURES8
 from plantlens.session import drop_scratch, scratch_path
-from plantlens.sources.plant import plant_log
 
 CONDITION_K, SHIFT_K = 3, 2
 CONDITION_LABEL, SHIFT_LABEL = "cluster_efficiency_machine", "shift_efficiency_cluster"
@@ -49,6 +50,7 @@ class Version:
     signature: tuple
     paths: dict[str, str] = field(default_factory=dict)
     fits: dict[str, object] = field(default_factory=dict)
+    bronze: Generations | None = None
 
     def fit(self, name: str, build: Callable[[], object]):
         """A fitted value, computed once per version."""
@@ -103,12 +105,23 @@ def refresh(spark: SparkSession, sf: str) -> Version:
     now = signature(spark, key[1])
     old = _VERSIONS.get(key)
     if old is None or old.signature != now:
+        fresh = Version(spark, key[1], now)
         if old is not None:
             old.drop()
-        _VERSIONS[key] = Version(spark, key[1], now)
+            if old.bronze is not None:
+                if old.bronze.keep == _others(now):
+                    fresh.bronze = old.bronze
+                else:
+                    old.bronze.drop()
+        _VERSIONS[key] = fresh
     return _VERSIONS[key]
 
 
+def _others(signature: tuple) -> tuple:
+    """What a signature says of the tables that every generation of the log is joined with."""
+    return tuple(s for s in signature if s[0] in ("orders", "part"))
+
+
 def version(spark: SparkSession, sf: str) -> Version:
     """The version a running query works on (``refresh`` at its start checks the files)."""
     return _VERSIONS.get((spark.sparkContext.applicationId, sf.rstrip("/"))) or refresh(spark, sf)
@@ -128,21 +141,28 @@ def clear_memo() -> None:
     """Forget everything, and remove the tables."""
     for v in _VERSIONS.values():
         v.drop()
+        if v.bronze is not None:
+            v.bronze.drop()
     _VERSIONS.clear()
 
 
+def generations(spark: SparkSession, sf: str) -> Generations:
+    """The raw log's generations, brought up to date once per version."""
+    v = version(spark, sf)
+    if v.bronze is None:
+        v.bronze = Generations(spark, v.sf, _others(v.signature))
+    v.fit("bronze", lambda: v.bronze.refresh(files(spark, f"{v.sf}/lineitem.parquet")) or True)
+    return v.bronze
+
+
 def plant(spark: SparkSession, sf: str) -> DataFrame:
     """The raw log (bronze)."""
-    return version(spark, sf).table("bronze", lambda: plant_log(spark, sf))
+    return generations(spark, sf).log()
 
 
 def means(spark: SparkSession, sf: str) -> dict:
-    """Mean and NULL count of every numeric column of the raw log."""
-    def build() -> dict:
-        v = F.col("v")
-        st = column_stats(plant(spark, sf), ALL_NUMERIC, {"m": F.avg(v), "z": F.count_if(v.isNull())})
-        return {c: (st[c]["m"], st[c]["z"]) if c in st else (None, 0) for c in ALL_NUMERIC}
-    return version(spark, sf).fit("means", build)
+    """Mean and NULL count of every numeric column of the raw log, merged from its generations."""
+    return version(spark, sf).fit("means", lambda: generations(spark, sf).means())
 
 
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
