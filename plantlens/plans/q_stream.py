@@ -9,10 +9,12 @@ statements.  A stream is drained once per version of the input files.
 from __future__ import annotations
 
 from plantlens.plans import context as ctx
-from plantlens.plans.oracle import on_clean, on_plant
+from plantlens.plans.oracle import on_clean, on_plant, with_plant
 from plantlens.plans.q_cluster import _CK
 from plantlens.plans.registry import query, rnd
 from plantlens.schema import MACHINE_FEATURES8
+from plantlens.session import scratch_path
+from plantlens.streaming import late as L
 from plantlens.streaming import stream as S
 
 
@@ -101,3 +103,82 @@ GROUP BY shift_instance_id, machine_id, line_id, ws"""),
 def stream_shift(spark, sf):
     """Shift-instance totals per machine and line in daily windows."""
     return S.shift_total(_drained(spark, sf, "shift", S.shift_parts))
+
+
+# ------------------------------------------- arrival in steps: late readings, live windows
+
+#: Steps of arrival, and seconds that a reading may be behind the latest one before.
+STEPS, DELAY_S = 6, 3600
+_ARRIVED = f""",
+timed AS (SELECT *, CAST(floor(epoch("timestamp") / 60) AS BIGINT) AS minute FROM plant WHERE "timestamp" IS NOT NULL),
+span AS (SELECT min(minute) AS lo, max(minute) AS hi FROM timed),
+arrived AS (SELECT t.*, least((minute + CASE WHEN minute % 7 = 0 THEN 600 ELSE 0 END - lo) * {STEPS} // (hi - lo + 1), {STEPS - 1}) AS step
+            FROM timed t CROSS JOIN span),
+marks AS (SELECT s.step, max(a."timestamp") - INTERVAL '{DELAY_S}' SECOND AS mark
+          FROM range({STEPS + 1}) AS s(step) LEFT JOIN arrived a ON a.step < s.step GROUP BY s.step),
+judged AS (SELECT a.*, m.mark FROM arrived a JOIN marks m USING (step))"""
+
+
+def _log(spark, sf):
+    """The log with its event time, as it arrives in steps."""
+    log = ctx.plant(spark, sf)
+    return log.withColumn("event_time", S.ntz_to_instant(log["timestamp"]))
+
+
+def _judged(spark, sf):
+    """(partial KPIs of the readings in time, late readings) of the log arriving in steps."""
+    def build(base):
+        L.by_arrival(_log(spark, sf), STEPS, lambda sdf: L.split_late(spark, sdf, base, DELAY_S, S.kpi_parts))
+    base = ctx.version(spark, sf).path("stream-late", build)
+    return L.split_results(spark, base, _log(spark, sf), S.kpi_parts)
+
+
+@query("stream_late", rnd(with_plant(_ARRIVED) + """
+SELECT machine_id, count(*) AS n_late, max((epoch(mark) - epoch("timestamp")) / 60) AS most_minutes_late
+FROM judged WHERE "timestamp" < mark GROUP BY machine_id""", "most_minutes_late"), kind="S")
+def stream_late(spark, sf):
+    """Late readings per machine, when the log arrives in steps and every seventh minute's
+    readings ten hours late: kept in a side table, counted, with the most minutes behind."""
+    return L.late_counts(_judged(spark, sf)[1])
+
+
+@query("stream_in_time", rnd(with_plant(_ARRIVED) + f"""
+SELECT {_KPI_SEL} FROM (SELECT *, date_trunc('hour', "timestamp") AS ws FROM judged WHERE mark IS NULL OR "timestamp" >= mark) AS p
+GROUP BY machine_id, ws""", "total_downtime", "availability", "quality"), kind="S")
+def stream_in_time(spark, sf):
+    """Hourly KPIs per machine of the readings in time of the log arriving in steps."""
+    return S.kpi_total(_judged(spark, sf)[0])
+
+
+def _live(spark, sf):
+    """The folder of a live hourly KPI query that ran, and was resumed, after each step."""
+    def build(base):
+        L.by_arrival(_log(spark, sf), STEPS, lambda sdf: L.run_live(spark, S.stream_kpi(sdf, watermark=f"{DELAY_S} seconds"), base))
+    return ctx.version(spark, sf).path("stream-live", build)
+
+
+#: A live query drops a reading only when its whole window is behind the watermark.
+_LIVE = _ARRIVED + f""",
+held AS (SELECT *, date_trunc('hour', "timestamp") AS ws FROM judged
+         WHERE mark IS NULL OR date_trunc('hour', "timestamp") + INTERVAL '1' HOUR > mark),
+last AS (SELECT mark FROM marks WHERE step = {STEPS})"""
+
+
+@query("stream_live_kpi", rnd(with_plant(_LIVE) + f"""
+SELECT {_KPI_SEL} FROM held WHERE ws + INTERVAL '1' HOUR <= (SELECT mark FROM last) GROUP BY machine_id, ws""",
+    "total_downtime", "availability", "quality"), kind="S")
+def stream_live_kpi(spark, sf):
+    """S1 live: the closed hourly windows of a watermarked append query that is stopped after
+    each step of arrival and resumed from its checkpoint."""
+    base = _live(spark, sf)
+    schema = S.stream_kpi(_log(spark, sf)).schema
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query("stream_open_windows", with_plant(_LIVE) + f"""
+SELECT DISTINCT machine_id, strftime(ws, {FMT}) AS window_start, strftime(ws + INTERVAL '1' HOUR, {FMT}) AS window_end
+FROM held WHERE ws + INTERVAL '1' HOUR > (SELECT mark FROM last)""", kind="S")
+def stream_open_windows(spark, sf):
+    """S1 live: the windows that the stopped query still holds, read from its state store."""
+    w = L.open_windows(spark, _live(spark, sf))
+    return w.select("machine_id", S.instant_text(w["start"]).alias("window_start"), S.instant_text(w["end"]).alias("window_end"))
