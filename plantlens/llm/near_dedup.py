@@ -364,33 +364,24 @@ def meetings(bands: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     step = -math.log(min(threshold, 0.999) * 0.9999) if threshold > 0 else math.inf  # one cell
     named = (bands.where("total > 0").join(comps, "uid", "left")
              .select("band", "uid", F.coalesce("comp", "uid").alias("comp"), F.floor(F.log("total") / F.lit(step)).alias("cell")))
-    sizes = named.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    # the largest component of each bucket of several, the smaller of equals
-    open_ = written(sizes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most"))
-                    .where("comps > 1 AND n > 2").select("band", F.col("most.comp").alias("large")), "open-buckets")
-    named = written(named.join(open_, "band").select("band", "uid", "comp", "cell", (F.col("comp") == F.col("large")).alias("large")), "open-members")
-    cells = named.groupBy("band", "large", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    few = cells.where("NOT large").select("band", F.col("cell").alias("cell_a"), F.col("blocks").alias("blocks_a"),
-                                          F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"))
-    # each pair of cells once: one without the largest component, and another, or itself
-    pairs = few.join(cells, ["band", "cell"]).where("large OR cell >= cell_a").select(
-        "band", "cell_a", "blocks_a", F.col("cell").alias("cell_b"), F.col("blocks").alias("blocks_b"), F.col("large").alias("large_b"))
-    pairs = written(pairs, "open-pairs")
-    same = (F.col("cell_a") == F.col("cell_b")) & ~F.col("large_b")
-
-    def side(cell: str, blocks: str, large: Column, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("uid", "band"), F.col(blocks)).cast("int")
-        rows = pairs.withColumnsRenamed({cell: "cell"}).withColumn("large", large).join(named, ["band", "cell", "large"])
-        rows = rows.withColumnRenamed("cell", cell)
-        return rows.select("band", "uid", "comp", "cell_a", "cell_b", "large_b", same.alias("same"), mine.alias("mine"),
-                           F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
-
-    first = side("cell_a", "blocks_a", F.lit(False), "blocks_b").withColumns({"x": F.col("mine"), "y": F.col("theirs")})
-    second = (side("cell_b", "blocks_b", F.col("large_b"), "blocks_a").where("NOT same")
-              .withColumns({"x": F.col("theirs"), "y": F.col("mine")}))
-    low, high = F.when(F.col("same"), F.least("x", "y")).otherwise(F.col("x")), F.when(F.col("same"), F.greatest("x", "y")).otherwise(F.col("y"))
-    return first.unionByName(second).select(
-        "band", F.xxhash64("cell_a", low).alias("i"), F.xxhash64("cell_b", "large_b", high).alias("j"), "uid", "comp").distinct()
+    # the largest component of each bucket of several
+    open_ = (named.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band")
+             .agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("most"))
+             .where("comps > 1 AND n > 2").select("band", "most"))
+    named = written(named.join(open_, "band").select("band", "uid", "comp", F.struct((F.col("comp") == F.col("most")).alias("large"), "cell").alias("own")),
+                    "open-members")
+    # a bucket's cells with their blocks: as many as totals have orders of magnitude, twice
+    cells = (named.groupBy("band", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+             .groupBy("band").agg(F.collect_list(F.struct(F.col("own").alias("cell"), "blocks")).alias("cells")))
+    near = F.filter("cells", lambda c: (F.abs(c["cell"]["cell"] - F.col("own")["cell"]) <= 1) & ~(c["cell"]["large"] & F.col("own")["large"]))
+    mine = F.filter("cells", lambda c: c["cell"] == F.col("own"))[0]["blocks"]
+    met = named.join(cells, "band").select("band", "uid", "comp", "own", F.pmod(F.xxhash64("uid", "band"), mine).cast("int").alias("k"),
+                                           F.explode(near).alias("other"))
+    met = met.select("band", "uid", "comp", "own", "k", F.col("other.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("other.blocks") - 1)).alias("o"))
+    # the two sides of a meeting name it alike: by the lower cell and its block first
+    me, they = F.struct("own", "k"), F.struct(F.col("cell").alias("own"), F.col("o").alias("k"))
+    low, high = F.least(me, they), F.greatest(me, they)
+    return met.select("band", *[F.xxhash64(x["own"]["large"], x["own"]["cell"], x["k"]).alias(c) for x, c in ((low, "i"), (high, "j"))], "uid", "comp")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, plain: bool = False) -> DataFrame:
