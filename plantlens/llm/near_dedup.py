@@ -58,9 +58,9 @@ DF_BITS = 20
 DF_BUCKETS = 1 << DF_BITS
 DF_BLOCK = 1 << 13
 #: Added to every idf (that of a rare shingle is about ln(1 + DF_BUCKETS / 300) = 8.2): a rare
-#: shingle weighs about a ninth more than a frequent one, not twelve times.  With less, texts of a large
-#: group of copies with a plain Jaccard similarity just above the threshold fall below it.
-FLAT = 72.0
+#: shingle weighs a twenty-fifth more than a frequent one, not twelve times.  With less, texts of a
+#: large group of copies with a plain Jaccard similarity just above the threshold fall below it.
+FLAT = 200.0
 BLOCK = 128
 SEED = 11
 #: A null doc_id inside keys.
@@ -262,6 +262,33 @@ class Weighted:
         return max(weighted, shared / (n + m - shared)) if plain else weighted
 
 
+def similarities(texts: list[Weighted], plain: bool = False, step: int = 4096) -> np.ndarray:
+    """Similarities of all pairs of a block, by products of 0/1 matrices (texts by elements) over
+    the elements that several texts have, ``step`` of them at a time."""
+    n = len(texts)
+    member = np.repeat(np.arange(n), [len(t.e) for t in texts])
+    _, first, place, many = np.unique(np.concatenate([t.e for t in texts]), return_index=True, return_inverse=True, return_counts=True)
+    weight = np.concatenate([t.w for t in texts])[first]
+    kept = np.flatnonzero(many > 1)
+    at = np.full(len(many), -1)
+    at[kept] = np.arange(len(kept))
+    place = at[place]
+    common, shared = np.zeros((n, n)), np.zeros((n, n))
+    for lo in range(0, len(kept), step):
+        there = (place >= lo) & (place < lo + step)
+        has = np.zeros((n, min(step, len(kept) - lo)))
+        has[member[there], place[there] - lo] = 1.0
+        common += (has * weight[kept[lo:lo + step]]) @ has.T
+        if plain:
+            shared += has @ has.T
+    total, size = np.array([t.total for t in texts]), np.array([len(t.e) for t in texts])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = common / (total[:, None] + total[None, :] - common)
+        if plain:
+            out = np.maximum(out, shared / (size[:, None] + size[None, :] - shared))
+    return np.nan_to_num(out)
+
+
 _LINK = pa.schema([("a", pa.struct([("id", pa.int64()), ("h", pa.int64())])), ("b", pa.struct([("id", pa.int64()), ("h", pa.int64())]))])
 _LINK_KIND = "a struct<id:long,h:long>, b struct<id:long,h:long>"
 
@@ -292,10 +319,12 @@ def _verify(idf, threshold: float, plain: bool) -> Callable:
 
 def _verify_block(idf, threshold: float, plain: bool) -> Callable:
     """Groups (bucket, i, j) of the members of blocks i and j, with their components: links
-    between members of different components, until those are joined."""
+    between those components that similar members have, until they are joined."""
 
     def close(members: list[dict]) -> Iterator[dict]:
-        known: list[tuple[dict, tuple, Weighted]] = []
+        comps = [tuple(m["comp"].values()) for m in members]
+        if len(set(comps)) < 2:
+            return
         parent: dict[tuple, tuple] = {}
 
         def top(c: tuple) -> tuple:
@@ -303,13 +332,11 @@ def _verify_block(idf, threshold: float, plain: bool) -> Callable:
                 c = parent[c]
             return c
 
-        for m in members:
-            c, w = tuple(m["comp"].values()), Weighted(m["text"], idf.value)
-            for uid, other, v in known:
-                if top(c) != top(other) and w.similarity(v, threshold, plain) >= threshold:
-                    parent[top(c)] = top(other)
-                    yield {"a": m["uid"], "b": uid}
-            known.append((m["uid"], c, w))
+        similar = np.argwhere(np.triu(similarities([Weighted(m["text"], idf.value) for m in members], plain) >= threshold, 1))
+        for i, j in similar.tolist():
+            if top(comps[i]) != top(comps[j]):
+                parent[top(comps[j])] = top(comps[i])
+                yield {"a": members[j]["comp"], "b": members[i]["comp"]}
 
     def links(rows: Iterator[dict]) -> Iterator[dict]:
         group, members = None, []
@@ -414,9 +441,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, plain: bool = False)
     more = (rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "uid")
             .mapInArrow(_verify_block(idf, threshold, plain), _LINK_KIND))
     more = written(more, "more-links")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
     named = nodes.join(comps, "uid", "left").select("t", F.coalesce("comp", "uid").alias("comp"), F.col("uid"))
+    if not more.isEmpty():  # components of components: few, as most links are known before
+        joined = components(more).select(F.col("uid").alias("comp"), F.col("comp").alias("low"))
+        named = named.join(joined, "comp", "left").select("t", F.coalesce("low", "comp").alias("comp"), "uid")
     sizes = (sketches.groupBy("t").agg(F.count("*").alias("n")).join(named, "t").groupBy("comp").agg(F.sum("n").alias("class_rows")))
     sizes = written(sizes, "class-rows")  # a table: Spark can then split a large class in the join below
     placed = sketches.select("doc_id", "h", "t").join(named, "t").join(sizes, "comp")

@@ -150,6 +150,18 @@ def test_samples_estimate_weighted_jaccard():
     assert np.mean(got[0] == got[1]) == pytest.approx(true, abs=0.05)
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_block_similarities_equal_those_of_pairs(plain):
+    rng = random.Random(8)
+    idf = np.random.default_rng(1).uniform(1, 8, N.DF_BUCKETS).astype(np.float32)
+    base = [f"w{k}" for k in range(80)]
+    texts = [N.Weighted(" ".join(w if rng.random() < 0.9 else f"x{k}" for w in base[:rng.randint(3, 80)]), idf) for k in range(40)] + [N.Weighted("", idf)]
+    got = N.similarities(texts, plain, step=17)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert i == j or got[i, j] == pytest.approx(a.similarity(b, 0.0, plain) if a.total and b.total else 0.0, abs=1e-12)
+
+
 def test_counted_shingles():
     w = one_text("a b c d e a b c d e a b c d e", ALNUM)
     e, g, at, nth = N.elements(w)
