@@ -6,10 +6,11 @@ and tokens) by source, language and tokenizer version: inserted documents count
 new one.  Totals are additive, so the current rollup is the sum over committed
 batches and costs nothing of the corpus itself.
 
-A batch is committed by renaming its finished folder to the batch's name: the
-rename happens once, so a batch that is sent again (a retry, a replay, two
-writers at once) changes nothing.  ``compact`` sums the batches up to a number
-into one snapshot that remembers which batches it holds.
+A batch is written to a folder of its own, then committed by creating a marker file with
+its number that names the folder.  A marker is created once and names one folder, so a
+batch that is sent again (a retry, a replay, two writers at once) changes nothing.
+``compact`` sums the batches into one snapshot that lists the batches it holds: those
+are known when they are sent again, and others, however late, are still added.
 
 Skew: the signed rows of a batch are summed per task before the shuffle, so a
 source with a third of all rows is one row per task and key.
@@ -23,9 +24,11 @@ counts as the largest), also of rows that are repeated as a whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,61 +72,115 @@ def added(*deltas: DataFrame) -> DataFrame:
     return out.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def ranges(numbers: set[int]) -> list[list[int]]:
+    """Numbers as ascending [first, last] ranges."""
+    out: list[list[int]] = []
+    for n in sorted(numbers):
+        if out and n == out[-1][1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return out
+
+
 class Rollup:
-    """Totals under ``root`` (a folder that all executors share)."""
+    """Totals under ``root`` (a folder that all executors share): ``data`` has written folders,
+    ``batches`` and ``snapshots`` have a marker file by number that names one of them."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _place(self, kind: str, batch: int) -> str:
-        return f"{self.root}/{kind}/{batch:012d}"
-
-    def _publish(self, df: DataFrame, target: str) -> bool:
-        """Write aside, then rename; False when the target was there first."""
-        if self._fs.exists(self._path(target)):
-            return False
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        df.write.parquet(staged)
-        self._fs.mkdirs(self._path(target).getParent())
-        # a rename onto a folder that came meanwhile would move into it: renames fail or are undone
-        won = not self._fs.exists(self._path(target)) and self._fs.rename(self._path(staged), self._path(target))
+    def _marker(self, kind: str, number: int):
+        return self._path(f"{self.root}/{kind}/{number:012d}")
+
+    def _read(self, kind: str, number: int) -> dict | None:
+        """What a marker says; None if there is none, or its writer was lost before it wrote."""
+        if not self._fs.exists(self._marker(kind, number)):
+            return None
+        stream = self._fs.open(self._marker(kind, number))
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("}") else None
+
+    def _publish(self, df: DataFrame, kind: str, number: int, more: dict) -> bool:
+        """Write a folder aside, then create the marker that names it; the file system lets one
+        creation through.  False when another's marker is there: its folder counts."""
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/data/{name}")
+        marker, text = self._marker(kind, number), json.dumps({**more, "data": name})
+        try:
+            # a marker without content was left by a lost writer: it is written over
+            stream = self._fs.create(marker, self._fs.exists(marker) and self._read(kind, number) is None)
+            stream.write(text.encode())
+            stream.close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception) and "already exists" not in str(e.java_exception):
+                raise
+        won = (self._read(kind, number) or {}).get("data") == name
         if not won:
-            self._fs.delete(self._path(staged), True)
+            self._fs.delete(self._path(f"{self.root}/data/{name}"), True)
         return won
 
-    def commit(self, batch: int, deltas: DataFrame) -> bool:
-        """Add a batch once; False, and no change, when it is committed already."""
-        if batch <= self._snapshot()[0]:
-            return False
-        return self._publish(deltas.select(*KEYS, "n_docs", "n_tokens"), self._place("batches", batch))
-
     def _numbers(self, kind: str) -> list[int]:
         place = self._path(f"{self.root}/{kind}")
         if not self._fs.exists(place):
             return []
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(place))
+        names = [s.getPath().getName() for s in self._fs.listStatus(place)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _snapshot(self) -> tuple[int, str | None, set[int]]:
+        """The newest snapshot: its number, its folder, and the batches that it holds."""
+        for number in reversed(self._numbers("snapshots")):
+            found = self._read("snapshots", number)
+            if found:
+                return number, found["data"], {n for lo, hi in found["batches"] for n in range(lo, hi + 1)}
+        return -1, None, set()
+
+    def _committed(self, held: set[int]) -> dict[int, str]:
+        """Committed batches that the snapshot does not hold, with their folders."""
+        found = {b: self._read("batches", b) for b in self._numbers("batches") if b not in held}
+        return {b: m["data"] for b, m in found.items() if m}
 
-    def _snapshot(self) -> tuple[int, list[str]]:
-        """The newest snapshot's last batch, and the folders that hold the totals."""
-        snapshots = self._numbers("snapshots")
-        last = snapshots[-1] if snapshots else -1
-        places = [self._place("snapshots", last)] if snapshots else []
-        return last, places + [self._place("batches", b) for b in self._numbers("batches") if b > last]
+    def commit(self, batch: int, deltas: DataFrame) -> bool:
+        """Add a batch once; False, and no change, when it is committed already.  Batches may
+        come in any order, also after a snapshot of later ones."""
+        if batch in self._snapshot()[2] or self._read("batches", batch):
+            return False
+        return self._publish(deltas.select(*KEYS, "n_docs", "n_tokens"), "batches", batch, {})
 
-    def totals(self) -> DataFrame:
-        """Current totals; groups without documents are left out."""
-        _, places = self._snapshot()
+    def _sum(self, folders: list[str]) -> DataFrame:
+        places = [f"{self.root}/data/{f}" for f in folders]
         parts = self.spark.read.schema(TOTALS).parquet(*places) if places else self.spark.createDataFrame([], TOTALS)
         return added(parts).where("n_docs <> 0 OR n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """Current totals; groups without documents are left out."""
+        _, folder, held = self._snapshot()
+        return self._sum([*([folder] if folder else []), *self._committed(held).values()])
+
     def compact(self) -> None:
-        """Sum what is committed into a snapshot; batches with a smaller number can't come later."""
-        numbers = self._numbers("batches")
-        if numbers and numbers[-1] > self._snapshot()[0]:
-            self._publish(self.totals(), self._place("snapshots", numbers[-1]))
+        """Sum what is committed into a snapshot, which lists the batches that it holds."""
+        number, folder, held = self._snapshot()
+        more = self._committed(held)
+        if more:
+            self._publish(self._sum([*([folder] if folder else []), *more.values()]), "snapshots", number + 1,
+                          {"batches": ranges(held | set(more))})
+
+    def vacuum(self) -> None:
+        """Remove older snapshots, and the batches that the newest one holds; for times when no
+        reader of an older state is at work."""
+        last, _, held = self._snapshot()
+        for kind, numbers in (("batches", held), ("snapshots", [n for n in self._numbers("snapshots") if n < last])):
+            for n in sorted(set(self._numbers(kind)) & set(numbers)):
+                found = self._read(kind, n)
+                if found:
+                    self._fs.delete(self._path(f"{self.root}/data/{found['data']}"), True)
+                self._fs.delete(self._marker(kind, n), False)
 
 
 #: Runs of the junk marks that revisions strip.

@@ -64,6 +64,51 @@ def test_interrupted_batch_is_not_seen(spark, rollup):
     assert state(rollup)[("s", "en", "words_v1")] == (1, 2)
 
 
+def one(spark, tokens):
+    return R.signed(R.counted(spark.createDataFrame([(1, "s", "en", "w " * tokens)], ROW)), 1)
+
+
+def test_two_writers_of_one_batch(spark, rollup):
+    """Both have looked and found nothing; one folder counts, once."""
+    other = R.Rollup(spark, rollup.root)
+    real = rollup._fs.create
+
+    class Slow:
+        """The other writer's commit falls between this one's look and its marker."""
+        def __getattr__(self, name):
+            return getattr(real.__self__ if hasattr(real, "__self__") else other._fs, name)
+
+        def create(self, path, over):
+            assert other.commit(1, one(spark, 3))
+            return other._fs.create(path, over)
+    rollup._fs = Slow()
+    assert not rollup.commit(1, one(spark, 3))
+    rollup._fs = other._fs
+    assert state(rollup)[("s", "en", "words_v1")] == (1, 3)
+    assert not other.commit(1, one(spark, 3)) and rollup._numbers("batches") == [1]
+    assert len([p for p in rollup._fs.listStatus(rollup._path(f"{rollup.root}/data"))]) == 1
+
+
+def test_a_late_batch_is_added_after_a_snapshot(spark, rollup):
+    assert rollup.commit(1, one(spark, 1)) and rollup.commit(5, one(spark, 2))
+    rollup.compact()
+    assert rollup.commit(3, one(spark, 4))  # below the snapshot's last, never seen
+    assert state(rollup)[("s", "en", "words_v1")] == (3, 7)
+    assert not rollup.commit(3, one(spark, 4)) and not rollup.commit(5, one(spark, 2))
+    rollup.compact()
+    assert not rollup.commit(3, one(spark, 4)) and rollup._snapshot()[2] == {1, 3, 5}
+    rollup.vacuum()
+    assert rollup._numbers("batches") == [] and len(rollup._numbers("snapshots")) == 1
+    assert not rollup.commit(1, one(spark, 1)) and state(rollup)[("s", "en", "words_v1")] == (3, 7)
+
+
+def test_a_marker_without_content_is_no_commit(spark, rollup):
+    assert rollup.commit(1, one(spark, 1))
+    rollup._fs.create(rollup._marker("batches", 2), False).close()  # its writer was lost
+    assert state(rollup)[("s", "en", "words_v1")] == (1, 1)
+    assert rollup.commit(2, one(spark, 2)) and state(rollup)[("s", "en", "words_v1")] == (2, 3)
+
+
 def test_empty_batch(spark, rollup):
     assert rollup.commit(1, R.signed(R.counted(spark.createDataFrame([], ROW)), 1))
     assert state(rollup) == {}
