@@ -13,7 +13,8 @@ all words of a batch (false positives only cost a walk).
 
 Items are dealt to shards of about ``SHARD_BYTES`` of text, one automaton each,
 so what a task gets is bounded; with more than one shard the documents are
-streamed once per shard and the spans are merged.
+streamed once per shard, each shard's spans are written by text digest before the
+next one is collected, and merged by a group-by.
 
 Defined cases: null or wordless texts and items have no words and match
 nothing; an empty benchmark matches nothing.  Items with equal words both
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.llm.automaton import SuffixAutomaton
-from plantlens.llm.common import clean_text, enter, fresh, query, small_batches, table
+from plantlens.llm.common import clean_text, enter, fresh, query, small_batches, table, written
 from plantlens.llm.words import ALNUM, LOWER, Words, grams, mix, segmented
 
 #: Words of a window.
@@ -167,13 +168,20 @@ def _scan(automaton, schema: pa.Schema, others: int) -> Callable:
 SPANS = "array<struct<start:int,end:int,from_byte:int,to_byte:int>>"
 
 
-def _shards(benchmark: DataFrame, shard_bytes: int) -> list[list[tuple]]:
+def _shard(benchmark: DataFrame, k: int, n: int) -> list[tuple]:
+    """The items of one of ``n`` shards: a bounded number of bytes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), clean_text().alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // shard_bytes))
-    for k in range(n):  # one bounded shard at a time, each its own collect
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item_id, r.text) for r in part.collect()]
+    part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+    return [(r.item_id, r.text) for r in part.collect()]
+
+
+def _matched(front: DataFrame, automaton) -> DataFrame:
+    """The frame (texts in column 0) with n_words, spans and items under one automaton."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    kind = front.limit(0).selectExpr("*", "0L AS n_words", f"CAST(NULL AS {SPANS}) AS spans", "array('') AS items").schema
+    for f in kind:
+        f.nullable = True
+    return front.mapInArrow(_scan(automaton, to_arrow_schema(kind), len(front.columns)), kind)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
@@ -181,29 +189,37 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_b
     """The documents' columns with n_words (long), spans (words of each text inside windows,
     ascending, disjoint, with their byte positions) and items (ids whose windows occur,
     sorted as strings).  Added columns replace columns of the same names."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     base = docs.drop("n_words", "spans", "items")
     front = base.select(clean_text(text_col).alias(text_col), *[c for c in base.columns if c != text_col])
-    out = front
-    old = {c: fresh(base.columns, f"earlier_{c}") for c in ("n_words", "spans", "items")}
-    for k, shard in enumerate(_shards(benchmark, shard_bytes)):
-        automaton = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(shard, window))
-        before = out if k == 0 else out.withColumnsRenamed(old)
-        kind = before.limit(0).selectExpr("*", "0L AS n_words", f"CAST(NULL AS {SPANS}) AS spans", "array('') AS items").schema
-        for f in kind:
-            f.nullable = True
-        out = before.mapInArrow(_scan(automaton, to_arrow_schema(kind), len(before.columns)), kind)
-        if k:
-            out = out.withColumn("spans", merged(old["spans"], "spans")).withColumn(
-                "items", F.array_sort(F.array_union(old["items"], "items"))).drop(*old.values())
-    return out
-
-
-def merged(a: str, b: str):
-    """The union of two span arrays as disjoint ascending spans."""
-    kind = "array<struct<start:int,end:int,from_byte:int,to_byte:int>>"
-    return F.expr(f"""aggregate(array_sort(concat({a}, {b})), CAST(array() AS {kind}), (acc, x) ->
+    size = benchmark.agg(F.sum(F.octet_length(clean_text()))).first()[0] or 0
+    n = max(1, -(-size // shard_bytes))
+    if n == 1:
+        return _matched(front, spark.sparkContext.broadcast(ItemAutomaton(_shard(benchmark, 0, 1), window)))
+    # what a shard finds in a text is written, and its automaton given up before the next one
+    key = fresh(base.columns, "text_key")
+    digest = F.unhex(F.md5(F.col(text_col).cast("binary")))
+    found = []
+    for k in range(n):
+        automaton = spark.sparkContext.broadcast(ItemAutomaton(_shard(benchmark, k, n), window))
+        hits = _matched(front.select(text_col), automaton).where(F.size("spans") > 0).select(digest.alias(key), "spans", "items")
+        found.append(written(hits.groupBy(key).agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "shard-spans"))
+        automaton.destroy()
+    both = found[0]
+    for f in found[1:]:
+        both = both.unionByName(f)
+    both = both.groupBy(key).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # one row a shard
+    both = written(both.select(key, merged("spans").alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")), "spans")
+    counted = front.withColumns({key: digest, "n_words": F.regexp_count(text_col, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long")})
+    return counted.join(both, key, "left").select(
+        *front.columns, "n_words", F.coalesce("spans", F.expr(f"CAST(array() AS {SPANS})")).alias("spans"),
+        F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"))
+
+
+def merged(spans: str):
+    """An array of spans as disjoint ascending spans."""
+    return F.expr(f"""aggregate(array_sort({spans}), CAST(array() AS {SPANS}), (acc, x) ->
         IF(size(acc) > 0 AND element_at(acc, -1).end >= x.start,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct(
                'start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end),
