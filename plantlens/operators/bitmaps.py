@@ -17,9 +17,9 @@ from plantlens.operators.kpi import dense_ranks
 
 
 def dictionary(df: DataFrame, col: str) -> DataFrame:
-    """(value, id): the distinct non-NULL values of a column, numbered from 0."""
+    """(value, id): the distinct non-NULL values of a column, numbered from 1."""
     values = df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull())
-    return dense_ranks(values, "value").select("value", (F.col("rank") - 1).cast("long").alias("id"))
+    return dense_ranks(values, "value").select("value", F.col("rank").cast("long").alias("id"))
 
 
 def daily(df: DataFrame, day: Column, cols: Sequence[str], store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -33,6 +33,8 @@ def silhouettes(df: DataFrame, cols: Sequence[str], labels: Sequence[str], store
     ids = [sorted(r[0] for r in rows.select(f"_l{k}").distinct().collect()) for k in range(f)]  # the clusters
     starts = np.cumsum([0, *map(len, ids)])
     width = int(starts[-1])
+    if not width:
+        return {x: None for x in labels}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -94,7 +96,5 @@ def silhouettes(df: DataFrame, cols: Sequence[str], labels: Sequence[str], store
         b = F.array_min(F.array(*[F.when(lab != c, F.col(f"s{c}") / sizes[c]) for c in mine]))
         s = F.when(n <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.nullif(F.greatest(a, b), F.lit(0.0))), F.lit(0.0)))
         scores.append(F.avg(s).alias(f"f{k}"))
-    if not width:
-        return {x: None for x in labels}
     r = whole.agg(*scores).first()
     return {x: r[f"f{k}"] for k, x in enumerate(labels)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.operators import whatif as W
+from plantlens.operators.shared_kmeans import row_hash
 from plantlens.plans import context as ctx
 from plantlens.plans.oracle import on_clean
 from plantlens.plans.registry import query, rnd, union
@@ -30,16 +31,33 @@ def scenarios(df: DataFrame, keys=SCEN_KEYS) -> DataFrame:
                     *FEATS)
 
 
-def _levels(spark, sf, target: str):
-    return W.qcut(ctx.clean(spark, sf), target, 3, "drop")
+#: Of 1,000 hashed rows so many train the model whose held-out accuracy is measured.
+TRAIN = 800
+
+
+def driver_rows(spark, sf) -> DataFrame:
+    """The eleven features, the level of every target, and whether a row trains; written once
+    per version: every fit scans this narrow table.  Rows of one time, machine, operator and
+    product are on the same side of the split, on any engine."""
+    ident = [F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), *map(F.col, ("machine_id", "operator_id", "product_type"))]
+    v = ctx.version(spark, sf)
+
+    def build() -> DataFrame:
+        rows, edges = ctx.clean(spark, sf), {}
+        for t in TARGETS:
+            rows, edges[t] = W.qcut(rows, t, 3, "drop", f"level_{t}")
+        v.fits["driver-edges"] = edges
+        return rows.select(*FEATS, *[f"level_{t}" for t in TARGETS], (row_hash(*ident) % 1000 < TRAIN).alias("train"))
+    return v.table("driver-rows", build)
+
+
+def _leveled(spark, sf, target: str) -> DataFrame:
+    return driver_rows(spark, sf).select(*FEATS, F.col(f"level_{target}").alias("level"), "train")
 
 
 def _model(spark, sf, target: str) -> W.Driver:
     """The forest of a target, fitted on every row, once per version of the tables."""
-    def build():
-        lvl, _ = _levels(spark, sf, target)
-        return W.fit_driver(lvl.select(*FEATS, "level"), FEATS)
-    return ctx.version(spark, sf).fit(f"driver-{target}", build)
+    return ctx.version(spark, sf).fit(f"driver-{target}", lambda: W.fit_driver(_leveled(spark, sf, target).drop("train"), FEATS))
 
 
 def _per_target(make) -> DataFrame:
@@ -116,21 +134,46 @@ def scenario_bumps(spark, sf):
     return W.bumps(scenarios(ctx.clean(spark, sf)), FEATS).select("scenario", "variable", "original", "bumped")
 
 
+def _split_sql(target: str) -> str:
+    return f"""SELECT '{target}' AS target, lvl AS level, CAST(count(*) FILTER (WHERE h < {TRAIN}) AS BIGINT) AS train_rows,
+  CAST(count(*) FILTER (WHERE h >= {TRAIN}) AS BIGINT) AS test_rows FROM (
+  SELECT CAST((SELECT count(*) FROM (SELECT unnest(edges[2:len(edges) - 1]) AS e FROM qi_{target}) AS ie WHERE {target} > ie.e) AS INTEGER) AS lvl, h
+  FROM driver) AS q GROUP BY lvl"""
+
+
+_SPLIT = "".join(_qcut_cte(t).replace("qe AS", f"qe_{t} AS").replace("FROM qe)", f"FROM qe_{t})").replace("qu AS", f"qu_{t} AS")
+                 .replace("FROM qu)", f"FROM qu_{t})").replace("qi AS", f"qi_{t} AS") for t in TARGETS) + f""",
+driver AS (SELECT {', '.join(TARGETS)}, ('0x' || substr(md5(concat_ws('|', coalesce(strftime("timestamp", '%Y-%m-%d %H:%M:%S'), ''),
+  coalesce(machine_id, ''), coalesce(operator_id, ''), coalesce(product_type, ''))), 1, 13))::BIGINT % 2147483647 % 1000 AS h FROM clean)"""
+
+
+@query("driver_split", on_clean(union(*map(_split_sql, TARGETS)), _SPLIT))
+def driver_split(spark, sf):
+    """Training and held-out rows of every level of every target."""
+    return _per_target(lambda t: _leveled(spark, sf, t).groupBy("level").agg(
+        F.count_if("train").alias("train_rows"), F.count_if(~F.col("train")).alias("test_rows")))
+
+
+def _metrics(spark, sf, target: str) -> tuple:
+    """(levels, training rows, test rows, accuracy, majority's accuracy); fitted once per version."""
+    def build():
+        rows = _leveled(spark, sf, target)
+        model = W.fit_driver(rows.where("train").drop("train"), FEATS)
+        hits = W.score(model, rows.where("NOT train")).groupBy("level").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("level")).alias("hit")).collect()
+        n = sum(r["n"] for r in hits)
+        levels = len(ctx.version(spark, sf).fits["driver-edges"][target]) - 1
+        return (levels, rows.where("train").count(), n, sum(r["hit"] for r in hits) / n if n else None, max(r["n"] for r in hits) / n if n else None)
+    driver_rows(spark, sf)
+    return ctx.version(spark, sf).fit(f"driver-metrics-{target}", build)
+
+
 @query("driver_model_metrics", kind="P")
 def driver_model_metrics(spark, sf):
     """Held-out accuracy of the random forest per target (80/20 split by row hash), beside
     the accuracy of always guessing the most frequent level."""
-    rows = []
-    for target in TARGETS:
-        lvl, edges = _levels(spark, sf, target)
-        train, test = W.hash_split(lvl.select(*FEATS, "level"), FEATS)
-        model = W.fit_driver(train, FEATS)
-        hits = W.score(model, test).groupBy("level").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("level")).alias("hit")).collect()
-        n = sum(r["n"] for r in hits)
-        rows.append((target, len(edges) - 1, train.count(), n, sum(r["hit"] for r in hits) / n if n else None,
-                     max(r["n"] for r in hits) / n if n else None))
-    return spark.createDataFrame(rows, "target string, levels int, train_rows long, test_rows long, accuracy double, majority double")
+    return spark.createDataFrame([(t, *_metrics(spark, sf, t)) for t in TARGETS],
+                                 "target string, levels int, train_rows long, test_rows long, accuracy double, majority double")
 
 
 @query("driver_importance", kind="P")
