@@ -56,4 +56,4 @@ def union(*selects: str) -> str:
 def load_all() -> None:
     """Import every query module (each registers on import)."""
     from plantlens.plans import (  # noqa: F401
-        q_generations, q_ranges, q_profile, q_clean, q_kpi, q_eda, q_cluster, q_shift, q_ops, q_whatif, q_stream, q_io, q_events)
+        q_generations, q_layout, q_ranges, q_profile, q_clean, q_kpi, q_eda, q_cluster, q_shift, q_ops, q_whatif, q_stream, q_io, q_events)
