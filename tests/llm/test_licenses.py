@@ -45,6 +45,21 @@ def test_planted_lines(spark, model):
         assert got[r.doc_id] == [(k, lines[x]) for k, x in enumerate(r.text.split("\n")) if x in lines]
 
 
+def test_the_query_counts_notices(spark, tmp_path):
+    """The query's own columns against a plain search, with an unfamiliar notice and null texts."""
+    lines = {"Released under the MIT License.": "mit", "All rights reserved.": "reserved", "License: Artistic-2.0": "unknown"}
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in docs]
+    rows += [(900_000 + k, f"{a}\nplain words\n\n{b}\n{a}") for k, (a, b) in enumerate((a, b) for a in lines for b in lines)] + [(910_000, None), (910_001, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    planted = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl",
+               "Licensed under the Apache License, Version 2.0.": "apache", **lines}
+    got = {r.doc_id: (r.licenses, r.n_notices, r.n_unknown) for r in L.op1_licenses(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        own = [planted[x] for x in (text or "").split("\n") if x in planted]
+        assert got[i] == (",".join(sorted(set(own) - {"unknown"})), len(own), own.count("unknown")), text
+
+
 def test_edges(spark, documents, edge_rows, model):
     got = L.scan(documents(edge_rows, clash=True), model)
     assert got.count() == len(edge_rows) and all(not r.notices for r in got.collect())
