@@ -61,7 +61,8 @@ DF_BLOCK = 1 << 13
 #: shingle weighs a twenty-fifth more than a frequent one, not twelve times.  With less, texts of a
 #: large group of copies with a plain Jaccard similarity just above the threshold fall below it.
 FLAT = 200.0
-BLOCK = 128
+#: Members of a block: two blocks of the longest texts of the corpus are well within a task.
+BLOCK = 256
 SEED = 11
 #: A null doc_id inside keys.
 NO_ID = -(1 << 63)
