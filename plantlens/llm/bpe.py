@@ -45,7 +45,7 @@ CACHE_CHARS = 64
 #: characters of texts whose new matches are merged together.
 BATCHED = 64
 TREES = 4096
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
