@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SHOW = ["oee_by_machine", "oee_grouping_sets", "defect_rate_by_dim", "iqr_outliers", "winsorize",
-        "hist_cycle_time", "temp_scenarios", "bottleneck_rank", "machine_shift_cube", "kmeans_lloyd5",
-        "attach_shift_cluster", "shift_mix", "silhouette_sq", "kde_cycle_time", "box_stats_by_machine_type",
-        "outlier_rows", "stream_episodes"]
+SHOW = ["oee_by_machine", "oee_grouping_sets", "winsorize", "machine_shift_cube", "attach_shift_cluster", "shift_totals_bucketed",
+        "distinct_by_period", "stream_episodes"]
 
 
 def main() -> None:
@@ -34,6 +32,8 @@ def main() -> None:
         plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         for name, path in ctx.version(spark, sf).paths.items():
             plan = plan.replace(path, f"<{name}>")
+        for g in ctx.generations(spark, sf).parts:
+            plan = plan.replace(g.log, "<bronze>")
         lines = [x if len(x) <= 240 else x[:240] + " ..." for x in plan.strip().split("\n")]
         out.extend([f"## {title}", "", "```", *lines, "```", ""])
 
