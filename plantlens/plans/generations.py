@@ -16,9 +16,11 @@ column means), so merging does not cancel digits.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from plantlens.schema import ALL_NUMERIC, LOG_SCHEMA, NUMERIC16
 from plantlens.session import drop_scratch, scratch_path
 from plantlens.sources.plant import plant_from_tables
 
+#: Rows whose pair products are taken at a time.
+ROWS = 8192
+
 #: (path, length, modification time) of a file.
 File = tuple[str, int, str]
 
@@ -56,17 +61,50 @@ def moments(df: DataFrame, cols: Sequence[str], origin: dict[str, float]) -> Dat
     return found.select(names[F.col("col_idx")].alias("col"), "rows", "n", "s", "q", "lo", "hi")
 
 
+def _pair_products(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The sums of every ordered pair of columns, (6, d, d): rows that have both, and over them the sums of
+    the first and the second, of their squares and of their products.  ``m``: where ``x`` has a
+    value.  Values whose square is not a plain number count in their own pairs only."""
+    wild = (m & ~(np.abs(x) < 1e150)).any(axis=1)
+    v, w = np.where(m, x, 0.0)[~wild], m[~wild].astype(np.float64)
+    n, s, q, p = w.T @ w, v.T @ w, (v * v).T @ w, v.T @ v
+    out = np.stack([n, s, s.T, q, q.T, p])
+    if wild.any():
+        v, w = x[wild], m[wild]
+        with np.errstate(all="ignore"):
+            for a in range(x.shape[1]):
+                both = w & w[:, a, None]
+                y, z = np.where(both, v[:, a, None], 0.0), np.where(both, v, 0.0)
+                out[:, a] += np.stack([both.sum(axis=0), y.sum(axis=0), z.sum(axis=0), (y * y).sum(axis=0), (z * z).sum(axis=0), (y * z).sum(axis=0)])
+    return out
+
+
 def comoments(df: DataFrame, cols: Sequence[str], origin: dict[str, float]) -> DataFrame:
-    """One row per pair of columns, over rows that have both: a, b, n, sa, sb, qa, qb, ab."""
-    v = {c: F.col(c).cast("double") - F.lit(float(origin.get(c) or 0.0)) for c in cols}
-    pairs = _pairs(list(cols))
-    both = F.array(*[F.struct(F.lit(k).alias("k"), v[a].alias("x"), v[b].alias("y")) for k, (a, b) in enumerate(pairs)])
-    rows = df.select(F.explode(both).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
-    x, y = F.col("x"), F.col("y")
-    sums = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"),
-                                 F.sum(x * x).alias("qa"), F.sum(y * y).alias("qb"), F.sum(x * y).alias("ab"))
+    """One row per pair of columns, over rows that have both: a, b, n, sa, sb, qa, qb, ab.
+
+    The sums of all pairs are matrix products of a batch's values and of where they are not NULL:
+    a scan of the rows, and one row per pair and task to the shuffle (not a row per pair and
+    row, which is 120 rows of each)."""
+    cols = list(cols)
+    pairs, d = _pairs(cols), len(cols)
+    at = tuple(np.array([cols.index(p[s]) for p in pairs], np.int64) for s in (0, 1))
+    values = df.select(*[(F.col(c).cast("double") - F.lit(float(origin.get(c) or 0.0))).alias(c) for c in cols])
+    names = ["sa", "sb", "qa", "qb", "ab"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                m = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns], axis=1)
+                total += _pair_products(np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(np.float64, copy=False), m)
+        n, *sums = total[:, at[0], at[1]]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some].astype(np.int64))] + [pa.array(v[some]) for v in sums], names=["k", "n", *names])
+
+    sums = (values.mapInArrow(partial, ", ".join(["k int", "n long", *[f"{c} double" for c in names]]))
+            .groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]))
     first, second = (F.array(*[F.lit(p[s]) for p in pairs]) for s in (0, 1))
-    return sums.select(first[F.col("k")].alias("a"), second[F.col("k")].alias("b"), "n", "sa", "sb", "qa", "qb", "ab")
+    return sums.select(first[F.col("k")].alias("a"), second[F.col("k")].alias("b"), "n", *names)
 
 
 @dataclass

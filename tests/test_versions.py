@@ -112,3 +112,24 @@ def test_tables_may_be_folders(spark, own, sf):
     shutil.copytree(folder, f"{own}/lineitem.parquet")
     got = {tuple(r) for r in QUERIES["oee_by_machine"](spark, own).collect()}
     assert got == {tuple(r) for r in QUERIES["oee_by_machine"](spark, sf).collect()}
+
+
+def test_pair_sums_do_not_multiply_rows(spark):
+    """The co-moments take a scan of the rows, not a row per pair and row; NULL, NaN, infinite and
+    huge values count in their own pairs only."""
+    from plantlens.plans.generations import comoments
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 2.0, 3.0, None), (2.0, None, -1.0, None), (None, 5.0, 4.0, None), (4.0, 1.0, nan, None),
+            (inf, None, 2.0, None), (3.0, 1e200, None, None), (0.5, 0.25, 8.0, None)] * 3
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = comoments(df, ["a", "b", "c", "d"], {"a": 1.0})
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        p, q = F.col(x) - F.lit(1.0 if x == "a" else 0.0), F.col(y)
+        want[x, y] = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
+            F.count(F.lit(1)), F.sum(p), F.sum(q), F.sum(p * p), F.sum(q * q), F.sum(p * q)).first()
+    found = {(r["a"], r["b"]): tuple(r)[2:] for r in got.collect()}
+    assert set(found) == set(want)  # no row has d
+    for k in want:
+        assert found[k] == pytest.approx(tuple(want[k]), nan_ok=True), k
