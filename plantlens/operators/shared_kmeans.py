@@ -14,8 +14,8 @@ and the rows that reach the driver are as many as there are centres.
 * ``lloyd_shared``: rounds until no fit's labels change; fits at rest drop out.
 * ``indices``: inertia, silhouette and Davies-Bouldin of all fits in two scans.
 
-The arithmetic of a scan is numpy on Arrow batches: labels under all fits are a few
-matrix operations, and new centres every round are data, not new code to
+The arithmetic of a scan is numpy on Arrow batches: labels under a fit are one
+matrix product (``nearest_label``), and new centres every round are data, not new code to
 compile.  Sums of a partition leave it as one row per (fit, label).  Rows with a
 NULL in the columns are left out.
 """
@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 
 from plantlens.operators.cluster import Centroids
 
+#: Rounding of a squared distance that comes from a matrix product, as a share of the squared norms
+#: (a hundred times the bound for ten columns); nearer centres are told apart by their differences.
+SLACK = 1e-12
+
 #: A prime: row hashes are spread over 1 .. P - 1, and P * P fits a long.
 P = 2147483647
 
@@ -57,8 +61,25 @@ def _sq_dists(x: np.ndarray, centers: Centroids) -> np.ndarray:
 
 
 def nearest_label(x: np.ndarray, centers: Centroids) -> np.ndarray:
-    """Index of the nearest centre, the lowest of equals."""
-    return _sq_dists(x, centers).argmin(axis=1)
+    """Index of the nearest centre, the lowest of equals: by |c|^2 - 2 x.c, one matrix product for
+    all centres; rows whose two least are too close for its rounding, by their squared distances."""
+    known = np.array([j for j, m in enumerate(centers) if m is not None], np.int64)
+    if not len(known):
+        return np.zeros(len(x), np.int64)
+    c = np.array([centers[j] for j in known], np.float64)
+    norm = (c * c).sum(axis=1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        g = (-2.0 * c) @ x.T + norm[:, None]
+        best, second, least = g[0], np.full(len(x), math.inf), np.zeros(len(x), np.int64)
+        for j in range(1, len(known)):
+            least[g[j] < best] = j
+            second = np.minimum(second, np.maximum(best, g[j]))
+            best = np.minimum(best, g[j])
+        close = ~(second - best > SLACK * (np.einsum("ij,ij->i", x, x) + norm.max()))
+    lab = known[least]
+    if close.any():
+        lab[close] = _sq_dists(x[close], centers).argmin(axis=1)
+    return lab
 
 
 def _sums(df: DataFrame, cols: Sequence[str], label: Callable[[np.ndarray], dict[int, tuple[np.ndarray, int, np.ndarray | None, list]]],
@@ -74,9 +95,11 @@ def _sums(df: DataFrame, cols: Sequence[str], label: Callable[[np.ndarray], dict
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             x = _matrix(batch, d)
+            columns = np.ascontiguousarray(x.T)
             for fit, (lab, k, changed, more) in label(x).items():
-                part = np.stack([np.bincount(lab, minlength=k), np.bincount(lab, changed, k) if changed is not None else np.bincount(lab, minlength=k),
-                                 *[np.bincount(lab, v, k) for v in (*x.T, *more)]], axis=1)
+                n = np.bincount(lab, minlength=k)
+                part = np.stack([n, n if changed is None else np.bincount(lab[changed], minlength=k),
+                                 *[np.bincount(lab, v, k) for v in (*columns, *more)]], axis=1)
                 total[fit] = total[fit] + part if fit in total else part
         rows = [(fit, j, int(r[0]), int(r[1]), *r[2:].tolist()) for fit, t in total.items() for j, r in enumerate(t) if r[0]]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.float64()] * (d + n_more)

@@ -94,3 +94,28 @@ def test_row_hash_is_portable(spark):
     import duckdb
     got = spark.sql("SELECT 'a' AS p, CAST(NULL AS STRING) AS q, 12L AS r").select(S.row_hash(F.col("p"), F.col("q"), F.col("r"))).first()[0]
     assert got == duckdb.sql(f"SELECT ('0x' || substr(md5('a||12'), 1, 13))::BIGINT % {S.P}").fetchall()[0][0]
+
+
+def test_labels_by_product_are_those_by_differences():
+    """Ties, near ties far from the origin, missing centres, NaN and infinite values: the same labels
+    as by squared differences; without ties no squared difference is taken."""
+    import math
+
+    import numpy as np
+    import plantlens.operators.shared_kmeans as SK
+    rnd = np.random.default_rng(5)
+    for centers in ([[0.0, 0.0], [2.0, 0.0], [0.0, 2.0]], [[1e6 + 0.5, 0.0], [1e6, 0.0], [1e6 + 1e-9, 0.0]],
+                    [None, [1.0, 1.0], None, [1.0, 1.0], [3.0, 1.0]], [[4.0, 4.0]], [None, None]):
+        x = np.concatenate([rnd.integers(-3, 4, (500, 2)) / 1.0, rnd.normal(0, 2, (500, 2)), 1e6 + rnd.normal(0, 1, (500, 2)),
+                            [[math.nan, 0.0], [math.inf, 1.0], [-math.inf, math.nan], [1e200, 1.0]]])
+        with np.errstate(all="ignore"):
+            assert (SK.nearest_label(x, centers) == SK._sq_dists(x, centers).argmin(axis=1)).all()
+
+
+def test_labels_take_one_product_a_fit(monkeypatch):
+    import numpy as np
+    import plantlens.operators.shared_kmeans as SK
+    taken, real = [], SK._sq_dists
+    monkeypatch.setattr(SK, "_sq_dists", lambda x, c: taken.append(len(x)) or real(x, c))
+    SK.nearest_label(np.random.default_rng(1).normal(0, 1, (20_000, 8)), np.random.default_rng(2).normal(0, 1, (10, 8)).tolist())
+    assert sum(taken) == 0
