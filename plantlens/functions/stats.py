@@ -2,15 +2,18 @@
 
 * ``safe_ratio``: ANSI-safe division (no DIVIDE_BY_ZERO).
 * ``quantiles``: exact linear-interpolation quantiles (pandas/DuckDB
-  ``quantile_cont`` semantics) in three passes, whatever the values.
+  ``quantile_cont`` semantics) in a few scans, whatever the values.
 * ``present``: presentation rounding of every double column.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +53,14 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
 # data at 100 TB that map is the whole column.  ``percentile_approx`` is
 # bounded but returns a datum, not the interpolated value.
 #
-# Three passes, however the values are spread (ranks, never widths, decide):
+# Of whole columns (``quantiles``): a value's bits give a 64-bit key of the same order.
+# One scan counts every column's values by the first bits of their keys, which says in
+# which range of keys each wanted rank lies; the next scan counts the values of these
+# ranges alone, by more bits, or value by value where a range holds few; a range that holds
+# one value over and over is settled at once.  Counts are numpy on Arrow batches, added up
+# and ranked by Spark.  Neither spread nor ties change the number of scans (five at most).
+#
+# Per group (``grouped_quantiles``), three passes:
 #   1. one bounded sketch brackets every wanted rank between two data values;
 #   2. one aggregation counts the rows below, on, and strictly between the
 #      bracket values, which settles ranks that fall on a bracket value;
@@ -93,21 +103,6 @@ def _brackets(long: DataFrame, keys: list[str], probs: list[float], margin: floa
     return agg.filter(F.col("n") > 0).select(*keys, "n", *out)
 
 
-def _with_brackets(long: DataFrame, keys: list[str], brackets: DataFrame | list, probs: list[float]) -> DataFrame:
-    """The long rows with their key's bracket values: looked up in literals when the brackets
-    were collected (one key, an index), else by a join with the written table."""
-    if isinstance(brackets, DataFrame):
-        return long.join(brackets, keys)
-    width = max(r[keys[0]] for r in brackets) + 1
-    cols = {}
-    for name in [f"{e}{j}" for j in range(len(probs)) for e in ("lo", "hi")]:
-        values = [None] * width
-        for r in brackets:
-            values[r[keys[0]]] = r[name]
-        cols[name] = F.array(*[F.lit(v).cast("double") for v in values])[F.col(keys[0])]
-    return long.withColumns(cols)
-
-
 def _counts(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     """Per key and probability j: rows below lo (b{j}), on lo (l{j}), strictly inside (i{j})."""
     v, aggs = F.col("v"), []
@@ -130,46 +125,111 @@ def _inside(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     return hits.select(*keys, "j", "v", (upto - F.col("c")).alias("first"), (upto - 1).alias("last"))
 
 
-def long_quantiles(long: DataFrame, key: str, probs: Sequence[float]) -> dict:
-    """Exact quantiles of rows (key, v) by an integer key with few values:
-    {key: (n, [quantiles])}; keys without values are missing."""
-    probs, margin = [float(p) for p in probs], 4.0 / ACCURACY
-    while True:
-        brackets = _brackets(long, [key], probs, margin).collect()
-        if not brackets:
-            return {}
-        rows = _with_brackets(long, [key], brackets, probs)
-        counts = {r[key]: r for r in _counts(rows, [key], probs).collect()}
-        wanted, found, missed = [], {}, False
-        for r in brackets:
-            c = counts[r[key]]
-            for j, p in enumerate(probs):
-                for rank in _target_ranks(r["n"], p):
-                    at = rank - c[f"b{j}"]
-                    if at < 0 or r[f"lo{j}"] == r[f"hi{j}"] and at >= c[f"l{j}"]:
-                        missed = True
-                    elif at < c[f"l{j}"]:
-                        found[r[key], j, rank] = r[f"lo{j}"]
-                    elif at >= c[f"l{j}"] + c[f"i{j}"]:
-                        found[r[key], j, rank] = r[f"hi{j}"]
-                    else:
-                        wanted.append((r[key], j, rank, at - c[f"l{j}"]))
-        if missed:  # a bracket that the sketch placed too tightly: widen (at 1/2 it is everything)
-            margin = min(1.0, margin * 8)
-            continue
-        if wanted:
-            one = F.lit(False)
-            for k, j, _, at in dict.fromkeys(wanted):
-                one = one | ((F.col(key) == k) & (F.col("j") == j) & (F.col("first") <= at) & (F.col("last") >= at))
-            inside = _inside(rows, [key], probs).filter(one).collect()
-            for k, j, rank, at in wanted:
-                found[k, j, rank] = next(r["v"] for r in inside if r[key] == k and r["j"] == j and r["first"] <= at <= r["last"])
-        out = {}
-        for r in brackets:
-            n = r["n"]
-            out[r[key]] = (n, [_interpolated(n, p, *(float(found[r[key], j, k]) for k in _target_ranks(n, p)))
-                               for j, p in enumerate(probs)])
-        return out
+#: Bits of a key that the first scan of ``column_quantiles`` tells apart, and each further one.
+FIRST_BITS, MORE_BITS = 16, 12
+#: A range of keys with at most so many values is counted value by value.
+FEW = 50_000
+_SIGN = 1 << 63
+
+
+def _keys(v: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit keys in the order of the values (-0.0 is 0.0)."""
+    bits = (v + 0.0).view(np.uint64)
+    return bits ^ np.where(bits >> np.uint64(63) == 0, np.uint64(_SIGN), ~np.uint64(0))
+
+
+def _value(signed: int) -> float:
+    """The value of a key that was shifted to the range of a signed number."""
+    key = signed + _SIGN
+    return struct.unpack("<d", struct.pack("<Q", key ^ _SIGN if key & _SIGN else key ^ (2 * _SIGN - 1)))[0]
+
+
+def _tally(values: DataFrame, ranges: list[tuple[int, int, bool]], bits: int, width: int) -> DataFrame:
+    """One scan: (i, part, n, least, most) of the ranges (column, first ``bits`` bits of its keys, whether
+    every key is a part): rows and extreme keys per part, else by the next ``width`` bits.  Keys are
+    shifted to signed numbers; the first scan gives a part's bounds as its extremes."""
+    names = ["i", "part", "n", "least", "most"]
+    signed = lambda keys: (keys ^ np.uint64(_SIGN)).view(np.int64)
+    rest = np.uint64(64 - bits - width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, big = 1 << width, np.iinfo(np.int64)
+        n = {i: np.zeros(size, np.int64) for i, r in enumerate(ranges) if not r[2]}
+        extremes = {i: (np.full(size, big.max), np.full(size, big.min)) for i in n} if bits else {}
+        whole: dict[int, list] = {i: [] for i, r in enumerate(ranges) if r[2]}
+        for batch in batches:
+            own: dict[int, tuple] = {}
+            for i, (c, prefix, _) in enumerate(ranges):
+                if c not in own:
+                    v = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
+                    keys = _keys(v[~np.isnan(v)])
+                    own[c] = keys, keys >> np.uint64(64 - bits) if bits else None
+                keys, top = own[c]
+                if bits:
+                    keys = keys[top == np.uint64(prefix)]
+                if not len(keys):
+                    continue
+                if i in whole:
+                    whole[i].append(np.unique(signed(keys), return_counts=True))
+                    continue
+                part = ((keys >> rest) & np.uint64(size - 1)).view(np.int64)
+                low = int(part.min())
+                found = np.bincount(part - low)
+                n[i][low:low + len(found)] += found
+                if bits:
+                    np.minimum.at(extremes[i][0], part, signed(keys))
+                    np.maximum.at(extremes[i][1], part, signed(keys))
+        out = []
+        for i, found in n.items():
+            part = np.flatnonzero(found)
+            if bits:
+                least, most = (e[part] for e in extremes[i])
+            else:
+                least = signed(part.astype(np.uint64) << rest)
+                most = signed((part.astype(np.uint64) << rest) | np.uint64((1 << int(rest)) - 1))
+            out.append((i, part, found[part], least, most))
+        for i, found in whole.items():
+            if found:
+                keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                out.append((i, keys, np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64), keys, keys))
+        for i, *columns in out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), i, np.int32))] + [pa.array(x, pa.int64()) for x in columns], names=names)
+
+    return (values.mapInArrow(partial, "i int, part long, n long, least long, most long").groupBy("i", "part")
+            .agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")))
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Exact quantiles of whole columns; a column without values is missing."""
+    cols, probs = list(cols), [float(p) for p in probs]
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    ranges, bits, width = [(i, 0, False) for i in range(len(cols))], 0, FIRST_BITS
+    total = F.sum("n").over(Window.partitionBy("i"))
+    ranks = F.array(*[x for p in probs for k in [F.floor((F.col("total") - 1) * F.lit(p)).cast("long")] for x in (k, F.least(k + 1, F.col("total") - 1))])
+    counts: dict[int, int] = {}
+    todo: dict[tuple[int, int], tuple[int, int]] = {}  # (column, rank) -> (range, rank in it)
+    found: dict[tuple[int, int], float] = {}
+    while ranges:
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+        parts = _tally(values, ranges, bits, width).withColumns({"total": total, "first": upto - F.col("n")})
+        if bits:
+            at = [sorted({k for j, k in todo.values() if j == i}) for i in range(len(ranges))]
+            ranks = F.array(*[F.array(*[F.lit(k).cast("long") for k in a]) for a in at])[F.col("i")]
+        here = parts.where(F.exists(ranks, lambda k: (k >= F.col("first")) & (k < F.col("first") + F.col("n")))).collect()
+        if not bits:
+            counts = {r["i"]: r["total"] for r in here}
+            todo = {(i, k): (i, k) for i, n in counts.items() for p in probs for k in _target_ranks(n, p)}
+        following: dict[tuple[int, int, bool], int] = {}
+        left = {}
+        for (c, rank), (i, k) in todo.items():
+            r = next(r for r in here if r["i"] == i and r["first"] <= k < r["first"] + r["n"])
+            if r["least"] == r["most"]:
+                found[c, rank] = _value(r["least"])
+            else:
+                part = (c, ranges[i][1] << width | r["part"], r["n"] <= FEW)
+                left[c, rank] = following.setdefault(part, len(following)), k - r["first"]
+        bits, width, ranges, todo = bits + width, MORE_BITS, list(following), left
+    return {cols[i]: [_interpolated(n, p, *(found[i, k] for k in _target_ranks(n, p))) for p in probs] for i, n in counts.items()}
 
 
 def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], store) -> DataFrame:
@@ -178,7 +238,7 @@ def grouped_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[floa
     that the join with the brackets knows their size."""
     keys, probs = list(keys), [float(p) for p in probs]
     brackets = store(_brackets(long, keys, probs, 4.0 / ACCURACY))
-    rows = _with_brackets(long, keys, brackets, probs)
+    rows = long.join(brackets, keys)
     counts = store(_counts(rows, keys, probs).join(brackets, keys))
     at, values = [], []
     for j, p in enumerate(probs):
@@ -208,7 +268,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               method: str = "exact", accuracy: int = 100000) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of each column (NULLs and NaN skipped).
 
-    method: ``exact`` (sketch bracket, then exact ranks; default), ``percentile``
+    method: ``exact`` (keys counted by ranges; default), ``percentile``
     (Spark's exact aggregate; fine for low-cardinality data), ``approx``
     (``percentile_approx``: one pass, returns a datum)."""
     cols, probs = list(cols), [float(p) for p in probs]
@@ -221,9 +281,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
     if method != "exact":
         raise ValueError(method)
-    long = long_values(df, cols).withColumn("v", F.nanvl("v", F.lit(None).cast("double"))).filter(F.col("v").isNotNull())
-    got = long_quantiles(long, "col_idx", probs)
-    return {c: got[i][1] if i in got else [None] * len(probs) for i, c in enumerate(cols)}
+    got = column_quantiles(df, cols, probs)
+    return {c: got.get(c, [None] * len(probs)) for c in cols}
 
 
 def long_values(df: DataFrame, cols: Sequence[str], idx: str = "col_idx", val: str = "v") -> DataFrame:

@@ -102,3 +102,20 @@ def test_property_vs_numpy(spark, ints, p):
     xs = [float(i) for i in ints]
     got = quantiles(frame(spark, xs), ["x"], [p])["x"][0]
     assert math.isclose(got, float(np.quantile(np.array(xs), p)), rel_tol=1e-12, abs_tol=1e-9)
+
+
+def test_whole_columns_make_no_row_per_value(spark, monkeypatch):
+    """Quantiles of columns are counted in scans of the rows, not over a row per column and row."""
+    def long_values(*_):
+        raise AssertionError("a row per value")
+    monkeypatch.setattr(stats, "long_values", long_values)
+    df = spark.createDataFrame([(float(k), float(k % 3)) for k in range(101)], "a double, b double")
+    assert quantiles(df, ["a", "b"], [0.25, 0.5]) == {"a": [25.0, 50.0], "b": [0.0, 1.0]}
+
+
+def test_ranges_are_split_down_to_the_last_bit(spark, monkeypatch):
+    """Values that differ in their last bits, of both signs, beside heavy ties."""
+    monkeypatch.setattr(stats, "FEW", 2)
+    xs = [s * (100.0 + k * 2.0 ** -46) for k in range(40) for s in (1, -1)] + [0.0, -0.0] * 30 + [7.0] * 50
+    got = quantiles(frame(spark, xs).repartition(3), ["x"], PROBS)["x"]
+    assert got == [duck_q(xs, p) for p in PROBS]
