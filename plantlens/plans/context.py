@@ -5,7 +5,8 @@ Layout (medallion style, all in the cluster's shared ``spark.checkpoint.dir``):
 * bronze: the raw plant log derived from the driver's tables, written once
   as parquet (the three-way join runs once, not once per report);
 * silver: the cleaned log (means imputed, 14 sensors clipped to their IQR
-  fences), written once from bronze, on first need;
+  fences), a projection of bronze with the scalars as literals: a query computes the columns
+  that it reads, and no second copy of the log is written;
 * the scalars of the clean step (column means, quartile fences), the model
   fits (z-score stats, cluster centres, forests) and derived tables (labelled
   shifts, the enriched log, drained streams).
@@ -127,12 +128,12 @@ def version(spark: SparkSession, sf: str) -> Version:
     return _VERSIONS.get((spark.sparkContext.applicationId, sf.rstrip("/"))) or refresh(spark, sf)
 
 
-#: What ``clear_models`` keeps: the tables and the scalars of the clean step.
-_BUILD = ("bronze", "silver", "means", "bounds")
+#: What ``clear_models`` keeps: the raw log and the scalars of the clean step.
+_BUILD = ("bronze", "means", "bounds")
 
 
 def clear_models() -> None:
-    """Forget fits and derived tables; keep bronze and silver."""
+    """Forget fits and derived tables; keep the raw and the cleaned log."""
     for v in _VERSIONS.values():
         v.drop(*_BUILD)
 
@@ -176,8 +177,8 @@ def bounds(spark: SparkSession, sf: str) -> dict:
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned log (silver)."""
-    return version(spark, sf).table("silver", lambda: winsorize(imputed(spark, sf), CLIP14, bounds(spark, sf)))
+    """The cleaned log (silver; a projection of bronze)."""
+    return winsorize(imputed(spark, sf), CLIP14, bounds(spark, sf))
 
 
 def cleaned(spark: SparkSession, sf: str) -> Cleaned:

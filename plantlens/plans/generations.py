@@ -2,8 +2,8 @@
 
 The lineitem files that were new at one refresh are a generation.  Its log rows are
 derived and written once, and so are its statistics: per numeric column the rows,
-NULLs, sum, sum of squares, least and largest value, and for each pair of the sensors
-the sums that a correlation needs.  When files are appended, only they are read and
+NULLs, sum, sum of squares, least and largest value, and, from the first correlation on, for each
+pair of the sensors the sums that it needs.  When files are appended, only they are read and
 joined, as one more generation; means, deviations and correlations of the whole log are
 merged from the small statistics tables, without a scan of the log.  When a file
 changes or goes, the generations that hold it are derived again from what is left of
@@ -112,6 +112,8 @@ class Generation:
     files: frozenset[File]
     log: str
     stats: str
+    #: The co-moments are written.
+    paired: bool = False
 
 
 @dataclass
@@ -145,7 +147,6 @@ class Generations:
             first = {r["col"]: r for r in moments(rows, ALL_NUMERIC, {}).collect()}
             self.origin = {c: r["s"] / r["n"] for c, r in first.items() if r["n"] and math.isfinite(r["s"])}
         moments(rows, ALL_NUMERIC, self.origin).write.parquet(f"{stats}/moments")
-        comoments(rows, NUMERIC16, self.origin).write.parquet(f"{stats}/comoments")
         self.parts.append(Generation(new, log, stats))
         self.files_read += len(new)
 
@@ -181,7 +182,12 @@ class Generations:
             F.when(n > 1, F.sqrt(F.try_divide(var, n - 1))).alias("std"), F.col("lo").alias("least"), F.col("hi").alias("most"))
 
     def correlations(self) -> DataFrame:
-        """Pearson correlation of every pair of sensors: a, b, n, r; from the statistics alone."""
+        """Pearson correlation of every pair of sensors: a, b, n, r; from the statistics alone, once
+        the co-moments of every generation are written (no other query needs them)."""
+        for g in self.parts:
+            if not g.paired:
+                comoments(self._log([g.log]), NUMERIC16, self.origin).write.mode("overwrite").parquet(f"{g.stats}/comoments")
+                g.paired = True
         n = F.col("n")
         cov = F.col("ab") - F.try_divide(F.col("sa") * F.col("sb"), n)
         va, vb = (F.greatest(F.col(f"q{c}") - F.try_divide(F.col(f"s{c}") * F.col(f"s{c}"), n), F.lit(0.0)) for c in "ab")

@@ -133,3 +133,16 @@ def test_pair_sums_do_not_multiply_rows(spark):
     assert set(found) == set(want)  # no row has d
     for k in want:
         assert found[k] == pytest.approx(tuple(want[k]), nan_ok=True), k
+
+
+def test_the_cleaned_log_is_not_written_again(spark, own):
+    """A query of the cleaned log writes the raw log and its moments alone; pair sums come with
+    the first correlation, once."""
+    assert QUERIES["downtime_rows"](spark, own).count() == 1
+    v = ctx.version(spark, own)
+    stats = v.bronze.parts[0].stats.replace("file:", "")
+    assert not v.paths and os.listdir(stats) == ["moments"]
+    first = {tuple(r) for r in QUERIES["log_correlations"](spark, own).collect()}
+    written = os.path.getmtime(f"{stats}/comoments/_SUCCESS")
+    assert {tuple(r) for r in QUERIES["log_correlations"](spark, own).collect()} == first and len(first) == 120
+    assert os.path.getmtime(f"{stats}/comoments/_SUCCESS") == written
