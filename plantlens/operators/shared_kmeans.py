@@ -2,9 +2,10 @@
 
 Fits for several numbers of clusters, or several restarts of one, differ only in a
 few literal centres.  So all that still move take their round together: one scan
-labels each row under every fit and adds up, per (fit, label), the rows, their sums,
-and how many rows changed their label.  A round costs one scan however many fits there are,
-and the rows that reach the driver are as many as there are centres.
+labels each row under every fit and adds up, per (fit, label), the rows and their sums.
+A round costs one scan however many fits there are, and the rows that reach the
+driver are as many as there are centres.  A fit whose clusters keep their numbers of rows may be at
+rest: one more scan counts the rows that changed their label under it.
 
 * ``band_starts``: the deterministic start of K8 for several k, one scan.
 * ``seeded_starts``: restarts with squared-distance seeding in as many scans as
@@ -14,10 +15,11 @@ and the rows that reach the driver are as many as there are centres.
 * ``lloyd_shared``: rounds until no fit's labels change; fits at rest drop out.
 * ``indices``: inertia, silhouette and Davies-Bouldin of all fits in two scans.
 
-The arithmetic of a scan is numpy on Arrow batches: labels under a fit are one
-matrix product (``nearest_label``), and new centres every round are data, not new code to
+The arithmetic of a scan is numpy on Arrow batches: labels under all fits are one
+matrix product (``nearest_labels``), and new centres every round are data, not new code to
 compile.  Sums of a partition leave it as one row per (fit, label).  Rows with a
-NULL in the columns are left out.
+NULL in the columns are left out.  For the rounds, rows are packed once (``packed``): Spark keeps their
+values in blocks, in memory or on disk, and a scan moves blocks, not single values.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ SLACK = 1e-12
 #: A prime: row hashes are spread over 1 .. P - 1, and P * P fits a long.
 P = 2147483647
 
+#: Rows of a block of ``packed``, and rows that are labelled at a time.
+BLOCK, ROWS = 64, 8192
+
 Fits = dict[Hashable, Centroids]
 
 
@@ -50,6 +55,28 @@ def _matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(d)], axis=1).astype(np.float64, copy=False)
 
 
+def packed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The complete rows' values, ``BLOCK`` rows to a binary value; kept by Spark until ``unpersist``."""
+    cols = list(cols)
+    d = len(cols)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, d)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i:i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)], pa.binary())], names=["block"])
+    return _complete(df.select(*cols), cols).mapInArrow(pack, "block binary").persist()
+
+
+def _unpacked(batch: pa.RecordBatch, d: int) -> Iterator[np.ndarray]:
+    """The rows of a batch of blocks, ``ROWS`` at a time: the blocks lie one after the other in it."""
+    blocks = batch.column(0)
+    _, offsets, values = blocks.buffers()
+    at = np.frombuffer(offsets, np.int32)[blocks.offset:blocks.offset + len(blocks) + 1] if len(blocks) else (0, 0)
+    if at[-1] > at[0]:
+        x = np.frombuffer(values, np.float64, (int(at[-1]) - int(at[0])) // 8, int(at[0])).reshape(-1, d)
+        yield from (x[i:i + ROWS] for i in range(0, len(x), ROWS))
+
+
 def _sq_dists(x: np.ndarray, centers: Centroids) -> np.ndarray:
     """Squared distances (rows by centres), summed left to right over the columns; infinite
     to a missing centre."""
@@ -60,53 +87,63 @@ def _sq_dists(x: np.ndarray, centers: Centroids) -> np.ndarray:
     return out
 
 
-def nearest_label(x: np.ndarray, centers: Centroids) -> np.ndarray:
-    """Index of the nearest centre, the lowest of equals: by |c|^2 - 2 x.c, one matrix product for
-    all centres; rows whose two least are too close for its rounding, by their squared distances."""
-    known = np.array([j for j, m in enumerate(centers) if m is not None], np.int64)
-    if not len(known):
-        return np.zeros(len(x), np.int64)
-    c = np.array([centers[j] for j in known], np.float64)
-    norm = (c * c).sum(axis=1)
+def nearest_labels(x: np.ndarray, fits: Sequence[Centroids]) -> list[np.ndarray]:
+    """Per fit the index of the nearest centre, the lowest of equals: by |c|^2 - 2 x.c, one matrix
+    product for the centres of all fits; rows whose two least are too close for its rounding, by
+    their squared distances."""
+    known = [np.array([j for j, m in enumerate(centers) if m is not None], np.int64) for centers in fits]
+    if not any(map(len, known)):
+        return [np.zeros(len(x), np.int64) for _ in fits]
+    c = np.array([centers[j] for centers, own in zip(fits, known) for j in own], np.float64)
+    norm, found, at = (c * c).sum(axis=1), [], 0
     with np.errstate(invalid="ignore", over="ignore"):
-        g = (-2.0 * c) @ x.T + norm[:, None]
-        best, second, least = g[0], np.full(len(x), math.inf), np.zeros(len(x), np.int64)
-        for j in range(1, len(known)):
-            least[g[j] < best] = j
-            second = np.minimum(second, np.maximum(best, g[j]))
-            best = np.minimum(best, g[j])
-        close = ~(second - best > SLACK * (np.einsum("ij,ij->i", x, x) + norm.max()))
-    lab = known[least]
-    if close.any():
-        lab[close] = _sq_dists(x[close], centers).argmin(axis=1)
-    return lab
-
-
-def _sums(df: DataFrame, cols: Sequence[str], label: Callable[[np.ndarray], dict[int, tuple[np.ndarray, int, np.ndarray | None, list]]],
-          n_more: int = 0) -> dict[tuple[int, int], tuple]:
-    """One scan: per (fit, label) the rows, the rows that changed, the column sums, and
-    ``n_more`` further sums.  ``label`` gives, per fit of a batch: labels, how many there can
-    be, which rows changed (None: all), and the values of the further sums."""
+        g = np.hstack([-2.0 * c, norm[:, None]]) @ np.vstack([x.T, np.ones(len(x))])
+        square, other = np.einsum("ij,ij->i", x, x), np.empty(len(x))
+        for centers, own in zip(fits, known):
+            if not len(own):
+                found.append(np.zeros(len(x), np.int64))
+                continue
+            h, most = g[at:at + len(own)], norm[at:at + len(own)].max()
+            at += len(own)
+            best, second, least = h[0].copy(), np.full(len(x), math.inf), np.zeros(len(x), np.int64)
+            for j in range(1, len(own)):
+                np.copyto(least, j, where=h[j] < best)
+                np.minimum(second, np.maximum(best, h[j], out=other), out=second)
+                np.minimum(best, h[j], out=best)
+            close = ~(second - best > SLACK * (square + most))
+            lab = own[least]
+            if close.any():
+                lab[close] = _sq_dists(x[close], centers).argmin(axis=1)
+            found.append(lab)
+    return found
+
+
+def nearest_label(x: np.ndarray, centers: Centroids) -> np.ndarray:
+    """``nearest_labels`` of one fit."""
+    return nearest_labels(x, [centers])[0]
+
+
+def _sums(df: DataFrame, cols: Sequence[str], label: Callable[[np.ndarray], dict[int, tuple[np.ndarray, int, list]]],
+          n_more: int = 0, blocks: DataFrame | None = None) -> dict[tuple[int, int], tuple]:
+    """One scan (of ``blocks``, if the rows are packed): per (fit, label) the rows, the column sums, and ``n_more`` further sums.  ``label``
+    gives, per fit of a batch: labels, how many there can be, and the values of the further sums."""
     cols = list(cols)
-    d = len(cols)
-    names = ["fit", "label", "n", "changed", *[f"s{k}" for k in range(d + n_more)]]
+    d, rows_of = len(cols), _unpacked if blocks is not None else lambda batch, d: [_matrix(batch, d)]
+    names = ["fit", "label", "n", *[f"s{k}" for k in range(d + n_more)]]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = _matrix(batch, d)
+        for x in (x for batch in batches for x in rows_of(batch, d)):
             columns = np.ascontiguousarray(x.T)
-            for fit, (lab, k, changed, more) in label(x).items():
-                n = np.bincount(lab, minlength=k)
-                part = np.stack([n, n if changed is None else np.bincount(lab[changed], minlength=k),
-                                 *[np.bincount(lab, v, k) for v in (*columns, *more)]], axis=1)
+            for fit, (lab, k, more) in label(x).items():
+                part = np.stack([np.bincount(lab, minlength=k), *[np.bincount(lab, v, k) for v in (*columns, *more)]], axis=1)
                 total[fit] = total[fit] + part if fit in total else part
-        rows = [(fit, j, int(r[0]), int(r[1]), *r[2:].tolist()) for fit, t in total.items() for j, r in enumerate(t) if r[0]]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.float64()] * (d + n_more)
+        rows = [(fit, j, int(r[0]), *r[1:].tolist()) for fit, t in total.items() for j, r in enumerate(t) if r[0]]
+        types = [pa.int32(), pa.int32(), pa.int64()] + [pa.float64()] * (d + n_more)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["int", "int", "long", "long"] + ["double"] * (d + n_more)))
-    got = (_complete(df.select(*cols), cols).mapInArrow(partial, schema).groupBy("fit", "label")
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["int", "int", "long"] + ["double"] * (d + n_more)))
+    got = ((_complete(df.select(*cols), cols) if blocks is None else blocks).mapInArrow(partial, schema).groupBy("fit", "label")
            .agg(*[F.sum(c).alias(c) for c in names[2:]]).collect())
     return {(r["fit"], r["label"]): tuple(r)[2:] for r in got}
 
@@ -127,10 +164,10 @@ def band_starts(df: DataFrame, cols: Sequence[str], ks: Sequence[int], init_col:
     def label(x: np.ndarray):
         v = x[:, own if own < len(cols) else -1]
         return {f: (np.zeros(len(v), np.int64) if hi == lo else
-                    np.minimum(np.floor((v - lo) / (hi - lo) * float(k)), k - 1).astype(np.int64), k, None, []) for f, k in enumerate(ks)}
+                    np.minimum(np.floor((v - lo) / (hi - lo) * float(k)), k - 1).astype(np.int64), k, []) for f, k in enumerate(ks)}
 
     found = _sums(rows, [*cols, "_init"], label)
-    return {k: [[s / found[f, j][0] for s in found[f, j][2:2 + len(cols)]] if (f, j) in found else None for j in range(k)]
+    return {k: [[s / found[f, j][0] for s in found[f, j][1:1 + len(cols)]] if (f, j) in found else None for j in range(k)]
             for f, k in enumerate(ks)}
 
 
@@ -183,31 +220,45 @@ def seeded_starts(df: DataFrame, cols: Sequence[str], hash_col: str, k: int, res
 
 # ------------------------------------------------------------------ rounds
 
+def _changed(df: DataFrame, cols: Sequence[str], fits: dict[int, tuple[Centroids, Centroids]], blocks: DataFrame) -> dict[int, int]:
+    """One scan: per fit the rows whose labels under its two sets of centres differ."""
+    def label(x: np.ndarray):
+        before, now = (nearest_labels(x, [f[s] for f in fits.values()]) for s in (0, 1))
+        return {f: ((a != b).astype(np.int64), 2, []) for f, a, b in zip(fits, before, now)}
+    found = _sums(df, cols, label, blocks=blocks)
+    return {f: found[f, 1][0] if (f, 1) in found else 0 for f in fits}
+
+
 def lloyd_shared(df: DataFrame, cols: Sequence[str], starts: Fits) -> tuple[Fits, dict[Hashable, int]]:
     """Every fit's centres at rest (each the mean of the rows that it is nearest to; an emptied
-    cluster keeps its centre), and the rounds that it took.  No cap on rounds."""
+    cluster keeps its centre), and the rounds that it took.  No cap on rounds.  Rows that
+    change their label are counted only where a round leaves all clusters their numbers of rows: other
+    numbers are changed labels."""
     cols, names = list(cols), list(starts)
     now: dict[int, Centroids] = dict(enumerate(starts.values()))
     rounds = {f: 0 for f in now}
-    moving = {f: (None, c) for f, c in now.items() if any(m is not None for m in c)}
-    while moving:
-        def label(x: np.ndarray, moving=moving):
-            out = {}
-            for f, (before, centers) in moving.items():
-                lab = nearest_label(x, centers)
-                out[f] = lab, len(centers), None if before is None else lab != nearest_label(x, before), []
-            return out
-
-        found = _sums(df, cols, label)
-        following = {}
-        for f, (before, centers) in moving.items():
-            rows = {j: found[f, j] for j in range(len(centers)) if (f, j) in found}
-            if not sum(r[1] for r in rows.values()):
-                continue  # no row changed its label: the centres are the means of their rows
-            rounds[f] += 1
-            now[f] = [[s / rows[j][0] for s in rows[j][2:]] if j in rows else centers[j] for j in range(len(centers))]
-            following[f] = (centers, now[f])
-        moving = following
+    moving = {f: (None, None, c) for f, c in now.items() if any(m is not None for m in c)}
+    blocks = packed(df, cols)
+    try:
+        while moving:
+            def label(x: np.ndarray, moving=moving):
+                labels = nearest_labels(x, [c for _, _, c in moving.values()])
+                return {f: (lab, len(c), []) for (f, (_, _, c)), lab in zip(moving.items(), labels)}
+
+            found = _sums(df, cols, label, blocks=blocks)
+            sizes = {f: [found[f, j][0] if (f, j) in found else 0 for j in range(len(c))] for f, (_, _, c) in moving.items()}
+            same = {f: (before, c) for f, (n, before, c) in moving.items() if n == sizes[f]}
+            changed = _changed(df, cols, same, blocks) if same else {}
+            following = {}
+            for f, (_, _, centers) in moving.items():
+                if not any(sizes[f]) or not changed.get(f, 1):
+                    continue  # no row changed its label: the centres are the means of their rows
+                rounds[f] += 1
+                now[f] = [[s / n for s in found[f, j][1:]] if n else centers[j] for j, n in enumerate(sizes[f])]
+                following[f] = (sizes[f], centers, now[f])
+            moving = following
+    finally:
+        blocks.unpersist()
     return {names[f]: c for f, c in now.items()}, {names[f]: n for f, n in rounds.items()}
 
 
@@ -218,7 +269,7 @@ def costs(df: DataFrame, cols: Sequence[str], fits: Fits) -> dict[Hashable, floa
     order = list(fits)
 
     def label(x: np.ndarray):
-        return {f: (np.zeros(len(x), np.int64), 1, None, [_sq_dists(x, fits[name]).min(axis=1)]) for f, name in enumerate(order)}
+        return {f: (np.zeros(len(x), np.int64), 1, [_sq_dists(x, fits[name]).min(axis=1)]) for f, name in enumerate(order)}
     found = _sums(df, cols, label, 1)
     return {name: found[f, 0][-1] if (f, 0) in found else 0.0 for f, name in enumerate(order)}
 
@@ -230,9 +281,10 @@ def indices(df: DataFrame, cols: Sequence[str], fits: Fits) -> dict[Hashable, tu
     d = len(cols)
 
     def by_label(x: np.ndarray):
-        return {f: (nearest_label(x, fits[name]), len(fits[name]), None, [(x * x).sum(axis=1)]) for f, name in enumerate(order)}
+        norm = (x * x).sum(axis=1)
+        return {f: (lab, len(fits[order[f]]), [norm]) for f, lab in enumerate(nearest_labels(x, [fits[name] for name in order]))}
     first = _sums(df, cols, by_label, 1)
-    stats = {f: {j: (first[f, j][0], np.array(first[f, j][2:2 + d]), first[f, j][-1]) for j in range(len(fits[name])) if (f, j) in first}
+    stats = {f: {j: (first[f, j][0], np.array(first[f, j][1:1 + d]), first[f, j][-1]) for j in range(len(fits[name])) if (f, j) in first}
              for f, name in enumerate(order)}
 
     def quality(x: np.ndarray):
@@ -253,7 +305,7 @@ def indices(df: DataFrame, cols: Sequence[str], fits: Fits) -> dict[Hashable, tu
             with np.errstate(invalid="ignore", divide="ignore"):
                 sil = np.where((own <= 1) | (most == 0) | ~np.isfinite(b), 0.0, (b - a) / most)
             center = np.array([st[j][1] / st[j][0] if j in st else np.zeros(d) for j in range(len(fits[name]))])
-            out[f] = lab, len(fits[name]), None, [least.min(axis=1), sil, np.sqrt(((x - center[lab]) ** 2).sum(axis=1))]
+            out[f] = lab, len(fits[name]), [least.min(axis=1), sil, np.sqrt(((x - center[lab]) ** 2).sum(axis=1))]
         return out
 
     second = _sums(df, cols, quality, 3)

@@ -119,3 +119,49 @@ def test_labels_take_one_product_a_fit(monkeypatch):
     monkeypatch.setattr(SK, "_sq_dists", lambda x, c: taken.append(len(x)) or real(x, c))
     SK.nearest_label(np.random.default_rng(1).normal(0, 1, (20_000, 8)), np.random.default_rng(2).normal(0, 1, (10, 8)).tolist())
     assert sum(taken) == 0
+
+
+def test_a_round_labels_every_row_once(points, monkeypatch):
+    """A round takes one matrix product for all fits; labels under two sets of centres are compared only
+    where a round left all sizes as they were."""
+    products, find, sums = [], S.nearest_labels, S._sums
+
+    def scan(df, cols, label, n_more=0, blocks=None):
+        taken = []
+        monkeypatch.setattr(S, "nearest_labels", lambda x, fits: taken.append(len(fits)) or find(x, fits))
+        label(np.zeros((1, len(cols))))
+        monkeypatch.setattr(S, "nearest_labels", find)
+        products.append(len(taken))
+        return sums(df, cols, label, n_more, blocks)
+    monkeypatch.setattr(S, "_sums", scan)
+    _, rounds = S.lloyd_shared(points, COLS, {k: [[float(j), 0.0] for j in range(k)] for k in (2, 3, 4)})
+    assert products.count(1) == max(rounds.values()) + 1 and 1 <= products.count(2) < products.count(1)
+
+
+def test_swapped_rows_of_equal_sizes_are_not_rest(spark):
+    """Clusters that trade as many rows as they get go on."""
+    rows = [(0.0, 0.0), (0.0, 1.0), (3.0, 0.0), (3.0, 1.0), (1.4, 6.0), (1.6, -6.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    start = [[0.0, -2.0], [3.0, 2.0]]
+    fits, _ = S.lloyd_shared(df, COLS, {0: start})
+    x, now = np.array(rows), np.array(start)
+    lab = None
+    while True:
+        found = ((x[:, None] - now[None]) ** 2).sum(axis=2).argmin(axis=1)
+        if lab is not None and (found == lab).all():
+            break
+        lab, now = found, np.array([x[found == j].mean(axis=0) for j in (0, 1)])
+    assert np.array(fits[0]) == pytest.approx(now)
+
+
+def test_packed_rows_are_all_rows(spark):
+    """Blocks hold every complete row, whatever their number in a batch; rounds give what single rows give."""
+    x = np.random.default_rng(8).normal(size=(20_011, 2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x] + [(None, 1.0)], "x double, y double").repartition(3)
+    label = lambda v: {0: ((v[:, 0] > 0).astype(np.int64), 2, [])}
+    blocks = S.packed(df, COLS)
+    plain, own = S._sums(df, COLS, label), S._sums(df, COLS, label, blocks=blocks)
+    blocks.unpersist()
+    assert plain.keys() == own.keys() and sum(v[0] for v in own.values()) == 20_011
+    for k in plain:
+        assert own[k] == pytest.approx(plain[k], rel=1e-9)
