@@ -10,6 +10,7 @@ model pass scores every bump of every scenario.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -86,25 +87,43 @@ class Driver:
         return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(self.means[f])) for f in self.features})
 
 
+#: Training rows of a task: fewer are not worth a task's own statistics of every node, more would
+#: be a large cached block (a row is kept with its count in, and its node of, every tree).
+LEAST_ROWS, MOST_ROWS = 25_000, 500_000
+
+
+def spread(train: DataFrame, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> DataFrame:
+    """The rows in equal shares over all cores, as a narrow table is a few files, often one with one
+    row group, that is, one task; the passes of a forest are bound by the processor.  Rows that one
+    task is to hold stay as they are."""
+    rows, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    tasks = min(cores, math.ceil(rows / least)) if rows <= cores * most else cores * math.ceil(rows / (cores * most))
+    return train.repartition(tasks) if tasks > 1 else train
+
+
 def fit_driver(train: DataFrame, features: Sequence[str], label: str = "level", trees: int = 100,
                depth: int = 12, seed: int = 42) -> Driver:
     """Random forest on the feature columns -> level (Spark ML).
 
     ``depth`` is a model parameter (sklearn grows trees without a limit, Spark
     to 30 at most).  A missing feature counts as the feature's mean, in
-    training and in scoring."""
+    training and in scoring.  The rows are spread over all cores and cached for the fit; a task
+    holds 512 MB of node statistics at most, as all cores of an executor hold some at once."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     features = list(features)
-    known = train.filter(F.col(label).isNotNull())
+    known = spread(train.filter(F.col(label).isNotNull())).persist()
     row = known.agg(*[F.avg(f).alias(f) for f in features]).first()
     driver = Driver(None, features, {f: 0.0 if row[f] is None else float(row[f]) for f in features})
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
         RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-                               seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)])
-    driver.model = pipe.fit(driver.filled(known))
+                               seed=seed, cacheNodeIds=True, maxMemoryInMB=512)])
+    try:
+        driver.model = pipe.fit(driver.filled(known))
+    finally:
+        known.unpersist()
     return driver
 
 
