@@ -87,18 +87,21 @@ class Driver:
         return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(self.means[f])) for f in self.features})
 
 
+#: Training rows that stay in the tasks they are in: one core has done with them soon.
+FEW_ROWS = 100_000
 #: Training rows of a task: fewer are not worth a task's own statistics of every node, more would
 #: be a large cached block (a row is kept with its count in, and its node of, every tree).
 LEAST_ROWS, MOST_ROWS = 25_000, 500_000
 
 
-def spread(train: DataFrame, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> DataFrame:
+def spread(train: DataFrame, few: int = FEW_ROWS, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> DataFrame:
     """The rows in equal shares over all cores, as a narrow table is a few files, often one with one
-    row group, that is, one task; the passes of a forest are bound by the processor.  Rows that one
-    task is to hold stay as they are."""
+    row group, that is, one task; the passes of a forest are bound by the processor."""
     rows, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    if rows <= few:
+        return train
     tasks = min(cores, math.ceil(rows / least)) if rows <= cores * most else cores * math.ceil(rows / (cores * most))
-    return train.repartition(tasks) if tasks > 1 else train
+    return train.repartition(tasks)
 
 
 def fit_driver(train: DataFrame, features: Sequence[str], label: str = "level", trees: int = 100,

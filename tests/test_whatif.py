@@ -11,13 +11,13 @@ def test_training_rows_are_spread_over_all_cores(spark):
     assert got.rdd.getNumPartitions() == min(cores, 5)
     assert max(got.rdd.glom().map(len).collect()) < 1.2 * 120_000 / min(cores, 5)
     assert got.exceptAll(one).count() == one.exceptAll(got).count() == 0
-    assert W.spread(one, least=10, most=10_000).rdd.getNumPartitions() == cores * -(-12 // cores)
+    assert W.spread(one, few=100, least=10, most=10_000).rdd.getNumPartitions() == cores * -(-12 // cores)
     assert W.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
     assert W.spread(spark.range(0)).count() == 0
 
 
 def test_a_forest_is_fitted_on_all_cores(spark, monkeypatch):
-    monkeypatch.setattr(W.spread, "__defaults__", (50, 1_000))
+    monkeypatch.setattr(W.spread, "__defaults__", (100, 50, 1_000))
     rows = spark.range(400).coalesce(1).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
     rows = rows.withColumn("level", F.when(F.col("a") < 3, None).otherwise((F.col("a") > 10).cast("int")))
     seen, spread = [], W.spread
