@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.stats import quantiles
+from plantlens.operators import forest
 
 # Class -> level name of the what-if page.
 LEVELS = {0: "Low", 1: "Medium", 2: "High"}
@@ -87,6 +88,9 @@ class Driver:
         return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(self.means[f])) for f in self.features})
 
 
+#: Training rows up to which Spark ML grows the trees: it keeps about 1,000 bytes a row, in memory or on
+#: disk.  More rows are packed to some 16 bytes (``forest``).
+ML_ROWS = 1_000_000
 #: Training rows that stay in the tasks they are in: one core has done with them soon.
 FEW_ROWS = 100_000
 #: Training rows of a task: fewer are not worth a task's own statistics of every node, more would
@@ -110,15 +114,20 @@ def fit_driver(train: DataFrame, features: Sequence[str], label: str = "level",
 
     ``depth`` is a model parameter (sklearn grows trees without a limit, Spark
     to 30 at most).  A missing feature counts as the feature's mean, in
-    training and in scoring.  The rows are spread over all cores and cached for the fit; a task
+    training and in scoring.  More than ``ML_ROWS`` rows are packed and scanned level by level
+    (``forest.fit``).  Fewer are spread over all cores and cached for the fit; a task
     holds 512 MB of node statistics at most, as all cores of an executor hold some at once."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     features = list(features)
-    known = spread(train.filter(F.col(label).isNotNull())).persist()
-    row = known.agg(*[F.avg(f).alias(f) for f in features]).first()
+    train = train.filter(F.col(label).isNotNull())
+    row = train.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(f).alias(f) for f in features]).first()
     driver = Driver(None, features, {f: 0.0 if row[f] is None else float(row[f]) for f in features})
+    if row["_rows"] > ML_ROWS:
+        driver.model = forest.fit(driver.filled(train), features, label, row["_rows"], trees, depth, seed)
+        return driver
+    known = spread(train).persist()
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
         RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
@@ -132,7 +141,8 @@ def fit_driver(train: DataFrame, features: Sequence[str], label: str = "level",
 
 def importance(driver: Driver) -> list[tuple[str, float]]:
     """Feature importances, largest first."""
-    imp = driver.model.stages[-1].featureImportances.toArray()
+    own = isinstance(driver.model, forest.Forest)
+    imp = driver.model.importances() if own else driver.model.stages[-1].featureImportances.toArray()
     return sorted(zip(driver.features, (float(v) for v in imp)), key=lambda t: (-t[1], t[0]))
 
 
