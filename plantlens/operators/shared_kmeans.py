@@ -18,8 +18,9 @@ rest: one more scan counts the rows that changed their label under it.
 The arithmetic of a scan is numpy on Arrow batches: labels under all fits are one
 matrix product (``nearest_labels``), and new centres every round are data, not new code to
 compile.  Sums of a partition leave it as one row per (fit, label).  Rows with a
-NULL in the columns are left out.  For the rounds, rows are packed once (``packed``): Spark keeps their
-values in blocks, in memory or on disk, and a scan moves blocks, not single values.
+NULL in the columns are left out.  For the rounds, rows are packed once (``packed``): their values are
+written in blocks to the shared folder, and a scan moves blocks, not single values.  Executors keep no
+rows in memory between the rounds.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.operators.cluster import Centroids
+from plantlens.session import drop_scratch, scratch_path
 
 #: Rounding of a squared distance that comes from a matrix product, as a share of the squared norms
 #: (a hundred times the bound for ten columns); nearer centres are told apart by their differences.
@@ -41,8 +43,11 @@ SLACK = 1e-12
 #: A prime: row hashes are spread over 1 .. P - 1, and P * P fits a long.
 P = 2147483647
 
-#: Rows of a block of ``packed``, and rows that are labelled at a time.
-BLOCK, ROWS = 64, 8192
+#: Rows of a block of ``packed``, and rows that are labelled at a time.  Spark sends 10,000 blocks to a
+#: task's Python at a time, and holds them in several places: 5 MB of eight columns.
+BLOCK, ROWS = 8, 8192
+#: Bytes of a row group of blocks: a reader holds it, on the heap and beside it.
+GROUP = 8 << 20
 
 Fits = dict[Hashable, Centroids]
 
@@ -55,8 +60,8 @@ def _matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(d)], axis=1).astype(np.float64, copy=False)
 
 
-def packed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The complete rows' values, ``BLOCK`` rows to a binary value; kept by Spark until ``unpersist``."""
+def packed(df: DataFrame, cols: Sequence[str], path: str | None = None) -> DataFrame:
+    """The complete rows' values, ``BLOCK`` rows to a binary value; written once, and read by every scan."""
     cols = list(cols)
     d = len(cols)
 
@@ -64,7 +69,9 @@ def packed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for batch in batches:
             x = _matrix(batch, d)
             yield pa.RecordBatch.from_arrays([pa.array([x[i:i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)], pa.binary())], names=["block"])
-    return _complete(df.select(*cols), cols).mapInArrow(pack, "block binary").persist()
+    path = path or scratch_path(df.sparkSession, "kmeans-blocks")
+    _complete(df.select(*cols), cols).mapInArrow(pack, "block binary").write.option("parquet.block.size", GROUP).parquet(path)
+    return df.sparkSession.read.schema("block binary").parquet(path)
 
 
 def _unpacked(batch: pa.RecordBatch, d: int) -> Iterator[np.ndarray]:
@@ -238,8 +245,9 @@ def lloyd_shared(df: DataFrame, cols: Sequence[str], starts: Fits) -> tuple[Fits
     now: dict[int, Centroids] = dict(enumerate(starts.values()))
     rounds = {f: 0 for f in now}
     moving = {f: (None, None, c) for f, c in now.items() if any(m is not None for m in c)}
-    blocks = packed(df, cols)
+    path = scratch_path(df.sparkSession, "kmeans-blocks")
     try:
+        blocks = packed(df, cols, path)
         while moving:
             def label(x: np.ndarray, moving=moving):
                 labels = nearest_labels(x, [c for _, _, c in moving.values()])
@@ -258,7 +266,7 @@ def lloyd_shared(df: DataFrame, cols: Sequence[str], starts: Fits) -> tuple[Fits
                 following[f] = (sizes[f], centers, now[f])
             moving = following
     finally:
-        blocks.unpersist()
+        drop_scratch(df.sparkSession, path)
     return {names[f]: c for f, c in now.items()}, {names[f]: n for f, n in rounds.items()}
 
 

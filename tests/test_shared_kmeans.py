@@ -165,3 +165,21 @@ def test_packed_rows_are_all_rows(spark):
     assert plain.keys() == own.keys() and sum(v[0] for v in own.values()) == 20_011
     for k in plain:
         assert own[k] == pytest.approx(plain[k], rel=1e-9)
+
+
+def test_rounds_keep_no_rows_in_executors(points, monkeypatch):
+    """The packed rows lie in the shared folder in short blocks, and are removed after the rounds."""
+    from plantlens import session
+    held, sums = [], S._sums
+
+    def scan(df, cols, label, n_more=0, blocks=None):
+        if blocks is not None:
+            held.append((df.sparkSession.sparkContext._jsc.getPersistentRDDs().size(), blocks.inputFiles(), blocks.agg(F.max(F.length("block"))).first()[0]))
+        return sums(df, cols, label, n_more, blocks)
+    before = points.sparkSession.sparkContext._jsc.getPersistentRDDs().size()
+    starts = S.band_starts(points, COLS, [2, 3], "s")
+    scratch = list(session._SCRATCH)
+    monkeypatch.setattr(S, "_sums", scan)
+    S.lloyd_shared(points, COLS, starts)
+    assert held and all(n == before and files and size <= 8 * 8 * len(COLS) for n, files, size in held)
+    assert session._SCRATCH == scratch
