@@ -3,8 +3,8 @@
 The store has two tables, built once from the log:
 
 * ``sketches``: per (day, line, column) the number of values and a mergeable KLL sketch;
-* ``chunks``: the values of each (day, line, column) sorted and cut into chunks of at most
-  ``CHUNK``, each with its least and largest value and its size beside the array.
+* ``chunks``: the values of each (day, line, column) sorted, in runs of ``RUN`` rows where there are more, and cut
+  into chunks of at most ``CHUNK``, each with its least and largest value and its size beside the array.
 
 A query of any days and lines merges the few sketches of its range to a bracket around
 each wanted rank.  Chunks wholly below a bracket are counted by their size: the arrays are
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from plantlens.functions.stats import _interpolated, _target_ranks
 
 CHUNK = 1024
+#: Rows that are sorted at a time.
+RUN = 1 << 18
 #: Size of a sketch, and the rank error (share of the rows) that its brackets allow for.
 SKETCH_K, MARGIN = 2048, 0.004
 
@@ -32,42 +35,63 @@ _CHUNKS = "day date, line string, col int, lo double, hi double, n long, v array
 
 
 def _values(log: DataFrame, cols: Sequence[str], day: Column, line: str) -> DataFrame:
-    arr = F.array(*[F.col(c).cast("double") for c in cols])
-    v = F.nanvl("v", F.lit(None).cast("double"))
-    return (log.select(day.alias("day"), F.col(line).alias("line"), F.posexplode(arr).alias("col", "v"))
-            .withColumn("v", v).where(F.col("v").isNotNull()))
+    """(day, line, v0, v1, ...): the columns as doubles, NaN as NULL."""
+    return log.select(day.alias("day"), F.col(line).alias("line"),
+                      *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{k}") for k, c in enumerate(cols)])
 
 
 def sketches(log: DataFrame, cols: Sequence[str], day: Column, line: str = "line_id") -> DataFrame:
-    """(day, line, col, n, sketch)."""
-    return _values(log, cols, day, line).groupBy("day", "line", "col").agg(
-        F.count("v").alias("n"), F.kll_sketch_agg_double("v", SKETCH_K).alias("sketch"))
-
-
-def chunks(log: DataFrame, cols: Sequence[str], day: Column, line: str = "line_id", size: int = CHUNK) -> DataFrame:
-    """The sorted values in chunks; a hot (day, line, column) lies in many partitions."""
-    order = ["col", "day", "line", "v"]
-    rows = _values(log, cols, day, line).select("day", "line", "col", "v").repartitionByRange(*order).sortWithinPartitions(*order)
+    """(day, line, col, n, sketch).  All columns are aggregated in a row of their day and line: a row and
+    group for every column would be more groups than Spark aggregates without sorting the rows."""
+    found = _values(log, cols, day, line).groupBy("day", "line").agg(
+        *[x for k in range(len(cols)) for x in (F.count(f"v{k}").alias(f"n{k}"), F.kll_sketch_agg_double(f"v{k}", SKETCH_K).alias(f"s{k}"))])
+    each = F.array(*[F.struct(F.lit(k).alias("col"), F.col(f"n{k}").alias("n"), F.col(f"s{k}").alias("sketch")) for k in range(len(cols))])
+    return found.select("day", "line", F.inline(each)).where("n > 0")
+
+
+def _cut(key: tuple, parts: list[list[np.ndarray]], size: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of every column of rows of one day and line."""
+    for col, values in enumerate(zip(*parts)):
+        v = np.concatenate(values)
+        v = np.sort(v[~np.isnan(v)])
+        if not len(v):
+            continue
+        first = np.arange(0, len(v), size)
+        last = np.minimum(first + size, len(v))
+        many = len(first)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * many, pa.date32()), pa.array([key[1]] * many, pa.string()), pa.array([col] * many, pa.int32()), pa.array(v[first]),
+             pa.array(v[last - 1]), pa.array(last - first), pa.ListArray.from_arrays(pa.array([*first, len(v)], pa.int32()), pa.array(v))],
+            names=["day", "line", "col", "lo", "hi", "n", "v"])
+
+
+def chunks(log: DataFrame, cols: Sequence[str], day: Column, line: str = "line_id", size: int = CHUNK, run: int = RUN) -> DataFrame:
+    """The sorted values in chunks.  The rows, with all columns, are dealt by day and line (a hot one lies in many
+    partitions) and come to a task's numpy in that order; it sorts about ``run`` rows at a time by
+    every column, so the chunks of a run lie close, and runs of one day and line overlap."""
+    keys = ["day", "line"]
+    values = _values(log, cols, day, line)
+    rows = values.repartitionByRange(*keys, F.xxhash64(*values.columns[2:])).sortWithinPartitions(*keys)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("day", pa.date32()), ("line", pa.string()), ("col", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()),
-                            ("n", pa.int64()), ("v", pa.list_(pa.float64()))])
-        key, held = None, []
-
-        def row():
-            return {"day": key[0], "line": key[1], "col": key[2], "lo": held[0], "hi": held[-1], "n": len(held), "v": held}
+        key, held, n = None, [], 0
         for batch in batches:
-            out = []
-            for *now, v in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if held and (now != key or len(held) >= size):
-                    out.append(row())
-                    held = []
+            if not batch.num_rows:
+                continue
+            days = batch.column(0).cast(pa.int32()).fill_null(-2 ** 31).to_numpy()
+            lines = batch.column(1).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            x = [c.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in batch.columns[2:]]
+            ends = [0, *(np.flatnonzero((np.diff(days) != 0) | (np.diff(lines) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(ends, ends[1:]):
+                now = batch.column(0)[a].as_py(), batch.column(1)[a].as_py()
+                if held and (now != key or n >= run):
+                    yield from _cut(key, held, size)
+                    held, n = [], 0
                 key = now
-                held.append(v)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                held.append([c[a:b] for c in x])
+                n += b - a
         if held:
-            yield pa.RecordBatch.from_pylist([row()], schema)
+            yield from _cut(key, held, size)
 
     return rows.mapInArrow(cut, _CHUNKS)
 

@@ -126,3 +126,30 @@ def test_exact_silhouette(spark, tile):
 
 def test_silhouette_of_an_empty_table(spark):
     assert silhouettes(spark.createDataFrame([], "a double, l int"), ["a"], ["l"], store) == {"l": None}
+
+
+@pytest.mark.parametrize("run", [1, 300, Q.RUN])
+def test_chunks_of_runs_hold_every_value_once(log, run):
+    """A row of the log is shuffled once with all its columns, not once for each of them."""
+    made = Q.chunks(log, ["x", "y"], F.col("day"), size=64, run=run)
+    assert "Generate" not in made._jdf.queryExecution().toString()
+    got: dict = {}
+    for r in made.collect():
+        assert r["v"] == sorted(r["v"]) and len(r["v"]) == r["n"] <= 64 and (r["lo"], r["hi"]) == (r["v"][0], r["v"][-1])
+        got.setdefault((r["day"], r["line"], r["col"]), []).extend(r["v"])
+    want: dict = {}
+    for r in log.collect():
+        for k, v in enumerate((r["x"], r["y"])):
+            if v is not None and not math.isnan(v):
+                want.setdefault((r["day"], r["line_id"], k), []).append(v)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert {(r["day"], r["line"], r["col"]): r["n"] for r in Q.sketches(log, ["x", "y"], F.col("day")).collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_rows_without_a_day_or_line_or_value(spark):
+    rows = [(DAY0, "L1", None), (DAY0, None, 2.0), (None, "L1", 3.0), (None, None, 4.0), (DAY0, None, math.nan), (DAY0, "L1", None)]
+    log = spark.createDataFrame(rows, "day date, line_id string, x double")
+    want = [(DAY0, None, 1), (None, "L1", 1), (None, None, 1)]
+    for made in (Q.sketches(log, ["x"], F.col("day")), Q.chunks(log, ["x"], F.col("day"))):
+        assert sorted(((r["day"], r["line"], r["n"]) for r in made.collect()), key=str) == sorted(want, key=str)
+    assert Q.chunks(log.limit(0), ["x"], F.col("day")).collect() == []
