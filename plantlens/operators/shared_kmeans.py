@@ -48,6 +48,8 @@ P = 2147483647
 BLOCK, ROWS = 8, 8192
 #: Bytes of a row group of blocks: a reader holds it, on the heap and beside it.
 GROUP = 8 << 20
+#: Labels up to which sums by label are a matrix product.
+FEW_LABELS = 32
 
 Fits = dict[Hashable, Centroids]
 
@@ -112,13 +114,13 @@ def nearest_labels(x: np.ndarray, fits: Sequence[Centroids]) -> list[np.ndarray]
                 continue
             h, most = g[at:at + len(own)], norm[at:at + len(own)].max()
             at += len(own)
-            best, second, least = h[0].copy(), np.full(len(x), math.inf), np.zeros(len(x), np.int64)
+            best, second, least = h[0].copy(), np.full(len(x), math.inf), np.zeros(len(x), np.int8 if len(own) < 128 else np.int64)
             for j in range(1, len(own)):
-                np.copyto(least, j, where=h[j] < best)
+                np.maximum(least, np.multiply(h[j] < best, j, dtype=least.dtype), out=least)  # the last that was less
                 np.minimum(second, np.maximum(best, h[j], out=other), out=second)
                 np.minimum(best, h[j], out=best)
             close = ~(second - best > SLACK * (square + most))
-            lab = own[least]
+            lab = own.take(least.astype(np.int64, copy=False))
             if close.any():
                 lab[close] = _sq_dists(x[close], centers).argmin(axis=1)
             found.append(lab)
@@ -130,6 +132,13 @@ def nearest_label(x: np.ndarray, centers: Centroids) -> np.ndarray:
     return nearest_labels(x, [centers])[0]
 
 
+def _by_label(lab: np.ndarray, k: int, values: np.ndarray) -> np.ndarray:
+    """Per label the sums of the rows of ``values``: a matrix product for few labels and plain numbers."""
+    if k <= FEW_LABELS and np.isfinite(values).all():
+        return (np.arange(k, dtype=np.int8)[:, None] == lab.astype(np.int8)).astype(np.float64) @ values.T
+    return np.stack([np.bincount(lab, v, k) for v in values], axis=1)
+
+
 def _sums(df: DataFrame, cols: Sequence[str], label: Callable[[np.ndarray], dict[int, tuple[np.ndarray, int, list]]],
           n_more: int = 0, blocks: DataFrame | None = None) -> dict[tuple[int, int], tuple]:
     """One scan (of ``blocks``, if the rows are packed): per (fit, label) the rows, the column sums, and ``n_more`` further sums.  ``label``
@@ -141,9 +150,9 @@ def _sums(df: DataFrame, cols: Sequence[str], label: Callable[[np.ndarray], dict
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for x in (x for batch in batches for x in rows_of(batch, d)):
-            columns = np.ascontiguousarray(x.T)
+            columns = np.vstack([np.ones(len(x)), x.T])
             for fit, (lab, k, more) in label(x).items():
-                part = np.stack([np.bincount(lab, minlength=k), *[np.bincount(lab, v, k) for v in (*columns, *more)]], axis=1)
+                part = _by_label(lab, k, np.vstack([columns, *more]) if more else columns)
                 total[fit] = total[fit] + part if fit in total else part
         rows = [(fit, j, int(r[0]), *r[1:].tolist()) for fit, t in total.items() for j, r in enumerate(t) if r[0]]
         types = [pa.int32(), pa.int32(), pa.int64()] + [pa.float64()] * (d + n_more)

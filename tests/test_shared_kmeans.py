@@ -183,3 +183,21 @@ def test_rounds_keep_no_rows_in_executors(points, monkeypatch):
     S.lloyd_shared(points, COLS, starts)
     assert held and all(n == before and files and size <= 8 * 8 * len(COLS) for n, files, size in held)
     assert session._SCRATCH == scratch
+
+
+def test_sums_by_label_of_any_values():
+    rng = np.random.default_rng(8)
+    values = np.vstack([np.ones(300), rng.normal(size=(3, 300))])
+    for k in (1, 3, S.FEW_LABELS, S.FEW_LABELS + 1, 200):
+        lab = rng.integers(0, k, 300)
+        got = S._by_label(lab, k, values)
+        assert np.allclose(got, [values[:, lab == j].sum(axis=1) for j in range(k)], rtol=1e-12, atol=1e-12) and got[:, 0].sum() == 300
+    values[2, 5] = math.inf
+    got = S._by_label(np.arange(300) % 3, 3, values)
+    assert np.isinf(got[2, 2]) and np.isfinite(np.delete(got, 2, axis=0)).all()
+
+
+def test_labels_of_many_centres():
+    rng = np.random.default_rng(9)
+    x, centers = rng.normal(size=(500, 2)), rng.normal(size=(300, 2)).tolist()
+    assert S.nearest_label(x, centers).tolist() == S._sq_dists(x, centers).argmin(axis=1).tolist()
